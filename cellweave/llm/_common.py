@@ -59,7 +59,8 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, t
     values = [c for c in groups.columns if c not in keys]
     limit = max(total // HOT_SHARE, 1)
     hot = groups.where(F.col(size) > limit).select(*keys, *(F.col(c).alias(f"__cw_hot_{c}") for c in values))
-    cold = groups.where(F.col(size) <= limit).withColumn("__cw_salt", F.lit(0))
+    # zero, but not as a literal: the optimizer would drop that from the join's keys
+    cold = groups.where(F.col(size) <= limit).withColumn("__cw_salt", F.pmod(F.col(size), F.lit(1)).cast("int"))
     found = F.col(f"__cw_hot_{size}").isNotNull()
     loose = found
     for k in keys:
