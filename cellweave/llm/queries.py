@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import exact_dedup, simhash
+from cellweave.llm import byte_bpe, decontaminate, exact_dedup, simhash, warc, wavelet
 from cellweave.llm._common import tables
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(tables(spark, sf_dir, "pages"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = tables(spark, sf_dir, "documents")
+    return byte_bpe.encode(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(tables(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -21,11 +46,36 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_wavelet": op5_wavelet,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
 }
 
 ORACLES = {
+    "op4_decontaminate": """
+        WITH items AS (
+            SELECT DISTINCT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+            FROM items, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s(i) WHERE len(w) > 0
+        ), docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), grams AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+            FROM docs, (SELECT DISTINCT k FROM windows), unnest(generate_series(1, len(w) - k + 1)) AS s(i)
+        ), found AS (
+            SELECT DISTINCT doc_id, item_id, i, k FROM grams JOIN windows USING (k, gram)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM found) GROUP BY doc_id
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
