@@ -125,3 +125,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n)).cast("int")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

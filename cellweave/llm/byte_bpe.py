@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -48,7 +48,8 @@ class Vocabulary:
                 self.halves[i] = (ranks[parts[0]], ranks[parts[1]])
         #: Tokens that merging can make; the others only stand for a whole piece.
         self.made = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.halves}
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: What is known of two tokens side by side, by left << 32 | right.
+        self.apart: dict[int, bool] = {}
 
     def _merge(self, token: bytes, below: int) -> list[bytes]:
         """The parts that merges of lower rank leave of a token."""
@@ -67,11 +68,11 @@ class Vocabulary:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves the border between two tokens as it is."""
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << 32 | right)
         if known is None:
             if len(self.apart) > 2_000_000:
                 self.apart.clear()
-            known = self.apart[(left, right)] = self._border(left, right)
+            known = self.apart[left << 32 | right] = self._border(left, right)
         return known
 
     def _border(self, left: int, right: int) -> bool:
@@ -109,17 +110,26 @@ class Prefixes:
         self.data += data
         self._fill(start, len(self.data))
 
+    def cut(self, stop: int) -> None:
+        """Keep the first bytes only."""
+        del self.data[stop:], self.last[stop:]
+
     def _fill(self, start: int, end: int) -> None:
         v, last = self.vocabulary, self.last
-        made, may, longest = v.made, v.may_follow, v.longest
+        made, may, longest, known = v.made.get, v.may_follow, v.longest, v.apart.get
         base = max(0, start + 1 - longest)
         data = bytes(self.data[base:end])
         for stop in range(start + 1, end + 1):
             for begin in range(max(0, stop - longest), stop):
-                token = made.get(data[begin - base : stop - base])
-                if token is not None and (begin == 0 or may(last[begin - 1], token)):
-                    last.append(token)
-                    break
+                token = made(data[begin - base : stop - base])
+                if token is None:
+                    continue
+                if begin:
+                    apart = known(last[begin - 1] << 32 | token)
+                    if not (may(last[begin - 1], token) if apart is None else apart):
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("the vocabulary lacks single bytes")
 
@@ -160,26 +170,42 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """A piece that is a token as a whole is that token."""
-        found = self.known.get(piece)
-        if found is None:
+        #: Of a piece, its ids and their decimals.
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode pieces; in sorted order, a piece takes over the last tokens of the prefix that it shares with the one before."""
+        ranks, known, prefixes = self.vocabulary.ranks, self.known, Prefixes(self.vocabulary)
+        before = b""
+        for piece in sorted(pieces):
             data = piece.encode("utf-8", "replace")
-            whole = self.vocabulary.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).ids())
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            if len(piece) < 200:
-                self.known[piece] = found
-        return found
+            whole = ranks.get(data)  # a piece that is a token as a whole is that token
+            if whole is None:
+                shared = 0
+                for x, y in zip(before, data, strict=False):
+                    if x != y:
+                        break
+                    shared += 1
+                prefixes.cut(shared)
+                prefixes.append(data[shared:])
+                before = data
+            ids = (whole,) if whole is not None else tuple(prefixes.ids())
+            known[piece] = ids, ",".join(map(str, ids))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
+        """The ids of each text, and their decimals joined by commas."""
+        split = [self.pieces(t) if t else [] for t in texts]
+        new = {p for pieces in split for p in pieces}
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self.learn(new - self.known.keys())
+        look = self.known.__getitem__
+        for pieces in split:
+            found = list(map(look, pieces))
+            yield list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
 
     def encode(self, text: str | None) -> list[int]:
-        piece, out = self.piece, []
-        for p in self.pieces(text or ""):
-            out += piece(p)
-        return out
+        return next(self.encode_all([text]))[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -206,10 +232,9 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         for whole in rows:
             for batch in text_batches(whole, "text", AT_A_TIME):
                 sizes, digests, decoded, lists = [], [], [], []
-                for t in batch.column(1):
-                    found = bpe.encode(t.as_py())
+                for found, decimals in bpe.encode_all(batch.column(1).to_pylist()):
                     sizes.append(len(found))
-                    digests.append(hashlib.sha256(str(found)[1:-1].replace(" ", "").encode()).hexdigest())
+                    digests.append(hashlib.sha256(decimals.encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
                     lists.append(pa.array(found, pa.int32())) if ids else None
                 columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
