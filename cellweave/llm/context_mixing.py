@@ -1,27 +1,30 @@
 """Language-model scores by logistic context mixing.
 
 A text is its words, each with an end, and an end of the text. Each bit of a byte is predicted by several
-predictors, each of which looks up, by a hash of its context and of the byte's bits so far, how often a
-one and a zero came next in training. Their log-odds are added up with weights that a gate picks by how much
-the longest contexts know, and the sum is refined by an adaptive map from what was predicted to what came.
-Weights and map are learned online, in one run over the words, each predicted as if it weren't in the counts once.
+predictors. Four look up, by a hash of the previous one to four bytes and of the byte's bits so far, how often a one
+and a zero came next in training; a fifth counts exactly what came next after the whole word so far. Their log-odds are added up
+with weights that a gate picks by how much the longest contexts know, and the sum is refined by an adaptive map from what was predicted
+to what came. Weights and map are learned online, in one run over the words, each predicted as if it weren't in the
+counts once, and then stay as they are, so that a text's score doesn't depend on other texts scored.
 
-Contexts don't reach over a word's beginning (the previous one to four bytes, and the whole word so far), so all
-occurrences of a word cost the same. That makes the work distributed and exact: words are counted over all
-training texts, each different word is learned from and scored once, weighed by its count, and a
-text's score adds up its words'. Counts grow with the input; the model's tables have a fixed size.
+Contexts don't reach over a word's beginning, so all occurrences of a word cost the same. That makes the work
+distributed and exact: words are counted over all training texts, each different word is learned from
+and scored once, weighed by its count, and a text's score adds up its words'. Counts grow with the input; the hashed tables have a fixed size.
 
-Texts are numbered by blocks of bounded size: a block's words are joined with their counts and costs by word,
-and come back to the block, whose texts are kept as numbers of its own words.
+Words are dealt by ranges, so that words with a common beginning are neighbours and a task counts beginnings in
+its sorted words. Beginnings that go on in other tasks' words are completed by sums that each task tells of its first and its last word.
+Texts are numbered by blocks of bounded size: a block's words are joined with their counts and costs by word, and come back to
+the block, whose texts are kept as numbers of its own words.
 
 Edge cases: a null text counts as empty and has its end alone. Only rows with a doc_id can be trained on; a row without one is
-scored and not held out. Repeated rows count, and are scored, each for itself. With no training text every byte is
-uniform and counts are zero. An empty table gives an empty one. Extra columns are ignored.
+scored and not held out. Repeated rows count, and are scored, each for itself. With no training text every bit is
+even and counts are zero. A word of any length is scored whole, by segments. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -31,17 +34,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import stored, text_batches
+from cellweave.llm._common import cut, stored
 
-#: Slots of each predictor's table, as powers of two: one to four bytes back, and the word so far.
-SLOT_BITS = (16, 20, 21, 21, 22)
+#: Slots of each hashed predictor's table, as powers of two: one to four bytes back.
+SLOT_BITS = (16, 20, 21, 22)
 CHUNK_SLOTS = 1 << 16
 CHUNKS = [max(1, (1 << b) // CHUNK_SLOTS) for b in SLOT_BITS]
-GATES = 7 * 3 * 3
-LEVELS = 33
+#: Bytes of a word's beginning that are counted exactly.
+TRIE_BYTES = 48
+#: Bytes of a word that are handled at a time.
+SEGMENT = 1 << 14
+#: The hashed predictors, the exact one and a bias.
+INPUTS = len(SLOT_BITS) + 2
+#: By how often the word so far came, whether always with the same bit, how often the last four bytes came, and the place in the word.
+GATES = 7 * 2 * 3 * 3
+#: The map's levels of log-odds, up to REACH to either side.
+LEVELS, REACH = 49, 12
 #: Words of a block, text bytes of a block, and different words that a task learns from, about.
-BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 2_000_000, 12 << 20, 300_000
-STEP_WORDS = 2000
+BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 2_000_000, 12 << 20, 150_000
+STEP_WORDS = 500
+#: How far a step goes.
+RATE = 0.1
 #: Counts that each bit has beforehand.
 PRIOR = 0.05
 #: Counts are kept as logarithms with so many steps to a doubling.
@@ -56,35 +69,38 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def coded(word: bytes) -> bytes:
+    """A word with its end; the empty word is the end of a text. No coded word begins another."""
+    return word + b"\x20" if word else b"\x0a"
+
+
 class Bits:
-    """The bits of words, and the slots that each predictor has for them. A word is its bytes; the empty one is the end of a text."""
-
-    def __init__(self, words: list[bytes]):
-        data = [w + b"\x20" if w else b"\x0a" for w in words]
-        sizes = np.array([len(d) for d in data], np.int64)
-        flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(len(flat)) - begins
-        self.owner = np.repeat(np.repeat(np.arange(len(words)), sizes), 8)
-        self.place = np.repeat(np.minimum(place, 2), 8)
+    """The bits of coded words, and the slots that the hashed predictors have for them. Words come as (owner, first place, data): data is a segment with up to four bytes before it."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]]):
+        lead = np.array([min(4, at) for _, at, _ in parts], np.int64)
+        sizes = np.array([len(d) for _, _, d in parts], np.int64)
+        flat = np.frombuffer(b"".join(d for _, _, d in parts), np.uint8).astype(np.uint64)
+        local = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = local >= np.repeat(lead, sizes)
+        place = local + np.repeat(np.array([at for _, at, _ in parts], np.int64) - lead, sizes)
+        before, contexts = np.zeros(len(flat), np.uint64), []
+        for k in range(len(SLOT_BITS)):
+            reach = np.flatnonzero((place > k) & (local > k))
+            back = np.zeros(len(flat), np.uint64)
+            back[reach] = flat[reach - k - 1] + np.uint64(1)
+            before = before * np.uint64(521) + back
+            contexts.append(before[own])
+        flat, place = flat[own], place[own]
+        self.owner = np.repeat(np.repeat(np.array([o for o, _, _ in parts], np.int64), sizes - lead), 8)
         shifts = np.arange(8, dtype=np.uint64)
         self.ones = ((flat[:, None] >> (np.uint64(7) - shifts)) & np.uint64(1)).ravel().astype(bool)
+        #: A bit's place in its word.
+        self.at = (place[:, None] * 8 + np.arange(8)).ravel()
         # the bits of the byte so far, with a leading one
         node = (np.uint64(1) << shifts) | (flat[:, None] >> (np.uint64(8) - shifts))
-        powers = np.cumprod(np.full(int(sizes.max(initial=1)), 0x100000001B3, np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((flat + np.uint64(1)) * powers[place])])
-        so_far = sums[:-1] - sums[begins]
-        before = np.zeros(len(flat), np.uint64)
         self.slots = []
-        for k, bits in enumerate(SLOT_BITS):
-            if k < 4:
-                back = np.zeros(len(flat), np.uint64)
-                reach = place > k
-                back[reach] = flat[np.flatnonzero(reach) - k - 1] + np.uint64(1)
-                before = before * np.uint64(521) + back
-                context = before
-            else:
-                context = so_far
+        for k, (bits, context) in enumerate(zip(SLOT_BITS, contexts, strict=True)):
             mixed = (context + np.uint64(k + 1)) * _ODD
             mixed ^= mixed >> np.uint64(31)
             mixed = (mixed[:, None] + node) * _MORE
@@ -92,18 +108,121 @@ class Bits:
             self.slots.append(((mixed * _ODD) >> np.uint64(64 - bits)).astype(np.int64).ravel())
 
 
+def groups(words: list[bytes], most_bytes: int = 1 << 16) -> Iterator[Bits]:
+    """The bits of all words, by about so many bytes; long words come in segments."""
+    parts, held = [], 0
+    for i, w in enumerate(words):
+        data = coded(w)
+        for at in range(0, len(data), SEGMENT):
+            parts.append((i, at, data[max(0, at - 4) : at + SEGMENT]))
+            held += len(parts[-1][2])
+            if held >= most_bytes:
+                yield Bits(parts)
+                parts, held = [], 0
+    if parts:
+        yield Bits(parts)
+
+
+class Trie:
+    """Sorted words with counts: how many lie below each bit of each word."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, beyond: tuple[np.ndarray, np.ndarray] | None = None):
+        data = [coded(w)[:TRIE_BYTES] for w in words]
+        n = len(data)
+        self.depth = np.array([8 * len(d) for d in data], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.depth + 1)])
+        self.below = np.zeros(int(self.start[-1]))
+        wide = np.frombuffer(b"".join(d.ljust(TRIE_BYTES, b"\0") for d in data), np.uint8).reshape(n, TRIE_BYTES)
+        common = np.full(n, -1, np.int64)
+        if n > 1:
+            common[1:] = shared_bits(wide[1:], wide[:-1])
+        active, gap, weight = np.arange(n), common, counts.astype(float)
+        for d in range(8 * TRIE_BYTES + 1):
+            if d % 8 == 1 and d > 1:
+                stay = np.flatnonzero(self.depth[active] >= d)
+                if not len(stay):
+                    break
+                if len(stay) < len(active):
+                    # of the words in between, the least that both neighbours share
+                    gap = np.minimum.reduceat(gap, np.concatenate([[0], stay[:-1] + 1]))
+                    active, weight = active[stay], weight[stay]
+            heads = np.flatnonzero(gap < d)
+            if not len(heads) or heads[0]:
+                heads = np.concatenate([[0], heads])
+            sums = np.add.reduceat(weight, heads)
+            if beyond is not None:
+                # words of other tasks that begin like the first word, or like the last
+                sums[0] += beyond[0][d] if active[0] == 0 else 0
+                sums[-1] += beyond[1][d] if active[-1] == n - 1 else 0
+            self.below[self.start[active] + d] = np.repeat(sums, np.diff(np.concatenate([heads, [len(active)]])))
+
+    def around(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """How often the bit itself came after the word so far, and how often the other."""
+        inside = bits.at < self.depth[bits.owner]
+        at = np.where(inside, self.start[bits.owner] + bits.at, 0)
+        own = np.where(inside, self.below[np.where(inside, at + 1, 0)], 0)
+        return own, np.maximum(np.where(inside, self.below[at], 0) - own, 0)
+
+
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits that rows of bytes have in common."""
+    differ = a ^ b
+    byte = (differ != 0).argmax(axis=1)
+    first = differ[np.arange(len(a)), byte]
+    within = 7 - np.floor(np.log2(np.maximum(first, 1))).astype(np.int64)
+    return np.where(first == 0, 8 * a.shape[1], 8 * byte + within)
+
+
+class Edge:
+    """What a task tells of its sorted words: the first and the last, and how many words begin like them, by bits."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        self.first, self.last = coded(words[0])[:TRIE_BYTES], coded(words[-1])[:TRIE_BYTES]
+        wide = np.frombuffer(b"".join(coded(w)[:TRIE_BYTES].ljust(TRIE_BYTES, b"\0") for w in words), np.uint8).reshape(-1, TRIE_BYTES)
+        n = 8 * TRIE_BYTES + 1
+        like = lambda w: np.bincount(shared_bits(wide, np.broadcast_to(_row(w), wide.shape)), counts, minlength=n)[::-1].cumsum()[::-1]
+        self.like_first, self.like_last = like(self.first), like(self.last)
+
+
+def _row(word: bytes) -> np.ndarray:
+    return np.frombuffer(word.ljust(TRIE_BYTES, b"\0"), np.uint8)
+
+
+def beyond(edges: dict[int, Edge]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each task, by bits: words of the tasks before that begin like its first word, and of those after like its last one."""
+    order, n = sorted(edges), 8 * TRIE_BYTES + 1
+    out = {}
+    same = lambda a, b: int(shared_bits(_row(a)[None], _row(b)[None])[0])
+    for i, task in enumerate(order):
+        sides = []
+        for word, others, near, far, like in ((edges[task].first, order[:i][::-1], "last", "first", "like_last"), (edges[task].last, order[i + 1 :], "first", "last", "like_first")):
+            sums = np.zeros(n)
+            for other in others:
+                e = edges[other]
+                sums[: same(word, getattr(e, near)) + 1] += getattr(e, like)[: same(word, getattr(e, near)) + 1]
+                # the next task can only have such words, but for the shortest beginnings, if this one's far word is one
+                if same(word, getattr(e, far)) == 0:
+                    sums[0] += sum(edges[o].like_first[0] for o in others[others.index(other) + 1 :])
+                    break
+            sides.append(sums)
+        out[task] = tuple(sides)
+    return out
+
+
 class Model:
     """Tables, weights and map."""
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray):
         self.tables, self.weights, self.refined = tables, weights, refined
 
-    def inputs(self, bits: Bits, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, bits: Bits, trie: Trie, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds by predictor, with a bias, and the gate. less: how often the word itself is taken out of the counts."""
-        n = len(bits.ones)
-        x = np.empty((n, len(SLOT_BITS) + 1), np.float32)
+        x = np.empty((len(bits.ones), INPUTS), np.float32)
         x[:, -1] = 0.3
-        known = []
+        own, other = trie.around(bits)
+        own = np.maximum(own - less, 0)
+        odds = np.log((own + PRIOR) / (other + PRIOR))
+        x[:, -2] = np.where(bits.ones, odds, -odds)
         for k, slots in enumerate(bits.slots):
             found = self.tables[k][slots]
             one, zero = found[:, 1], found[:, 0]
@@ -111,75 +230,69 @@ class Model:
                 one = np.maximum(one - less * bits.ones, 0)
                 zero = np.maximum(zero - less * ~bits.ones, 0)
             x[:, k] = np.log((one + PRIOR) / (zero + PRIOR))
-            known.append(one + zero)
-        word = np.searchsorted([0.5, 1.5, 2.5, 4.5, 9.5, 99.5], known[4])
-        four = np.searchsorted([0.5, 19.5], known[3])
-        return x, ((word * 3 + four) * 3 + bits.place).astype(np.int64)
+        word = np.searchsorted([0.5, 1.5, 2.5, 4.5, 9.5, 99.5], own + other)
+        four = np.searchsorted([0.5, 19.5], one + zero)
+        always = np.minimum(own, other) == 0
+        return x, ((word * 2 + always) * 3 + four) * 3 + np.minimum(bits.at >> 3, 2)
 
     def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The probability of a one, mixed and refined, and the mixed log-odds."""
-        odds = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -14, 14)
+        odds = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -18, 18)
         p = 1 / (1 + np.exp(-odds))
-        at = np.clip((odds + 8) * ((LEVELS - 1) / 16), 0, LEVELS - 1.001)
+        at = np.clip((odds + REACH) * ((LEVELS - 1) / (2 * REACH)), 0, LEVELS - 1.001)
         low = at.astype(np.int64)
         share = at - low
         mapped = self.refined[gate, low] * (1 - share) + self.refined[gate, low + 1] * share
-        return np.clip((p + mapped) / 2, 1e-7, 1 - 1e-7), odds
+        return np.clip(np.where(np.abs(odds) < REACH, (p + 3 * mapped) / 4, p), 1e-7, 1 - 1e-7), odds
 
-    def costs(self, words: list[bytes]) -> np.ndarray:
+    def costs(self, words: list[bytes], trie: Trie) -> np.ndarray:
         """log10 of each word's probability."""
         out = np.zeros(len(words))
-        for group in _groups(words):
-            part = words[group]
-            bits = Bits(part)
-            p, _ = self.predict(*self.inputs(bits))
-            out[group] = np.bincount(bits.owner, np.log10(np.where(bits.ones, p, 1 - p)), minlength=len(part))
+        for bits in groups(words):
+            p, _ = self.predict(*self.inputs(bits, trie))
+            out += np.bincount(bits.owner, np.log10(np.where(bits.ones, p, 1 - p)), minlength=len(words)) if len(words) < 5000 else 0
+            if len(words) >= 5000:
+                low = bits.owner[0]
+                part = np.bincount(bits.owner - low, np.log10(np.where(bits.ones, p, 1 - p)))
+                out[low : low + len(part)] += part
         return out
 
 
-def _groups(words: list[bytes], most_bytes: int = 1 << 17) -> Iterator[slice]:
-    """Slices of about so many bytes, a word at least."""
-    start = held = 0
-    for i, w in enumerate(words):
-        if held and held + len(w) + 1 > most_bytes:
-            yield slice(start, i)
-            start, held = i, 0
-        held += len(w) + 1
-    if held:
-        yield slice(start, len(words))
-
-
 def flat_map() -> np.ndarray:
     """The map that changes nothing."""
-    return np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, LEVELS))), (GATES, 1))
+    return np.tile(1 / (1 + np.exp(-np.linspace(-REACH, REACH, LEVELS))), (GATES, 1))
 
 
-def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, least_steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, and by gate and level what came (ones, all): online, a step for some words after another."""
-    weights = np.full((GATES, len(SLOT_BITS) + 1), 0.25)
-    weights[:, -1] = 0
+def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, trie: Trie, least_steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and by gate and level what came (ones, all): online, a step for some words after another, in an order that words' hashes give."""
+    weights = np.full((GATES, INPUTS), 0.15)
+    weights[:, -2], weights[:, -1] = 0.5, 0
     squares = np.full_like(weights, 1e-3)
     model, seen = Model(tables, weights, flat_map()), np.zeros((2, GATES, LEVELS))
-    steps = max(1, -(-len(words) // STEP_WORDS))
-    runs = -(-least_steps // steps)
+    trained = np.flatnonzero(counts > 0)
+    order = trained[np.argsort([zlib.crc32(words[i]) for i in trained], kind="stable")]
+    steps = max(1, -(-len(order) // STEP_WORDS))
+    size = min(STEP_WORDS, max(1, len(order) // 10))
+    runs = min(4, -(-least_steps // steps))
     for run in range(runs):
-        for start in range(0, len(words), STEP_WORDS):
-            part, times = words[start : start + STEP_WORDS], counts[start : start + STEP_WORDS]
-            for group in _groups(part):
-                bits = Bits(part[group])
-                x, gate = model.inputs(bits, less=1.0)
+        for start in range(0, len(order), size):
+            chosen = order[start : start + size]
+            for bits in groups([words[i] for i in chosen]):
+                times = counts[chosen][bits.owner]
+                bits.owner = chosen[bits.owner]
+                x, gate = model.inputs(bits, trie, less=1.0)
                 _, odds = model.predict(x, gate)
-                error = (1 / (1 + np.exp(-odds)) - bits.ones) * times[group][bits.owner]
-                weight = np.bincount(gate, times[group][bits.owner], minlength=GATES)
-                for k in range(x.shape[1]):
-                    slope = np.bincount(gate, error * x[:, k], minlength=GATES) / np.maximum(weight, 1)
+                error = (1 / (1 + np.exp(-odds)) - bits.ones) * times
+                weight = np.maximum(np.bincount(gate, times, minlength=GATES), 1)
+                for k in range(INPUTS):
+                    slope = np.bincount(gate, error * x[:, k], minlength=GATES) / weight
                     squares[:, k] += slope**2
-                    weights[:, k] -= 0.05 * slope / np.sqrt(squares[:, k])
+                    weights[:, k] -= RATE * slope / np.sqrt(squares[:, k])
                 if run == runs - 1:
-                    level = np.clip(np.round((odds + 8) * ((LEVELS - 1) / 16)), 0, LEVELS - 1).astype(np.int64)
+                    level = np.clip(np.round((odds + REACH) * ((LEVELS - 1) / (2 * REACH))), 0, LEVELS - 1).astype(np.int64)
                     cell = gate * LEVELS + level
-                    seen[0] += np.bincount(cell, bits.ones * times[group][bits.owner], minlength=GATES * LEVELS).reshape(GATES, LEVELS)
-                    seen[1] += np.bincount(cell, times[group][bits.owner], minlength=GATES * LEVELS).reshape(GATES, LEVELS)
+                    seen[0] += np.bincount(cell, bits.ones * times, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
+                    seen[1] += np.bincount(cell, times, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
     return weights, seen
 
 
@@ -232,25 +345,40 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _tables(trained: DataFrame) -> list[bytes]:
-    """The predictors' tables from (word, c): compressed chunks of coded counts, all of them at most 2 * 2 * sum(2**SLOT_BITS) bytes."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
+    """A task's words and counts, sorted by coded words."""
+    words, counts = [], []
+    for batch in batches:
+        words += [w.encode() for w in batch.column(0).to_pylist()]
+        counts.append(batch.column(1).to_numpy())
+    found = np.concatenate(counts).astype(float) if counts else np.zeros(0)
+    order = sorted(range(len(words)), key=lambda i: coded(words[i]))
+    return [words[i] for i in order], found[order] if len(order) else found
+
+
+def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
+    """The predictors' tables as compressed chunks of coded counts, at most 4 * sum(2**SLOT_BITS) bytes, and what lies beyond each task's words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, times = _whole(batches)
         tables = [np.zeros((1 << b, 2)) for b in SLOT_BITS]
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            words, times = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
-            for group in _groups(words):
-                bits = Bits(words[group])
-                weigh = times[group][bits.owner]
-                for table, slots in zip(tables, bits.slots, strict=True):
-                    np.add.at(table.reshape(-1), slots * 2 + bits.ones, weigh)
+        some = np.flatnonzero(times > 0)
+        for bits in groups([words[i] for i in some]):
+            weigh = times[some][bits.owner]
+            for table, slots in zip(tables, bits.slots, strict=True):
+                np.add.at(table.reshape(-1), slots * 2 + bits.ones, weigh)
         names, parts = [], []
         for k, table in enumerate(tables):
             for j, chunk in enumerate(np.split(table, CHUNKS[k])):
                 if chunk.any():
                     names.append(k << 16 | j)
                     parts.append(pack.compress(chunk.astype("<f8").tobytes()))
+        if words:
+            names.append(-1 - TaskContext.get().partitionId())
+            parts.append(pickle.dumps(Edge(words, times)))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +386,19 @@ def _tables(trained: DataFrame) -> list[bytes]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([part], pa.binary())], names=["chunk", "part"])
+                    continue
                 found = np.frombuffer(unpack.decompress(part), "<f8")
                 sums[name] = sums[name] + found if name in sums else found
-        coded = [pack.compress(np.minimum(np.round(np.log2(1 + s) * CODE), 65535).astype("<u2").tobytes()) for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(coded, pa.binary())], names=["chunk", "part"])
-
-    parts = trained.mapInArrow(count, "chunk long, part binary")
-    return sorted((r[0], bytes(r[1])) for r in parts.repartition(sum(CHUNKS), "chunk").mapInArrow(add, "chunk long, part binary").collect())
-
+        codes = [pack.compress(np.minimum(np.round(np.log2(1 + s) * CODE), 65535).astype("<u2").tobytes()) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(codes, pa.binary())], names=["chunk", "part"])
 
-_OPEN: dict[int, tuple[int, list[np.ndarray]]] = {}
+    parts = types.mapInArrow(count, "chunk long, part binary")
+    # a chunk is the sum of as many parts as there are tasks, each of which is added as it comes
+    found = [(r[0], bytes(r[1])) for r in parts.repartition("chunk").mapInArrow(add, "chunk long, part binary").collect()]
+    edges = {-1 - name: pickle.loads(part) for name, part in found if name < 0}
+    return sorted(x for x in found if x[0] >= 0), beyond(edges)
 
 
 def open_tables(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
@@ -280,44 +411,28 @@ def open_tables(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return tables
 
 
-def fit(types: DataFrame, total_types: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Tables, weights and map from all words with c > 0 of types (word, c), total_types of them."""
+def fit(types: DataFrame) -> tuple[list, dict, np.ndarray, np.ndarray]:
+    """Tables, what lies beyond each task's words, weights and map, from all words of types (word, c), which is dealt by ranges."""
     spark = types.sparkSession
-    tasks = max(1, -(-total_types // TASK_WORDS))
-    trained = types.where("c > 0").repartition(tasks, F.xxhash64("word")).sortWithinPartitions(F.xxhash64("word"), "word").select("word", "c")
-    parts = _tables(trained)
-    shared = spark.sparkContext.broadcast(parts)
+    parts, outside = _tables(types)
+    shared = spark.sparkContext.broadcast((parts, outside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, weighed, seen, total = open_tables(shared.value), 0.0, 0.0, 0.0
-        for batch in _together(batches, TASK_WORDS):
-            words, times = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
-            weights, came = learn(tables, words, times)
-            weighed, seen, total = weighed + weights * len(words), seen + came, total + len(words)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in ((weighed / total).tobytes(), seen.tobytes())] + [pa.array([total])], names=["weights", "seen", "total"])
-
-    rows = trained.mapInArrow(run, "weights binary, seen binary, total double").collect()
-    shape = (GATES, len(SLOT_BITS) + 1)
+        from pyspark import TaskContext
+
+        words, times = _whole(batches)
+        if times.sum():
+            chunks, around = shared.value
+            weights, seen = learn(open_tables(chunks), words, times, Trie(words, times, around.get(TaskContext.get().partitionId())))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (weights.tobytes(), seen.tobytes())] + [pa.array([float((times > 0).sum())])], names=["weights", "seen", "total"])
+
+    rows = types.mapInArrow(run, "weights binary, seen binary, total double").collect()  # a row of some kB for each task
     if not rows:
-        return parts, np.zeros(shape), flat_map()
+        return parts, outside, np.zeros((GATES, INPUTS)), flat_map()
     total = math.fsum(r["total"] for r in rows)
-    weights = sum(np.frombuffer(r["weights"]).reshape(shape) * (r["total"] / total) for r in rows)
+    weights = sum(np.frombuffer(r["weights"]).reshape(GATES, INPUTS) * (r["total"] / total) for r in rows)
     seen = sum(np.frombuffer(r["seen"]).reshape(2, GATES, LEVELS) for r in rows)
-    return parts, weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
-
-
-def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined until they have so many rows."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return parts, outside, weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,17 +443,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
     words = blocks.where("idx >= 0").select("block", "idx", "word", "n")
-    types = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "types")
-    n_train, n_types = types.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(fit(types, n_types))
+    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "types")
+    n_words, n_train, n_types = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    types = cut(counted.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word"))
+    model = spark.sparkContext.broadcast(fit(types))
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, weights, refined = model.value
-        mixer = None
-        for batch in batches:
-            mixer = mixer or Model(open_tables(parts), weights, refined)
-            found = mixer.costs([w.encode() for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["word", "c", "cost"])
+        from pyspark import TaskContext
+
+        words, times = _whole(batches)
+        if words:
+            parts, outside, weights, refined = model.value
+            found = Model(open_tables(parts), weights, refined).costs(words, Trie(words, times, outside.get(TaskContext.get().partitionId())))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found)], names=["word", "c", "cost"])
 
     costs = types.mapInArrow(cost, "word string, c long, cost double")
     known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost", *(F.lit(None).cast(t).alias(c) for c, t in blocks.dtypes[4:]))

@@ -101,7 +101,8 @@ class Field:
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], np.int64)
         begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1][order] if texts else lengths
-        emitted = self.table[self.look_up(texts)] if lengths.sum() else np.zeros((0, len(self.labels)), np.float32)
+        at = self.look_up(texts)  # this may replace the table
+        emitted = self.table[at]
         sums, gamma = forward_backward(emitted, begins, lengths, self.transitions, self.begin, each)
         out = np.zeros_like(sums)
         out[order] = sums

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, decontaminate, exact_dedup, simhash, warc, wavelet
-from cellweave.llm._common import tables
+from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, langid, simhash, toxicity, url_filter, warc, wavelet
+from cellweave.llm._common import crc_mod, tables
 
 
 def _vocabulary(name: str) -> str:
@@ -15,6 +15,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), field, carry=("held_out",))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"))
 
@@ -40,18 +47,47 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs.select("doc_id", "text", digest.alias("text_sha256")), carry=("text_sha256",))
 
 
+#: (verdict, host and path) of the URL rules.
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(tables(spark, sf_dir, "pages"), RULES)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(tables(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """Categories of the labels table: of low quality, toxic, and both at once."""
+    low = F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0)
+    named = labels.select("doc_id", low.alias("low_quality"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    named = named.withColumn("toxic_low_quality", F.col("low_quality") * F.col("toxic"))
+    return toxicity.fit(docs, named, ["low_quality", "toxic", "toxic_low_quality"])
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return toxicity.probabilities(docs, toxicity_chain(docs, tables(spark, sf_dir, "labels")))
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(tables(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_wavelet": op5_wavelet,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 ORACLES = {
