@@ -15,10 +15,13 @@ by their ids. An empty table writes no file. Extra columns are ignored. A charac
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ from cellweave.llm._common import cut, shared_folder, text_batches
 MAGIC = b"CWWAVE01"
 #: Bytes of a plane that are compressed together.
 BLOCK = 1 << 14
-AT_A_TIME = 8 << 20
-CACHE = 500_000
+AT_A_TIME = 4 << 20
+CACHE = 700_000
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 24
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -191,35 +194,60 @@ def _plain(text: str) -> str:
     return text
 
 
-class _Words:
-    """Ids of texts by a tokenizers file that drops white space, so that words encode for themselves."""
+class Words(dict):
+    """Ids of words, as bytes, by a tokenizers file that drops white space, so that words encode for themselves.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Most words are letters and then signs, which the file's splitter takes apart: these go to its model at
+    once; all others go through the whole tokenizer.
+    """
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+    #: Latin letters, which lower case keeps letters (U+0130 becomes two characters), then ASCII signs that neither begin a contraction nor a special token.
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:;=-@\\[-`{-~]*)").fullmatch
 
-    def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        split = [_plain(t).split(" ") if t else [] for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        known, tail = self.known, np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), tail]), "<u4") for words in split]
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        plain = self.PLAIN(word)
+        if plain is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            letters, signs = plain.groups()
+            ids = [t.id for t in self.tokenize(letters.lower().translate(self.table))] if letters else []
+            if signs:
+                ids += [t.id for t in self.tokenize(signs)]
+        if len(self) >= CACHE:
+            self.clear()
+        found = array("I", ids).tobytes()
+        if len(word) < 100:
+            self[word] = found
+        return found
+
+    def text(self, text: str | None, end: bytes) -> np.ndarray:
+        words = _plain(text).split(" ") if text else []
+        return np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<u4")
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """A worker's words, kept from task to task."""
+    return Words(path)
 
 
 def encode_ids(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, packed): the ids of a text and the end id, as compressed little-endian 32-bit numbers, low halves first."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pack = _Words(path), zstandard.ZstdCompressor(level=1)
+        words, pack, tail = _words(path), zstandard.ZstdCompressor(level=1), array("I", [end]).tobytes()
         for whole in rows:
             for batch in text_batches(whole, "text", AT_A_TIME):
-                found = words.batch(batch.column(1).to_pylist(), end)
+                found = [words.text(t.as_py(), tail) for t in batch.column(1)]
                 packed = [pack.compress(f.view("<u2").reshape(-1, 2).T.tobytes()) for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
 
