@@ -65,6 +65,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
@@ -458,32 +461,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found)], names=["word", "c", "cost"])
 
     costs = types.mapInArrow(cost, "word string, c long, cost double")
-    known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost", *(F.lit(None).cast(t).alias(c) for c, t in blocks.dtypes[4:]))
-    kept = blocks.where("idx < 0").select("block", "idx", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("cost"), *blocks.columns[4:])
-    # a block's texts come after its words
-    dealt = known.union(kept).repartition(F.col("block")).sortWithinPartitions("block", F.col("idx") < 0, "idx")
+    known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost")
+    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[4:])
     base = math.log10(n_train + n_types + 1)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, counts, prices = zstandard.ZstdDecompressor(), [], []
-        for batch in batches:
-            idx = batch.column(1).to_numpy()
-            start = 0
-            for end in [*np.flatnonzero(idx < 0).tolist(), None]:
-                counts.append(batch.column(2).slice(start, None if end is None else end - start).to_numpy(zero_copy_only=False))
-                prices.append(batch.column(3).slice(start, None if end is None else end - start).to_numpy(zero_copy_only=False))
-                if end is None:
-                    break
-                start = end + 1
-                c, price = np.concatenate(counts).astype(np.int64), np.concatenate(prices).astype(float)
-                counts, prices = [], []
-                ids, tests, sizes, lengths, tokens = (batch.column(k)[end].as_py() for k in range(4, 9))
-                flat = np.frombuffer(unpack.decompress(tokens), np.int32)
-                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                logs = np.log10(c + 1.0) - base
-                total = np.add.reduceat(price[flat], at)
-                columns = (ids, tests, sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at), np.full(len(ids), n_train), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / np.array(lengths))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    return dealt.mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    unpack = zstandard.ZstdDecompressor
+
+    def add_up(words: pa.Table, texts: pa.Table) -> pa.Table:
+        """A block's texts; its words are as many as the block's size allows."""
+        order = np.argsort(words.column("idx").to_numpy())
+        c, price = words.column("c").to_numpy()[order], words.column("cost").to_numpy()[order]
+        logs, out = np.log10(c + 1.0) - base, []
+        for ids, tests, sizes, lengths, tokens in zip(*(texts.column(x).to_pylist() for x in ("doc_ids", "held_out", "sizes", "bytes", "tokens")), strict=True):
+            flat = np.frombuffer(unpack().decompress(tokens), np.int32)
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            total = np.add.reduceat(price[flat], at)
+            columns = (ids, tests, sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at), np.full(len(ids), n_train), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / np.array(lengths))
+            out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, SCORES.types, strict=True)], schema=SCORES))
+        return pa.concat_tables(out) if out else SCORES.empty_table()
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return known.groupBy("block").cogroup(kept.groupBy("of")).applyInArrow(add_up, schema)
