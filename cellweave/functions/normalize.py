@@ -9,6 +9,9 @@ Aliases of one's own are a dict of dicts: a field's name, or ``global``, to {raw
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import fields
 from cellweave.functions.similarity import cosine, diagnosis_tokens
-from cellweave.functions.text import basic, general, let, squeeze, without_parentheses
+from cellweave.functions.text import basic, constant_map, general, let, squeeze, without_parentheses
 
 Aliases = Mapping[str, Mapping[str, str]]
 NUMBER = "\\d+(?:\\.\\d+)?"
@@ -25,13 +28,11 @@ NUMBER = "\\d+(?:\\.\\d+)?"
 def _look_up(table: Mapping[str, str], key: Column) -> Column:
     if not table:
         return F.lit(None).cast("string")
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair)), key)
+    return F.try_element_at(constant_map(table), key)
 
 
 def plain_keys(aliases: Aliases | None) -> dict[str, dict[str, str]]:
     """An alias file's sections with both sides made plain; its metadata is left out."""
-    import re
-    import unicodedata
 
     def plain(text: object) -> str:
         text = "".join(c for c in unicodedata.normalize("NFKD", str(text).lower().strip()) if not unicodedata.combining(c))
@@ -129,9 +130,17 @@ def with_units(text: Column, field: Column) -> Column:
     return F.when(field.isin(*fields.UNITS), let(F.struct(text.alias("text"), plain.alias("value")), read)).otherwise(text)
 
 
+def label_tokens(label: str) -> list[str]:
+    """What diagnosis_tokens gives for a plain ASCII label."""
+    plain = label.replace("attention-deficit", "attention deficit").replace("obsessive-compulsive", "obsessive compulsive").replace("behaviour", "behavior").lower()
+    found = [t for t in re.findall("[a-z0-9]+", plain) if t not in fields.DIAGNOSIS_STOPS]
+    return [t[:-1] if len(t) > 3 and t.endswith("s") else t for t in found]
+
+
 def nearest_label(text: Column, labels: tuple[str, ...] = fields.DIAGNOSIS_LABELS, least: float = fields.SIMILAR_DIAGNOSIS) -> Column:
     """The label that a text is most like, the first in order among equals, if it's alike enough; else the text."""
-    words = F.array(*(F.struct(F.lit(x).alias("label"), diagnosis_tokens(F.lit(x)).alias("tokens")) for x in sorted(labels)))
+    told = [{"label": x, "tokens": label_tokens(x)} for x in sorted(labels)]
+    words = F.from_json(F.lit(json.dumps(told)), "array<struct<label:string,tokens:array<string>>>")
 
     def best(x: Column) -> Column:
         start = F.struct(x["text"].alias("label"), F.lit(0.0).alias("score"))
@@ -172,7 +181,7 @@ def atom(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
 
 
 def _split(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(text, f"\\s*(?:{pattern})\\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, f"\\s*(?:{pattern})\\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def treatments(text: Column, aliases: Aliases | None = None) -> Column:
@@ -256,14 +265,12 @@ def value_set(value: Column, field: Column, aliases: Aliases | None = None) -> C
 
     def of_item(item: Column) -> Column:
         def read(x: Column) -> Column:
-            parts = F.when(x["is_text"], split_value(x["text"], field, aliases))
-            return let(parts, lambda p: F.when(p.isNotNull(), F.transform(p, lambda t: atom(t, field, aliases))).otherwise(F.array(F.when(x["is_text"], atom(x["text"], field, aliases)).otherwise(as_told(x["text"], x["kind"])))))
-
-        def as_told(text: Column, kind: Column) -> Column:
+            parts = F.when(x["kind"] == "STRING", split_value(x["text"], field, aliases))
             # numbers and booleans are canonical already, objects go through as text
-            return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), atom(text, field, aliases)).otherwise(text)
+            told = x["kind"].rlike("^(STRING|OBJECT|ARRAY)")
+            return F.transform(F.coalesce(parts, F.array(x["text"])), lambda t: F.when(told, atom(t, field, aliases)).otherwise(t))
 
-        return let(F.struct(item_text(item).alias("text"), F.schema_of_variant(item).alias("kind"), (F.schema_of_variant(item) == "STRING").alias("is_text")), read)
+        return let(F.struct(item_text(item).alias("text"), F.schema_of_variant(item).alias("kind")), read)
 
     flat = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(items, of_item)))))
     flat = let(flat, lambda s: F.when(listed & (field == "Age"), covering_range(s)).otherwise(s))

@@ -45,25 +45,32 @@ def interval(text: Column) -> Column:
     number = "\\d+(?:\\.\\d+)?"
     low = F.regexp_extract(text, f"^\\s*({number})\\s*(?:-\\s*{number}\\s*)?$", 1)
     high = F.regexp_extract(text, f"^\\s*{number}\\s*-\\s*({number})\\s*$", 1)
-    a = low.try_cast("double")
-    b = F.when(high == "", a).otherwise(high.try_cast("double"))
-    return F.when(low != "", F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
+
+    def ends(x: Column) -> Column:
+        a = x["a"].try_cast("double")
+        b = F.when(x["b"] == "", a).otherwise(x["b"].try_cast("double"))
+        return F.when(x["a"] != "", F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
+
+    return let(F.struct(low.alias("a"), high.alias("b")), ends)
 
 
 def interval_overlap(left: Column, right: Column) -> Column:
     """Shared by covered whole numbers, or by length if a bound isn't whole or the span is over 1000; null unless both are intervals."""
-    l0, l1, r0, r1 = left["low"], left["high"], right["low"], right["high"]
-    whole = (l0 == F.floor(l0)) & (l1 == F.floor(l1)) & (r0 == F.floor(r0)) & (r1 == F.floor(r1))
-    reach = F.greatest(l1, r1) - F.least(l0, r0)
-    shared = F.least(l1, r1) - F.greatest(l0, r0)
-    counted = F.greatest(shared + 1, F.lit(0.0))
-    by_count = counted / ((l1 - l0 + 1) + (r1 - r0 + 1) - counted)
-    by_length = F.when(reach == 0, F.when(l0 == r0, 1.0).otherwise(0.0)).otherwise(F.greatest(shared, F.lit(0.0)) / reach)
-    return F.when(left.isNotNull() & right.isNotNull(), F.when(whole & (reach <= 1000), by_count).otherwise(by_length))
+    def shared_part(x: Column) -> Column:
+        l0, l1, r0, r1 = x["l"]["low"], x["l"]["high"], x["r"]["low"], x["r"]["high"]
+        whole = (l0 == F.floor(l0)) & (l1 == F.floor(l1)) & (r0 == F.floor(r0)) & (r1 == F.floor(r1))
+        reach = F.greatest(l1, r1) - F.least(l0, r0)
+        shared = F.least(l1, r1) - F.greatest(l0, r0)
+        counted = F.greatest(shared + 1, F.lit(0.0))
+        by_count = counted / ((l1 - l0 + 1) + (r1 - r0 + 1) - counted)
+        by_length = F.when(reach == 0, F.when(l0 == r0, 1.0).otherwise(0.0)).otherwise(F.greatest(shared, F.lit(0.0)) / reach)
+        return F.when(x["l"].isNotNull() & x["r"].isNotNull(), F.when(whole & (reach <= 1000), by_count).otherwise(by_length))
+
+    return let(F.struct(left.alias("l"), right.alias("r")), shared_part)
 
 
 def likeness(left: Column, right: Column, field: Column) -> Column:
     """One for equal values; else by intervals in fields of numbers, or by tokens."""
     by_tokens = let(F.struct(value_tokens(left).alias("l"), value_tokens(right).alias("r")), lambda x: cosine(x["l"], x["r"]))
-    by_numbers = let(F.struct(interval(left).alias("l"), interval(right).alias("r")), lambda x: interval_overlap(x["l"], x["r"]))
+    by_numbers = interval_overlap(interval(left), interval(right))
     return F.when(left == right, F.lit(1.0)).otherwise(F.coalesce(F.when(field.isin(*fields.INTERVALS), by_numbers), by_tokens))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +45,13 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(out, COMBINING, "")
 
 
+def constant_map(table: Mapping[str, str]) -> Column:
+    """A map that the optimizer folds into one literal, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(dict(sorted(table.items())))), "map<string,string>")
+
+
 def _spell(text: Column) -> Column:
-    for c, plain in _MORE.items():
-        text = F.replace(text, F.lit(c), F.lit(plain))
-    return text
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(constant_map(_MORE), c), c)), "")
 
 
 def squeeze(text: Column) -> Column:
@@ -91,7 +95,7 @@ def general(number: Column) -> Column:
 
     def spell(told: Column) -> Column:
         digits = F.regexp_replace(F.regexp_replace(told, "e.*$", ""), "[-.]", "")
-        power = F.regexp_extract(told, "e(.*)$", 1).cast("int")
+        power = F.regexp_extract(told, "e(.*)$", 1).try_cast("int")
         sign = F.when(told.startswith("-"), "-").otherwise("")
         bare = F.regexp_replace(digits, "0+$", "")
         whole = F.rpad(F.substring(digits, 1, 12), 12, "0")
@@ -122,4 +126,4 @@ def without_fence(text: Column) -> Column:
 
 def split_labels(text: Column) -> Column:
     """Parts between ; , / and |, without blank ones."""
-    return F.filter(F.transform(F.split(text, "[;,/|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[;,/|]"), lambda x: F.trim(x)), lambda x: x != "")

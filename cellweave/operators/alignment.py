@@ -33,6 +33,12 @@ def duplicate_files(files: DataFrame, studies: DataFrame) -> DataFrame:
     return rows.select(F.lit("duplicate_pdf_file").alias("issue_type"), F.col("one.file").alias("key"), F.col("one.study").alias("study"), related.alias("related"), "sha256", F.lit("Same SHA-256 hash as another input PDF filename.").alias("evidence"))
 
 
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """(file, sha256, first, n) of files whose content others have, too: without the lists of a report, for groups of any size."""
+    groups = files.groupBy("sha256").agg(F.min("file").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return files.join(groups, "sha256").select("file", "sha256", "first", "n")
+
+
 def author_absent(studies: DataFrame, files: DataFrame, first_pages: DataFrame) -> DataFrame:
     """Studies whose file is missing, has no text on its first pages, or lacks the author's name there: (issue_type, key, study, related, sha256, evidence).
 
@@ -57,8 +63,8 @@ def by_author_and_year(studies: DataFrame, files: DataFrame) -> DataFrame:
     """(study, file): the file with a study's year and most of its authors' names as whole words, if there is one such. studies: (study); files: (file).
 
     Both sides are cut into (year, word) and joined on them."""
-    words = lambda text, year: F.filter(F.regexp_extract_all(F.lower(F.substring_index(text, year, 1)), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2)
-    left = studies.withColumn("year", F.regexp_extract("study", YEAR, 1)).where("year <> ''").select("study", "year", F.posexplode(words(F.col("study"), F.col("year"))).alias("i", "word"))
+    words = lambda text: F.filter(F.regexp_extract_all(F.lower(F.element_at(F.split(text, YEAR, 2), 1)), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2)
+    left = studies.withColumn("year", F.regexp_extract("study", YEAR, 1)).where("year <> ''").select("study", "year", F.posexplode(words(F.col("study"))).alias("i", "word"))
     name = F.lower(stem(F.col("file")))
     right = files.select("file", F.explode(F.array_distinct(F.regexp_extract_all(name, F.lit("(?:19|20)\\d{2}"), F.lit(0)))).alias("year"), name.alias("name"))
     right = right.select("file", "year", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))

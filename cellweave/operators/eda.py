@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.functions.text import constant_map
+
 
 def label_counts(rows: DataFrame, labels: Column, order: Column) -> DataFrame:
     """(label, count), most frequent first, ties by where a label comes first. labels is an array; order numbers rows."""
@@ -75,7 +77,7 @@ def histogram(rows: DataFrame, number: str, bins: int = 15) -> DataFrame:
 
 def mapped(value: Column, table: Mapping[str, str]) -> Column:
     """A category's name by a table, or the value itself."""
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), value), value) if table else value
+    return F.coalesce(F.try_element_at(constant_map(table), value), value) if table else value
 
 
 def first_present(names: Column, values: Column, wanted: Sequence[str]) -> Column:

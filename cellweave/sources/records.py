@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import fields
-from cellweave.functions.text import squeeze
+from cellweave.functions.text import constant_map, squeeze
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
 
@@ -42,8 +42,7 @@ def records_by_key(lines: DataFrame, key: str = "pdf", blank: str = "error") ->
 
 def canonical_field(name: Column, headers: Mapping[str, str] = fields.HEADERS) -> Column:
     """A field's name for its header; other names as they are."""
-    pairs = [F.lit(x) for pair in sorted(headers.items()) for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), name) if pairs else name
+    return F.coalesce(F.try_element_at(constant_map(headers), name), name) if headers else name
 
 
 def cells(records: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
