@@ -38,24 +38,66 @@ CACHE = 400_000
 AT_A_TIME = 12 << 20
 UNKNOWN = "und"
 #: What Python counts to \\w but is neither a letter nor a decimal digit.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(r"[^\W\d_]+").findall
+#: Characters of a word that its features are made of.
+LONGEST = 40
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NEXT = np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _WORD(text.lower()) if text else []
-
-
-def features_of(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashes of a word's features."""
-    w = f"^{word[:40]}$"
-    n = len(w)
-    parts = [f"w{w}", f"l{min(n, 12)}", f"x{lexicon.get(word, -1)}"]
-    parts += [f"p{w[:i]}" for i in range(2, min(n, 6))] + [f"s{w[-i:]}" for i in range(2, min(n, 6))]
-    parts += [w[i : i + 2] for i in range(n - 1)] + [w[i : i + 3] for i in range(n - 2)]
-    mask = (1 << HASH_BITS) - 1
-    return [zlib.crc32(p.encode("utf-8", "replace")) & mask for p in parts]
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
+    return _WORD(text)
+
+
+def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' features, and which word each is of: the word, its length and lexicon entry, beginnings
+    and endings of two to five characters with the word's edge counted, and all pairs and triples of characters."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = [f"^{w[:LONGEST]}$" for w in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    starts, each = ends - sizes, np.arange(len(words))
+    owner = np.repeat(each, sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(chars))  # characters from here to the word's end
+    runs = [chars]
+    for k in range(1, 5):  # hashes of runs of two to five characters from each place on
+        later = np.zeros_like(chars)
+        later[:-k] = chars[k:]
+        runs.append(runs[-1] * _NEXT + later)
+    hashes, owners = [], []
+
+    def add(kind: int, values: np.ndarray, of: np.ndarray) -> None:
+        mixed = (values + np.uint64(kind * 0x51ED27)) * _MIX
+        hashes.append(((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+        owners.append(of)
+
+    powers = np.cumprod(np.full(LONGEST + 2, _NEXT))
+    whole = np.add.reduceat(chars * powers[np.arange(len(chars)) - np.repeat(starts, sizes)], starts)
+    add(1, whole, each)
+    add(2, np.minimum(sizes, 14).astype(np.uint64), each)
+    add(3, np.array([lexicon.get(w, -1) + 1 for w in words], np.uint64), each)
+    for k in (2, 3):
+        inside = left >= k
+        add(2 + k, runs[k - 1][inside], owner[inside])
+    for k in range(2, 6):
+        long = sizes > k
+        add(10 + k, runs[k - 1][starts[long]], each[long])
+        add(20 + k, runs[k - 1][ends[long] - k], each[long])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def sums_by(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by owner."""
+    return np.stack([np.bincount(owner, values[:, c], minlength=n) for c in range(values.shape[1])], axis=1)
 
 
 class Field:
@@ -89,11 +131,11 @@ class Field:
             if len(place) > len(self.table):
                 self.table = np.vstack([self.table, np.zeros((len(place), len(self.labels)), np.float32)])
             for i in range(0, len(new), 20_000):
-                lists = [features_of(w, self.lexicon) for w in new[i : i + 20_000]]
-                ends = np.cumsum([len(x) for x in lists])
-                scores = np.add.reduceat(self.weights[np.array([f for x in lists for f in x])], np.concatenate([[0], ends[:-1]]))
+                part = new[i : i + 20_000]
+                flat, owner = features_of(part, self.lexicon)
+                scores = sums_by(owner, self.weights[flat], len(part))
                 scores -= scores.max(axis=1, keepdims=True)
-                self.table[start + i : start + i + len(lists)] = np.exp(np.maximum(scores, -30))
+                self.table[start + i : start + i + len(part)] = np.exp(np.maximum(scores, -30))
         return np.array([place[w] for words in texts for w in words], np.int64)
 
     def marginals(self, texts: list[list[str]], each: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -160,7 +202,6 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
     weights, squares = np.zeros((1 << HASH_BITS, k)), np.full((1 << HASH_BITS, k), 1e-2)
     moves, move_squares = np.zeros((k + 1, k)), np.full((k + 1, k), 1e-2)
     usable = [c for c in range(k) if pools[c]]
-    known: dict[str, np.ndarray] = {}
     batch, length = 192, 40
     total = sum(len(w) for p in pools for w in p)
     for _ in range(max(30, min(400, epochs * total // (batch * length))) if usable else 0):
@@ -178,12 +219,8 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
             gold.append(marks)
         types = sorted({w for s in sequences for w in s})
         index = {w: i for i, w in enumerate(types)}
-        for w in types:
-            if w not in known:
-                known[w] = np.array(features_of(w, lexicon))
-        lists = [known[w] for w in types]
-        flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
-        scores = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        flat, of = features_of(types, lexicon)
+        scores = sums_by(of, weights[flat], len(types))
         potential = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
         at = np.array([index[w] for s in sequences for w in s])
         marks = np.array(gold)
@@ -203,10 +240,9 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
         pair /= pair.sum(axis=(2, 3), keepdims=True)
         error = gamma.reshape(-1, k).copy()
         error[np.arange(len(error)), marks.ravel()] -= 1
-        by_type = np.stack([np.bincount(at, error[:, c], minlength=len(types)) for c in range(k)], axis=1)
-        of = np.repeat(np.arange(len(types)), sizes)
+        by_type = sums_by(at, error, len(types))
         touched, inverse = np.unique(flat, return_inverse=True)
-        gradient = np.stack([np.bincount(inverse, by_type[of, c], minlength=len(touched)) for c in range(k)], axis=1) / batch + 1e-5 * weights[touched]
+        gradient = sums_by(inverse, by_type[of], len(touched)) / batch + 1e-5 * weights[touched]
         squares[touched] += gradient**2
         weights[touched] -= 0.3 * gradient / np.sqrt(squares[touched])
         seen = np.zeros((k + 1, k))
