@@ -18,8 +18,9 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from cellweave.llm._common import text_batches
 
 #: Pieces that a worker keeps with their ids, at most.
 CACHE = 400_000
-AT_A_TIME = 16 << 20
+AT_A_TIME = 3 << 20
 
 
 class Vocabulary:
@@ -170,8 +171,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
-        #: Of a piece, its ids and their decimals.
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Of a piece, its ids as decimals joined by commas.
+        self.known: dict[str, str] = {}
+        self.bytes_of = {str(i): t for i, t in enumerate(self.vocabulary.tokens)}
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces; in sorted order, a piece takes over the last tokens of the prefix that it shares with the one before."""
@@ -190,10 +192,10 @@ class Encoder:
                 prefixes.append(data[shared:])
                 before = data
             ids = (whole,) if whole is not None else tuple(prefixes.ids())
-            known[piece] = ids, ",".join(map(str, ids))
+            known[piece] = ",".join(map(str, ids))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-        """The ids of each text, and their decimals joined by commas."""
+    def encode_all(self, texts: list[str | None]) -> Iterator[str]:
+        """The ids of each text, as decimals joined by commas."""
         split = [self.pieces(t) if t else [] for t in texts]
         new = {p for pieces in split for p in pieces}
         if len(self.known) > CACHE:
@@ -201,14 +203,15 @@ class Encoder:
         self.learn(new - self.known.keys())
         look = self.known.__getitem__
         for pieces in split:
-            found = list(map(look, pieces))
-            yield list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+            yield ",".join(map(look, pieces))
 
     def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_all([text]))[0]
+        decimals = next(self.encode_all([text]))
+        return list(map(int, decimals.split(","))) if decimals else []
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+    def decode(self, ids: Iterable[int | str]) -> bytes:
+        """The bytes of ids, as numbers or as decimals."""
+        return b"".join([self.bytes_of[str(i)] for i in ids])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -232,11 +235,12 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         for whole in rows:
             for batch in text_batches(whole, "text", AT_A_TIME):
                 sizes, digests, decoded, lists = [], [], [], []
-                for found, decimals in bpe.encode_all(batch.column(1).to_pylist()):
+                for decimals in bpe.encode_all(batch.column(1).to_pylist()):
+                    found = decimals.split(",") if decimals else []
                     sizes.append(len(found))
                     digests.append(hashlib.sha256(decimals.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
-                    lists.append(pa.array(found, pa.int32())) if ids else None
+                    decoded.append(hashlib.sha256(b"".join(map(bpe.bytes_of.__getitem__, found))).hexdigest())
+                    lists.append(pa.array(np.array(found, np.int32))) if ids else None
                 columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if ids:
                     offsets = pa.array([0, *accumulate(sizes)], pa.int32())

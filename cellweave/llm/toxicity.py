@@ -29,6 +29,8 @@ from cellweave.llm._common import cut, text_batches
 MOST_ROWS = 16_000
 #: Features that are chosen for each category, at most.
 FEATURES = 3000
+#: How far a feature's count in a category must be from its share, in standard deviations.
+LEAST_FAR = 4.0
 #: Documents that a feature must be in.
 LEAST_DOCS = 4
 #: Characters of a word's beginning that make a feature.
@@ -36,8 +38,8 @@ BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 4
 PENALTY = 1.0
 SPACES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-AT_A_TIME = 16 << 20
-CACHE = 400_000
+AT_A_TIME = 8 << 20
+CACHE = 200_000
 
 
 def features_of(word: bytes) -> list[str]:
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
             with_it, rate = F.col(f"n_{c}"), positive / n
             # how far the count is from what the category's share would give, in standard deviations
             far = (with_it - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-            chosen |= {r[0] for r in counts.select("feature", F.abs(far).alias("far")).orderBy(F.desc("far"), "feature").limit(FEATURES).collect()}
+            chosen |= {r[0] for r in counts.select("feature", F.abs(far).alias("far")).where(F.col("far") >= LEAST_FAR).orderBy(F.desc("far"), "feature").limit(FEATURES).collect()}
     chain = Chain(categories, sorted(chosen), [])
     shared = spark.sparkContext.broadcast(chain)
 

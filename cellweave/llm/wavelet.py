@@ -36,7 +36,7 @@ MAGIC = b"CWWAVE01"
 #: Bytes of a plane that are compressed together.
 BLOCK = 1 << 14
 AT_A_TIME = 4 << 20
-CACHE = 700_000
+CACHE = 1_000_000
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 24
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -48,7 +48,7 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for b in range(bits - 1, -1, -1):
         one = (ids >> b) & 1 == 1
         planes.append(np.packbits(one, bitorder="little"))
-        ids = np.concatenate([ids[~one], ids[one]])
+        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
         zeros.append(len(one) - int(one.sum()))
     return planes, zeros
 
@@ -177,8 +177,8 @@ class Shard:
             one = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[p])
             back = np.empty_like(out)
-            back[~one] = out[:z]
-            back[one] = out[z:] | np.array(1 << (self.bits - 1 - p), out.dtype)
+            back[np.flatnonzero(~one)] = out[:z]
+            back[np.flatnonzero(one)] = out[z:] | np.array(1 << (self.bits - 1 - p), out.dtype)
             out = back
         return out
 
@@ -216,15 +216,16 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         plain = self.PLAIN(word)
         if plain is None:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             letters, signs = plain.groups()
-            ids = [t.id for t in self.tokenize(letters.lower().translate(self.table))] if letters else []
-            if signs:
-                ids += [t.id for t in self.tokenize(signs)]
+            small = letters.lower()
+            if letters and (signs or small != letters):  # its letters may be known
+                found = self[small] + self[signs] if signs else self[small]
+            else:
+                found = array("I", [t.id for t in self.tokenize((small or signs).translate(self.table))]).tobytes()
         if len(self) >= CACHE:
             self.clear()
-        found = array("I", ids).tobytes()
         if len(word) < 100:
             self[word] = found
         return found
