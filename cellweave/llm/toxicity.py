@@ -30,13 +30,13 @@ MOST_ROWS = 16_000
 #: Features that are chosen for each category, at most.
 FEATURES = 3000
 #: How far a feature's count in a category must be from its share, in standard deviations.
-LEAST_FAR = 4.0
+LEAST_FAR = 3.0
 #: Documents that a feature must be in.
 LEAST_DOCS = 4
 #: Characters of a word's beginning that make a feature.
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 4
-PENALTY = 1.0
+PENALTY = 0.2
 SPACES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 AT_A_TIME = 8 << 20
 CACHE = 200_000
