@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,11 +73,44 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, t
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"__cw_hot_{c}"), F.col(c)).alias(c) for c in values))
 
 
-def batches(rows: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], Sequence], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """make() gives the columns for each batch."""
-    for batch in rows:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(make(batch), schema.types, strict=True)], schema=schema)
+#: Bits of a bitmap are kept in rows of so many, the size that bitmap_construct_agg fills.
+ROW_BITS = 15
+#: A bitmap has two to the power of so many bits, at most 8 MB, whatever goes into it.
+BITMAP_BITS = 26
+
+
+def bits_of(values: DataFrame) -> DataFrame:
+    """(__cw_slot, __cw_bits): a bitmap of the different numbers in column v, which are below two to the power of BITMAP_BITS."""
+    return values.groupBy(F.shiftright("v", ROW_BITS).alias("__cw_slot")).agg(F.bitmap_construct_agg(F.col("v").bitwiseAND((1 << ROW_BITS) - 1)).alias("__cw_bits"))
+
+
+def with_hit(rows: DataFrame, value: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean: whether the bit of value is set. The bitmap is broadcast; its size is fixed."""
+    rows = rows.withColumn("__cw_v", value).withColumn("__cw_slot", F.shiftright("__cw_v", ROW_BITS))
+    byte = "conv(hex(substring(__cw_bits, cast(shiftright(__cw_v & 32767, 3) as int) + 1, 1)), 16, 10)"
+    hit = F.expr(f"(shiftright(cast({byte} as int), cast(__cw_v & 7 as int)) & 1) = 1")
+    return rows.join(F.broadcast(bitmap), "__cw_slot", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__cw_v", "__cw_slot", "__cw_bits")
+
+
+def _place(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND((1 << BITMAP_BITS) - 1)
+
+
+def among(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in wanted (__cw_id): a bitmap drops most of the others before the exact join shuffles."""
+    own = F.col(key).cast(wanted.schema["__cw_id"].dataType)  # equal values of two types hash differently
+    near = with_hit(docs, _place(own), bits_of(wanted.select(_place(F.col("__cw_id")).alias("v"))), "__cw_near").where("__cw_near").drop("__cw_near")
+    return near.join(wanted, own.eqNullSafe(wanted["__cw_id"]), "left_semi")
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't in gone (__cw_id). Only rows whose bit is set are shuffled; the others stay for sure.
+
+    docs is read twice, once for either kind of rows."""
+    own = F.col(key).cast(gone.schema["__cw_id"].dataType)
+    marked = with_hit(docs, _place(own), bits_of(gone.select(_place(F.col("__cw_id")).alias("v"))), "__cw_near")
+    sure, near = marked.where("NOT __cw_near").drop("__cw_near"), marked.where("__cw_near").drop("__cw_near")
+    return sure.union(near.join(gone, own.eqNullSafe(gone["__cw_id"]), "left_anti"))
 
 
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

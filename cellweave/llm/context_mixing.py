@@ -51,7 +51,7 @@ GATES = 7 * 2 * 3 * 3
 #: The map's levels of log-odds, up to REACH to either side.
 LEVELS, REACH = 49, 12
 #: Words of a block, text bytes of a block, and different words that a task learns from, about.
-BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 2_000_000, 12 << 20, 150_000
+BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 5_000_000, 32 << 20, 150_000
 STEP_WORDS = 500
 #: How far a step goes.
 RATE = 0.1

@@ -13,27 +13,15 @@ pass through ``filter_duplicates`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import attach, cut
+from cellweave.llm._common import attach, bits_of, cut, with_hit, without
 
-#: Bits of a bitmap are kept in rows of so many, the size that bitmap_construct_agg fills.
-ROW_BITS = 15
 
-
-def _bitmap(values: DataFrame) -> DataFrame:
-    """(slot, bits): of the numbers in column v that occur twice or more."""
-    twice = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.shiftright("v", ROW_BITS).alias("__cw_slot")).agg(F.bitmap_construct_agg(F.col("v").bitwiseAND((1 << ROW_BITS) - 1)).alias("__cw_bits"))
-
-
-def _with_hits(rows: DataFrame, value: Column, bitmap: DataFrame, name: str) -> DataFrame:
-    """rows with a boolean: whether the bit of value is set."""
-    rows = rows.withColumn("__cw_v", value).withColumn("__cw_slot", F.shiftright("__cw_v", ROW_BITS))
-    byte = "conv(hex(substring(__cw_bits, cast(shiftright(__cw_v & 32767, 3) as int) + 1, 1)), 16, 10)"
-    hit = F.expr(f"(shiftright(cast({byte} as int), cast(__cw_v & 7 as int)) & 1) = 1")
-    return rows.join(F.broadcast(bitmap), "__cw_slot", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__cw_v", "__cw_slot", "__cw_bits")
+def _twice(values: DataFrame) -> DataFrame:
+    """The bits of the numbers in column v that occur twice or more."""
+    return bits_of(values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def refine(docs: DataFrame, text: str = "text", prefix: int = 64, bits: int = 26) -> DataFrame:
@@ -46,9 +34,9 @@ def refine(docs: DataFrame, text: str = "text", prefix: int = 64, bits: int = 26
     by_length = F.xxhash64(F.col("__cw_len")).bitwiseAND(mask)
     by_prefix = F.xxhash64(F.col("__cw_len"), F.substring(whole, 1, prefix)).bitwiseAND(mask)
     sized = docs.withColumn("__cw_len", F.octet_length(whole))
-    first = _bitmap(sized.select(by_length.alias("v")))
-    second = _bitmap(_with_hits(sized, by_length, first, "__cw_go").where("__cw_go").select(by_prefix.alias("v")))
-    left = _with_hits(sized, by_prefix, second, "__cw_go")
+    first = _twice(sized.select(by_length.alias("v")))
+    second = _twice(with_hit(sized, by_length, first, "__cw_go").where("__cw_go").select(by_prefix.alias("v")))
+    left = with_hit(sized, by_prefix, second, "__cw_go")
     return left.withColumn("__cw_hash", F.when(F.col("__cw_go"), F.unhex(F.sha2(whole, 256)))).drop("__cw_go")
 
 
@@ -65,6 +53,6 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
 
 def filter_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. A null doc_id stays only if its group has no other."""
     gone = exact_groups(docs, doc_id, text, **options).where("NOT kept").select(F.col("doc_id").alias("__cw_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__cw_id"]), "left_anti")
+    return without(docs, doc_id, cut(gone))
