@@ -140,3 +140,12 @@ def test_sha256_of_query(spark, tmp_path):
     spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_sha256 for r in queries.op6_exact_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256("é".encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_ids_of_any_type(spark):
+    texts = [f"w{i} " * 3 + "same words here as everywhere else in this text" for i in (1, 1, 2)]
+    for kind in ("int", "long", "string"):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        assert sorted(int(r.doc_id) for r in exact_dedup.filter_duplicates(docs).collect()) == [1, 2]
+        if kind != "string":
+            assert sorted(int(r.doc_id) for r in near_dedup.filter_near(docs).collect()) == [0, 2]
