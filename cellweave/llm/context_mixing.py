@@ -7,9 +7,14 @@ with weights that a gate picks by how much the longest contexts know, and the su
 to what came. Weights and map are learned online, in one run over the words, each predicted as if it weren't in the
 counts once, and then stay as they are, so that a text's score doesn't depend on other texts scored.
 
-Contexts don't reach over a word's beginning, so all occurrences of a word cost the same. That makes the work
+Within a text, two more gates adapt from word to word. One holds how probable each of a few classes of text is after the words so
+far, and weighs the next word by how much more often it comes in them. The other holds how much the text repeats its own words. Both
+begin anew with each text, so a text's probability follows from its words alone. Training texts are put into classes by a mixture
+that is fitted on at most ``CLASS_DOCS`` texts picked by a hash; the classes' counts are of all training texts.
+
+The predictors' contexts don't reach over a word's beginning, so all occurrences of a word cost the same. That makes the work
 distributed and exact: words are counted over all training texts, each different word is learned from
-and scored once, weighed by its count, and a text's score adds up its words'. Counts grow with the input; the hashed tables have a fixed size.
+and scored once, weighed by its count, and a text's score is made of its words' and the gates'. Counts grow with the input; the hashed tables have a fixed size.
 
 Words are dealt by ranges, so that words with a common beginning are neighbours and a task counts beginnings in
 its sorted words. Beginnings that go on in other tasks' words are completed by sums that each task tells of its first and its last word.
@@ -61,6 +66,16 @@ PRIOR = 0.05
 CODE = 1000.0
 END_OF_WORD, END_OF_TEXT = 0x20, 0x0A
 MODULUS, HELD_OUT = 7, 2
+#: Classes of text, texts that they are found on at most, and hashes of words that tell them apart.
+CLASSES, CLASS_DOCS, CLASS_BITS = 4, 2000, 12
+#: Hashes of words' endings, and how much an ending weighs against a word's own counts by class.
+ENDING_BITS, ENDING_WEIGHT = 14, 1.0
+#: Shares of a text's own words among what comes next, with equal chances at first.
+REPEATS = (0.0, 0.01, 0.05, 0.2, 0.6)
+#: Log-odds of classes are kept with so many steps to a power of ten.
+FINE = 1000.0
+#: Tokens of a block that are scored at a time.
+SLICE = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -299,8 +314,63 @@ def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, trie
     return weights, seen
 
 
+def word_class_hash(word: bytes) -> int:
+    return zlib.crc32(word) & ((1 << CLASS_BITS) - 1)
+
+
+def ending_hash(words: list[bytes]) -> np.ndarray:
+    """By the last three bytes."""
+    return np.array([zlib.crc32(w[-3:]) & ((1 << ENDING_BITS) - 1) for w in words], np.int64)
+
+
+def find_classes(histograms: np.ndarray, rounds: int = 20, starts: int = 6) -> np.ndarray:
+    """log P(hash | class) of a mixture: the likeliest of some that begin with texts drawn at random. histograms: a row of counts for each text."""
+    width, rng, best = 1 << CLASS_BITS, np.random.default_rng(7), (-np.inf, np.zeros((1 << CLASS_BITS, CLASSES)))
+    weighed = np.log1p(histograms)
+    weighed *= 100 / np.maximum(weighed.sum(axis=1, keepdims=True), 1e-9)  # no text weighs more than another
+    for _ in range(starts if len(histograms) else 0):
+        share = rng.dirichlet(np.full(CLASSES, 0.5), len(weighed))
+        chosen = rng.choice(len(weighed), CLASSES, replace=len(weighed) < CLASSES)
+        unit = weighed / np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-9)
+        share = 0.2 * share + np.eye(CLASSES)[(unit @ unit[chosen].T).argmax(axis=1)]
+        for step in range(rounds):
+            sums = weighed.T @ share + 0.5
+            logs = np.log(sums / sums.sum(axis=0))
+            odds = weighed @ logs + np.log(share.mean(axis=0) / share.sum(axis=1).mean() + 1e-6)
+            top = odds.max(axis=1, keepdims=True)
+            warm = min(1.0, 0.1 + step / rounds)  # soft at first
+            share = np.exp(warm * (odds - top))
+            share /= share.sum(axis=1, keepdims=True)
+        likely = float((top.ravel() + np.log(np.exp(odds - top).sum(axis=1))).sum())
+        if likely > best[0]:
+            best = likely, logs
+    return best[1].reshape(width, CLASSES).astype(np.float32)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
+    """find_classes of training texts, at most CLASS_DOCS, picked by a hash of their ids."""
+    trained = docs.where(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(MODULUS)) != HELD_OUT).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    share = min(1.0, 0.9 * CLASS_DOCS / max(1, trained.select("id").count()))
+    picked = trained.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(0):
+                counts = np.bincount([word_class_hash(w) for w in words_of(t.as_py())], minlength=1 << CLASS_BITS)
+                found.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["counts"])
+
+    rows = sorted(bytes(r[0]) for r in picked.select("text").mapInArrow(count, "counts binary").limit(CLASS_DOCS).collect())
+    return find_classes(np.array([np.frombuffer(r, "<u2") for r in rows], float).reshape(len(rows), 1 << CLASS_BITS))
+
+
+COUNTS = [f"n_{k}" for k in range(CLASSES)]
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds. A block's words: block, idx, word, n (in training texts). Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens."""
+    """Rows of two kinds. A block's words: block, idx, word, and their counts in training texts of each class. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(_classes(docs, doc_id, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -308,19 +378,23 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         block, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         place: dict[bytes, int] = {}
         ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
-        names = ["block", "idx", "word", "n", "doc_ids", "held_out", "sizes", "bytes", "tokens"]
-        types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+        names = ["block", "idx", "word", *COUNTS, "doc_ids", "held_out", "sizes", "bytes", "tokens"]
+        types = (pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * CLASSES, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, place, ids, tests, sizes, lengths, tokens, learned
-            n = len(place)
-            all_tokens = np.concatenate(tokens)
-            trained = np.concatenate([t for t, x in zip(tokens, learned, strict=True) if x] or [np.zeros(0, np.int32)])
-            counts = np.bincount(trained, minlength=n)
+            n, logs = len(place), shared.value
+            of_word = logs[np.array([word_class_hash(w) for w in place], np.int64)]
+            classes = np.array([int(of_word[t].sum(axis=0).argmax()) for t in tokens])
+            counts = []
+            for k in range(CLASSES):
+                own = [t for t, x, c in zip(tokens, learned, classes, strict=True) if x and c == k]
+                counts.append(np.bincount(np.concatenate(own), minlength=n) if own else np.zeros(n, np.int64))
             words = pa.array(list(place), pa.binary()).cast(pa.string())
-            none = [pa.nulls(n, t) for t in types[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts), *none], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, None, ids, tests, sizes, lengths, pack.compress(all_tokens.tobytes())), types, strict=True)], names=names)
+            none = [pa.nulls(n, t) for t in types[-5:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, *map(pa.array, counts), *none], names=names)
+            packed = pack.compress(np.concatenate(tokens).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, *[None] * CLASSES, ids, tests, sizes, lengths, packed), types, strict=True)], names=names)
             block, place = block + 1, {}
             ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
 
@@ -344,19 +418,64 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = "block long, idx int, word string, n long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
+    schema = "block long, idx int, word string, " + ", ".join(f"{c} long" for c in COUNTS) + ", doc_ids array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def class_odds(words: list[bytes], counts: np.ndarray, endings: np.ndarray) -> np.ndarray:
+    """log10 of how much more often each word comes in each class than over all. counts: by word and class; endings: by ending and class."""
+    whole = endings.sum(axis=0) + 1e-9
+    prior = whole / whole.sum()
+    of_ending = endings[ending_hash(words)] if len(words) else np.zeros((0, CLASSES))
+    by_ending = (of_ending + 4 * prior) / (of_ending.sum(axis=1, keepdims=True) + 4)
+    own = (counts + ENDING_WEIGHT * by_ending) / (counts.sum(axis=1, keepdims=True) + ENDING_WEIGHT)
+    return np.log10(np.maximum(own, 1e-6) / np.maximum(prior, 1e-6))
+
+
+def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability. tokens: of all texts, one after the other; price: log10 of a word's probability; odds: class_odds by word; prior: log10 of the classes' shares."""
+    out = []
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        base = int(ends[first] - sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        part = tokens[base : int(ends[last - 1])]
+        n, begins = len(part), (ends[first:last] - sizes[first:last] - base).astype(np.int64)
+        text = np.repeat(np.arange(last - first), sizes[first:last])
+        place = np.arange(n) - begins[text]
+        step = odds[part]
+        after = np.cumsum(step, axis=0)
+        before = after - step
+        before = before - before[begins][text] + prior  # the classes' log-odds before each word
+        top = before.max(axis=1, keepdims=True)
+        weight = 10.0 ** (before - top)
+        likely = price[part] + np.log10((weight * 10.0**step).sum(axis=1) / weight.sum(axis=1))
+        # how often the word came before in its text
+        key = text.astype(np.int64) * (int(part.max()) + 1) + part
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        seen = np.empty(n, np.int64)
+        seen[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        own = seen / np.maximum(place, 1)
+        plain = 10.0**likely
+        sums = np.stack([np.add.reduceat(np.where((r == 0) | (place == 0), likely, np.log10(np.maximum((1 - r) * plain + r * own, 1e-300))), begins) for r in REPEATS])
+        high = sums.max(axis=0)
+        out.append(high + np.log10((10.0 ** (sums - high)).mean(axis=0)))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
-    """A task's words and counts, sorted by coded words."""
+    """A task's words and counts by class, sorted by coded words."""
     words, counts = [], []
     for batch in batches:
         words += [w.encode() for w in batch.column(0).to_pylist()]
-        counts.append(batch.column(1).to_numpy())
-    found = np.concatenate(counts).astype(float) if counts else np.zeros(0)
+        counts.append(np.stack([batch.column(k + 1).to_numpy() for k in range(CLASSES)], axis=1))
+    found = np.concatenate(counts).astype(float) if counts else np.zeros((0, CLASSES))
     order = sorted(range(len(words)), key=lambda i: coded(words[i]))
-    return [words[i] for i in order], found[order] if len(order) else found
+    return [words[i] for i in order], found[order]
 
 
 def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
@@ -365,7 +484,8 @@ def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, times = _whole(batches)
+        words, by_class = _whole(batches)
+        times = by_class.sum(axis=1)
         tables = [np.zeros((1 << b, 2)) for b in SLOT_BITS]
         pack = zstandard.ZstdCompressor(level=1)
         some = np.flatnonzero(times > 0)
@@ -380,6 +500,9 @@ def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
                     names.append(k << 16 | j)
                     parts.append(pack.compress(chunk.astype("<f8").tobytes()))
         if words:
+            endings = np.stack([np.bincount(ending_hash(words), by_class[:, k], minlength=1 << ENDING_BITS) for k in range(CLASSES)], axis=1)
+            names.append(ENDINGS)
+            parts.append(pack.compress(endings.astype("<f8").tobytes()))
             names.append(-1 - TaskContext.get().partitionId())
             parts.append(pickle.dumps(Edge(words, times)))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
@@ -394,7 +517,7 @@ def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
                     continue
                 found = np.frombuffer(unpack.decompress(part), "<f8")
                 sums[name] = sums[name] + found if name in sums else found
-        codes = [pack.compress(np.minimum(np.round(np.log2(1 + s) * CODE), 65535).astype("<u2").tobytes()) for s in sums.values()]
+        codes = [pack.compress(s.tobytes() if k == ENDINGS else np.minimum(np.round(np.log2(1 + s) * CODE), 65535).astype("<u2").tobytes()) for k, s in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(codes, pa.binary())], names=["chunk", "part"])
 
     parts = types.mapInArrow(count, "chunk long, part binary")
@@ -404,9 +527,22 @@ def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
     return sorted(x for x in found if x[0] >= 0), beyond(edges)
 
 
+#: The name of the chunk of endings.
+ENDINGS = 255 << 16
+
+
+def open_endings(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    for name, part in parts:
+        if name == ENDINGS:
+            return np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<f8").reshape(-1, CLASSES)
+    return np.zeros((1 << ENDING_BITS, CLASSES))
+
+
 def open_tables(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
     tables, unpack = [np.zeros((1 << b, 2), np.float32) for b in SLOT_BITS], zstandard.ZstdDecompressor()
     for name, part in parts:
+        if name == ENDINGS:
+            continue
         k, j = name >> 16, name & 0xFFFF
         rows = (1 << SLOT_BITS[k]) // CHUNKS[k]
         codes = np.frombuffer(unpack.decompress(part), "<u2").reshape(-1, 2)
@@ -423,7 +559,8 @@ def fit(types: DataFrame) -> tuple[list, dict, np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, times = _whole(batches)
+        words, by_class = _whole(batches)
+        times = by_class.sum(axis=1)
         if times.sum():
             chunks, around = shared.value
             weights, seen = learn(open_tables(chunks), words, times, Trie(words, times, around.get(TaskContext.get().partitionId())))
@@ -445,24 +582,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     spark = docs.sparkSession
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
-    words = blocks.where("idx >= 0").select("block", "idx", "word", "n")
-    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "types")
-    n_words, n_train, n_types = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    words = blocks.where("idx >= 0").select("block", "idx", "word", *COUNTS)
+    whole = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
+    counted = stored(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "types")
+    n_words, n_train, n_types = counted.agg(F.count("*"), F.coalesce(F.sum(whole), F.lit(0)), F.count_if(whole > 0)).first()
     types = cut(counted.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word"))
-    model = spark.sparkContext.broadcast(fit(types))
+    fitted = fit(types)
+    model = spark.sparkContext.broadcast(fitted)
+    endings = open_endings(fitted[0]).sum(axis=0) + 1e-9
+    prior = np.log10(np.maximum(endings / endings.sum(), 1e-6))
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, times = _whole(batches)
+        words, by_class = _whole(batches)
         if words:
+            times = by_class.sum(axis=1)
             parts, outside, weights, refined = model.value
             found = Model(open_tables(parts), weights, refined).costs(words, Trie(words, times, outside.get(TaskContext.get().partitionId())))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found)], names=["word", "c", "cost"])
+            odds = np.clip(np.round(class_odds(words, by_class, open_endings(parts)) * FINE), -32000, 32000).astype("<i2")
+            packed = np.ascontiguousarray(odds).view("<i8").ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found), pa.array(packed)], names=["word", "c", "cost", "odds"])
 
-    costs = types.mapInArrow(cost, "word string, c long, cost double")
-    known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost")
-    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[4:])
+    costs = types.mapInArrow(cost, "word string, c long, cost double, odds long")
+    known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost", "odds")
+    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[3 + CLASSES :])
     base = math.log10(n_train + n_types + 1)
     unpack = zstandard.ZstdDecompressor
 
@@ -471,10 +615,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         order = np.argsort(words.column("idx").to_numpy())
         c, price = words.column("c").to_numpy()[order], words.column("cost").to_numpy()[order]
         logs, out = np.log10(c + 1.0) - base, []
+        odds = np.ascontiguousarray(words.column("odds").to_numpy()[order]).view("<i2").reshape(-1, CLASSES) / FINE
         for ids, tests, sizes, lengths, tokens in zip(*(texts.column(x).to_pylist() for x in ("doc_ids", "held_out", "sizes", "bytes", "tokens")), strict=True):
             flat = np.frombuffer(unpack().decompress(tokens), np.int32)
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            total = np.add.reduceat(price[flat], at)
+            total = gated(flat, np.array(sizes, np.int64), price, odds, prior)
             columns = (ids, tests, sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at), np.full(len(ids), n_train), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / np.array(lengths))
             out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, SCORES.types, strict=True)], schema=SCORES))
         return pa.concat_tables(out) if out else SCORES.empty_table()
