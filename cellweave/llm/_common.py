@@ -113,6 +113,30 @@ def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return sure.union(near.join(gone, own.eqNullSafe(gone["__cw_id"]), "left_anti"))
 
 
+#: Rows of an Arrow batch where these are texts, which can be long.
+ROWS_AT_A_TIME = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Give Python at most ROWS_AT_A_TIME rows at a time from now on, which bounds what a task holds outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_A_TIME:
+        spark.conf.set(key, str(ROWS_AT_A_TIME))
+
+
+def large_batches(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have about so many bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if size >= least_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about most_bytes of text each, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import text_batches
+from cellweave.llm._common import small_batches, text_batches
 
 #: Pieces that a worker keeps with their ids, at most.
 CACHE = 400_000
@@ -225,8 +225,11 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): of whole texts; ids is an array and can be left out."""
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True, keep: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): of whole texts; ids is an array and can be left out.
+
+    keep: whether a worker keeps its pieces for its next task. Where it goes on to other work, it should give their memory back."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
@@ -246,5 +249,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                     offsets = pa.array([0, *accumulate(sizes)], pa.int32())
                     columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+        if not keep:
+            bpe.known.clear()
+            bpe.vocabulary.apart.clear()
 
     return docs.select(F.col(doc_id), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import text_batches
+from cellweave.llm._common import small_batches, text_batches
 
 WINDOW = 10
 #: Words of a suffix that the array is ordered by; longer matches are compared word by word.
@@ -33,7 +33,7 @@ DEPTH = 32
 #: First words that a position is indexed by, at most.
 LEAD = 4
 LEAD_BITS = 22
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 #: Bytes other than letters, digits and those of non-ASCII characters separate words.
 SPACES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -176,6 +176,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, matches: bool = False) -> DataFrame:
     """A row for each document: its id, the columns of RESULT, and on demand its longest matches (item_id, doc_at, item_at, n_words), places in words."""
     parts = _blocks(benchmark, item_id, item_text, block_bytes)
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     columns = f"`{doc_id}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if matches:
@@ -200,6 +201,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     """The rows of docs without any hit, with all their columns; one pass, no shuffle."""
     parts = _blocks(benchmark, options.pop("item_id", "item_id"), options.pop("item_text", "text"), options.pop("block_bytes", BLOCK_BYTES))
     window = options.pop("window", WINDOW)
+    small_batches(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Block(parts[0].value, window)] if len(parts) == 1 else None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import text_batches
+from cellweave.llm._common import large_batches, text_batches
 
 MOST_DOCS = 4000
 MOST_LABELS = 200
@@ -291,7 +291,7 @@ def identify(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
-        for whole in batches:
+        for whole in large_batches(batches, "__cw_text", AT_A_TIME // 2):
             for batch in text_batches(whole, "__cw_text", AT_A_TIME):
                 texts = [words_of(t) for t in batch.column(len(fields)).to_pylist()]
                 sizes = np.array([len(t) for t in texts], np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import cut, text_batches
+from cellweave.llm._common import cut, small_batches, text_batches
 
 #: Labelled documents that are learned from, at most.
 MOST_ROWS = 16_000
@@ -39,7 +39,7 @@ FOLDS = 4
 PENALTY = 0.2
 SPACES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 AT_A_TIME = 8 << 20
-CACHE = 200_000
+CACHE = 150_000
 
 
 def features_of(word: bytes) -> list[str]:
@@ -137,6 +137,7 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", most_rows: int = MOST_ROWS) -> Chain:
     """Learn from documents with labels; categories are columns of labels with 0 or 1."""
     spark = docs.sparkSession
+    small_batches(spark)
     named = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("__cw_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"__cw_{i}") for i, c in enumerate(categories)))
     named = named.dropna()
     total = named.count()

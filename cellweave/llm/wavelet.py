@@ -223,7 +223,7 @@ class Words(dict):
             if letters and (signs or small != letters):  # its letters may be known
                 found = self[small] + self[signs] if signs else self[small]
             else:
-                found = array("I", [t.id for t in self.tokenize((small or signs).translate(self.table))]).tobytes()
+                found = array("I", [t.id for t in self.tokenize(small.translate(self.table) if letters and not small.isascii() else small or signs)]).tobytes()
         if len(self) >= CACHE:
             self.clear()
         if len(word) < 100:
