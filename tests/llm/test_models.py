@@ -115,7 +115,7 @@ def brute_base(docs):
 def test_scores_of_words(docs_of, empty, monkeypatch):
     rng = random.Random(4)
     words = ["alpha", "beta", "Gamma", "delta", "epsilon", "É", "x" * 100]
-    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (502, "q" * 50_000), (503, "\x01\x02 zz"), (7, "alpha"), (7, "alpha")]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (502, "q" * 50_000), (600, "\x01\x02 zz"), (7, "alpha"), (7, "alpha")]
     monkeypatch.setattr(context_mixing, "BLOCK_TOKENS", 200)
     got = sorted(context_mixing.score(docs_of([t for _, t in docs], [i for i, _ in docs])).collect())
     want = sorted((i, *w) for (i, _), w in zip(docs, brute_base(docs), strict=True))
@@ -124,7 +124,7 @@ def test_scores_of_words(docs_of, empty, monkeypatch):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score <= 0 and r.bits_per_byte >= 0
     score = {r.doc_id: r.score / r.n_tokens for r in got}
     # known words are likely, unknown ones aren't, but possible
-    assert -3 < score[7] and score[503] < score[7] and math.isfinite(score[502])
+    assert -3 < score[7] and score[600] < score[7] and math.isfinite(score[502])
     assert context_mixing.score(empty).count() == 0
     alone = context_mixing.score(docs_of(["a b"], [None])).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.held_out) == (3, 0, 0, 0.0, False)
@@ -178,3 +178,48 @@ def test_scores_of_held_out_text(spark, data):
     got = [r for r in queries.op10_context_mixing(spark, data).collect() if r.held_out]
     per_byte = sum(r.bits_per_byte for r in got) / len(got)
     assert len(got) > 10 and per_byte < 3
+
+
+def brute_gated(text, price, odds, prior):
+    """Word by word: classes' chances, a text's own words, and chances of each share of these."""
+    chances, shares = 10.0**prior / (10.0**prior).sum(), {r: 1 / len(context_mixing.REPEATS) for r in context_mixing.REPEATS}
+    total = 0.0
+    for t, w in enumerate(text):
+        likely = 10 ** price[w] * (chances * 10.0 ** odds[w]).sum()
+        chances = chances * 10.0 ** odds[w]
+        chances /= chances.sum()
+        each = {r: (1 - r) * likely + r * text[:t].count(w) / t if t else likely for r in shares}
+        now = sum(shares[r] * each[r] for r in shares)
+        shares = {r: shares[r] * each[r] / now for r in shares}
+        total += math.log10(now)
+    return total
+
+
+def test_gates_equal_word_by_word_sums(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(context_mixing, "SLICE", 25)
+    sizes = np.array([1, 7, 30, 2, 11, 40, 1])
+    tokens, price = rng.integers(0, 9, sizes.sum()).astype(np.int32), -3 * rng.random(9)
+    odds, prior = rng.normal(0, 0.3, (9, context_mixing.CLASSES)), np.log10(np.array([0.4, 0.3, 0.2, 0.1]))
+    got = context_mixing.gated(tokens, sizes, price, odds, prior)
+    ends = np.cumsum(sizes)
+    want = [brute_gated(tokens[e - n : e].tolist(), price, odds, prior) for e, n in zip(ends, sizes, strict=True)]
+    assert np.allclose(got, want)
+
+
+def test_classes_of_text_are_found():
+    rng = np.random.default_rng(5)
+    kinds = [[f"{c}{i}".encode() for i in range(40)] for c in "wxyz"]
+    rows, truth = [], []
+    for i in range(200):
+        words = rng.choice(kinds[i % 4], 50)
+        rows.append(np.bincount([context_mixing.word_class_hash(w) for w in words], minlength=1 << context_mixing.CLASS_BITS))
+        truth.append(i % 4)
+    found = (np.array(rows, float) @ context_mixing.find_classes(np.array(rows, float))).argmax(axis=1)
+    assert len({(t, f) for t, f in zip(truth, found.tolist(), strict=True)}) == 4
+    assert not context_mixing.find_classes(np.zeros((0, 1 << context_mixing.CLASS_BITS))).any()
+
+
+def test_model_beats_the_base_on_held_out_text(spark, data):
+    got = [r for r in queries.op10_context_mixing(spark, data.replace("sf0.001", "sf0.01")).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
