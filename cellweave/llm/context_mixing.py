@@ -56,7 +56,7 @@ GATES = 7 * 2 * 3 * 3
 #: The map's levels of log-odds, up to REACH to either side.
 LEVELS, REACH = 49, 12
 #: Words of a block, text bytes of a block, and different words that a task learns from, about.
-BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 5_000_000, 32 << 20, 150_000
+BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 4_000_000, 26 << 20, 80_000
 STEP_WORDS = 500
 #: How far a step goes.
 RATE = 0.1
@@ -75,7 +75,7 @@ REPEATS = (0.0, 0.01, 0.05, 0.2, 0.6)
 #: Log-odds of classes are kept with so many steps to a power of ten.
 FINE = 1000.0
 #: Tokens of a block that are scored at a time.
-SLICE = 200_000
+SLICE = 60_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -126,7 +126,7 @@ class Bits:
             self.slots.append(((mixed * _ODD) >> np.uint64(64 - bits)).astype(np.int64).ravel())
 
 
-def groups(words: list[bytes], most_bytes: int = 1 << 16) -> Iterator[Bits]:
+def groups(words: list[bytes], most_bytes: int = 1 << 15) -> Iterator[Bits]:
     """The bits of all words, by about so many bytes; long words come in segments."""
     parts, held = [], 0
     for i, w in enumerate(words):
@@ -232,6 +232,8 @@ class Model:
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray):
         self.tables, self.weights, self.refined = tables, weights, refined
+        #: By table, the log-odds of each slot, and for the last one how often it came; made when first needed.
+        self.ready: list[np.ndarray] = []
 
     def inputs(self, bits: Bits, trie: Trie, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds by predictor, with a bias, and the gate. less: how often the word itself is taken out of the counts."""
@@ -241,21 +243,27 @@ class Model:
         own = np.maximum(own - less, 0)
         odds = np.log((own + PRIOR) / (other + PRIOR))
         x[:, -2] = np.where(bits.ones, odds, -odds)
-        for k, slots in enumerate(bits.slots):
-            found = self.tables[k][slots]
-            one, zero = found[:, 1], found[:, 0]
-            if less:
-                one = np.maximum(one - less * bits.ones, 0)
-                zero = np.maximum(zero - less * ~bits.ones, 0)
-            x[:, k] = np.log((one + PRIOR) / (zero + PRIOR))
+        if less:
+            for k, slots in enumerate(bits.slots):
+                found = self.tables[k][slots]
+                one = np.maximum(found[:, 1] - less * bits.ones, 0)
+                zero = np.maximum(found[:, 0] - less * ~bits.ones, 0)
+                x[:, k] = np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
+            came = one + zero
+        else:
+            if not self.ready:
+                self.ready = [np.log((t[:, 1] + np.float32(PRIOR)) / (t[:, 0] + np.float32(PRIOR))) for t in self.tables] + [self.tables[-1].sum(axis=1)]
+            for k, slots in enumerate(bits.slots):
+                x[:, k] = self.ready[k][slots]
+            came = self.ready[-1][bits.slots[-1]]
         word = np.searchsorted([0.5, 1.5, 2.5, 4.5, 9.5, 99.5], own + other)
-        four = np.searchsorted([0.5, 19.5], one + zero)
+        four = (came > 0.5).astype(np.int64) + (came > 19.5)
         always = np.minimum(own, other) == 0
         return x, ((word * 2 + always) * 3 + four) * 3 + np.minimum(bits.at >> 3, 2)
 
     def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The probability of a one, mixed and refined, and the mixed log-odds."""
-        odds = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -18, 18)
+        odds = np.clip(np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate]), -18, 18)
         p = 1 / (1 + np.exp(-odds))
         at = np.clip((odds + REACH) * ((LEVELS - 1) / (2 * REACH)), 0, LEVELS - 1.001)
         low = at.astype(np.int64)
@@ -268,11 +276,9 @@ class Model:
         out = np.zeros(len(words))
         for bits in groups(words):
             p, _ = self.predict(*self.inputs(bits, trie))
-            out += np.bincount(bits.owner, np.log10(np.where(bits.ones, p, 1 - p)), minlength=len(words)) if len(words) < 5000 else 0
-            if len(words) >= 5000:
-                low = bits.owner[0]
-                part = np.bincount(bits.owner - low, np.log10(np.where(bits.ones, p, 1 - p)))
-                out[low : low + len(part)] += part
+            low = int(bits.owner[0])
+            part = np.bincount(bits.owner - low, np.log10(np.where(bits.ones, p, 1 - p)))
+            out[low : low + len(part)] += part
         return out
 
 
@@ -281,7 +287,7 @@ def flat_map() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-np.linspace(-REACH, REACH, LEVELS))), (GATES, 1))
 
 
-def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, trie: Trie, least_steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, trie: Trie, least_steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Weights, and by gate and level what came (ones, all): online, a step for some words after another, in an order that words' hashes give."""
     weights = np.full((GATES, INPUTS), 0.15)
     weights[:, -2], weights[:, -1] = 0.5, 0
@@ -434,9 +440,9 @@ def class_odds(words: list[bytes], counts: np.ndarray, endings: np.ndarray) -> n
 
 def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """log10 of each text's probability. tokens: of all texts, one after the other; price: log10 of a word's probability; odds: class_odds by word; prior: log10 of the classes' shares."""
-    out = []
-    ends = np.cumsum(sizes)
-    first = 0
+    out, ends, first, ten = [], np.cumsum(sizes), 0, math.log(10)
+    price, odds, prior = price * ten, odds * ten, prior * ten
+    ratio = np.exp(odds)
     while first < len(sizes):
         base = int(ends[first] - sizes[first])
         last = max(first + 1, int(np.searchsorted(ends, base + SLICE, "right")))
@@ -444,13 +450,11 @@ def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.nda
         n, begins = len(part), (ends[first:last] - sizes[first:last] - base).astype(np.int64)
         text = np.repeat(np.arange(last - first), sizes[first:last])
         place = np.arange(n) - begins[text]
-        step = odds[part]
-        after = np.cumsum(step, axis=0)
-        before = after - step
-        before = before - before[begins][text] + prior  # the classes' log-odds before each word
-        top = before.max(axis=1, keepdims=True)
-        weight = 10.0 ** (before - top)
-        likely = price[part] + np.log10((weight * 10.0**step).sum(axis=1) / weight.sum(axis=1))
+        before = np.cumsum(odds[part], axis=0) - odds[part]
+        before += (prior - before[begins])[text]  # the classes' log-odds before each word
+        before -= before.max(axis=1, keepdims=True)
+        weight = np.exp(before, out=before)
+        likely = price[part] + np.log((weight * ratio[part]).sum(axis=1) / weight.sum(axis=1))
         # how often the word came before in its text
         key = text.astype(np.int64) * (int(part.max()) + 1) + part
         order = np.argsort(key, kind="stable")
@@ -458,11 +462,10 @@ def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.nda
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         seen = np.empty(n, np.int64)
         seen[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        own = seen / np.maximum(place, 1)
-        plain = 10.0**likely
-        sums = np.stack([np.add.reduceat(np.where((r == 0) | (place == 0), likely, np.log10(np.maximum((1 - r) * plain + r * own, 1e-300))), begins) for r in REPEATS])
+        own, plain, start = seen / np.maximum(place, 1), np.exp(likely), place == 0
+        sums = np.stack([np.add.reduceat(likely if r == 0 else np.where(start, likely, np.log(np.maximum((1 - r) * plain + r * own, 1e-300))), begins) for r in REPEATS])
         high = sums.max(axis=0)
-        out.append(high + np.log10((10.0 ** (sums - high)).mean(axis=0)))
+        out.append((high + np.log(np.exp(sums - high).mean(axis=0))) / ten)
         first = last
     return np.concatenate(out) if out else np.zeros(0)
 
