@@ -94,7 +94,9 @@ def field_metrics(scored: DataFrame) -> DataFrame:
     return with_metrics(with_metrics(flat.rollup("field").agg(*sums)), "soft_")
 
 
-def document_exactness(scored: DataFrame) -> DataFrame:
-    """(documents, exact, rate): documents without any wrong or missing value."""
+def document_exactness(scored: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(documents, exact, rate): documents without any wrong or missing value. keys: those of compare_keys, so that documents without any cell count, too."""
     good = scored.groupBy("key").agg(F.bool_and((F.col("score.fp") == 0) & (F.col("score.fn") == 0)).alias("exact"))
+    if keys is not None:
+        good = keys.where("side = 'both'").join(good, "key", "left").select("key", F.coalesce("exact", F.lit(True)).alias("exact"))
     return good.agg(F.count("*").alias("documents"), F.count_if("exact").alias("exact"), F.coalesce(F.avg(F.col("exact").cast("double")), F.lit(0.0)).alias("rate"))

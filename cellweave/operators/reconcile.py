@@ -206,6 +206,11 @@ def worklist(suggested: DataFrame, n: int = 100, statuses: tuple[str, ...] = ("t
     return suggested.where(F.col("status").isin(*statuses)).orderBy(*keys, "field", "key").limit(n)
 
 
+def suggestion_counts(suggested: DataFrame) -> DataFrame:
+    """(suggestion_confidence, n, confirmed): suggestions by confidence, and how many were confirmed without a person."""
+    return suggested.groupBy("suggestion_confidence").agg(F.count("*").alias("n"), F.count_if(F.col("reviewer") == "auto_llm_b_workflow").alias("confirmed"))
+
+
 def disagreement_scores(review_rows: DataFrame, reference: str = "reviewed", aliases: Aliases | None = None) -> DataFrame:
     """(source, field, rows, exact, tp, fp, fn, precision, recall, f1): each source against the reviewed or the legacy value; a null field for all fields.
 

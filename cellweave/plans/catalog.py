@@ -292,6 +292,13 @@ def suggest_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.worklist(suggested).select("key", "field", "status", "review_action")
 
 
+@query(THREE_SQL + """ SELECT CASE status WHEN 'two_llms_agree_legacy_diff' THEN 'high' WHEN 'legacy_llm_b_agree' THEN 'medium_high' WHEN 'legacy_llm_a_agree' THEN 'medium' WHEN 'one_source_only' THEN 'low' WHEN 'all_different' THEN 'none' ELSE '' END AS suggestion_confidence,
+        count(*)::BIGINT AS n, (count(*) FILTER (status = 'legacy_llm_b_agree' AND key % 50 <> 0))::BIGINT AS confirmed FROM three GROUP BY 1""")
+def suggestion_counts(spark: SparkSession, d: str) -> DataFrame:
+    issues = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"), F.lit("missing_input_pdf").alias("issue_type"), F.lit("").alias("related"), F.lit("none").alias("evidence"))
+    return reconcile.suggestion_counts(reconcile.auto_confirm(reconcile.annotate(reconcile.suggest(_review_rows(spark, d)), issues)))
+
+
 @query(THREE_SQL + """, e AS (
         SELECT source, field, x, [key % 2] AS y FROM (SELECT key, field, unnest(['legacy', 'llm_a', 'llm_b']) AS source, unnest([l, a, b]) AS x FROM three WHERE key % 4 = 0)
     ), c AS (SELECT source, field, (x = y)::INT AS exact, len(list_intersect(x, y)) AS tp, len(x) - len(list_intersect(x, y)) AS fp, len(y) - len(list_intersect(x, y)) AS fn FROM e

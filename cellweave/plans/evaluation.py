@@ -15,7 +15,8 @@ def evaluate(predicted: DataFrame, gold: DataFrame, aliases: Aliases | None = No
     """scored cells, metrics by field and over all, exact documents and keys of one side, of records (key, record)."""
     wanted = matching.scored_fields(include_excluded)
     scored = matching.score_cells(records.cells(predicted, wanted), records.cells(gold, wanted), wanted, aliases, least)
-    return {"scored": scored, "metrics": matching.field_metrics(scored), "documents": matching.document_exactness(scored), "keys": matching.compare_keys(predicted, gold)}
+    keys = matching.compare_keys(predicted, gold)
+    return {"scored": scored, "metrics": matching.field_metrics(scored), "documents": matching.document_exactness(scored, keys), "keys": keys}
 
 
 def evaluate_files(spark: SparkSession, predictions: str, gold: str, verification: str | None = None, aliases: str | None = None, **options) -> dict[str, DataFrame]:

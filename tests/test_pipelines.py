@@ -27,6 +27,7 @@ def test_evaluation_of_files(spark, files):
     assert (metrics["Country"].tp, metrics["Country"].fp, metrics["Country"].fn) == (1, 1, 1)
     assert (metrics["Age"].tp, metrics["Number of Cases"].tp) == (1, 1)
     assert metrics[None].tp == 4 and metrics[None].fn == 2
+    assert tuple(out["documents"].first()) == (2, 1, 0.5)
     assert {(r.key, r.side) for r in out["keys"].collect()} == {("a.pdf", "both"), ("b.pdf", "both"), ("c.pdf", "missing"), ("d.pdf", "extra")}
     crossed = {r.verdict: (r.agree, r.disagree) for r in out["crosstab"].collect()}
     assert crossed == {"supported": (0, 1), "contradicted": (1, 0), "not_in_text": (0, 0), "inferred": (0, 0)}
