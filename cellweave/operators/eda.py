@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import constant_map
+from cellweave.operators.sampling import numbered
 
 
 def label_counts(rows: DataFrame, labels: Column, order: Column) -> DataFrame:
@@ -50,9 +51,11 @@ def top_groups(rows: DataFrame, by: str, number: str, top: int = 6) -> DataFrame
 
 
 def describe(rows: DataFrame, number: str) -> DataFrame:
-    """(n, mean, median, min, max), the median exact."""
-    x = F.col(number).try_cast("double")
-    return rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"))
+    """(n, mean, median, min, max), the median exact: the values are numbered in order over all tasks, and the middle ones are looked up."""
+    values = rows.select(F.col(number).try_cast("double").alias("x")).where("x IS NOT NULL")
+    stats = values.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    middle = numbered(values, ["x"]).crossJoin(F.broadcast(stats.select("n"))).where(F.col("__cw_n").between(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)))
+    return stats.crossJoin(F.broadcast(middle.agg(F.avg("x").alias("median")))).select("n", "mean", "median", "min", "max")
 
 
 def majority_share(rows: DataFrame, column: str) -> DataFrame:

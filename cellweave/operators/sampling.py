@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import cut
+
 
 def check_ratio(ratio: float) -> float:
     if not 0 < ratio < 1:
@@ -24,10 +26,11 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], by: str = "__cw_n")
     """rows with their place in a total order, from 1.
 
     The rows are dealt by ranges of the order, numbered within each range, and each range starts after the
-    counts of those before it; only these counts, one for each task, meet in one place."""
+    counts of those before it; only these counts, one for each task, meet in one place. The ranges are drawn once and
+    kept, as drawing them again could give others."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__cw_part", F.spark_partition_id())
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("__cw_part", F.spark_partition_id()))
     counts = dealt.groupBy("__cw_part").agg(F.count("*").alias("__cw_size"))
     before = counts.withColumn("__cw_before", F.coalesce(F.sum("__cw_size").over(Window.orderBy("__cw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = dealt.withColumn(by, F.row_number().over(Window.partitionBy("__cw_part").orderBy(*order)))

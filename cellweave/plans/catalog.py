@@ -429,7 +429,7 @@ def islands_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT page_id, (page_id % 100 <= 6 AND len(url) <= 80) OR (page_id % 100 >= 94 AND len(url) <= 140) AS noise,
-           page_id % 70 >= 60 OR (contains(lower(url), 'en') AND 1 = 0) OR page_id % 5 >= 2 OR ((contains(lower(url), 'graph') OR contains(lower(url), 'chart') OR contains(lower(url), 'figure') OR contains(lower(url), 'fig.') OR contains(lower(url), 'fig ')) AND (page_id % 5 >= 1 OR page_id % 70 >= 15)) AS figure
+           page_id % 70 >= 60 OR page_id % 5 >= 2 OR ((contains(lower(url), 'graph') OR contains(lower(url), 'chart') OR contains(lower(url), 'figure') OR contains(lower(url), 'fig.') OR contains(lower(url), 'fig ')) AND (page_id % 5 >= 1 OR page_id % 70 >= 15)) AS figure
     FROM pages""")
 def page_rules(spark: SparkSession, d: str) -> DataFrame:
     y = (F.col("page_id") % 100).cast("double")
