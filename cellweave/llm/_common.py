@@ -6,6 +6,7 @@ columns of an input can have any other name.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -137,6 +138,15 @@ def large_batches(batches: Iterator[pa.RecordBatch], column: str, least_bytes: i
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system; its next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about most_bytes of text each, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

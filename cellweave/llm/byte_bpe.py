@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import small_batches, text_batches
+from cellweave.llm._common import give_back, small_batches, text_batches
 
 #: Pieces that a worker keeps with their ids, at most.
 CACHE = 400_000
@@ -252,5 +252,6 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         if not keep:
             bpe.known.clear()
             bpe.vocabulary.apart.clear()
+            give_back()
 
     return docs.select(F.col(doc_id), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import cut, stored
+from cellweave.llm._common import cut, give_back, small_batches, stored
 
 #: Slots of each hashed predictor's table, as powers of two: one to four bytes back.
 SLOT_BITS = (16, 20, 21, 22)
@@ -71,7 +71,7 @@ CLASSES, CLASS_DOCS, CLASS_BITS = 4, 2000, 12
 #: Hashes of words' endings, and how much an ending weighs against a word's own counts by class.
 ENDING_BITS, ENDING_WEIGHT = 14, 1.0
 #: Shares of a text's own words among what comes next, with equal chances at first.
-REPEATS = (0.0, 0.01, 0.05, 0.2, 0.6)
+REPEATS = (0.0, 0.02, 0.1, 0.4)
 #: Log-odds of classes are kept with so many steps to a power of ten.
 FINE = 1000.0
 #: Tokens of a block that are scored at a time.
@@ -244,11 +244,12 @@ class Model:
         odds = np.log((own + PRIOR) / (other + PRIOR))
         x[:, -2] = np.where(bits.ones, odds, -odds)
         if less:
+            prior, own_one = np.float32(PRIOR), np.float32(less) * bits.ones
+            own_zero = np.float32(less) - own_one
             for k, slots in enumerate(bits.slots):
                 found = self.tables[k][slots]
-                one = np.maximum(found[:, 1] - less * bits.ones, 0)
-                zero = np.maximum(found[:, 0] - less * ~bits.ones, 0)
-                x[:, k] = np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
+                one, zero = np.maximum(found[:, 1] - own_one, 0), np.maximum(found[:, 0] - own_zero, 0)
+                x[:, k] = np.log((one + prior) / (zero + prior))
             came = one + zero
         else:
             if not self.ready:
@@ -371,6 +372,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
     return find_classes(np.array([np.frombuffer(r, "<u2") for r in rows], float).reshape(len(rows), 1 << CLASS_BITS))
 
 
+class Places(dict):
+    """Numbers for words as they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 COUNTS = [f"n_{k}" for k in range(CLASSES)]
 
 
@@ -382,7 +391,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         from pyspark import TaskContext
 
         block, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
-        place: dict[bytes, int] = {}
+        place = Places()
         ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
         names = ["block", "idx", "word", *COUNTS, "doc_ids", "held_out", "sizes", "bytes", "tokens"]
         types = (pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * CLASSES, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
@@ -401,7 +410,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, *map(pa.array, counts), *none], names=names)
             packed = pack.compress(np.concatenate(tokens).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, *[None] * CLASSES, ids, tests, sizes, lengths, packed), types, strict=True)], names=names)
-            block, place = block + 1, {}
+            block, place = block + 1, Places()
             ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
 
         held = size = 0
@@ -413,8 +422,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if ids and (held + new > BLOCK_TOKENS or size > BLOCK_BYTES):
                     yield from flush()
                     held = size = 0
-                add = place.setdefault
-                tokens.append(np.array([*(add(w, len(place)) for w in words), add(b"", len(place))], np.int32))
+                tokens.append(np.array([*map(place.__getitem__, words), place[b""]], np.int32))
                 ids.append(i)
                 tests.append(rest == HELD_OUT)
                 learned.append(rest is not None and rest != HELD_OUT)
@@ -423,7 +431,10 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 held, size = held + new, size + lengths[-1]
         if ids:
             yield from flush()
+        del place, tokens
+        give_back()
 
+    small_batches(docs.sparkSession)
     schema = "block long, idx int, word string, " + ", ".join(f"{c} long" for c in COUNTS) + ", doc_ids array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -509,6 +520,8 @@ def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
             names.append(-1 - TaskContext.get().partitionId())
             parts.append(pickle.dumps(Edge(words, times)))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
+        del words, tables, parts
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -568,6 +581,8 @@ def fit(types: DataFrame) -> tuple[list, dict, np.ndarray, np.ndarray]:
             chunks, around = shared.value
             weights, seen = learn(open_tables(chunks), words, times, Trie(words, times, around.get(TaskContext.get().partitionId())))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (weights.tobytes(), seen.tobytes())] + [pa.array([float((times > 0).sum())])], names=["weights", "seen", "total"])
+        del words
+        give_back()
 
     rows = types.mapInArrow(run, "weights binary, seen binary, total double").collect()  # a row of some kB for each task
     if not rows:
@@ -589,7 +604,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     whole = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
     counted = stored(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "types")
     n_words, n_train, n_types = counted.agg(F.count("*"), F.coalesce(F.sum(whole), F.lit(0)), F.count_if(whole > 0)).first()
-    types = cut(counted.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word"))
+    types = cut(counted.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word").sortWithinPartitions("word"))
     fitted = fit(types)
     model = spark.sparkContext.broadcast(fitted)
     endings = open_endings(fitted[0]).sum(axis=0) + 1e-9
@@ -606,6 +621,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             odds = np.clip(np.round(class_odds(words, by_class, open_endings(parts)) * FINE), -32000, 32000).astype("<i2")
             packed = np.ascontiguousarray(odds).view("<i8").ravel()
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found), pa.array(packed)], names=["word", "c", "cost", "odds"])
+        del words
+        give_back()
 
     costs = types.mapInArrow(cost, "word string, c long, cost double, odds long")
     known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost", "odds")
@@ -625,6 +642,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             total = gated(flat, np.array(sizes, np.int64), price, odds, prior)
             columns = (ids, tests, sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at), np.full(len(ids), n_train), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / np.array(lengths))
             out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, SCORES.types, strict=True)], schema=SCORES))
+        give_back()
         return pa.concat_tables(out) if out else SCORES.empty_table()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"

@@ -28,7 +28,7 @@ from cellweave.llm._common import cut, small_batches, text_batches
 #: Labelled documents that are learned from, at most.
 MOST_ROWS = 16_000
 #: Features that are chosen for each category, at most.
-FEATURES = 3000
+FEATURES = 1500
 #: How far a feature's count in a category must be from its share, in standard deviations.
 LEAST_FAR = 3.0
 #: Documents that a feature must be in.
@@ -56,8 +56,8 @@ def logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: in
     """Weights: of each feature, of each extra column, and the bias last. Full-batch gradient steps with momentum, scaled by each feature's frequency."""
     n = len(rows)
     lengths = np.array([len(r) for r in rows], np.int64)
-    where = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(n), lengths)
+    where = np.concatenate(rows) if n else np.zeros(0, np.int32)
+    of = np.repeat(np.arange(n, dtype=np.int32), lengths)
     k = extra.shape[1]
     w, pace = np.zeros(width + k + 1), np.zeros(width + k + 1)
     rate = max(float(y.mean()), 1e-6) if n else 0.5
@@ -188,16 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.indexes(t.as_py()).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["__cw_id", "found"])
+            found = [shared.value.indexes(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["__cw_id", "found"])
 
     kind = sample.schema["__cw_id"].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(index, f"__cw_id {kind}, found array<long>").collect())
+    encoded = sample.mapInArrow(index, f"__cw_id {kind}, found binary").toArrow()  # as bytes: numbers of Python would be many times as large
+    rows = sorted(zip(encoded.column(0).to_pylist(), encoded.column(1).to_pylist(), strict=True))
     if not rows:
         return Chain(categories, [], [])
     ids = [r[0] for r in rows]
     folds = np.arange(len(rows)) % FOLDS
-    models = train_chain([np.array(r[1], np.int64) for r in rows], np.array([label_of[i] for i in ids]), len(chosen), folds)
+    models = train_chain([np.frombuffer(r[1], "<i4") for r in rows], np.array([label_of[i] for i in ids]), len(chosen), folds)
     return Chain(categories, sorted(chosen), models)
 
 
