@@ -104,14 +104,18 @@ def among(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, own.eqNullSafe(wanted["__cw_id"]), "left_semi")
 
 
-def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+def without(docs: DataFrame, key: str, gone: DataFrame, hash_of: Column | None = None) -> DataFrame:
     """The rows of docs whose key isn't in gone (__cw_id). Only rows whose bit is set are shuffled; the others stay for sure.
+    With hash_of, a row goes only if gone has its key with that hash (__cw_hash).
 
     docs is read twice, once for either kind of rows."""
     own = F.col(key).cast(gone.schema["__cw_id"].dataType)
     marked = with_hit(docs, _place(own), bits_of(gone.select(_place(F.col("__cw_id")).alias("v"))), "__cw_near")
     sure, near = marked.where("NOT __cw_near").drop("__cw_near"), marked.where("__cw_near").drop("__cw_near")
-    return sure.union(near.join(gone, own.eqNullSafe(gone["__cw_id"]), "left_anti"))
+    same = own.eqNullSafe(gone["__cw_id"])
+    if hash_of is not None:
+        near, same = near.withColumn("__cw_own", hash_of), same & (F.col("__cw_own") == gone["__cw_hash"])
+    return sure.union(near.join(gone, same, "left_anti").drop("__cw_own"))
 
 
 #: Rows of an Arrow batch where these are texts, which can be long.

@@ -40,8 +40,8 @@ def refine(docs: DataFrame, text: str = "text", prefix: int = 64, bits: int = 26
     return left.withColumn("__cw_hash", F.when(F.col("__cw_go"), F.unhex(F.sha2(whole, 256)))).drop("__cw_go")
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """A row for each document: doc_id, keep_id (the largest doc_id with that text), group_size, kept, and the columns in carry."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...], options: dict) -> DataFrame:
+    """What exact_groups gives, and __cw_hash, which rows of groups have."""
     narrow = cut(refine(docs, text, **options).select(F.col(doc_id).alias("doc_id"), *carry, "__cw_len", "__cw_hash"))
     keys = ["__cw_len", "__cw_hash"]
     groups = narrow.where("__cw_hash IS NOT NULL").groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
@@ -49,10 +49,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     single = narrow.withColumn("__cw_len", F.when(F.col("__cw_hash").isNull(), -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")).otherwise(F.col("__cw_len")))
     out = attach(single, groups, keys, "group_size", narrow.count(), ["doc_id"])
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), *carry)
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), *carry, "__cw_hash")
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """A row for each document: doc_id, keep_id (the largest doc_id with that text), group_size, kept, and the columns in carry."""
+    return _grouped(docs, doc_id, text, carry, options).drop("__cw_hash")
 
 
 def filter_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns. A null doc_id stays only if its group has no other."""
-    gone = exact_groups(docs, doc_id, text, **options).where("NOT kept").select(F.col("doc_id").alias("__cw_id")).distinct()
-    return without(docs, doc_id, cut(gone))
+    """The rows of docs that stay, with all their columns. A null doc_id stays only if its group has no other.
+
+    Rows are told apart by doc_id and the hash of their text, so one with the doc_id of a copy stays if its text is another.
+    """
+    gone = _grouped(docs, doc_id, text, (), options).where("NOT kept").select(F.col("doc_id").alias("__cw_id"), "__cw_hash").distinct()
+    return without(docs, doc_id, cut(gone), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))

@@ -26,6 +26,12 @@ def test_exact_groups(docs_of, empty):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["11", "11", "9", "4", "6", "8", "10", "None"])
 
 
+def test_exact_filter_decides_by_row(docs_of):
+    rows = [(None, "a copy"), (None, "of its own"), (5, "a copy"), (3, "another"), (3, "twice"), (4, "twice"), (3, None), (6, "")]
+    kept = exact_dedup.filter_duplicates(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, "of its own"), (5, "a copy"), (3, "another"), (4, "twice"), (6, "")], key=str)
+
+
 def test_exact_with_saturated_bitmaps(docs_of):
     texts = [f"t{i % 40}" for i in range(200)]
     got = exact_dedup.exact_groups(docs_of(texts), bits=15).collect()
