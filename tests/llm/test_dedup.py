@@ -142,6 +142,21 @@ def test_near_duplicates(docs_of, empty):
     assert near_dedup.filter_near(docs_of(["a b", "a b"], [None, None])).count() == 2
 
 
+def kept_by_brute_force(texts):
+    sets = shingle_sets(texts)
+    return set(roots_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]))
+
+
+def test_near_copies_with_a_part_more_or_less(docs_of):
+    texts = []
+    for k in range(40):
+        base = [f"b{k}w{j}" for j in range(200)]
+        texts += [" ".join(base), " ".join(base + [f"a{k}w{j}" for j in range(48)])] if k % 2 else [" ".join(base), " ".join(base[: 161 + k % 8])]
+    want = kept_by_brute_force(texts)
+    assert len(want) < 60
+    assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == want
+
+
 def test_sha256_of_query(spark, tmp_path):
     spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_sha256 for r in queries.op6_exact_dedup(spark, str(tmp_path)).collect()}
