@@ -157,6 +157,23 @@ def test_near_copies_with_a_part_more_or_less(docs_of):
     assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == want
 
 
+def test_near_chains_and_templates(docs_of):
+    rng, texts = random.Random(6), []
+    for c in range(3):
+        words = [f"c{c}w{j}" for j in range(500)]
+        texts += [" ".join(words[i : i + 120]) for i in range(0, 360, 11)]
+    page = [f"t{j}" for j in range(100)]
+    for g in range(25):
+        own = [f"g{g}w{j}" for j in range(40)]
+        texts += [" ".join(page + own + [f"x{rng.random()}" for _ in range(4)]) for _ in range(3)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    want = kept_by_brute_force(texts)
+    assert len(want) == 28
+    assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == want
+
+
 def test_sha256_of_query(spark, tmp_path):
     spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_sha256 for r in queries.op6_exact_dedup(spark, str(tmp_path)).collect()}
