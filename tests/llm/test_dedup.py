@@ -147,6 +147,19 @@ def kept_by_brute_force(texts):
     return set(roots_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]))
 
 
+def test_near_low_vocabulary_copies(docs_of):
+    rng, texts = random.Random(4), []
+    for k in range(20):
+        base = [f"v{rng.randrange(20)}" for _ in range(1000)]
+        copy = list(base)
+        for j in range(20):
+            copy.insert(rng.randrange(len(copy)), f"k{k}n{j}")
+        texts += [" ".join(base), " ".join(copy)]
+    want = kept_by_brute_force(texts)
+    assert len(want) < 30
+    assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == want
+
+
 def test_near_copies_with_a_part_more_or_less(docs_of):
     texts = []
     for k in range(40):
