@@ -11,8 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +144,44 @@ def large_batches(batches: Iterator[pa.RecordBatch], column: str, least_bytes: i
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+#: Counts by slot are told and added up by chunks of two to the power of so many slots.
+CHUNK_BITS = 16
+
+
+def count_parts(slots: np.ndarray, counts: np.ndarray, table: int = 0) -> pa.RecordBatch:
+    """(chunk, part): counts of a table's slots, which are in order, compressed by chunks. A chunk's name holds the table's number above its own 16 bits."""
+    pack = zstandard.ZstdCompressor(level=1)
+    names, starts = np.unique(slots >> CHUNK_BITS, return_index=True)
+    pairs = zip(np.split(slots & ((1 << CHUNK_BITS) - 1), starts[1:]), np.split(counts, starts[1:]), strict=True) if len(slots) else ()
+    blobs = [pack.compress(x.astype("<u2").tobytes() + y.astype("<u4").tobytes()) for x, y in pairs]
+    return pa.RecordBatch.from_arrays([pa.array(names + (table << 16), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "part"])
+
+
+def sum_parts(rows: DataFrame) -> DataFrame:
+    """(chunk, part): the sums of what count_parts told, a compressed byte for each slot of a chunk: eight times the binary logarithm of one more."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = unpack.decompress(part.as_py())
+                n = len(raw) // 6
+                sums.setdefault(name, np.zeros(1 << CHUNK_BITS, np.int64))[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+        blobs = [pack.compress(np.minimum(np.round(8 * np.log2(1 + x)), 255).astype(np.uint8).tobytes()) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "part"])
+
+    return rows.repartition("chunk").mapInArrow(add, "chunk long, part binary")
+
+
+def unpacked(rows: DataFrame, slots: int) -> np.ndarray:
+    """The one table of so many slots whose sums are in rows, by bytes."""
+    table, unpack = np.zeros((slots >> CHUNK_BITS, 1 << CHUNK_BITS), np.uint8), zstandard.ZstdDecompressor()
+    for r in rows.toLocalIterator():
+        table[r.chunk] = np.frombuffer(unpack.decompress(bytes(r.part)), np.uint8)
+    return table.ravel()
+
+
 def give_back() -> None:
     """Return what this worker has freed to the system; its next task may be another operator's."""
     pa.default_memory_pool().release_unused()
