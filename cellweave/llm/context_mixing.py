@@ -1,36 +1,29 @@
 """Language-model scores by logistic context mixing.
 
-A text is its words, each with an end, and an end of the text. Each bit of a byte is predicted by several
-predictors. Four look up, by a hash of the previous one to four bytes and of the byte's bits so far, how often a one
-and a zero came next in training; a fifth counts exactly what came next after the whole word so far. Their log-odds are added up
-with weights that a gate picks by how much the longest contexts know, and the sum is refined by an adaptive map from what was predicted
-to what came. Weights and map are learned online, in one run over the words, each predicted as if it weren't in the
-counts once, and then stay as they are, so that a text's score doesn't depend on other texts scored.
-
-Within a text, two more gates adapt from word to word. One holds how probable each of a few classes of text is after the words so
-far, and weighs the next word by how much more often it comes in them. The other holds how much the text repeats its own words. Both
-begin anew with each text, so a text's probability follows from its words alone. Training texts are put into classes by a mixture
-that is fitted on at most ``CLASS_DOCS`` texts picked by a hash; the classes' counts are of all training texts.
-
-The predictors' contexts don't reach over a word's beginning, so all occurrences of a word cost the same. That makes the work
-distributed and exact: words are counted over all training texts, each different word is learned from
-and scored once, weighed by its count, and a text's score is made of its words' and the gates'. Counts grow with the input; the hashed tables have a fixed size.
-
-Words are dealt by ranges, so that words with a common beginning are neighbours and a task counts beginnings in
-its sorted words. Beginnings that go on in other tasks' words are completed by sums that each task tells of its first and its last word.
-Texts are numbered by blocks of bounded size: a block's words are joined with their counts and costs by word, and come back to
-the block, whose texts are kept as numbers of its own words.
+A text is coded as its words, each with a blank behind it, and an end; its score is the probability of these bytes, one after the other. Each
+bit of a byte is predicted by five hashed-context predictors: from the one to five bytes before it, over the ends of words, and
+the byte's bits so far, they look up how often a one and a zero came next in all training texts. Their log-odds are added up with weights that
+a gate picks by what the three longest contexts have seen and by whether a word begins; the sum is refined by an adaptive map from what was
+predicted to what came. Weights and map are learned online: the training texts are dealt into ``PARTS`` by a hash of their ids, each part is
+predicted by the weights so far, every occurrence as if it weren't in the counts, and gives one Newton step and what the map holds. So each text is
+learned from once, in an order that neither the number of tasks nor held-out texts change, and a text's score doesn't depend on other texts scored.
+
+Within a text, a second mixture adapts from word to word: the word as spelled by the bits, the word's frequency in training, and how often the text itself
+has had it, by several fixed shares, which are weighed by how well they have done in the text so far. Every part is a distribution over what
+comes next, so the scores of all texts sum to one at most.
+
+What has the same context costs the same. So a task prices each different run of six bytes once for many MB of text and looks the price up for
+each occurrence. Tables of counts have a fixed number of slots, which bounds what is broadcast; counts of words aren't bounded and are joined by a shuffle.
+Texts are numbered by blocks of bounded size: a block's words are joined with their counts by word, and come back to the block, whose texts are kept as numbers of its own words.
 
 Edge cases: a null text counts as empty and has its end alone. Only rows with a doc_id can be trained on; a row without one is
-scored and not held out. Repeated rows count, and are scored, each for itself. With no training text every bit is
-even and counts are zero. A word of any length is scored whole, by segments. An empty table gives an empty one. Extra columns are ignored.
+scored and not held out. doc_id may be of any type. Repeated rows count, and are scored, each for itself. With no training text every bit is
+even and counts are zero. A text of any length is scored whole, by segments. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,248 +32,132 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import cut, give_back, small_batches, stored
-
-#: Slots of each hashed predictor's table, as powers of two: one to four bytes back.
-SLOT_BITS = (16, 20, 21, 22)
-CHUNK_SLOTS = 1 << 16
-CHUNKS = [max(1, (1 << b) // CHUNK_SLOTS) for b in SLOT_BITS]
-#: Bytes of a word's beginning that are counted exactly.
-TRIE_BYTES = 48
-#: Bytes of a word that are handled at a time.
-SEGMENT = 1 << 14
-#: The hashed predictors, the exact one and a bias.
-INPUTS = len(SLOT_BITS) + 2
-#: By how often the word so far came, whether always with the same bit, how often the last four bytes came, and the place in the word.
-GATES = 7 * 2 * 3 * 3
+from cellweave.llm._common import count_parts, crc_mod, give_back, small_batches, stored, sum_parts
+
+#: Slots of each predictor's table, as powers of two: one to five bytes back. They take two bytes a slot, 45 MB in all.
+SLOT_BITS = (16, 20, 22, 23, 23)
+ORDERS = len(SLOT_BITS)
+#: The predictors and a bias.
+INPUTS = ORDERS + 1
+#: By what the three longest contexts have seen (nothing, always the same bit, both), and whether a word begins.
+GATES = 3 * 3 * 3 * 2
 #: The map's levels of log-odds, up to REACH to either side.
-LEVELS, REACH = 49, 12
-#: Words of a block, text bytes of a block, and different words that a task learns from, about.
-BLOCK_TOKENS, BLOCK_BYTES, TASK_WORDS = 4_000_000, 26 << 20, 80_000
-STEP_WORDS = 500
-#: How far a step goes.
-RATE = 0.1
-#: Counts that each bit has beforehand.
-PRIOR = 0.05
-#: Counts are kept as logarithms with so many steps to a doubling.
-CODE = 1000.0
-END_OF_WORD, END_OF_TEXT = 0x20, 0x0A
+LEVELS, REACH = 33, 12
+#: Parts of the training texts, one after the other.
+PARTS = 4
+#: Counts that each bit has beforehand, and what holds weights to where they begin.
+PRIOR, RIDGE = 0.2, 1.0
+#: Bytes in which equal runs are priced once, when learning and when scoring.
+LEARN_BYTES, PRICE_BYTES = 12 << 20, 5 << 20
+#: Runs whose bits are handled at a time.
+AT_A_TIME = 1 << 16
+#: Words and bytes of a block, about.
+BLOCK_TOKENS, BLOCK_BYTES = 3_000_000, 16 << 20
 MODULUS, HELD_OUT = 7, 2
-#: Classes of text, texts that they are found on at most, and hashes of words that tell them apart.
-CLASSES, CLASS_DOCS, CLASS_BITS = 4, 2000, 12
-#: Hashes of words' endings, and how much an ending weighs against a word's own counts by class.
-ENDING_BITS, ENDING_WEIGHT = 14, 1.0
-#: Shares of a text's own words among what comes next, with equal chances at first.
-REPEATS = (0.0, 0.02, 0.1, 0.4)
-#: Log-odds of classes are kept with so many steps to a power of ten.
-FINE = 1000.0
-#: Tokens of a block that are scored at a time.
+#: Shares of a text's own words among what comes next, and of training words among the rest.
+REPEATS, FREQUENT = (0.0, 0.02, 0.1, 0.4), (0.02, 0.3)
+#: Words of a block whose mixture is worked out at a time, about.
 SLICE = 60_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MORE = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+#: Partial sums of the weights' steps meet in so many tasks.
+SUMS = 16
+_ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BITS = np.arange(8, dtype=np.uint64)
+#: What stands before a text.
+PAD = b"\n" * ORDERS
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def coded(word: bytes) -> bytes:
-    """A word with its end; the empty word is the end of a text. No coded word begins another."""
-    return word + b"\x20" if word else b"\x0a"
-
-
-class Bits:
-    """The bits of coded words, and the slots that the hashed predictors have for them. Words come as (owner, first place, data): data is a segment with up to four bytes before it."""
-
-    def __init__(self, parts: list[tuple[int, int, bytes]]):
-        lead = np.array([min(4, at) for _, at, _ in parts], np.int64)
-        sizes = np.array([len(d) for _, _, d in parts], np.int64)
-        flat = np.frombuffer(b"".join(d for _, _, d in parts), np.uint8).astype(np.uint64)
-        local = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = local >= np.repeat(lead, sizes)
-        place = local + np.repeat(np.array([at for _, at, _ in parts], np.int64) - lead, sizes)
-        before, contexts = np.zeros(len(flat), np.uint64), []
-        for k in range(len(SLOT_BITS)):
-            reach = np.flatnonzero((place > k) & (local > k))
-            back = np.zeros(len(flat), np.uint64)
-            back[reach] = flat[reach - k - 1] + np.uint64(1)
-            before = before * np.uint64(521) + back
-            contexts.append(before[own])
-        flat, place = flat[own], place[own]
-        self.owner = np.repeat(np.repeat(np.array([o for o, _, _ in parts], np.int64), sizes - lead), 8)
-        shifts = np.arange(8, dtype=np.uint64)
-        self.ones = ((flat[:, None] >> (np.uint64(7) - shifts)) & np.uint64(1)).ravel().astype(bool)
-        #: A bit's place in its word.
-        self.at = (place[:, None] * 8 + np.arange(8)).ravel()
-        # the bits of the byte so far, with a leading one
-        node = (np.uint64(1) << shifts) | (flat[:, None] >> (np.uint64(8) - shifts))
-        self.slots = []
-        for k, (bits, context) in enumerate(zip(SLOT_BITS, contexts, strict=True)):
-            mixed = (context + np.uint64(k + 1)) * _ODD
+def coded(words: list[bytes]) -> bytes:
+    """A text's bytes: no coded text begins another."""
+    return b" ".join(words) + b" \n" if words else b"\n"
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of coded texts, each with its pad before it, and which bytes are the texts' own."""
+    flat = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)), np.uint8)
+    own = np.ones(len(flat), bool)
+    starts = np.cumsum([0] + [len(t) + ORDERS for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
+    for k in range(ORDERS):
+        own[starts + k] = False
+    return flat, own
+
+
+class Runs:
+    """The different runs of six bytes in flat that end in an own byte: five bytes of context and the byte itself. number: of each own byte, its run's."""
+
+    def __init__(self, flat: np.ndarray, own: np.ndarray, inverse: bool = False):
+        letters = np.flatnonzero(np.bincount(flat, minlength=256))
+        size, rank = len(letters), np.zeros(256, np.uint64)
+        rank[letters] = np.arange(size)
+        key = rank[flat[: len(flat) - ORDERS]]
+        for k in range(ORDERS - 1, -1, -1):
+            key *= np.uint64(size)
+            key += rank[flat[ORDERS - k : len(flat) - k]]
+        key = key[own[ORDERS:]]
+        shift = max(1, int(len(key)).bit_length())
+        if not inverse:
+            key.sort()
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            self.times = np.diff(np.concatenate([starts, [len(key)]])).astype(np.float64)
+            key = key[starts]
+        elif size**6 << shift < 1 << 64:
+            key <<= np.uint64(shift)
+            key |= np.arange(len(key), dtype=np.uint64)
+            key.sort()
+            place = (key & np.uint64((1 << shift) - 1)).astype(np.int32)
+            key >>= np.uint64(shift)
+            new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+            self.number = np.empty(len(key), np.int32)
+            self.number[place] = np.cumsum(new, dtype=np.int32) - 1
+            key = key[new]
+        else:
+            key, self.number = np.unique(key, return_inverse=True)
+        #: Bytes of the runs, the last one first.
+        self.bytes = []
+        for _ in range(ORDERS + 1):
+            self.bytes.append(letters[(key % np.uint64(max(size, 1))).astype(np.int64)].astype(np.uint8) if size else np.zeros(0, np.uint8))
+            key = key // np.uint64(max(size, 1))
+
+    def __len__(self) -> int:
+        return len(self.bytes[0])
+
+    def bits(self, part: slice) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Of the runs in part, a row each: their bits, the slots that each predictor has for these, and whether a word begins."""
+        last = self.bytes[0][part].astype(np.uint64)
+        ones = ((last[:, None] >> (np.uint64(7) - _BITS)) & np.uint64(1)).astype(np.int64)
+        node = ((np.uint64(1) << _BITS) | (last[:, None] >> (np.uint64(8) - _BITS))) * _MORE
+        slots, context = [], np.zeros(len(last), np.uint64)
+        for k, bits in enumerate(SLOT_BITS):
+            context = context * np.uint64(521) + self.bytes[k + 1][part] + np.uint64(1)
+            mixed = (context + np.uint64(k)) * _ODD
+            mixed = (mixed ^ (mixed >> np.uint64(29)))[:, None] + node
             mixed ^= mixed >> np.uint64(31)
-            mixed = (mixed[:, None] + node) * _MORE
-            mixed ^= mixed >> np.uint64(29)
-            self.slots.append(((mixed * _ODD) >> np.uint64(64 - bits)).astype(np.int64).ravel())
-
-
-def groups(words: list[bytes], most_bytes: int = 1 << 15) -> Iterator[Bits]:
-    """The bits of all words, by about so many bytes; long words come in segments."""
-    parts, held = [], 0
-    for i, w in enumerate(words):
-        data = coded(w)
-        for at in range(0, len(data), SEGMENT):
-            parts.append((i, at, data[max(0, at - 4) : at + SEGMENT]))
-            held += len(parts[-1][2])
-            if held >= most_bytes:
-                yield Bits(parts)
-                parts, held = [], 0
-    if parts:
-        yield Bits(parts)
-
-
-class Trie:
-    """Sorted words with counts: how many lie below each bit of each word."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, beyond: tuple[np.ndarray, np.ndarray] | None = None):
-        data = [coded(w)[:TRIE_BYTES] for w in words]
-        n = len(data)
-        self.depth = np.array([8 * len(d) for d in data], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.depth + 1)])
-        self.below = np.zeros(int(self.start[-1]))
-        wide = np.frombuffer(b"".join(d.ljust(TRIE_BYTES, b"\0") for d in data), np.uint8).reshape(n, TRIE_BYTES)
-        common = np.full(n, -1, np.int64)
-        if n > 1:
-            common[1:] = shared_bits(wide[1:], wide[:-1])
-        active, gap, weight = np.arange(n), common, counts.astype(float)
-        for d in range(8 * TRIE_BYTES + 1):
-            if d % 8 == 1 and d > 1:
-                stay = np.flatnonzero(self.depth[active] >= d)
-                if not len(stay):
-                    break
-                if len(stay) < len(active):
-                    # of the words in between, the least that both neighbours share
-                    gap = np.minimum.reduceat(gap, np.concatenate([[0], stay[:-1] + 1]))
-                    active, weight = active[stay], weight[stay]
-            heads = np.flatnonzero(gap < d)
-            if not len(heads) or heads[0]:
-                heads = np.concatenate([[0], heads])
-            sums = np.add.reduceat(weight, heads)
-            if beyond is not None:
-                # words of other tasks that begin like the first word, or like the last
-                sums[0] += beyond[0][d] if active[0] == 0 else 0
-                sums[-1] += beyond[1][d] if active[-1] == n - 1 else 0
-            self.below[self.start[active] + d] = np.repeat(sums, np.diff(np.concatenate([heads, [len(active)]])))
-
-    def around(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """How often the bit itself came after the word so far, and how often the other."""
-        inside = bits.at < self.depth[bits.owner]
-        at = np.where(inside, self.start[bits.owner] + bits.at, 0)
-        own = np.where(inside, self.below[np.where(inside, at + 1, 0)], 0)
-        return own, np.maximum(np.where(inside, self.below[at], 0) - own, 0)
-
-
-def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading bits that rows of bytes have in common."""
-    differ = a ^ b
-    byte = (differ != 0).argmax(axis=1)
-    first = differ[np.arange(len(a)), byte]
-    within = 7 - np.floor(np.log2(np.maximum(first, 1))).astype(np.int64)
-    return np.where(first == 0, 8 * a.shape[1], 8 * byte + within)
-
-
-class Edge:
-    """What a task tells of its sorted words: the first and the last, and how many words begin like them, by bits."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.first, self.last = coded(words[0])[:TRIE_BYTES], coded(words[-1])[:TRIE_BYTES]
-        wide = np.frombuffer(b"".join(coded(w)[:TRIE_BYTES].ljust(TRIE_BYTES, b"\0") for w in words), np.uint8).reshape(-1, TRIE_BYTES)
-        n = 8 * TRIE_BYTES + 1
-        like = lambda w: np.bincount(shared_bits(wide, np.broadcast_to(_row(w), wide.shape)), counts, minlength=n)[::-1].cumsum()[::-1]
-        self.like_first, self.like_last = like(self.first), like(self.last)
-
-
-def _row(word: bytes) -> np.ndarray:
-    return np.frombuffer(word.ljust(TRIE_BYTES, b"\0"), np.uint8)
-
-
-def beyond(edges: dict[int, Edge]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each task, by bits: words of the tasks before that begin like its first word, and of those after like its last one."""
-    order, n = sorted(edges), 8 * TRIE_BYTES + 1
-    out = {}
-    same = lambda a, b: int(shared_bits(_row(a)[None], _row(b)[None])[0])
-    for i, task in enumerate(order):
-        sides = []
-        for word, others, near, far, like in ((edges[task].first, order[:i][::-1], "last", "first", "like_last"), (edges[task].last, order[i + 1 :], "first", "last", "like_first")):
-            sums = np.zeros(n)
-            for other in others:
-                e = edges[other]
-                sums[: same(word, getattr(e, near)) + 1] += getattr(e, like)[: same(word, getattr(e, near)) + 1]
-                # the next task can only have such words, but for the shortest beginnings, if this one's far word is one
-                if same(word, getattr(e, far)) == 0:
-                    sums[0] += sum(edges[o].like_first[0] for o in others[others.index(other) + 1 :])
-                    break
-            sides.append(sums)
-        out[task] = tuple(sides)
-    return out
+            mixed *= _ODD
+            slots.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
+        return ones, slots, self.bytes[1][part] <= 0x20
 
+    def slices(self) -> Iterator[slice]:
+        for at in range(0, len(self), AT_A_TIME):
+            yield slice(at, min(len(self), at + AT_A_TIME))
 
-class Model:
-    """Tables, weights and map."""
 
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray):
-        self.tables, self.weights, self.refined = tables, weights, refined
-        #: By table, the log-odds of each slot, and for the last one how often it came; made when first needed.
-        self.ready: list[np.ndarray] = []
-
-    def inputs(self, bits: Bits, trie: Trie, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds by predictor, with a bias, and the gate. less: how often the word itself is taken out of the counts."""
-        x = np.empty((len(bits.ones), INPUTS), np.float32)
-        x[:, -1] = 0.3
-        own, other = trie.around(bits)
-        own = np.maximum(own - less, 0)
-        odds = np.log((own + PRIOR) / (other + PRIOR))
-        x[:, -2] = np.where(bits.ones, odds, -odds)
-        if less:
-            prior, own_one = np.float32(PRIOR), np.float32(less) * bits.ones
-            own_zero = np.float32(less) - own_one
-            for k, slots in enumerate(bits.slots):
-                found = self.tables[k][slots]
-                one, zero = np.maximum(found[:, 1] - own_one, 0), np.maximum(found[:, 0] - own_zero, 0)
-                x[:, k] = np.log((one + prior) / (zero + prior))
-            came = one + zero
-        else:
-            if not self.ready:
-                self.ready = [np.log((t[:, 1] + np.float32(PRIOR)) / (t[:, 0] + np.float32(PRIOR))) for t in self.tables] + [self.tables[-1].sum(axis=1)]
-            for k, slots in enumerate(bits.slots):
-                x[:, k] = self.ready[k][slots]
-            came = self.ready[-1][bits.slots[-1]]
-        word = np.searchsorted([0.5, 1.5, 2.5, 4.5, 9.5, 99.5], own + other)
-        four = (came > 0.5).astype(np.int64) + (came > 19.5)
-        always = np.minimum(own, other) == 0
-        return x, ((word * 2 + always) * 3 + four) * 3 + np.minimum(bits.at >> 3, 2)
-
-    def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of a one, mixed and refined, and the mixed log-odds."""
-        odds = np.clip(np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate]), -18, 18)
-        p = 1 / (1 + np.exp(-odds))
-        at = np.clip((odds + REACH) * ((LEVELS - 1) / (2 * REACH)), 0, LEVELS - 1.001)
-        low = at.astype(np.int64)
-        share = at - low
-        mapped = self.refined[gate, low] * (1 - share) + self.refined[gate, low + 1] * share
-        return np.clip(np.where(np.abs(odds) < REACH, (p + 3 * mapped) / 4, p), 1e-7, 1 - 1e-7), odds
-
-    def costs(self, words: list[bytes], trie: Trie) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = np.zeros(len(words))
-        for bits in groups(words):
-            p, _ = self.predict(*self.inputs(bits, trie))
-            low = int(bits.owner[0])
-            part = np.bincount(bits.owner - low, np.log10(np.where(bits.ones, p, 1 - p)))
-            out[low : low + len(part)] += part
-        return out
+def _decoded() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By slot code, the log-odds and what was seen; and the same by bit and code as if the bit itself had come once less."""
+    code = np.arange(1 << 16)
+    zero, one = np.exp2((code & 255) / 8) - 1, np.exp2((code >> 8) / 8) - 1
+
+    def both(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen = np.where(zero + one < 0.5, 0, np.where(np.minimum(zero, one) < 0.5, 1, 2))
+        return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), seen.astype(np.uint8)
+
+    less = [both(np.maximum(zero - (bit == 0), 0), np.maximum(one - (bit == 1), 0)) for bit in (0, 1)]
+    return *both(zero, one), np.concatenate([x[0] for x in less]), np.concatenate([x[1] for x in less])
+
+
+ODDS, SEEN, ODDS_LESS, SEEN_LESS = _decoded()
 
 
 def flat_map() -> np.ndarray:
@@ -288,88 +165,177 @@ def flat_map() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-np.linspace(-REACH, REACH, LEVELS))), (GATES, 1))
 
 
-def learn(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, trie: Trie, least_steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, and by gate and level what came (ones, all): online, a step for some words after another, in an order that words' hashes give."""
-    weights = np.full((GATES, INPUTS), 0.15)
-    weights[:, -2], weights[:, -1] = 0.5, 0
-    squares = np.full_like(weights, 1e-3)
-    model, seen = Model(tables, weights, flat_map()), np.zeros((2, GATES, LEVELS))
-    trained = np.flatnonzero(counts > 0)
-    order = trained[np.argsort([zlib.crc32(words[i]) for i in trained], kind="stable")]
-    steps = max(1, -(-len(order) // STEP_WORDS))
-    size = min(STEP_WORDS, max(1, len(order) // 10))
-    runs = min(4, -(-least_steps // steps))
-    for run in range(runs):
-        for start in range(0, len(order), size):
-            chosen = order[start : start + size]
-            for bits in groups([words[i] for i in chosen]):
-                times = counts[chosen][bits.owner]
-                bits.owner = chosen[bits.owner]
-                x, gate = model.inputs(bits, trie, less=1.0)
-                _, odds = model.predict(x, gate)
-                error = (1 / (1 + np.exp(-odds)) - bits.ones) * times
-                weight = np.maximum(np.bincount(gate, times, minlength=GATES), 1)
-                for k in range(INPUTS):
-                    slope = np.bincount(gate, error * x[:, k], minlength=GATES) / weight
-                    squares[:, k] += slope**2
-                    weights[:, k] -= RATE * slope / np.sqrt(squares[:, k])
-                if run == runs - 1:
-                    level = np.clip(np.round((odds + REACH) * ((LEVELS - 1) / (2 * REACH))), 0, LEVELS - 1).astype(np.int64)
-                    cell = gate * LEVELS + level
-                    seen[0] += np.bincount(cell, bits.ones * times, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
-                    seen[1] += np.bincount(cell, times, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
-    return weights, seen
-
-
-def word_class_hash(word: bytes) -> int:
-    return zlib.crc32(word) & ((1 << CLASS_BITS) - 1)
-
-
-def ending_hash(words: list[bytes]) -> np.ndarray:
-    """By the last three bytes."""
-    return np.array([zlib.crc32(w[-3:]) & ((1 << ENDING_BITS) - 1) for w in words], np.int64)
-
-
-def find_classes(histograms: np.ndarray, rounds: int = 20, starts: int = 6) -> np.ndarray:
-    """log P(hash | class) of a mixture: the likeliest of some that begin with texts drawn at random. histograms: a row of counts for each text."""
-    width, rng, best = 1 << CLASS_BITS, np.random.default_rng(7), (-np.inf, np.zeros((1 << CLASS_BITS, CLASSES)))
-    weighed = np.log1p(histograms)
-    weighed *= 100 / np.maximum(weighed.sum(axis=1, keepdims=True), 1e-9)  # no text weighs more than another
-    for _ in range(starts if len(histograms) else 0):
-        share = rng.dirichlet(np.full(CLASSES, 0.5), len(weighed))
-        chosen = rng.choice(len(weighed), CLASSES, replace=len(weighed) < CLASSES)
-        unit = weighed / np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-9)
-        share = 0.2 * share + np.eye(CLASSES)[(unit @ unit[chosen].T).argmax(axis=1)]
-        for step in range(rounds):
-            sums = weighed.T @ share + 0.5
-            logs = np.log(sums / sums.sum(axis=0))
-            odds = weighed @ logs + np.log(share.mean(axis=0) / share.sum(axis=1).mean() + 1e-6)
-            top = odds.max(axis=1, keepdims=True)
-            warm = min(1.0, 0.1 + step / rounds)  # soft at first
-            share = np.exp(warm * (odds - top))
-            share /= share.sum(axis=1, keepdims=True)
-        likely = float((top.ravel() + np.log(np.exp(odds - top).sum(axis=1))).sum())
-        if likely > best[0]:
-            best = likely, logs
-    return best[1].reshape(width, CLASSES).astype(np.float32)
-
-
-def _classes(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
-    """find_classes of training texts, at most CLASS_DOCS, picked by a hash of their ids."""
-    trained = docs.where(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(MODULUS)) != HELD_OUT).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    share = min(1.0, 0.9 * CLASS_DOCS / max(1, trained.select("id").count()))
-    picked = trained.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def first_weights() -> np.ndarray:
+    weights = np.full((GATES, INPUTS), 0.3)
+    weights[:, -1] = 0
+    return weights
+
+
+class Model:
+    """Tables, weights and map."""
+
+    def __init__(self, parts: list[tuple[int, bytes]], weights: np.ndarray, refined: np.ndarray):
+        self.weights, self.refined = weights.astype(np.float32), refined.astype(np.float32)
+        self.tables = [np.zeros(1 << b, "<u2") for b in SLOT_BITS]
+        unpack = zstandard.ZstdDecompressor()
+        for name, part in parts:
+            table, at = self.tables[name >> 16].view(np.uint8), (name & 0xFFFF) << 16
+            table[at : at + (1 << 16)] = np.frombuffer(unpack.decompress(part), np.uint8)[: len(table)]
+
+    def inputs(self, ones: np.ndarray, slots: list[np.ndarray], begins: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by predictor, with a bias, and the gate, of all bits. less: as if each bit weren't in the counts."""
+        x = np.empty((INPUTS, ones.size), np.float32)
+        x[-1] = 0.3
+        gate = np.repeat(begins.astype(np.int64), 8)
+        for k, own in enumerate(slots):
+            code = self.tables[k][own.ravel()].astype(np.int64)
+            if less:
+                code += ones.ravel() << 16
+            x[k] = (ODDS_LESS if less else ODDS)[code]
+            if k >= ORDERS - 3:
+                gate = gate * 3 + (SEEN_LESS if less else SEEN)[code]
+        return x, gate
+
+    def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The probability of a one, mixed and refined; the mixed one; and its log-odds."""
+        odds = np.zeros(len(gate), np.float32)
+        for k in range(INPUTS):
+            odds += x[k] * self.weights[:, k][gate]
+        np.clip(odds, -18, 18, out=odds)
+        p = 1 / (1 + np.exp(-odds))
+        at = np.clip((odds + REACH) * ((LEVELS - 1) / (2 * REACH)), 0, LEVELS - 1.001)
+        low = at.astype(np.int64)
+        at -= low
+        cell = gate * LEVELS + low
+        table = self.refined.ravel()
+        mapped = table[cell] * (1 - at) + table[cell + 1] * at
+        return np.clip(np.where(np.abs(odds) < REACH, (p + 3 * mapped) / 4, p), 1e-6, 1 - 1e-6), p, odds
+
+    def prices(self, flat: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the own bytes' probabilities."""
+        out = []
+        for at in range(ORDERS, len(flat), PRICE_BYTES):
+            runs = Runs(flat[at - ORDERS : at + PRICE_BYTES], own[at - ORDERS : at + PRICE_BYTES], inverse=True)
+            price = np.empty(len(runs), np.float32)
+            for part in runs.slices():
+                ones, slots, begins = runs.bits(part)
+                p, _, _ = self.predict(*self.inputs(ones, slots, begins, less=False))
+                price[part] = np.log(np.where(ones.ravel(), p, 1 - p)).reshape(-1, 8).sum(axis=1)
+            out.append(price[runs.number])
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+    def step(self, runs: Runs) -> np.ndarray:
+        """Sums over bits: by gate, the curvature and the slope of the loss in the weights; by gate and level, the ones and all. In one array."""
+        curve, slope, seen = np.zeros((GATES, INPUTS, INPUTS)), np.zeros((GATES, INPUTS)), np.zeros((2, GATES * LEVELS))
+        for part in runs.slices():
+            ones, slots, begins = runs.bits(part)
+            x, gate = self.inputs(ones, slots, begins, less=True)
+            _, p, odds = self.predict(x, gate)
+            one, times = ones.ravel(), np.repeat(runs.times[part], 8)
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            ends = np.cumsum(np.bincount(gate, minlength=GATES))
+            error, bend = ((p - one) * times).astype(np.float32), (p * (1 - p) * times).astype(np.float32)
+            for g in np.flatnonzero(np.diff(ends, prepend=0)):
+                chosen = order[ends[g - 1] if g else 0 : ends[g]]
+                own = x[:, chosen]
+                curve[g] += (own * bend[chosen]) @ own.T
+                slope[g] += own @ error[chosen]
+            level = np.clip(np.round((odds + REACH) * ((LEVELS - 1) / (2 * REACH))), 0, LEVELS - 1).astype(np.int64)
+            cell = gate * LEVELS + level
+            seen[0] += np.bincount(cell, one * times, minlength=GATES * LEVELS)
+            seen[1] += np.bincount(cell, times, minlength=GATES * LEVELS)
+        return np.concatenate([curve.ravel(), slope.ravel(), seen.ravel()])
+
+
+def stepped(weights: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after a Newton step, and what the step's sums say of the map: ones and all, by gate and level."""
+    n = GATES * INPUTS
+    curve, slope = sums[: n * INPUTS].reshape(GATES, INPUTS, INPUTS), sums[n * INPUTS :][:n].reshape(GATES, INPUTS)
+    move = np.linalg.solve(curve + RIDGE * np.eye(INPUTS), slope[..., None])[..., 0]
+    return weights - np.clip(move, -1, 1), sums[n * INPUTS + n :].reshape(2, GATES, LEVELS)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
+    """The runs of a task's texts, by LEARN_BYTES; a long text comes in segments."""
+    texts, held = [], 0
+    for batch in batches:
+        for t in batch.column(0):
+            data = coded(words_of(t.as_py()))
+            for at in range(0, len(data), LEARN_BYTES):
+                texts.append((data[max(0, at - ORDERS) : at + LEARN_BYTES], min(at, ORDERS)))
+                held += len(texts[-1][0])
+                if held >= LEARN_BYTES:
+                    yield _segments(texts)
+                    texts, held = [], 0
+    if texts:
+        yield _segments(texts)
+
+
+def _segments(texts: list[tuple[bytes, int]]) -> Runs:
+    """The runs of segments, of which the first bytes, as many as stand beside them, are context alone."""
+    flat, own = laid_out([t for t, _ in texts])
+    start = ORDERS
+    for data, lead in texts:
+        own[start : start + lead] = False
+        start += len(data) + ORDERS
+    return Runs(flat, own)
+
+
+def count_contexts(texts: DataFrame) -> list[tuple[int, bytes]]:
+    """Chunks of the predictors' tables, compressed: for each slot how often a zero and a one came in the column text, on a scale of logarithms. No more than two bytes a slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for t in batch.column(0):
-                counts = np.bincount([word_class_hash(w) for w in words_of(t.as_py())], minlength=1 << CLASS_BITS)
-                found.append(np.minimum(counts, 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["counts"])
+        for runs in _runs_of(batches):
+            for k, bits in enumerate(SLOT_BITS):
+                sums = np.zeros(2 << bits, np.float32)  # exact for the bytes that are counted at a time
+                for part in runs.slices():
+                    ones, slots, _ = runs.bits(part)
+                    np.add.at(sums, (slots[k] * 2 + ones).ravel(), np.repeat(runs.times[part], 8).astype(np.float32))
+                found = np.flatnonzero(sums)
+                yield count_parts(found, sums[found], k)
+                del sums, found
+        give_back()
 
-    rows = sorted(bytes(r[0]) for r in picked.select("text").mapInArrow(count, "counts binary").limit(CLASS_DOCS).collect())
-    return find_classes(np.array([np.frombuffer(r, "<u2") for r in rows], float).reshape(len(rows), 1 << CLASS_BITS))
+    rows = texts.mapInArrow(count, "chunk long, part binary")
+    return sorted((r.chunk, bytes(r.part)) for r in sum_parts(rows).toLocalIterator())
+
+
+def learn(texts: DataFrame, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and map from the columns id and text, a step for each part of the texts."""
+    spark = texts.sparkSession
+    weights, seen = first_weights(), np.zeros((2, GATES, LEVELS))
+    shared = spark.sparkContext.broadcast(parts)
+    for part in range(PARTS):
+        now = weights
+
+        def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            model, sums = None, None
+            for runs in _runs_of(batches):
+                model = model or Model(shared.value, now, flat_map())
+                found = model.step(runs)
+                sums = found if sums is None else sums + found
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["at", "sums"])
+            del model
+            give_back()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for batch in batches:
+                for b in batch.column(1):
+                    found = np.frombuffer(b.as_buffer())
+                    sums = found if sums is None else sums + found
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        chosen = texts.where(F.pmod(F.xxhash64("id"), F.lit(PARTS)) == part).select("text")
+        rows = chosen.mapInArrow(run, "at int, sums binary").repartition(SUMS, "at").mapInArrow(add, "sums binary").collect()
+        if rows:
+            weights, came = stepped(weights, np.sum([np.frombuffer(r.sums) for r in rows], axis=0))
+            seen = seen * 0.1 + came  # what old weights predicted counts for little
+    return weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
 
 
 class Places(dict):
@@ -380,50 +346,40 @@ class Places(dict):
         return found
 
 
-COUNTS = [f"n_{k}" for k in range(CLASSES)]
-
-
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds. A block's words: block, idx, word, and their counts in training texts of each class. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(_classes(docs, doc_id, text))
+    """Rows of two kinds. A block's words: block, idx, word, and n, their count in training texts. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
-        place = Places()
-        ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
-        names = ["block", "idx", "word", *COUNTS, "doc_ids", "held_out", "sizes", "bytes", "tokens"]
-        types = (pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * CLASSES, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+        block, pack, kind = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1), pa.null()
+        names = ["block", "idx", "word", "n", "doc_ids", "held_out", "sizes", "bytes", "tokens"]
+        place, ids, tests, sizes, lengths, tokens, learned = Places(), [], [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block, place, ids, tests, sizes, lengths, tokens, learned
-            n, logs = len(place), shared.value
-            of_word = logs[np.array([word_class_hash(w) for w in place], np.int64)]
-            classes = np.array([int(of_word[t].sum(axis=0).argmax()) for t in tokens])
-            counts = []
-            for k in range(CLASSES):
-                own = [t for t, x, c in zip(tokens, learned, classes, strict=True) if x and c == k]
-                counts.append(np.bincount(np.concatenate(own), minlength=n) if own else np.zeros(n, np.int64))
+            n = len(place)
+            own = [t for t, x in zip(tokens, learned, strict=True) if x]
+            counts = np.bincount(np.concatenate(own), minlength=n) if own else np.zeros(n, np.int64)
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
             words = pa.array(list(place), pa.binary()).cast(pa.string())
             none = [pa.nulls(n, t) for t in types[-5:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, *map(pa.array, counts), *none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts), *none], names=names)
             packed = pack.compress(np.concatenate(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, *[None] * CLASSES, ids, tests, sizes, lengths, packed), types, strict=True)], names=names)
-            block, place = block + 1, Places()
-            ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, None, ids, tests, sizes, lengths, packed), types, strict=True)], names=names)
 
         held = size = 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            kind = batch.column(0).type
+            for i, rest, t in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = words_of(t.as_py())
-                rest = None if i is None else zlib.crc32(str(i).encode()) % MODULUS
                 new = len(words) + 1
                 if ids and (held + new > BLOCK_TOKENS or size > BLOCK_BYTES):
                     yield from flush()
+                    block, place = block + 1, Places()
+                    ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
                     held = size = 0
                 tokens.append(np.array([*map(place.__getitem__, words), place[b""]], np.int32))
-                ids.append(i)
+                ids.append(i.as_py())
                 tests.append(rest == HELD_OUT)
                 learned.append(rest is not None and rest != HELD_OUT)
                 sizes.append(new)
@@ -434,38 +390,22 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         del place, tokens
         give_back()
 
-    small_batches(docs.sparkSession)
-    schema = "block long, idx int, word string, " + ", ".join(f"{c} long" for c in COUNTS) + ", doc_ids array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-
+    rows = docs.select(F.col(doc_id).alias("doc_id"), crc_mod(doc_id, MODULUS).alias("rest"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"block long, idx int, word string, n long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary")
 
-def class_odds(words: list[bytes], counts: np.ndarray, endings: np.ndarray) -> np.ndarray:
-    """log10 of how much more often each word comes in each class than over all. counts: by word and class; endings: by ending and class."""
-    whole = endings.sum(axis=0) + 1e-9
-    prior = whole / whole.sum()
-    of_ending = endings[ending_hash(words)] if len(words) else np.zeros((0, CLASSES))
-    by_ending = (of_ending + 4 * prior) / (of_ending.sum(axis=1, keepdims=True) + 4)
-    own = (counts + ENDING_WEIGHT * by_ending) / (counts.sum(axis=1, keepdims=True) + ENDING_WEIGHT)
-    return np.log10(np.maximum(own, 1e-6) / np.maximum(prior, 1e-6))
 
-
-def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability. tokens: of all texts, one after the other; price: log10 of a word's probability; odds: class_odds by word; prior: log10 of the classes' shares."""
-    out, ends, first, ten = [], np.cumsum(sizes), 0, math.log(10)
-    price, odds, prior = price * ten, odds * ten, prior * ten
-    ratio = np.exp(odds)
+def mixed(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability. tokens: numbers of the words of all texts, one after the other; price: natural logarithm of each as spelled; often: each one's frequency in training."""
+    out, ends, first = [], np.cumsum(sizes), 0
     while first < len(sizes):
         base = int(ends[first] - sizes[first])
         last = max(first + 1, int(np.searchsorted(ends, base + SLICE, "right")))
-        part = tokens[base : int(ends[last - 1])]
-        n, begins = len(part), (ends[first:last] - sizes[first:last] - base).astype(np.int64)
+        cut = slice(base, int(ends[last - 1]))
+        part, n = tokens[cut], int(ends[last - 1]) - base
+        begins = (ends[first:last] - sizes[first:last] - base).astype(np.int64)
         text = np.repeat(np.arange(last - first), sizes[first:last])
         place = np.arange(n) - begins[text]
-        before = np.cumsum(odds[part], axis=0) - odds[part]
-        before += (prior - before[begins])[text]  # the classes' log-odds before each word
-        before -= before.max(axis=1, keepdims=True)
-        weight = np.exp(before, out=before)
-        likely = price[part] + np.log((weight * ratio[part]).sum(axis=1) / weight.sum(axis=1))
         # how often the word came before in its text
         key = text.astype(np.int64) * (int(part.max()) + 1) + part
         order = np.argsort(key, kind="stable")
@@ -473,177 +413,61 @@ def gated(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, odds: np.nda
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         seen = np.empty(n, np.int64)
         seen[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        own, plain, start = seen / np.maximum(place, 1), np.exp(likely), place == 0
-        sums = np.stack([np.add.reduceat(likely if r == 0 else np.where(start, likely, np.log(np.maximum((1 - r) * plain + r * own, 1e-300))), begins) for r in REPEATS])
+        own = seen / np.maximum(place, 1)
+        spelled, sums = np.exp(price[cut].astype(np.float64)), []
+        for f in FREQUENT:
+            plain = np.maximum((1 - f) * spelled + f * often[cut], 1e-300)
+            for r in REPEATS:
+                sums.append(np.add.reduceat(np.log(np.where(place == 0, plain, (1 - r) * plain + r * own)), begins))
+        sums = np.stack(sums)
         high = sums.max(axis=0)
-        out.append((high + np.log(np.exp(sums - high).mean(axis=0))) / ten)
+        out.append((high + np.log(np.exp(sums - high).mean(axis=0))) / math.log(10))
         first = last
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
-    """A task's words and counts by class, sorted by coded words."""
-    words, counts = [], []
-    for batch in batches:
-        words += [w.encode() for w in batch.column(0).to_pylist()]
-        counts.append(np.stack([batch.column(k + 1).to_numpy() for k in range(CLASSES)], axis=1))
-    found = np.concatenate(counts).astype(float) if counts else np.zeros((0, CLASSES))
-    order = sorted(range(len(words)), key=lambda i: coded(words[i]))
-    return [words[i] for i in order], found[order]
-
-
-def _tables(types: DataFrame) -> tuple[list[tuple[int, bytes]], dict]:
-    """The predictors' tables as compressed chunks of coded counts, at most 4 * sum(2**SLOT_BITS) bytes, and what lies beyond each task's words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, by_class = _whole(batches)
-        times = by_class.sum(axis=1)
-        tables = [np.zeros((1 << b, 2)) for b in SLOT_BITS]
-        pack = zstandard.ZstdCompressor(level=1)
-        some = np.flatnonzero(times > 0)
-        for bits in groups([words[i] for i in some]):
-            weigh = times[some][bits.owner]
-            for table, slots in zip(tables, bits.slots, strict=True):
-                np.add.at(table.reshape(-1), slots * 2 + bits.ones, weigh)
-        names, parts = [], []
-        for k, table in enumerate(tables):
-            for j, chunk in enumerate(np.split(table, CHUNKS[k])):
-                if chunk.any():
-                    names.append(k << 16 | j)
-                    parts.append(pack.compress(chunk.astype("<f8").tobytes()))
-        if words:
-            endings = np.stack([np.bincount(ending_hash(words), by_class[:, k], minlength=1 << ENDING_BITS) for k in range(CLASSES)], axis=1)
-            names.append(ENDINGS)
-            parts.append(pack.compress(endings.astype("<f8").tobytes()))
-            names.append(-1 - TaskContext.get().partitionId())
-            parts.append(pickle.dumps(Edge(words, times)))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
-        del words, tables, parts
-        give_back()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([part], pa.binary())], names=["chunk", "part"])
-                    continue
-                found = np.frombuffer(unpack.decompress(part), "<f8")
-                sums[name] = sums[name] + found if name in sums else found
-        codes = [pack.compress(s.tobytes() if k == ENDINGS else np.minimum(np.round(np.log2(1 + s) * CODE), 65535).astype("<u2").tobytes()) for k, s in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(codes, pa.binary())], names=["chunk", "part"])
-
-    parts = types.mapInArrow(count, "chunk long, part binary")
-    # a chunk is the sum of as many parts as there are tasks, each of which is added as it comes
-    found = [(r[0], bytes(r[1])) for r in parts.repartition("chunk").mapInArrow(add, "chunk long, part binary").collect()]
-    edges = {-1 - name: pickle.loads(part) for name, part in found if name < 0}
-    return sorted(x for x in found if x[0] >= 0), beyond(edges)
-
-
-#: The name of the chunk of endings.
-ENDINGS = 255 << 16
-
-
-def open_endings(parts: list[tuple[int, bytes]]) -> np.ndarray:
-    for name, part in parts:
-        if name == ENDINGS:
-            return np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<f8").reshape(-1, CLASSES)
-    return np.zeros((1 << ENDING_BITS, CLASSES))
-
-
-def open_tables(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    tables, unpack = [np.zeros((1 << b, 2), np.float32) for b in SLOT_BITS], zstandard.ZstdDecompressor()
-    for name, part in parts:
-        if name == ENDINGS:
-            continue
-        k, j = name >> 16, name & 0xFFFF
-        rows = (1 << SLOT_BITS[k]) // CHUNKS[k]
-        codes = np.frombuffer(unpack.decompress(part), "<u2").reshape(-1, 2)
-        tables[k][j * rows : (j + 1) * rows] = np.exp2(codes / CODE) - 1
-    return tables
-
-
-def fit(types: DataFrame) -> tuple[list, dict, np.ndarray, np.ndarray]:
-    """Tables, what lies beyond each task's words, weights and map, from all words of types (word, c), which is dealt by ranges."""
-    spark = types.sparkSession
-    parts, outside = _tables(types)
-    shared = spark.sparkContext.broadcast((parts, outside))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, by_class = _whole(batches)
-        times = by_class.sum(axis=1)
-        if times.sum():
-            chunks, around = shared.value
-            weights, seen = learn(open_tables(chunks), words, times, Trie(words, times, around.get(TaskContext.get().partitionId())))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (weights.tobytes(), seen.tobytes())] + [pa.array([float((times > 0).sum())])], names=["weights", "seen", "total"])
-        del words
-        give_back()
-
-    rows = types.mapInArrow(run, "weights binary, seen binary, total double").collect()  # a row of some kB for each task
-    if not rows:
-        return parts, outside, np.zeros((GATES, INPUTS)), flat_map()
-    total = math.fsum(r["total"] for r in rows)
-    weights = sum(np.frombuffer(r["weights"]).reshape(GATES, INPUTS) * (r["total"] / total) for r in rows)
-    seen = sum(np.frombuffer(r["seen"]).reshape(2, GATES, LEVELS) for r in rows)
-    return parts, outside, weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
-
-
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each document.
 
     base_score: log10 of the words' smoothed frequencies; score: log10 of the model's probability of the text, its words with their ends and its own end.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    trained = docs.where(crc_mod(doc_id, MODULUS) != HELD_OUT).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    parts = count_contexts(trained.select("text"))
+    model = spark.sparkContext.broadcast((parts, *learn(trained, parts)))
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
-    words = blocks.where("idx >= 0").select("block", "idx", "word", *COUNTS)
-    whole = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
-    counted = stored(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "types")
-    n_words, n_train, n_types = counted.agg(F.count("*"), F.coalesce(F.sum(whole), F.lit(0)), F.count_if(whole > 0)).first()
-    types = cut(counted.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word").sortWithinPartitions("word"))
-    fitted = fit(types)
-    model = spark.sparkContext.broadcast(fitted)
-    endings = open_endings(fitted[0]).sum(axis=0) + 1e-9
-    prior = np.log10(np.maximum(endings / endings.sum(), 1e-6))
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, by_class = _whole(batches)
-        if words:
-            times = by_class.sum(axis=1)
-            parts, outside, weights, refined = model.value
-            found = Model(open_tables(parts), weights, refined).costs(words, Trie(words, times, outside.get(TaskContext.get().partitionId())))
-            odds = np.clip(np.round(class_odds(words, by_class, open_endings(parts)) * FINE), -32000, 32000).astype("<i2")
-            packed = np.ascontiguousarray(odds).view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(found), pa.array(packed)], names=["word", "c", "cost", "odds"])
-        del words
-        give_back()
-
-    costs = types.mapInArrow(cost, "word string, c long, cost double, odds long")
-    known = words.select("block", "idx", "word").join(costs, "word").select("block", "idx", "c", "cost", "odds")
-    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[3 + CLASSES :])
+    words = blocks.where("idx >= 0").select("block", "idx", "word", "n")
+    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    n_train, n_types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    known = words.select("block", "idx", "word").join(counted, "word").select("block", "idx", "word", "c")
+    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[4:])
     base = math.log10(n_train + n_types + 1)
-    unpack = zstandard.ZstdDecompressor
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def add_up(words: pa.Table, texts: pa.Table) -> pa.Table:
         """A block's texts; its words are as many as the block's size allows."""
+        spelled = Model(*model.value)
         order = np.argsort(words.column("idx").to_numpy())
-        c, price = words.column("c").to_numpy()[order], words.column("cost").to_numpy()[order]
-        logs, out = np.log10(c + 1.0) - base, []
-        odds = np.ascontiguousarray(words.column("odds").to_numpy()[order]).view("<i2").reshape(-1, CLASSES) / FINE
-        for ids, tests, sizes, lengths, tokens in zip(*(texts.column(x).to_pylist() for x in ("doc_ids", "held_out", "sizes", "bytes", "tokens")), strict=True):
-            flat = np.frombuffer(unpack().decompress(tokens), np.int32)
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            total = gated(flat, np.array(sizes, np.int64), price, odds, prior)
-            columns = (ids, tests, sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at), np.full(len(ids), n_train), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / np.array(lengths))
-            out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, SCORES.types, strict=True)], schema=SCORES))
+        c = words.column("c").to_numpy()[order]
+        data = words.column("word").cast(pa.binary()).to_pylist()
+        data = [data[i] + b" " if data[i] else b"\n" for i in order]
+        widths, logs, often = np.array([len(w) for w in data]), np.log10(c + 1.0) - base, c / max(n_train, 1)
+        column_of = lambda name: texts.column(name).combine_chunks()
+        doc_ids, out = column_of("doc_ids").flatten(), []
+        sizes = np.asarray(column_of("sizes").flatten())
+        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(column_of("tokens")[0].as_py()), np.int32)
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        laid = laid_out([b"".join([data[i] for i in flat[a : a + n].tolist()]) for a, n in zip(at, sizes, strict=True)])
+        starts = np.concatenate([[0], np.cumsum(widths[flat])[:-1]])
+        total = mixed(flat, sizes.astype(np.int64), np.add.reduceat(spelled.prices(*laid), starts, dtype=np.float64), often[flat])
+        columns = [doc_ids, column_of("held_out").flatten(), pa.array(sizes.astype(np.int64))]
+        columns += [pa.array(np.add.reduceat((c > 0)[flat].astype(np.int64), at)), pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(np.add.reduceat(logs[flat], at))]
+        columns += [pa.array(total), pa.array(-total * math.log2(10) / np.asarray(column_of("bytes").flatten()))]
+        out = pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        del spelled, laid, data
         give_back()
-        return pa.concat_tables(out) if out else SCORES.empty_table()
+        return out
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return known.groupBy("block").cogroup(kept.groupBy("of")).applyInArrow(add_up, schema)

@@ -130,48 +130,128 @@ def test_scores_of_words(docs_of, empty, monkeypatch):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.held_out) == (3, 0, 0, 0.0, False)
 
 
-def test_trie_counts_and_task_edges():
-    rng = random.Random(9)
-    words = sorted({"".join(rng.choices("abé", k=rng.randrange(1, 6))).encode() for _ in range(120)} | {b"", b"x" * 90}, key=context_mixing.coded)
-    counts = np.array([rng.randrange(0, 5) for _ in words], float)
-    whole = context_mixing.Trie(words, counts)
-    bits = next(context_mixing.groups(words, 1 << 30))
-    own, other = whole.around(bits)
-    flat = ["".join(f"{b:08b}" for b in context_mixing.coded(w)[: context_mixing.TRIE_BYTES]) for w in words]
-    for j in rng.sample(range(len(bits.ones)), 400):
-        o, at = bits.owner[j], bits.at[j]
-        if at >= len(flat[o]):
-            assert own[j] == other[j] == 0
-            continue
-        before = flat[o][:at]
-        assert own[j] == sum(c for f, c in zip(flat, counts, strict=True) if f.startswith(flat[o][: at + 1]))
-        assert own[j] + other[j] == sum(c for f, c in zip(flat, counts, strict=True) if f.startswith(before))
-    cuts = [0, 1, 7, 60, 61, len(words)]
-    edges = {k: context_mixing.Edge(words[a:b], counts[a:b]) for k, (a, b) in enumerate(itertools.pairwise(cuts))}
-    outside = context_mixing.beyond(edges)
-    for k, (a, b) in enumerate(itertools.pairwise(cuts)):
-        part = context_mixing.Trie(words[a:b], counts[a:b], outside[k])
-        for i in range(a, b):
-            n = whole.depth[i] + 1
-            assert np.allclose(part.below[part.start[i - a] : part.start[i - a] + n], whole.below[whole.start[i] : whole.start[i] + n])
-
-
-def test_model_is_a_distribution():
-    words = [b"", b"ab", b"abc", b"b", b"ca"]
-    counts = np.array([4.0, 9, 3, 5, 1])
-    tables = [np.zeros((1 << b, 2), np.float32) for b in context_mixing.SLOT_BITS]
-    for bits in context_mixing.groups(words):
-        for table, slots in zip(tables, bits.slots, strict=True):
-            np.add.at(table.reshape(-1), slots * 2 + bits.ones, counts[bits.owner])
-    weights, seen = context_mixing.learn(tables, words, counts, context_mixing.Trie(words, counts))
-    model = context_mixing.Model(tables, weights, (seen[0] + 20 * context_mixing.flat_map()) / (seen[1] + 20))
-    every = sorted({bytes(w) for n in range(3) for w in itertools.product(b"abcd", repeat=n)}, key=context_mixing.coded)
-    known = np.array([dict(zip(words, counts, strict=True)).get(w, 0) for w in every])
-    full = [*every, b"abc"]
-    order = sorted(range(len(full)), key=lambda i: context_mixing.coded(full[i]))
-    full, known = [full[i] for i in order], np.array([*known, 3.0])[order]
-    total = (10 ** model.costs(full, context_mixing.Trie(full, known))).sum()
-    assert 0.5 < total <= 1 + 1e-9
+def plain_slots(before, byte):
+    """By predictor, the (slot, bit) of each bit of a byte after the bytes before, in plain Python."""
+    m, out, context = (1 << 64) - 1, [], 0
+    odd, more = int(context_mixing._ODD), int(context_mixing._MORE)
+    for k, bits in enumerate(context_mixing.SLOT_BITS):
+        context = (context * 521 + before[-k - 1] + 1) & m
+        mixed = ((context + k) * odd) & m
+        mixed ^= mixed >> 29
+        own = []
+        for i in range(8):
+            x = (mixed + ((1 << i) | (byte >> (8 - i))) * more) & m
+            x ^= x >> 31
+            own.append((((x * odd) & m) >> (64 - bits), byte >> (7 - i) & 1))
+        out.append(own)
+    return out
+
+
+def plain_bytes(text):
+    """Each byte of a text as it is coded, with the bytes before it."""
+    data = context_mixing.PAD + b"".join(w + b" " for w in text.lower().encode().split()) + b"\n"
+    return [(data[:i], data[i]) for i in range(len(context_mixing.PAD), len(data))]
+
+
+TEXTS = ["red apple pie", "a red apple", "Red APPLE pie and more", "", "blue sky " * 30, "é ü", "red apple pie"]
+
+
+def plain_model(parts):
+    """Tables of counts' codes, weights that differ, and a map that isn't flat."""
+    rng = np.random.default_rng(6)
+    weights = context_mixing.first_weights() + rng.normal(0, 0.1, (context_mixing.GATES, context_mixing.INPUTS))
+    return context_mixing.Model(parts, weights, np.clip(context_mixing.flat_map() ** 1.1, 0.001, 0.999))
+
+
+def test_contexts_are_counted(spark):
+    parts = context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    want = [collections.Counter() for _ in context_mixing.SLOT_BITS]
+    for t in TEXTS:
+        for before, byte in plain_bytes(t):
+            for k, own in enumerate(plain_slots(before, byte)):
+                want[k].update(own)
+    for table, counts in zip(context_mixing.Model(parts, context_mixing.first_weights(), context_mixing.flat_map()).tables, want, strict=True):
+        codes = np.zeros((len(table), 2), np.uint8)
+        for (slot, bit), n in counts.items():
+            codes[slot, bit] = round(8 * math.log2(1 + n))
+        assert (table.view(np.uint8).reshape(-1, 2) == codes).all()
+
+
+def plain_price(model, before, byte):
+    """Natural logarithm of the byte's probability, bit by bit."""
+    total, every = 0.0, plain_slots(before, byte)
+    for i in range(8):
+        x, gate = [], int(before[-1] <= 0x20)
+        for k, own in enumerate(every):
+            code = int(model.tables[k][own[i][0]])
+            zero, one = 2 ** ((code & 255) / 8) - 1, 2 ** ((code >> 8) / 8) - 1
+            x.append(math.log((one + context_mixing.PRIOR) / (zero + context_mixing.PRIOR)))
+            if k >= 2:
+                gate = gate * 3 + (0 if zero + one < 0.5 else 1 if min(zero, one) < 0.5 else 2)
+        odds = max(-18.0, min(18.0, float(np.dot([*x, 0.3], model.weights[gate]))))
+        p, at = 1 / (1 + math.exp(-odds)), (odds + context_mixing.REACH) * (context_mixing.LEVELS - 1) / (2 * context_mixing.REACH)
+        if abs(odds) < context_mixing.REACH:
+            at = min(max(at, 0), context_mixing.LEVELS - 1.001)
+            row = model.refined[gate]
+            p = (p + 3 * (row[int(at)] * (1 - at % 1) + row[int(at) + 1] * (at % 1))) / 4
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        total += math.log(p if every[0][i][1] else 1 - p)
+    return total
+
+
+@pytest.mark.parametrize("at_a_time", [40, 1 << 20])
+def test_prices_equal_bit_by_bit_ones(spark, monkeypatch, at_a_time):
+    model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
+    monkeypatch.setattr(context_mixing, "PRICE_BYTES", at_a_time)
+    texts = [*TEXTS, "red sky é", "zzz"]
+    got = model.prices(*context_mixing.laid_out([context_mixing.coded(context_mixing.words_of(t)) for t in texts]))
+    want = [plain_price(model, before, byte) for t in texts for before, byte in plain_bytes(t)]
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
+def test_next_bytes_chances_sum_to_one(spark):
+    model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
+    for before in (context_mixing.PAD, b"red a", b"apple", b" pie ", b"zz\xc3\xa9"):
+        flat = np.frombuffer(b"".join((context_mixing.PAD + before)[-5:] + bytes([b]) for b in range(256)), np.uint8)
+        got = model.prices(flat, np.arange(len(flat)) % 6 == 5)
+        assert len(got) == 256 and abs(np.exp(got.astype(float)).sum() - 1) < 1e-3
+
+
+def test_long_texts_are_learned_by_segments(monkeypatch):
+    data = b"some words and some more " * 20 + b"\n"
+    whole = context_mixing._segments([(data, 0)])
+    cut = context_mixing._segments([(data[max(0, a - 5) : a + 37], min(a, 5)) for a in range(0, len(data), 37)])
+    assert [x.tolist() for x in whole.bytes] == [x.tolist() for x in cut.bytes] and whole.times.tolist() == cut.times.tolist()
+
+
+def test_learning_finds_the_better_weights(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["salt water", "fresh bread", "cold wind", "warm fire"], k=20)) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    parts = context_mixing.count_contexts(table.select("text"))
+    weights, refined = context_mixing.learn(table, parts)
+    runs = context_mixing._segments([(context_mixing.coded(context_mixing.words_of(t)), 0) for t in texts[:50]])
+    laid = context_mixing.laid_out([context_mixing.coded(context_mixing.words_of(t)) for t in texts[:50]])
+    before = context_mixing.Model(parts, context_mixing.first_weights(), context_mixing.flat_map())
+    after = context_mixing.Model(parts, weights, refined)
+    assert len(runs) and after.prices(*laid).sum() > before.prices(*laid).sum()
+
+
+def test_one_model_whatever_the_tasks_and_held_out_texts(spark, docs_of):
+    rng = random.Random(5)
+    pairs = ["north wind", "south sea", "old house", "new road", "high tower"]
+    texts = [" ".join(rng.choices(pairs, k=12)) for _ in range(150)]
+    ids = list(range(1000, 1150))
+    more = [i for i in range(5000, 5200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    score = lambda d: {r.doc_id: r.score for r in context_mixing.score(d).collect()}
+    one, many = score(docs_of(texts, ids).repartition(1)), score(docs_of(texts + ["quite other words"] * len(more), ids + more).repartition(6))
+    assert all(abs(one[i] - many[i]) < 1e-3 * abs(one[i]) for i in ids)
+    # what words follow each other counts
+    held = [i for i in range(6000, 6100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    fluent = "north wind old house south sea new road high tower"
+    turned = "wind tower north road house new old sea high south"
+    both = score(docs_of([*texts, fluent, turned], ids + held))
+    assert both[held[0]] > both[held[1]] + 2
 
 
 def test_scores_of_held_out_text(spark, data):
@@ -180,44 +260,47 @@ def test_scores_of_held_out_text(spark, data):
     assert len(got) > 10 and per_byte < 3
 
 
-def brute_gated(text, price, odds, prior):
-    """Word by word: classes' chances, a text's own words, and chances of each share of these."""
-    chances, shares = 10.0**prior / (10.0**prior).sum(), {r: 1 / len(context_mixing.REPEATS) for r in context_mixing.REPEATS}
+def brute_mixed(text, price, often):
+    """Word by word: the chances of each share of training words and of a text's own."""
+    shares = {(f, r): 1 / (len(context_mixing.REPEATS) * len(context_mixing.FREQUENT)) for f in context_mixing.FREQUENT for r in context_mixing.REPEATS}
     total = 0.0
     for t, w in enumerate(text):
-        likely = 10 ** price[w] * (chances * 10.0 ** odds[w]).sum()
-        chances = chances * 10.0 ** odds[w]
-        chances /= chances.sum()
-        each = {r: (1 - r) * likely + r * text[:t].count(w) / t if t else likely for r in shares}
-        now = sum(shares[r] * each[r] for r in shares)
-        shares = {r: shares[r] * each[r] / now for r in shares}
+        each = {}
+        for f, r in shares:
+            plain = (1 - f) * math.exp(price[t]) + f * often[t]
+            each[f, r] = (1 - r) * plain + r * text[:t].count(w) / t if t else plain
+        now = sum(shares[k] * each[k] for k in shares)
+        shares = {k: shares[k] * each[k] / now for k in shares}
         total += math.log10(now)
     return total
 
 
-def test_gates_equal_word_by_word_sums(monkeypatch):
+def test_mixture_equals_word_by_word_sums(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(context_mixing, "SLICE", 25)
     sizes = np.array([1, 7, 30, 2, 11, 40, 1])
-    tokens, price = rng.integers(0, 9, sizes.sum()).astype(np.int32), -3 * rng.random(9)
-    odds, prior = rng.normal(0, 0.3, (9, context_mixing.CLASSES)), np.log10(np.array([0.4, 0.3, 0.2, 0.1]))
-    got = context_mixing.gated(tokens, sizes, price, odds, prior)
+    tokens, price, often = rng.integers(0, 9, sizes.sum()).astype(np.int32), -3 * rng.random(sizes.sum()), rng.random(sizes.sum()) / 20
+    got = context_mixing.mixed(tokens, sizes, price, often)
     ends = np.cumsum(sizes)
-    want = [brute_gated(tokens[e - n : e].tolist(), price, odds, prior) for e, n in zip(ends, sizes, strict=True)]
+    want = [brute_mixed(tokens[e - n : e].tolist(), price[e - n : e], often[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
     assert np.allclose(got, want)
 
 
-def test_classes_of_text_are_found():
-    rng = np.random.default_rng(5)
-    kinds = [[f"{c}{i}".encode() for i in range(40)] for c in "wxyz"]
-    rows, truth = [], []
-    for i in range(200):
-        words = rng.choice(kinds[i % 4], 50)
-        rows.append(np.bincount([context_mixing.word_class_hash(w) for w in words], minlength=1 << context_mixing.CLASS_BITS))
-        truth.append(i % 4)
-    found = (np.array(rows, float) @ context_mixing.find_classes(np.array(rows, float))).argmax(axis=1)
-    assert len({(t, f) for t, f in zip(truth, found.tolist(), strict=True)}) == 4
-    assert not context_mixing.find_classes(np.zeros((0, 1 << context_mixing.CLASS_BITS))).any()
+def test_mixture_is_a_distribution():
+    """Over what can come next: the words of a closed vocabulary, whose spelled chances and frequencies sum to one."""
+    rng = np.random.default_rng(3)
+    spelled, often = rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(6))
+    for held in ([], [1], [1, 4, 1, 0]):
+        tokens = np.array([x for w in range(6) for x in (*held, w)], np.int32)
+        sizes = np.full(6, len(held) + 1)
+        total = (10 ** context_mixing.mixed(tokens, sizes, np.log(spelled)[tokens], often[tokens])).sum()
+        before = 10 ** context_mixing.mixed(np.array(held, np.int32), np.array([len(held)]), np.log(spelled)[held], often[held])[0] if held else 1.0
+        assert abs(total - before) < 1e-9
+
+
+def test_scores_of_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", None), (None, "x")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in context_mixing.score(docs).collect()) == [("None", 2), ("a", 3), ("b", 1)]
 
 
 def test_model_beats_the_base_on_held_out_text(spark, data):
