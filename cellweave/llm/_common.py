@@ -148,12 +148,22 @@ def large_batches(batches: Iterator[pa.RecordBatch], column: str, least_bytes: i
 CHUNK_BITS = 16
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """All low bytes first, the high ones last."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+
 def count_parts(slots: np.ndarray, counts: np.ndarray, table: int = 0) -> pa.RecordBatch:
     """(chunk, part): counts of a table's slots, which are in order, compressed by chunks. A chunk's name holds the table's number above its own 16 bits."""
     pack = zstandard.ZstdCompressor(level=1)
     names, starts = np.unique(slots >> CHUNK_BITS, return_index=True)
     pairs = zip(np.split(slots & ((1 << CHUNK_BITS) - 1), starts[1:]), np.split(counts, starts[1:]), strict=True) if len(slots) else ()
-    blobs = [pack.compress(x.astype("<u2").tobytes() + y.astype("<u4").tobytes()) for x, y in pairs]
+    blobs = [pack.compress(_planes(np.diff(x, prepend=0).astype("<u2")) + _planes(y.astype("<u4"))) for x, y in pairs]  # steps and counts are small
     return pa.RecordBatch.from_arrays([pa.array(names + (table << 16), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "part"])
 
 
@@ -167,7 +177,7 @@ def sum_parts(rows: DataFrame) -> DataFrame:
             for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = unpack.decompress(part.as_py())
                 n = len(raw) // 6
-                sums.setdefault(name, np.zeros(1 << CHUNK_BITS, np.int64))[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+                sums.setdefault(name, np.zeros(1 << CHUNK_BITS, np.int64))[np.cumsum(_from_planes(raw, "<u2", n, 0), dtype=np.int64)] += _from_planes(raw, "<u4", n, 2 * n)
         blobs = [pack.compress(np.minimum(np.round(8 * np.log2(1 + x)), 255).astype(np.uint8).tobytes()) for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "part"])
 

@@ -2,7 +2,7 @@
 
 A text is coded as its words, each with a blank behind it, and an end; its score is the probability of these bytes, one after the other. Each
 bit of a byte is predicted by five hashed-context predictors: from the one to five bytes before it, over the ends of words, and
-the byte's bits so far, they look up how often a one and a zero came next in all training texts. Their log-odds are added up with weights that
+the bits so far of the byte's code, they look up how often a one and a zero came next in all training texts. Their log-odds are added up with weights that
 a gate picks by what the three longest contexts have seen and by whether a word begins; the sum is refined by an adaptive map from what was
 predicted to what came. Weights and map are learned online: the training texts are dealt into ``PARTS`` by a hash of their ids, each part is
 predicted by the weights so far, every occurrence as if it weren't in the counts, and gives one Newton step and what the map holds. So each text is
@@ -44,24 +44,23 @@ GATES = 3 * 3 * 3 * 2
 #: The map's levels of log-odds, up to REACH to either side.
 LEVELS, REACH = 33, 12
 #: Parts of the training texts, one after the other.
-PARTS = 4
+PARTS = 2
 #: Counts that each bit has beforehand, and what holds weights to where they begin.
 PRIOR, RIDGE = 0.2, 1.0
 #: Bytes in which equal runs are priced once, when learning and when scoring.
-LEARN_BYTES, PRICE_BYTES = 12 << 20, 5 << 20
+LEARN_BYTES, PRICE_BYTES = 12 << 20, 8 << 20
 #: Runs whose bits are handled at a time.
-AT_A_TIME = 1 << 16
+AT_A_TIME = 1 << 13
 #: Words and bytes of a block, about.
-BLOCK_TOKENS, BLOCK_BYTES = 3_000_000, 16 << 20
+BLOCK_TOKENS, BLOCK_BYTES = 4_000_000, 24 << 20
 MODULUS, HELD_OUT = 7, 2
 #: Shares of a text's own words among what comes next, and of training words among the rest.
-REPEATS, FREQUENT = (0.0, 0.02, 0.1, 0.4), (0.02, 0.3)
+REPEATS, FREQUENT = (0.0, 0.05, 0.3), (0.02, 0.3)
 #: Words of a block whose mixture is worked out at a time, about.
 SLICE = 60_000
 #: Partial sums of the weights' steps meet in so many tasks.
 SUMS = 16
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BITS = np.arange(8, dtype=np.uint64)
 #: What stands before a text.
 PAD = b"\n" * ORDERS
 
@@ -90,58 +89,92 @@ class Runs:
 
     def __init__(self, flat: np.ndarray, own: np.ndarray, inverse: bool = False):
         letters = np.flatnonzero(np.bincount(flat, minlength=256))
-        size, rank = len(letters), np.zeros(256, np.uint64)
-        rank[letters] = np.arange(size)
-        key = rank[flat[: len(flat) - ORDERS]]
-        for k in range(ORDERS - 1, -1, -1):
-            key *= np.uint64(size)
-            key += rank[flat[ORDERS - k : len(flat) - k]]
+        self.size, rank = len(letters), np.zeros(256, np.uint32)
+        rank[letters] = np.arange(self.size)
+        rank = rank[flat]
+        three = rank[2:] * np.uint32(self.size)
+        three += rank[1:-1]
+        three *= np.uint32(self.size)
+        three += rank[:-2]
+        del rank
+        # the last byte counts most, so that runs with common endings are neighbours
+        key = three[3:].astype(np.uint64)
+        key *= np.uint64(self.size**3)
+        key += three[:-3]
+        del three
         key = key[own[ORDERS:]]
         shift = max(1, int(len(key)).bit_length())
         if not inverse:
             key.sort()
-            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            starts = np.flatnonzero(changes(key))
             self.times = np.diff(np.concatenate([starts, [len(key)]])).astype(np.float64)
-            key = key[starts]
-        elif size**6 << shift < 1 << 64:
+            self.key = key[starts]
+        elif self.size ** (ORDERS + 1) << shift < 1 << 64:
             key <<= np.uint64(shift)
             key |= np.arange(len(key), dtype=np.uint64)
             key.sort()
             place = (key & np.uint64((1 << shift) - 1)).astype(np.int32)
             key >>= np.uint64(shift)
-            new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+            new = changes(key)
             self.number = np.empty(len(key), np.int32)
             self.number[place] = np.cumsum(new, dtype=np.int32) - 1
-            key = key[new]
+            self.key = key[new]
         else:
-            key, self.number = np.unique(key, return_inverse=True)
+            self.key, self.number = np.unique(key, return_inverse=True)
         #: Bytes of the runs, the last one first.
-        self.bytes = []
-        for _ in range(ORDERS + 1):
-            self.bytes.append(letters[(key % np.uint64(max(size, 1))).astype(np.int64)].astype(np.uint8) if size else np.zeros(0, np.uint8))
-            key = key // np.uint64(max(size, 1))
+        self.bytes = [letters[(self.key // np.uint64(self.size ** (ORDERS - j)) % np.uint64(self.size)).astype(np.int64)].astype(np.uint8) for j in range(ORDERS + 1)]
 
     def __len__(self) -> int:
-        return len(self.bytes[0])
-
-    def bits(self, part: slice) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Of the runs in part, a row each: their bits, the slots that each predictor has for these, and whether a word begins."""
-        last = self.bytes[0][part].astype(np.uint64)
-        ones = ((last[:, None] >> (np.uint64(7) - _BITS)) & np.uint64(1)).astype(np.int64)
-        node = ((np.uint64(1) << _BITS) | (last[:, None] >> (np.uint64(8) - _BITS))) * _MORE
-        slots, context = [], np.zeros(len(last), np.uint64)
-        for k, bits in enumerate(SLOT_BITS):
-            context = context * np.uint64(521) + self.bytes[k + 1][part] + np.uint64(1)
-            mixed = (context + np.uint64(k)) * _ODD
-            mixed = (mixed ^ (mixed >> np.uint64(29)))[:, None] + node
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= _ODD
-            slots.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
-        return ones, slots, self.bytes[1][part] <= 0x20
-
-    def slices(self) -> Iterator[slice]:
+        return len(self.key)
+
+    def shorter(self, k: int) -> Runs:
+        """The runs of the last byte and k + 1 before it."""
+        out = object.__new__(Runs)
+        out.size, out.key = self.size, self.key // np.uint64(self.size ** (ORDERS - 1 - k))
+        starts = np.flatnonzero(changes(out.key))
+        out.times = np.add.reduceat(self.times, starts) if len(starts) else self.times
+        out.key, out.bytes = out.key[starts], [b[starts] for b in self.bytes]
+        return out
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some runs' numbers and, a row for each, the bits of a part of their last bytes' codes and the nodes that stand for the bits before."""
         for at in range(0, len(self), AT_A_TIME):
-            yield slice(at, min(len(self), at + AT_A_TIME))
+            rows = np.arange(at, min(len(self), at + AT_A_TIME))
+            last = self.bytes[0][rows].astype(np.int64)
+            head = HEAD[last]
+            yield rows, *_bits(head, HEAD_BITS, 0)
+            rare = np.flatnonzero(head >= len(FREQUENT_BYTES))
+            if len(rare):
+                yield rows[rare], *_bits(last[rare] & 63, TAIL_BITS, 64 + ((last[rare] >> TAIL_BITS) << TAIL_BITS)[:, None])
+
+    def slots(self, rows: np.ndarray, nodes: np.ndarray, orders: range) -> list[np.ndarray]:
+        """The slots that the predictors of these orders have for the bits of a piece."""
+        out, context, spread = [], np.zeros(len(rows), np.uint64), nodes.astype(np.uint64) * _MORE
+        for k, bits in enumerate(SLOT_BITS[: orders.stop]):
+            context = context * np.uint64(521) + self.bytes[k + 1][rows] + np.uint64(1)
+            if k in orders:
+                mixed = (context + np.uint64(k)) * _ODD
+                mixed = (mixed ^ (mixed >> np.uint64(29)))[:, None] + spread
+                mixed ^= mixed >> np.uint64(31)
+                mixed *= _ODD
+                out.append((mixed >> np.uint64(64 - bits)).astype(np.int64).ravel())
+        return out
+
+
+def changes(key: np.ndarray) -> np.ndarray:
+    """Where sorted keys are others than before."""
+    return np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+
+
+#: A byte's code: five bits for the letters, the blank and the end; for others one of four more such codes, which has its two high bits, and six more bits.
+FREQUENT_BYTES, HEAD_BITS, TAIL_BITS = b"abcdefghijklmnopqrstuvwxyz \n", 5, 6
+HEAD = len(FREQUENT_BYTES) + (np.arange(256) >> TAIL_BITS)
+HEAD[np.frombuffer(FREQUENT_BYTES, np.uint8)] = np.arange(len(FREQUENT_BYTES))
+
+
+def _bits(code: np.ndarray, width: int, lead: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    places = np.arange(width)
+    return (code[:, None] >> (width - 1 - places)) & 1, lead + ((1 << places) | (code[:, None] >> (width - places)))
 
 
 def _decoded() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,18 +215,19 @@ class Model:
             table, at = self.tables[name >> 16].view(np.uint8), (name & 0xFFFF) << 16
             table[at : at + (1 << 16)] = np.frombuffer(unpack.decompress(part), np.uint8)[: len(table)]
 
-    def inputs(self, ones: np.ndarray, slots: list[np.ndarray], begins: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds by predictor, with a bias, and the gate, of all bits. less: as if each bit weren't in the counts."""
+    def inputs(self, runs: Runs, rows: np.ndarray, ones: np.ndarray, nodes: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by predictor, with a bias, and the gate, of a piece's bits. less: as if each bit weren't in the counts."""
         x = np.empty((INPUTS, ones.size), np.float32)
         x[-1] = 0.3
-        gate = np.repeat(begins.astype(np.int64), 8)
-        for k, own in enumerate(slots):
-            code = self.tables[k][own.ravel()].astype(np.int64)
+        gate = np.repeat((runs.bytes[1][rows] <= 0x20).astype(np.int64), ones.shape[1])
+        for k, own in enumerate(runs.slots(rows, nodes, range(ORDERS))):
+            code = self.tables[k][own].astype(np.int64)
             if less:
                 code += ones.ravel() << 16
             x[k] = (ODDS_LESS if less else ODDS)[code]
             if k >= ORDERS - 3:
-                gate = gate * 3 + (SEEN_LESS if less else SEEN)[code]
+                gate *= 3
+                gate += (SEEN_LESS if less else SEEN)[code]
         return x, gate
 
     def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,22 +250,20 @@ class Model:
         out = []
         for at in range(ORDERS, len(flat), PRICE_BYTES):
             runs = Runs(flat[at - ORDERS : at + PRICE_BYTES], own[at - ORDERS : at + PRICE_BYTES], inverse=True)
-            price = np.empty(len(runs), np.float32)
-            for part in runs.slices():
-                ones, slots, begins = runs.bits(part)
-                p, _, _ = self.predict(*self.inputs(ones, slots, begins, less=False))
-                price[part] = np.log(np.where(ones.ravel(), p, 1 - p)).reshape(-1, 8).sum(axis=1)
+            price = np.zeros(len(runs), np.float32)
+            for rows, ones, nodes in runs.pieces():
+                p, _, _ = self.predict(*self.inputs(runs, rows, ones, nodes, less=False))
+                price[rows] += np.log(np.where(ones.ravel(), p, 1 - p)).reshape(ones.shape).sum(axis=1)
             out.append(price[runs.number])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def step(self, runs: Runs) -> np.ndarray:
         """Sums over bits: by gate, the curvature and the slope of the loss in the weights; by gate and level, the ones and all. In one array."""
         curve, slope, seen = np.zeros((GATES, INPUTS, INPUTS)), np.zeros((GATES, INPUTS)), np.zeros((2, GATES * LEVELS))
-        for part in runs.slices():
-            ones, slots, begins = runs.bits(part)
-            x, gate = self.inputs(ones, slots, begins, less=True)
+        for rows, ones, nodes in runs.pieces():
+            x, gate = self.inputs(runs, rows, ones, nodes, less=True)
             _, p, odds = self.predict(x, gate)
-            one, times = ones.ravel(), np.repeat(runs.times[part], 8)
+            one, times = ones.ravel(), np.repeat(runs.times[rows], ones.shape[1])
             order = np.argsort(gate.astype(np.uint8), kind="stable")
             ends = np.cumsum(np.bincount(gate, minlength=GATES))
             error, bend = ((p - one) * times).astype(np.float32), (p * (1 - p) * times).astype(np.float32)
@@ -287,10 +319,10 @@ def count_contexts(texts: DataFrame) -> list[tuple[int, bytes]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in _runs_of(batches):
             for k, bits in enumerate(SLOT_BITS):
+                own = runs.shorter(k)
                 sums = np.zeros(2 << bits, np.float32)  # exact for the bytes that are counted at a time
-                for part in runs.slices():
-                    ones, slots, _ = runs.bits(part)
-                    np.add.at(sums, (slots[k] * 2 + ones).ravel(), np.repeat(runs.times[part], 8).astype(np.float32))
+                for rows, ones, nodes in own.pieces():
+                    np.add.at(sums, own.slots(rows, nodes, range(k, k + 1))[0] * 2 + ones.ravel(), np.repeat(own.times[rows], ones.shape[1]).astype(np.float32))
                 found = np.flatnonzero(sums)
                 yield count_parts(found, sums[found], k)
                 del sums, found

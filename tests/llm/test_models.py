@@ -130,6 +130,16 @@ def test_scores_of_words(docs_of, empty, monkeypatch):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.held_out) == (3, 0, 0, 0.0, False)
 
 
+def plain_code(byte):
+    """The bits of a byte's code, each with its node."""
+    common = b"abcdefghijklmnopqrstuvwxyz \n"
+    head = common.index(byte) if byte in common else 28 + (byte >> 6)
+    out = [(head >> (4 - i) & 1, (1 << i) | (head >> (5 - i))) for i in range(5)]
+    if byte not in common:
+        out += [((byte & 63) >> (5 - i) & 1, 64 + (byte >> 6) * 64 + ((1 << i) | ((byte & 63) >> (6 - i)))) for i in range(6)]
+    return out
+
+
 def plain_slots(before, byte):
     """By predictor, the (slot, bit) of each bit of a byte after the bytes before, in plain Python."""
     m, out, context = (1 << 64) - 1, [], 0
@@ -139,10 +149,10 @@ def plain_slots(before, byte):
         mixed = ((context + k) * odd) & m
         mixed ^= mixed >> 29
         own = []
-        for i in range(8):
-            x = (mixed + ((1 << i) | (byte >> (8 - i))) * more) & m
+        for bit, node in plain_code(byte):
+            x = (mixed + node * more) & m
             x ^= x >> 31
-            own.append((((x * odd) & m) >> (64 - bits), byte >> (7 - i) & 1))
+            own.append((((x * odd) & m) >> (64 - bits), bit))
         out.append(own)
     return out
 
@@ -180,7 +190,7 @@ def test_contexts_are_counted(spark):
 def plain_price(model, before, byte):
     """Natural logarithm of the byte's probability, bit by bit."""
     total, every = 0.0, plain_slots(before, byte)
-    for i in range(8):
+    for i in range(len(every[0])):
         x, gate = [], int(before[-1] <= 0x20)
         for k, own in enumerate(every):
             code = int(model.tables[k][own[i][0]])
@@ -209,12 +219,13 @@ def test_prices_equal_bit_by_bit_ones(spark, monkeypatch, at_a_time):
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
 
-def test_next_bytes_chances_sum_to_one(spark):
+def test_next_bytes_chances_sum_to_one_at_most(spark):
     model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
     for before in (context_mixing.PAD, b"red a", b"apple", b" pie ", b"zz\xc3\xa9"):
         flat = np.frombuffer(b"".join((context_mixing.PAD + before)[-5:] + bytes([b]) for b in range(256)), np.uint8)
         got = model.prices(flat, np.arange(len(flat)) % 6 == 5)
-        assert len(got) == 256 and abs(np.exp(got.astype(float)).sum() - 1) < 1e-3
+        total = np.exp(got.astype(float)).sum()
+        assert len(got) == 256 and 0.9 < total < 1 + 1e-4  # codes of escaped letters stand for nothing
 
 
 def test_long_texts_are_learned_by_segments(monkeypatch):
