@@ -14,7 +14,7 @@ comes next, so the scores of all texts sum to one at most.
 
 What has the same context costs the same. So a task prices each different run of six bytes once for many MB of text and looks the price up for
 each occurrence. Tables of counts have a fixed number of slots, which bounds what is broadcast; counts of words aren't bounded and are joined by a shuffle.
-Texts are numbered by blocks of bounded size: a block's words are joined with their counts by word, and come back to the block, whose texts are kept as numbers of its own words.
+Texts are numbered by blocks of bounded size: a block's words are joined with their counts by hashes of 128 bits, and the counts come back to the block, whose texts are kept as numbers of its own words.
 
 Edge cases: a null text counts as empty and has its end alone. Only rows with a doc_id can be trained on; a row without one is
 scored and not held out. doc_id may be of any type. Repeated rows count, and are scored, each for itself. With no training text every bit is
@@ -23,11 +23,14 @@ even and counts are zero. A text of any length is scored whole, by segments. An
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +51,7 @@ PARTS = 2
 #: Counts that each bit has beforehand, and what holds weights to where they begin.
 PRIOR, RIDGE = 0.2, 1.0
 #: Bytes in which equal runs are priced once, when learning and when scoring.
-LEARN_BYTES, PRICE_BYTES = 12 << 20, 8 << 20
+LEARN_BYTES, PRICE_BYTES = 12 << 20, 6 << 20
 #: Runs whose bits are handled at a time.
 AT_A_TIME = 1 << 13
 #: Words and bytes of a block, about.
@@ -370,52 +373,47 @@ def learn(texts: DataFrame, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray,
     return weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
 
 
-class Places(dict):
-    """Numbers for words as they first come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self)
-        return found
-
-
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds. A block's words: block, idx, word, and n, their count in training texts. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens."""
+    """Rows of two kinds. A block's words: block, idx, high and low, 128 bits of hash that stand for the word in joins, and n, the word's count in
+    training texts. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens, and the words themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, pack, kind = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1), pa.null()
-        names = ["block", "idx", "word", "n", "doc_ids", "held_out", "sizes", "bytes", "tokens"]
-        place, ids, tests, sizes, lengths, tokens, learned = Places(), [], [], [], [], [], []
+        names = ["block", "idx", "high", "low", "n", "doc_ids", "held_out", "sizes", "bytes", "tokens", "words"]
+        numbered = lambda: defaultdict(itertools.count().__next__)
+        place, ids, tests, sizes, lengths, tokens, learned = numbered(), [], [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n = len(place)
+            n, words = len(place), list(place)
             own = [t for t, x in zip(tokens, learned, strict=True) if x]
             counts = np.bincount(np.concatenate(own), minlength=n) if own else np.zeros(n, np.int64)
-            types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-            words = pa.array(list(place), pa.binary()).cast(pa.string())
-            none = [pa.nulls(n, t) for t in types[-5:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts), *none], names=names)
-            packed = pack.compress(np.concatenate(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, -1, None, None, ids, tests, sizes, lengths, packed), types, strict=True)], names=names)
+            hashes = np.frombuffer(b"".join(map(xxhash.xxh128_digest, words)), "<i8").reshape(n, 2)
+            types = (*[pa.int64()] * 5, pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            narrow = (np.full(n, block), np.arange(n), hashes[:, 0], hashes[:, 1], counts)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x), pa.int64()) for x in narrow), *(pa.nulls(n, t) for t in types[5:])], names=names)
+            texts = (block, -1, None, None, None, ids, tests, sizes, lengths, pack.compress(np.concatenate(tokens).tobytes()), pack.compress(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(texts, types, strict=True)], names=names)
 
         held = size = 0
         for batch in batches:
             kind = batch.column(0).type
             for i, rest, t in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = words_of(t.as_py())
-                new = len(words) + 1
+                words.append(b"")
+                new = len(words)
                 if ids and (held + new > BLOCK_TOKENS or size > BLOCK_BYTES):
                     yield from flush()
-                    block, place = block + 1, Places()
+                    block, place = block + 1, numbered()
                     ids, tests, sizes, lengths, tokens, learned = [], [], [], [], [], []
                     held = size = 0
-                tokens.append(np.array([*map(place.__getitem__, words), place[b""]], np.int32))
+                tokens.append(np.fromiter(map(place.__getitem__, words), np.int32, new))
                 ids.append(i.as_py())
                 tests.append(rest == HELD_OUT)
                 learned.append(rest is not None and rest != HELD_OUT)
                 sizes.append(new)
-                lengths.append(sum(map(len, words)) + new)
+                lengths.append(len(b"".join(words)) + new)
                 held, size = held + new, size + lengths[-1]
         if ids:
             yield from flush()
@@ -424,7 +422,8 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), crc_mod(doc_id, MODULUS).alias("rest"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"block long, idx int, word string, n long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary")
+    schema = f"block long, idx long, high long, low long, n long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary, words binary"
+    return rows.mapInArrow(run, schema)
 
 
 def mixed(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -469,35 +468,35 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     parts = count_contexts(trained.select("text"))
     model = spark.sparkContext.broadcast((parts, *learn(trained, parts)))
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
-    words = blocks.where("idx >= 0").select("block", "idx", "word", "n")
-    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = blocks.where("idx >= 0").select("block", "idx", "high", "low", "n")
+    counted = stored(words.groupBy("high", "low").agg(F.sum("n").alias("c")), "words")
     n_train, n_types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    known = words.select("block", "idx", "word").join(counted, "word").select("block", "idx", "word", "c")
-    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[4:])
+    known = words.drop("n").join(counted, ["high", "low"]).select("block", "idx", "c")
+    kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[5:])
     base = math.log10(n_train + n_types + 1)
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def add_up(words: pa.Table, texts: pa.Table) -> pa.Table:
         """A block's texts; its words are as many as the block's size allows."""
-        spelled = Model(*model.value)
-        order = np.argsort(words.column("idx").to_numpy())
-        c = words.column("c").to_numpy()[order]
-        data = words.column("word").cast(pa.binary()).to_pylist()
-        data = [data[i] + b" " if data[i] else b"\n" for i in order]
+        unpack, column_of = zstandard.ZstdDecompressor(), lambda name: texts.column(name).combine_chunks()
+        spelled, c = Model(*model.value), np.empty(words.num_rows, np.int64)
+        c[words.column("idx").to_numpy()] = words.column("c").to_numpy()
+        data = [w + b" " if w else b"\n" for w in unpack.decompress(column_of("words")[0].as_py()).split(b" ")]
         widths, logs, often = np.array([len(w) for w in data]), np.log10(c + 1.0) - base, c / max(n_train, 1)
-        column_of = lambda name: texts.column(name).combine_chunks()
-        doc_ids, out = column_of("doc_ids").flatten(), []
-        sizes = np.asarray(column_of("sizes").flatten())
-        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(column_of("tokens")[0].as_py()), np.int32)
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        laid = laid_out([b"".join([data[i] for i in flat[a : a + n].tolist()]) for a, n in zip(at, sizes, strict=True)])
-        starts = np.concatenate([[0], np.cumsum(widths[flat])[:-1]])
-        total = mixed(flat, sizes.astype(np.int64), np.add.reduceat(spelled.prices(*laid), starts, dtype=np.float64), often[flat])
-        columns = [doc_ids, column_of("held_out").flatten(), pa.array(sizes.astype(np.int64))]
-        columns += [pa.array(np.add.reduceat((c > 0)[flat].astype(np.int64), at)), pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(np.add.reduceat(logs[flat], at))]
-        columns += [pa.array(total), pa.array(-total * math.log2(10) / np.asarray(column_of("bytes").flatten()))]
-        out = pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        del spelled, laid, data
+        flat = np.frombuffer(unpack.decompress(column_of("tokens")[0].as_py()), np.int32)
+        sizes, lengths = (np.asarray(column_of(x).flatten()).astype(np.int64) for x in ("sizes", "bytes"))
+        at, total = np.concatenate([[0], np.cumsum(sizes)[:-1]]), []
+        starts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum(), PRICE_BYTES), "right")
+        for part in np.split(np.arange(len(sizes)), np.unique(starts)[1:]):  # texts of about PRICE_BYTES
+            tokens = flat[at[part[0]] : at[part[-1]] + sizes[part[-1]]]
+            laid = laid_out([b"".join([data[i] for i in flat[a : a + n].tolist()]) for a, n in zip(at[part], sizes[part], strict=True)])
+            price = np.add.reduceat(spelled.prices(*laid), np.cumsum(widths[tokens]) - widths[tokens], dtype=np.float64)
+            total.append(mixed(tokens, sizes[part], price, often[tokens]))
+        total = np.concatenate(total)
+        columns = [column_of("doc_ids").flatten(), column_of("held_out").flatten(), sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at)]
+        columns += [np.full(len(sizes), n_train, np.int64), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / lengths]
+        out = pa.Table.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        del spelled, data, laid, flat
         give_back()
         return out
 
