@@ -14,7 +14,7 @@ comes next, so the scores of all texts sum to one at most.
 
 What has the same context costs the same. So a task prices each different run of six bytes once for many MB of text and looks the price up for
 each occurrence. Tables of counts have a fixed number of slots, which bounds what is broadcast; counts of words aren't bounded and are joined by a shuffle.
-Texts are numbered by blocks of bounded size: a block's words are joined with their counts by hashes of 128 bits, and the counts come back to the block, whose texts are kept as numbers of its own words.
+Texts are numbered by blocks of bounded size: a block's words are joined with their counts by hashes of 80 bits, and the counts come back to the block, whose texts are kept as numbers of its own words.
 
 Edge cases: a null text counts as empty and has its end alone. Only rows with a doc_id can be trained on; a row without one is
 scored and not held out. doc_id may be of any type. Repeated rows count, and are scored, each for itself. With no training text every bit is
@@ -51,7 +51,7 @@ PARTS = 2
 #: Counts that each bit has beforehand, and what holds weights to where they begin.
 PRIOR, RIDGE = 0.2, 1.0
 #: Bytes in which equal runs are priced once, when learning and when scoring.
-LEARN_BYTES, PRICE_BYTES = 12 << 20, 6 << 20
+LEARN_BYTES, PRICE_BYTES = 10 << 20, 6 << 20
 #: Runs whose bits are handled at a time.
 AT_A_TIME = 1 << 13
 #: Words and bytes of a block, about.
@@ -64,6 +64,8 @@ SLICE = 60_000
 #: Partial sums of the weights' steps meet in so many tasks.
 SUMS = 16
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: A-Z lower-cased, white space as blanks.
+PLAIN = bytes(0x20 if chr(i) in " \t\n\v\f\r" else i for i in range(256)).lower()
 #: What stands before a text.
 PAD = b"\n" * ORDERS
 
@@ -72,9 +74,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def coded(words: list[bytes]) -> bytes:
-    """A text's bytes: no coded text begins another."""
-    return b" ".join(words) + b" \n" if words else b"\n"
+def coded(text: str | None) -> bytes:
+    """A text's bytes: its words with a blank behind each, and an end. No coded text begins another."""
+    data = (text or "").encode("utf-8", "replace").translate(PLAIN).strip(b" ")
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data + b" \n" if data else b"\n"
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +95,8 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Runs:
     """The different runs of six bytes in flat that end in an own byte: five bytes of context and the byte itself. number: of each own byte, its run's."""
 
-    def __init__(self, flat: np.ndarray, own: np.ndarray, inverse: bool = False):
-        letters = np.flatnonzero(np.bincount(flat, minlength=256))
+    def __init__(self, flat: np.ndarray, own: np.ndarray, inverse: bool = False, letters: np.ndarray | None = None):
+        letters = np.flatnonzero(np.bincount(flat, minlength=256)) if letters is None else letters
         self.size, rank = len(letters), np.zeros(256, np.uint32)
         rank[letters] = np.arange(self.size)
         rank = rank[flat]
@@ -139,10 +144,11 @@ class Runs:
         out.key, out.bytes = out.key[starts], [b[starts] for b in self.bytes]
         return out
 
-    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Some runs' numbers and, a row for each, the bits of a part of their last bytes' codes and the nodes that stand for the bits before."""
-        for at in range(0, len(self), AT_A_TIME):
-            rows = np.arange(at, min(len(self), at + AT_A_TIME))
+    def pieces(self, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of all or the chosen runs, some runs' numbers and, a row for each, the bits of a part of their last bytes' codes and the nodes that stand for the bits before."""
+        chosen = np.arange(len(self)) if chosen is None else chosen
+        for at in range(0, len(chosen), AT_A_TIME):
+            rows = chosen[at : at + AT_A_TIME]
             last = self.bytes[0][rows].astype(np.int64)
             head = HEAD[last]
             yield rows, *_bits(head, HEAD_BITS, 0)
@@ -207,6 +213,14 @@ def first_weights() -> np.ndarray:
     return weights
 
 
+class Known:
+    """Prices of runs in the order of their keys, which are made of the letters in flat."""
+
+    def __init__(self, flat: np.ndarray):
+        self.letters = np.flatnonzero(np.bincount(flat, minlength=256))
+        self.key, self.price = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+
 class Model:
     """Tables, weights and map."""
 
@@ -248,16 +262,20 @@ class Model:
         mapped = table[cell] * (1 - at) + table[cell + 1] * at
         return np.clip(np.where(np.abs(odds) < REACH, (p + 3 * mapped) / 4, p), 1e-6, 1 - 1e-6), p, odds
 
-    def prices(self, flat: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the own bytes' probabilities."""
-        out = []
+    def prices(self, flat: np.ndarray, own: np.ndarray, known: Known | None = None) -> np.ndarray:
+        """Natural logarithms of the own bytes' probabilities. known: prices that are there already, to which new ones are added."""
+        known, out = known or Known(flat), []
         for at in range(ORDERS, len(flat), PRICE_BYTES):
-            runs = Runs(flat[at - ORDERS : at + PRICE_BYTES], own[at - ORDERS : at + PRICE_BYTES], inverse=True)
+            part = slice(at - ORDERS, at + PRICE_BYTES)
+            runs = Runs(flat[part], own[part], inverse=True, letters=known.letters)
+            place = np.searchsorted(known.key, runs.key)
+            new = np.flatnonzero(known.key[np.minimum(place, len(known.key) - 1)] != runs.key) if len(known.key) else np.arange(len(runs))
             price = np.zeros(len(runs), np.float32)
-            for rows, ones, nodes in runs.pieces():
+            for rows, ones, nodes in runs.pieces(new):
                 p, _, _ = self.predict(*self.inputs(runs, rows, ones, nodes, less=False))
                 price[rows] += np.log(np.where(ones.ravel(), p, 1 - p)).reshape(ones.shape).sum(axis=1)
-            out.append(price[runs.number])
+            known.key, known.price = np.insert(known.key, place[new], runs.key[new]), np.insert(known.price, place[new], price[new])
+            out.append(known.price[np.searchsorted(known.key, runs.key)][runs.number])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def step(self, runs: Runs) -> np.ndarray:
@@ -295,7 +313,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
     texts, held = [], 0
     for batch in batches:
         for t in batch.column(0):
-            data = coded(words_of(t.as_py()))
+            data = coded(t.as_py())
             for at in range(0, len(data), LEARN_BYTES):
                 texts.append((data[max(0, at - ORDERS) : at + LEARN_BYTES], min(at, ORDERS)))
                 held += len(texts[-1][0])
@@ -321,14 +339,15 @@ def count_contexts(texts: DataFrame) -> list[tuple[int, bytes]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in _runs_of(batches):
-            for k, bits in enumerate(SLOT_BITS):
-                own = runs.shorter(k)
-                sums = np.zeros(2 << bits, np.float32)  # exact for the bytes that are counted at a time
+            for k in range(ORDERS):
+                own, found = runs.shorter(k), []
                 for rows, ones, nodes in own.pieces():
-                    np.add.at(sums, own.slots(rows, nodes, range(k, k + 1))[0] * 2 + ones.ravel(), np.repeat(own.times[rows], ones.shape[1]).astype(np.float32))
-                found = np.flatnonzero(sums)
-                yield count_parts(found, sums[found], k)
-                del sums, found
+                    times = np.repeat(own.times[rows].astype(np.int64), ones.shape[1])
+                    found.append((own.slots(rows, nodes, range(k, k + 1))[0] * 2 + ones.ravel()) << 32 | times)
+                found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                slots = found >> 32
+                starts = np.flatnonzero(changes(slots))
+                yield count_parts(slots[starts], np.add.reduceat(found & 0xFFFFFFFF, starts), k) if len(starts) else count_parts(slots, slots, k)
         give_back()
 
     rows = texts.mapInArrow(count, "chunk long, part binary")
@@ -373,8 +392,11 @@ def learn(texts: DataFrame, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray,
     return weights, (seen[0] + 20 * flat_map()) / (seen[1] + 20)
 
 
+NARROW = (pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int64())
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds. A block's words: block, idx, high and low, 128 bits of hash that stand for the word in joins, and n, the word's count in
+    """Rows of two kinds. A block's words: block, idx, high and low, 80 bits of hash that stand for the word in joins, and n, the word's count in
     training texts. Its texts: idx -1, doc_ids, held_out, sizes, bytes, tokens, and the words themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +411,10 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             n, words = len(place), list(place)
             own = [t for t, x in zip(tokens, learned, strict=True) if x]
             counts = np.bincount(np.concatenate(own), minlength=n) if own else np.zeros(n, np.int64)
-            hashes = np.frombuffer(b"".join(map(xxhash.xxh128_digest, words)), "<i8").reshape(n, 2)
-            types = (*[pa.int64()] * 5, pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            narrow = (np.full(n, block), np.arange(n), hashes[:, 0], hashes[:, 1], counts)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x), pa.int64()) for x in narrow), *(pa.nulls(n, t) for t in types[5:])], names=names)
+            hashes = np.frombuffer(b"".join(map(xxhash.xxh128_digest, words)), [("high", "<i8"), ("low", "<i2"), ("rest", "V6")])
+            types = (*NARROW, pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            narrow = (np.full(n, block), np.arange(n, dtype=np.int32), hashes["high"], hashes["low"], counts)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x), t) for x, t in zip(narrow, NARROW, strict=True)), *(pa.nulls(n, t) for t in types[5:])], names=names)
             texts = (block, -1, None, None, None, ids, tests, sizes, lengths, pack.compress(np.concatenate(tokens).tobytes()), pack.compress(b" ".join(words)))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(texts, types, strict=True)], names=names)
 
@@ -422,7 +444,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), crc_mod(doc_id, MODULUS).alias("rest"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, idx long, high long, low long, n long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary, words binary"
+    schema = f"block long, idx int, high long, low smallint, n long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary, words binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -485,18 +507,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         widths, logs, often = np.array([len(w) for w in data]), np.log10(c + 1.0) - base, c / max(n_train, 1)
         flat = np.frombuffer(unpack.decompress(column_of("tokens")[0].as_py()), np.int32)
         sizes, lengths = (np.asarray(column_of(x).flatten()).astype(np.int64) for x in ("sizes", "bytes"))
-        at, total = np.concatenate([[0], np.cumsum(sizes)[:-1]]), []
+        at, total, known = np.concatenate([[0], np.cumsum(sizes)[:-1]]), [], Known(np.frombuffer(PAD + b"".join(data), np.uint8))
         starts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum(), PRICE_BYTES), "right")
         for part in np.split(np.arange(len(sizes)), np.unique(starts)[1:]):  # texts of about PRICE_BYTES
             tokens = flat[at[part[0]] : at[part[-1]] + sizes[part[-1]]]
             laid = laid_out([b"".join([data[i] for i in flat[a : a + n].tolist()]) for a, n in zip(at[part], sizes[part], strict=True)])
-            price = np.add.reduceat(spelled.prices(*laid), np.cumsum(widths[tokens]) - widths[tokens], dtype=np.float64)
+            price = np.add.reduceat(spelled.prices(*laid, known), np.cumsum(widths[tokens]) - widths[tokens], dtype=np.float64)
             total.append(mixed(tokens, sizes[part], price, often[tokens]))
         total = np.concatenate(total)
         columns = [column_of("doc_ids").flatten(), column_of("held_out").flatten(), sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at)]
         columns += [np.full(len(sizes), n_train, np.int64), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / lengths]
         out = pa.Table.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        del spelled, data, laid, flat
+        del spelled, data, laid, flat, known
         give_back()
         return out
 

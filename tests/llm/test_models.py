@@ -187,6 +187,12 @@ def test_contexts_are_counted(spark):
         assert (table.view(np.uint8).reshape(-1, 2) == codes).all()
 
 
+def test_texts_are_coded_by_words():
+    for t in [*TEXTS, None, " \t ", "A\n\n\v b\u00a0\u2003C\x1c d ", "x" * 9, "\ud800 e"]:
+        words = context_mixing.words_of(t)
+        assert context_mixing.coded(t) == b"".join(w + b" " for w in words) + b"\n"
+
+
 def plain_price(model, before, byte):
     """Natural logarithm of the byte's probability, bit by bit."""
     total, every = 0.0, plain_slots(before, byte)
@@ -214,7 +220,7 @@ def test_prices_equal_bit_by_bit_ones(spark, monkeypatch, at_a_time):
     model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
     monkeypatch.setattr(context_mixing, "PRICE_BYTES", at_a_time)
     texts = [*TEXTS, "red sky é", "zzz"]
-    got = model.prices(*context_mixing.laid_out([context_mixing.coded(context_mixing.words_of(t)) for t in texts]))
+    got = model.prices(*context_mixing.laid_out([context_mixing.coded(t) for t in texts]))
     want = [plain_price(model, before, byte) for t in texts for before, byte in plain_bytes(t)]
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
@@ -241,8 +247,8 @@ def test_learning_finds_the_better_weights(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     parts = context_mixing.count_contexts(table.select("text"))
     weights, refined = context_mixing.learn(table, parts)
-    runs = context_mixing._segments([(context_mixing.coded(context_mixing.words_of(t)), 0) for t in texts[:50]])
-    laid = context_mixing.laid_out([context_mixing.coded(context_mixing.words_of(t)) for t in texts[:50]])
+    runs = context_mixing._segments([(context_mixing.coded(t), 0) for t in texts[:50]])
+    laid = context_mixing.laid_out([context_mixing.coded(t) for t in texts[:50]])
     before = context_mixing.Model(parts, context_mixing.first_weights(), context_mixing.flat_map())
     after = context_mixing.Model(parts, weights, refined)
     assert len(runs) and after.prices(*laid).sum() > before.prices(*laid).sum()
