@@ -156,6 +156,8 @@ def nearest_label(text: Column, labels: tuple[str, ...] = fields.DIAGNOSIS_LABEL
 def atom(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
     """The canonical string of one value given as text; null if it's absent."""
     trimmed = F.trim(F.regexp_replace(text, "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", ""))
+    own = (aliases or {}).get("Primary diagnosis", {}).values()
+    labels = tuple(sorted({*fields.DIAGNOSIS_LABELS, *(x for x in own if x)}))
     diagnosis, treatment, design = field.isin(*fields.DIAGNOSES), field == "Type of treatments", field == "Type of SCED design"
     steps: list[Callable[[Column], Column]] = [
         gender_counts,
@@ -167,7 +169,7 @@ def atom(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
         lambda t: alias(t, field, aliases),
         lambda t: F.when(treatment, alias(F.trim(F.regexp_replace(t, "\\s+(?:treatment|intervention|medication)$", "")), field, aliases)).otherwise(t),
         lambda t: F.when(design, alias(F.replace(t, F.lit("multiple-baseline"), F.lit("multiple baseline")), field, aliases)).otherwise(t),
-        lambda t: F.when(diagnosis, nearest_label(t)).otherwise(t),
+        lambda t: F.when(diagnosis, nearest_label(t, labels)).otherwise(t),
     ]
 
     def run(t: Column) -> Column:

@@ -77,10 +77,11 @@ def by_author_and_year(studies: DataFrame, files: DataFrame) -> DataFrame:
 def by_containment(studies: DataFrame, files: DataFrame, chunk: int = 4) -> DataFrame:
     """(study, file): the file with the shortest name of those whose slug contains the study's, or the other way; ties by name.
 
-    Candidates share the first chunk of the shorter slug with any chunk of the longer one."""
+    Candidates share the first chunk of the shorter slug, or all of it if it's shorter than that, with a piece of the longer one."""
     s = studies.select("study", slug(F.col("study")).alias("a")).where("a <> ''")
     f = files.select("file", slug(stem(F.col("file"))).alias("b")).where("b <> ''")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - chunk + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(chunk))))
+    pieces = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(w)))
+    grams = lambda c: F.array_distinct(F.concat(*(pieces(c, w) for w in range(1, chunk + 1))))
     inside = s.withColumn("g", F.substring("a", 1, chunk)).join(f.withColumn("g", F.explode(grams(F.col("b")))), "g").where(F.contains("b", F.col("a")))
     around = s.withColumn("g", F.explode(grams(F.col("a")))).join(f.withColumn("g", F.substring("b", 1, chunk)), "g").where(F.contains("a", F.col("b")))
     return inside.select("study", "file").union(around.select("study", "file")).groupBy("study").agg(F.min(F.struct(F.length("file").alias("n"), "file"))["file"].alias("file"))
@@ -130,8 +131,12 @@ def blocks_for(keys: DataFrame, block_files: DataFrame, prefix: int = 50) -> Dat
     k = keys.select("key", slug(stem(F.col("key"))).alias("a"))
     f = block_files.select("file", slug(F.regexp_replace("file", "_blocks\\.json$", "")).alias("b"))
     full = k.join(f, k["a"] == f["b"]).select("key", "file", F.lit(0).alias("rank"))
-    head = F.substring("a", 1, 8) == F.substring("b", 1, 8)
-    near = k.join(f, head & (F.startswith("b", F.substring("a", 1, prefix)) | F.startswith("a", F.substring("b", 1, prefix)))).select("key", "file", F.lit(1).alias("rank"))
+    # the shorter one's first eight characters, or all of it, are a beginning of the longer one
+    begins = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda w: F.substring(F.col(c), F.lit(1), w)))).alias("head")
+    cut = lambda c: F.substring(c, 1, 8).alias("head")
+    one = k.where("a <> ''").select("*", cut("a")).join(f.select("*", begins("b")), "head").where(F.startswith("b", F.substring("a", 1, prefix)))
+    other = f.where("b <> ''").select("*", cut("b")).join(k.select("*", begins("a")), "head").where(F.startswith("a", F.substring("b", 1, prefix)))
+    near = one.select("key", "file", F.lit(1).alias("rank")).union(other.select("key", "file", F.lit(1).alias("rank")))
     best = full.union(near).groupBy("key").agg(F.min(F.struct("rank", "file"))["file"].alias("file"))
     return keys.select("key").join(best, "key", "left")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import text
-from cellweave.functions.normalize import value_set
+from cellweave.functions.normalize import atom, plain_keys, value_set
 
 CASES = [
     ("Country", '"USA"', ["united states"]),
@@ -63,6 +63,14 @@ def test_own_aliases_come_first(spark):
     assert got == [["elsewhere"], ["known"], ["united states"]]
 
 
+def test_own_diagnoses_are_labels(spark):
+    aliases = {"Primary diagnosis": {"tourettes": "Tourette syndrome with tics"}}
+    atoms = spark.createDataFrame([("tourette syndrome tics",)], "v string")
+    got = atoms.select(atom(F.col("v"), F.lit("Primary diagnosis"), plain_keys(aliases)).alias("x")).first().x
+    assert got == "tourette syndrome with tics"
+    assert atoms.select(atom(F.col("v"), F.lit("Primary diagnosis")).alias("x")).first().x == "tourette syndrome tics"
+
+
 def test_general_is_twelve_digits(spark):
     numbers = [0.0, 1.0, 3.5, 1e12, 1e15, 123456789.123456, 0.0001, 0.00001234, 999999999999.5, -2.5, 1 / 3, 100.0, 1e-300]
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", text.general(F.col("x")).alias("g")).collect()

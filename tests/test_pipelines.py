@@ -152,3 +152,26 @@ def test_presence_and_flattening(spark):
         eda.flattened(F.create_map(F.lit("age"), F.lit("5"), F.lit("sex"), F.lit(""))).alias("m"),
     ).first()
     assert row.f is None and row.m == ["age:5", "sex"]
+
+
+def test_short_names_match_like_all_with_all(spark):
+    slug = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    studies = ["Wu", "Wu Li", "Ng 2001", "Ono", "Zhang Wei 2014", "Q"]
+    files = ["Wu 2014 trial.pdf", "Ng.pdf", "ono_a.pdf", "on.pdf", "Zhang.pdf", "unrelated.pdf"]
+    names = spark.createDataFrame([(f,) for f in files], "file string")
+    got = {r.study: r.file for r in alignment.by_containment(spark.createDataFrame([(s,) for s in studies], "study string"), names).collect()}
+    want = {}
+    for s in studies:
+        found = [f for f in files if slug(s) in slug(f[:-4]) or slug(f[:-4]) in slug(s)]
+        if found:
+            want[s] = min(found, key=lambda f: (len(f), f))
+    assert got == want and want["Wu"] == "Wu 2014 trial.pdf"
+    keys, blocks = ["Wu.pdf", "Wu 2014 trial.pdf", "Li.pdf", "A long name of a study 1999.pdf"], ["Wu_2014_blocks.json", "W_blocks.json", "A_long_name_of_a_study_blocks.json"]
+    tables = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(b,) for b in blocks], "file string")
+    got = {r.key: r.file for r in alignment.blocks_for(*tables).collect()}
+    want = {}
+    for k in keys:
+        a = slug(k[:-4])
+        found = [(0 if a == b else 1, f) for f in blocks for b in [slug(f.removesuffix("_blocks.json"))] if a == b or b.startswith(a[:50]) or a.startswith(b[:50])]
+        want[k] = min(found)[1] if found else None
+    assert got == want and want["Wu.pdf"] is not None and want["Li.pdf"] is None
