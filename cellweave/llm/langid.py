@@ -1,14 +1,15 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-Every word, a run of letters, gets a label. Its emission scores come from its affixes, its character n-grams, the
+Every word, a run of letters, gets a label; a longer run than ``LONGEST`` is cut into several words, all of which count, so
+clauses of scripts without blanks are read to their ends. Its emission scores come from its affixes, its character n-grams, the
 word itself and a lexicon; learned transitions say how labels follow each other, so that a word which several languages share
 goes with its neighbours, and a text that switches languages is cut where it switches. Forward-backward gives each
 word's label probabilities; a text's language is the label with the largest sum.
 
 The field is trained on at most ``most_docs`` labelled documents (the bound), picked by a hash of their ids with
-an equal share for each label, of each a window of words. Training sequences switch between windows of
+an equal share for each label, of each a window of ``window`` words. Training sequences switch between windows of
 random labels, as code-switched text does. Half of the sample makes the lexicon, the other half is trained on.
-At most ``MOST_LABELS`` labels are learned, the most frequent ones.
+All labels are learned; each takes 2 MB of the driver's memory while it is, so they should be languages.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned. A null label isn't
 learned from, nor is a row with a null doc_id. Repeated rows get equal results; an empty table gives an empty one. Extra
@@ -17,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from cellweave.llm._common import large_batches, text_batches
 
 MOST_DOCS = 4000
-MOST_LABELS = 200
 WINDOW = 160
 HASH_BITS = 17
 CACHE = 400_000
@@ -39,15 +40,15 @@ AT_A_TIME = 12 << 20
 UNKNOWN = "und"
 #: What Python counts to \\w but is neither a letter nor a decimal digit.
 _NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(r"[^\W\d_]+").findall
-#: Characters of a word that its features are made of.
+#: Letters of the longest word.
 LONGEST = 40
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NEXT = np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, lower-cased; long ones in pieces."""
     if not text:
         return []
     text = text.lower()
@@ -61,7 +62,7 @@ def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray,
     and endings of two to five characters with the word's edge counted, and all pairs and triples of characters."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marked = [f"^{w[:LONGEST]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     sizes = np.array([len(m) for m in marked], np.int64)
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
     ends = np.cumsum(sizes)
@@ -236,8 +237,9 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
             beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
         gamma = alpha * beta
         gamma /= gamma.sum(axis=2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * step[:k][None, None] * (emitted[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        # a pair's chance is alpha x step x later over their sum, so the sums of all pairs are one product of matrices
+        before, later = alpha[:, :-1].reshape(-1, k), (emitted[:, 1:] * beta[:, 1:]).reshape(-1, k)
+        pairs = (before / ((before @ step[:k]) * later).sum(axis=1, keepdims=True)).T @ later * step[:k]
         error = gamma.reshape(-1, k).copy()
         error[np.arange(len(error)), marks.ravel()] -= 1
         by_type = sums_by(at, error, len(types))
@@ -248,7 +250,7 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
         seen = np.zeros((k + 1, k))
         np.add.at(seen, (marks[:, :-1].ravel(), marks[:, 1:].ravel()), 1)
         np.add.at(seen, (np.full(batch, k), marks[:, 0]), 1)
-        expected = np.vstack([pair.sum(axis=(0, 1)), gamma[:, 0].sum(axis=0)[None]])
+        expected = np.vstack([pairs, gamma[:, 0].sum(axis=0)[None]])
         change = (expected - seen) / batch + 1e-4 * moves
         move_squares += change**2
         moves -= 0.2 * change / np.sqrt(move_squares)
@@ -256,29 +258,30 @@ def train(samples: list[tuple[str, list[str]]], labels: list[str], epochs: int =
     return Field(labels, lexicon, weights.astype(np.float32), step[:k], step[k])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", most_docs: int = MOST_DOCS) -> Field | None:
-    """Learn from the rows of docs with a label; None if there are none."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", most_docs: int = MOST_DOCS, window: int = WINDOW) -> Field | None:
+    """Learn from the rows of docs with a label; None if there are none. most_docs and window bound the sample."""
     named = docs.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    sizes = {r[0]: r[1] for r in named.groupBy(F.col(label).cast("string")).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
+    sizes = {r[0]: r[1] for r in named.groupBy(F.col(label).cast("string")).count().collect()}
     if not sizes:
         return None
     share = most_docs / len(sizes)
-    bar: Column = F.lit(0)
+    bar: Column = F.when(F.lit(False), 0)
     for value, n in sizes.items():
-        bar = F.when(F.col(label).cast("string") == value, int(min(1.0, share / n) * (1 << 20))).otherwise(bar)
+        bar = bar.when(F.col(label).cast("string") == value, math.ceil(min(1.0, share / n) * (1 << 20)))
     picked = named.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < bar)
 
-    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in batch.column(2):
                 words = words_of(t.as_py())
-                at = zlib.crc32(" ".join(words).encode("utf-8", "replace")) % max(1, len(words) - WINDOW + 1)
-                out.append(" ".join(words[at : at + WINDOW]))
+                at = zlib.crc32(" ".join(words).encode("utf-8", "replace")) % max(1, len(words) - window + 1)
+                out.append(" ".join(words[at : at + window]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.string())], names=["id", "label", "words"])
 
-    taken = picked.select(F.col(doc_id).cast("string"), F.col(label).cast("string"), F.col(text)).mapInArrow(window, "id string, label string, words string")
-    rows = sorted(taken.limit(2 * most_docs).collect(), key=lambda r: (zlib.crc32(r[0].encode()), r[1], r[2]))
+    taken = picked.select(F.col(doc_id).cast("string"), F.col(label).cast("string"), F.col(text)).mapInArrow(cut, "id string, label string, words string")
+    # rows that share an id are picked together, so the bound needs an order of its own
+    rows = sorted(taken.orderBy(F.xxhash64("id", "words"), "id", "label", "words").limit(2 * most_docs).collect(), key=lambda r: (zlib.crc32(r[0].encode()), r[1], r[2]))
     return train([(r[1], r[2].split()) for r in rows], sorted(sizes))
 
 

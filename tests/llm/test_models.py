@@ -52,6 +52,69 @@ def test_language_of_held_out_documents(spark, data):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_features(word, lexicon):
+    """The features of a word one by one, in whole numbers."""
+    top, step, mix = 1 << 64, int(langid._NEXT), int(langid._MIX)
+    marks = [ord(c) + 1 for c in f"^{word}$"]
+
+    def run(at, k):
+        h = marks[at]
+        for c in marks[at + 1 : at + k]:
+            h = (h * step + c) % top
+        return h
+
+    n = len(marks)
+    told = [(1, sum(c * pow(step, i + 1, top) for i, c in enumerate(marks)) % top), (2, min(n, 14)), (3, lexicon.get(word, -1) + 1)]
+    told += [(2 + k, run(i, k)) for k in (2, 3) for i in range(n - k + 1)]
+    told += [x for k in range(2, 6) if n > k for x in ((10 + k, run(0, k)), (20 + k, run(n - k, k)))]
+    mixed = [(v + kind * 0x51ED27) * mix % top for kind, v in told]
+    return [((m ^ (m >> 29)) * mix % top) >> (64 - langid.HASH_BITS) for m in mixed]
+
+
+def plain_language(text, field):
+    """(label, mean probability) of a text, by a forward-backward of logarithms over one word after the other."""
+    words = langid.words_of(text)
+    if not words:
+        return "und", 0.0
+    scores = [sum(field.weights[h].astype(float) for h in plain_features(w, field.lexicon)) for w in words]
+    scores = [np.maximum(x - x.max(), -30) for x in scores]
+    moves, first = np.log(field.transitions.astype(float)), np.log(field.begin.astype(float))
+    forward = [first + scores[0]]
+    for x in scores[1:]:
+        forward.append(np.logaddexp.reduce(forward[-1][:, None] + moves, axis=0) + x)
+    backward = [np.zeros(len(first))]
+    for x in reversed(scores[1:]):
+        backward.append(np.logaddexp.reduce(moves + x + backward[-1], axis=1))
+    both = np.array(forward) + np.array(backward[::-1])
+    sums = np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None]).sum(axis=0)
+    return field.labels[sums.argmax()], sums.max() / len(words)
+
+
+def test_languages_equal_word_by_word_ones(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    field = langid.fit(docs.where("lang IS NOT NULL AND crc32(cast(doc_id AS string)) % 3 <> 1"))
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 5 = 0").collect()}
+    got = {r.doc_id: r for r in queries.op1_langid(spark, data).collect()}
+    for i, t in texts.items():
+        label, score = plain_language(t, field)
+        assert got[i].lang_pred == label and abs(got[i].score - score) < 1e-3
+
+
+def test_long_and_many_labelled_words(docs_of):
+    """Letters beyond a word's longest count, and so does a text's end; there may be many labels."""
+    rng = random.Random(2)
+    words = {f"l{i}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{rng.choice('xyz')}" for _ in range(5)] for i in range(210)}
+    field = langid.train([(x, [rng.choice(w) for _ in range(20)]) for x, w in words.items() for _ in range(2)], sorted(words), epochs=1)
+    assert len(field.labels) == 210
+    two = {"en": ["the", "house", "think"], "de": ["das", "haus", "schön"]}
+    field = langid.train([(x, [rng.choice(w) for _ in range(40)]) for x, w in two.items() for _ in range(20)], ["de", "en"])
+    joined = "".join(["house"] * 8 + ["schön"] * 40)
+    assert "".join(langid.words_of(joined)) == joined and len(langid.words_of(joined)) == 6
+    long = "das haus " + "the think " * 300_000
+    got = sorted(langid.identify(docs_of([joined, long]), field).collect())
+    assert got[0].n_words == 6 and got[0].lang_pred == "de" and got[1].n_words == 600_002 and got[1].lang_pred == "en" and got[1].n_switches == 1
+
+
 def test_language_edge_cases(docs_of, empty):
     words = {"en": ["the", "house", "think"], "de": ["das", "haus", "schön"]}
     rng = random.Random(1)
