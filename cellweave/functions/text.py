@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Mapping
 
@@ -118,10 +119,31 @@ def chunks(text: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+#: The first and the last line of a text that is one code fence of Markdown.
+FENCE_LINES = r"^```[^\n]*(?:\n|$)|(?:^|\n)[^\S\n]*```[^\S\n]*$"
+FENCED = r"```(?:[a-zA-Z]+)?\s*(.*?)```"
+
+
 def without_fence(text: Column) -> Column:
-    """What stands in a Markdown code fence, or the whole text."""
-    inner = F.regexp_extract(text, "(?s)```(?:[a-zA-Z]+)?\\s*(.*?)```", 1)
-    return F.trim(F.when(F.contains(text, F.lit("```")) & (inner != ""), inner).otherwise(text))
+    """An answer without the code fence around it, or what a fence amid prose holds. What begins as JSON is itself, whatever its strings hold."""
+
+    def strip(c: Column) -> Column:
+        return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+    def read(t: Column) -> Column:
+        inner = F.regexp_extract(t, f"(?s){FENCED}", 1)
+        return F.when(t.startswith("```"), F.regexp_replace(t, FENCE_LINES, "")).when(~t.rlike("^[{\\[]") & (inner != ""), inner).otherwise(t)
+
+    return strip(let(strip(text), read))
+
+
+def plain_answer(answer: str) -> str:
+    """without_fence of a text in Python, where an answer comes in."""
+    text = answer.strip()
+    if text.startswith("```"):
+        return re.sub(FENCE_LINES, "", text).strip()
+    found = None if text[:1] in ("{", "[") else re.search(FENCED, text, re.DOTALL)
+    return (found[1] if found and found[1] else text).strip()
 
 
 def split_labels(text: Column) -> Column:

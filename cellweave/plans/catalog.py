@@ -12,7 +12,8 @@ from cellweave.functions.normalize import age, alias, atom, gender_counts, neare
 from cellweave.functions.similarity import cosine, interval, interval_overlap, value_tokens
 from cellweave.operators import alignment, eda, layout, matching, reconcile, sampling, verify
 from cellweave.plans import evaluation, extraction
-from cellweave.sources import records
+from cellweave.sources import records, sinks
+from cellweave.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -341,16 +342,13 @@ def theta_match_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_name || ' Smith, 2001' AS study, c_name || '_2001_final.pdf' AS file FROM customer WHERE c_custkey % 2 = 0""")
+    SELECT translate(lpad(c_custkey::VARCHAR, 8, '0'), '0123456789', 'abcdefghij') || ' Smith, 2001' AS study, 'final ' || translate(lpad(c_custkey::VARCHAR, 8, '0'), '0123456789', 'abcdefghij') || ' 2001.pdf' AS file FROM customer WHERE c_custkey % 2 = 0""")
 def author_year_match(spark: SparkSession, d: str) -> DataFrame:
     """Customers as authors: letters of their number make a name of its own."""
     letters = F.translate(F.lpad(F.col("c_custkey").cast("string"), 8, "0"), "0123456789", "abcdefghij")
-    people = table(spark, d, "customer").select("c_custkey", "c_name", letters.alias("w"))
-    studies = people.select(F.concat("w", F.lit(" Smith, 2001")).alias("study"), "c_name", "w")
+    people = table(spark, d, "customer").select("c_custkey", letters.alias("w"))
     files = people.where("c_custkey % 2 = 0").select(F.concat(F.lit("final "), "w", F.lit(" 2001.pdf")).alias("file"))
-    found = alignment.by_author_and_year(studies.select("study"), files)
-    named = found.join(studies, "study")
-    return named.where(found["file"] == F.concat(F.lit("final "), named["w"], F.lit(" 2001.pdf"))).select(F.concat("c_name", F.lit(" Smith, 2001")).alias("study"), F.concat("c_name", F.lit("_2001_final.pdf")).alias("file"))
+    return alignment.by_author_and_year(people.select(F.concat("w", F.lit(" Smith, 2001")).alias("study")), files)
 
 
 @query("""
@@ -474,7 +472,9 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("key").alias("event_id"), k.cast("string").alias("k"), F.when(k % 2 == 0, "even").otherwise("odd").alias("parity"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM pages)
+    SELECT page_id, (i - 1)::INT AS ord, t[i] AS text FROM p, unnest(generate_series(1, len(t))) AS s(i)""")
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return records.html_blocks(table(spark, d, "pages"))
 
@@ -499,3 +499,227 @@ def likeness_match(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(F.col("n_name").alias("study"))
     files = names.select(F.concat(F.initcap("study"), F.lit("s.pdf")).alias("file"))
     return alignment.match_studies(names, files, ("exact", "slug", "likeness"))
+
+
+SLUG_SQL = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+STEM_SQL = "regexp_replace({0}, '\\.[^.]*$', '')"
+
+
+@query(f"""
+    WITH s AS (SELECT DISTINCT study, {SLUG_SQL.format("study")} AS a FROM (SELECT n_name AS study FROM nation UNION ALL SELECT substring(n_name, 1, 3) FROM nation)),
+    f AS (SELECT file, {SLUG_SQL.format(STEM_SQL.format("file"))} AS b FROM (SELECT n_name || ' in ' || r_name || '.pdf' AS file FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0 UNION ALL SELECT substring(r_name, 1, 2) || '.pdf' FROM region))
+    SELECT study, arg_min(file, (len(file), file)) AS file FROM s JOIN f ON contains(a, b) OR contains(b, a) GROUP BY study""")
+def containment_match(spark: SparkSession, d: str) -> DataFrame:
+    """Whole and clipped names of nations, looked for in names of files that are longer or shorter."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    studies = nation.select(F.explode(F.array("n_name", F.substring("n_name", 1, 3))).alias("study")).distinct()
+    long = nation.where("n_nationkey % 3 <> 0").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("n_name", F.lit(" in "), "r_name", F.lit(".pdf")).alias("file"))
+    return alignment.by_containment(studies, long.union(region.select(F.concat(F.substring("r_name", 1, 2), F.lit(".pdf")))))
+
+
+@query(f"""
+    WITH k AS (SELECT DISTINCT key, {SLUG_SQL.format(STEM_SQL.format("key"))} AS a FROM (SELECT n_name || '.pdf' AS key FROM nation UNION ALL SELECT substring(n_name, 1, 2) || '.pdf' FROM nation)),
+    f AS (SELECT file, {SLUG_SQL.format("regexp_replace(file, '_blocks\\.json$', '')")} AS b FROM (
+        SELECT lower(n_name) || '_blocks.json' AS file FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_name || ' 2001_blocks.json' FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT substring(n_name, 1, 5) || '_blocks.json' FROM nation WHERE n_nationkey % 3 = 2)),
+    m AS (SELECT key, file, CASE WHEN a = b THEN 0 ELSE 1 END AS rank FROM k JOIN f ON starts_with(a, b[1:50]) OR starts_with(b, a[1:50]))
+    SELECT k.key, arg_min(m.file, (m.rank, m.file)) AS file FROM k LEFT JOIN m USING (key) GROUP BY k.key""")
+def blocks_lookup(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    keys = nation.select(F.explode(F.array("n_name", F.substring("n_name", 1, 2))).alias("key")).distinct().select(F.concat("key", F.lit(".pdf")).alias("key"))
+    kind = F.col("n_nationkey") % 3
+    name = F.when(kind == 0, F.lower("n_name")).when(kind == 1, F.concat("n_name", F.lit(" 2001"))).otherwise(F.substring("n_name", 1, 5))
+    return alignment.blocks_for(keys, nation.select(F.concat(name, F.lit("_blocks.json")).alias("file")))
+
+
+@query(f"""
+    WITH c AS (SELECT n_name || ' et al. (' || (1990 + n_nationkey) || ')' AS citation FROM nation), f AS (SELECT lower(n_name) || '_' || (1990 + n_nationkey) || '.pdf' AS file FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name || ' 2001.pdf' FROM nation),
+    a AS (SELECT citation, {SLUG_SQL.format("regexp_extract(trim(citation), '^([^\\s,(&]+)', 1)")} AS author, regexp_extract(citation, '((?:19|20)\\d{{2}})', 1) AS year FROM c)
+    SELECT citation, min(file) AS file FROM a LEFT JOIN f ON contains({SLUG_SQL.format("file")}, author) AND list_contains(regexp_extract_all(file, '(?:19|20)\\d{{2}}'), year) GROUP BY citation""")
+def cited_files(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    year = (F.col("n_nationkey") + 1990).cast("string")
+    dated = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lower("n_name"), F.lit("_"), year, F.lit(".pdf")).alias("file"))
+    return alignment.cited(nation.select(F.concat("n_name", F.lit(" et al. ("), year, F.lit(")")).alias("citation")), dated.union(nation.select(F.concat("n_name", F.lit(" 2001.pdf")))))
+
+
+@query(f"""
+    WITH k AS (SELECT DISTINCT n_regionkey || CASE n_nationkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '' END AS key FROM nation), f AS (SELECT r_regionkey || '.pdf' AS file FROM region WHERE r_regionkey <> 3),
+    s AS (SELECT {STEM_SQL.format("file")} AS stem, min(file) AS file FROM f GROUP BY 1)
+    SELECT k.key, coalesce(f.file, s.file) AS file FROM k LEFT JOIN f ON k.key = f.file LEFT JOIN s ON {STEM_SQL.format("k.key")} = s.stem""")
+def record_files(spark: SparkSession, d: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".txt", ""))), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    keys = table(spark, d, "nation").select(F.concat(F.col("n_regionkey").cast("string"), ending).alias("key")).distinct()
+    files = table(spark, d, "region").where("r_regionkey <> 3").select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".pdf")).alias("file"))
+    return records.resolve_files(keys, files).select("key", "file")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def last_of_each(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.last_of_each(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query(f"""
+    WITH v AS (SELECT doc_id AS key, {VERDICT_SQL} AS verdict, coalesce(lang, '') AS predicted, coalesce(source, '') AS gold, n_chars % 3 = 0 AS good FROM labels JOIN documents USING (doc_id))
+    SELECT CASE WHEN good THEN 'both_suspect' ELSE 'gold_suspect' END AS kind, key, 'text' AS field, predicted, gold, verdict, 'q' || key AS quote FROM v WHERE (good AND verdict = 'contradicted') OR (NOT good AND verdict = 'supported')""")
+def suspect_cells(spark: SparkSession, d: str) -> DataFrame:
+    wrong = (F.col("n_chars") % 3).cast("long")
+    scored = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("text").alias("field"), F.array("lang").alias("predicted"), F.array("source").alias("gold"), F.struct(wrong.alias("fp"), F.lit(0).alias("fn")).alias("score"))
+    return verify.suspects(scored, _verdicts(spark, d).withColumn("quote", F.concat(F.lit("q"), "key")))
+
+
+SETTINGS = {"UC": "university clinic", "S": "school", "NR": "not reported", "OTH": "other"}
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """three_way over orders: three sources' settings, as codes, in wrapped values and in words, and numbers of cases, some of them left out."""
+    k = F.col("o_orderkey")
+    nth = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % 4 + 1).cast("int"))
+    cases = F.to_json(F.struct((k % 3).alias("v")))
+    number = F.get_json_object(cases, "$.v")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    wrapped = F.concat(F.lit('{"value": '), quoted(nth(SETTINGS.values(), k)), F.lit(', "evidence_quote": "q", "page": 3}'))
+    told = {
+        "legacy": [("Study", quoted(F.col("o_orderpriority"))), ("Setting", quoted(nth(SETTINGS, k))), ("Number of Cases", number)],
+        "llm_a": [("Setting", wrapped), ("Number of Cases", F.when(k % 5 != 0, quoted(number)))],
+        "llm_b": [("Setting", F.when(k % 2 == 0, quoted(nth(SETTINGS.values(), k + (k % 7 == 0).cast("int"))))), ("Number of Cases", F.when(k % 2 == 0, number))],
+    }
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    rows = {n: orders.select(k.alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("v")) for f, v in fs))).alias("c")).select("key", "c.field", F.parse_json("c.v").alias("value")).where("value IS NOT NULL") for n, fs in told.items()}
+    return reconcile.three_way(rows, ["Setting", "Number of Cases"])
+
+
+SOURCES_SQL = """
+    WITH o AS (SELECT o_orderkey AS k, trim(o_orderpriority) AS study, ['university clinic', 'school', 'not reported', 'other'] AS w, ['UC', 'S', 'NR', 'OTH'] AS c FROM orders),
+    sets AS (
+        SELECT k AS key, study, 'Setting' AS field, '"' || c[k % 4 + 1] || '"' AS raw, [w[k % 4 + 1]] AS l, [w[k % 4 + 1]] AS a, CASE WHEN k % 2 = 0 THEN [w[(k + (k % 7 = 0)::INT) % 4 + 1]] ELSE [] END AS b, 3 AS page FROM o
+        UNION ALL SELECT k, study, 'Number of Cases', (k % 3)::VARCHAR, [(k % 3)::VARCHAR], CASE WHEN k % 5 <> 0 THEN [(k % 3)::VARCHAR] ELSE [] END, CASE WHEN k % 2 = 0 THEN [(k % 3)::VARCHAR] ELSE [] END, NULL FROM o
+    ), three AS (
+        SELECT *, CASE WHEN l = a AND a = b THEN 'silver_auto' WHEN a = b AND len(a) > 0 THEN 'two_llms_agree_legacy_diff' WHEN l = a THEN 'legacy_llm_a_agree' WHEN l = b THEN 'legacy_llm_b_agree'
+            WHEN len(a) + len(b) = 0 THEN 'one_source_only' ELSE 'all_different' END AS status FROM sets
+    )"""
+
+
+@query(SOURCES_SQL + " SELECT key, study, field, l[1] AS legacy, coalesce(a[1], '') AS llm_a, coalesce(b[1], '') AS llm_b, page::VARCHAR AS page, status FROM three")
+def three_way_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _sources(spark, d).select("key", "study", "field", *(F.array_join(f"{n}.norm", ";").alias(n) for n in reconcile.SOURCES), "llm_a.page", "status")
+
+
+@query(SOURCES_SQL + """ SELECT key, field, raw AS silver_value_json, '["' || l[1] || '"]' AS normalized_value_json, status FROM three WHERE status IN ('silver_auto', 'legacy_llm_b_agree')""")
+def silver_cells(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.silver(_sources(spark, d)).select("key", "field", "silver_value_json", "normalized_value_json", "status")
+
+
+@query(SOURCES_SQL + " SELECT key, field, status, raw AS legacy_value_json, CASE WHEN page IS NULL THEN '' ELSE 'q' END AS evidence_quote FROM three WHERE status NOT IN ('silver_auto', 'legacy_llm_b_agree')")
+def review_cells(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.for_review(_sources(spark, d)).select("key", "field", "status", "legacy_value_json", "evidence_quote")
+
+
+#: (field, value as JSON, its set): hand-worked cases of all kinds of fields.
+VALUE_CASES = (
+    ("Country", '"USA and UK"', "united kingdom;united states"),
+    ("Country", '["The Netherlands", "España"]', "netherlands;spain"),
+    ("Setting", '"UC, S"', "school;university clinic"),
+    ("Setting", '["OPC", null, "UC"]', "outpatient psychiatric center;university clinic"),
+    ("Sample type", '"Ref"', "referred"),
+    ("Primary diagnosis", '"Depression; Specific phobias"', "depression;specific phobia"),
+    ("Comorbid diagnosis / problems", '["n/a", "Enuresis"]', "enuresis"),
+    ("Ethnicity / Race", '"White 3; Asian"', "asian;white"),
+    ("Data availability", '"Diagnosis/ F.A."', "diagnosis;frequent assessment"),
+    ("Type of treatments", '"CBT + parent training"', "behavioral parent training;cognitive behavioral therapy"),
+    ("Treatment directed at", '"Parents"', "parent"),
+    ("Age", '["8", "10.5"]', "8-11"),
+    ("Age", '"8 to 10 years"', "8-10"),
+    ("Gender", '"2 girls and 1 boy"', "female:2|male:1"),
+    ("Number of Cases", "3.50", "3.5"),
+    ("Drop-outs", '"NR"', ""),
+    ("Treatment length", '"about 12 weeks"', "12"),
+    ("Number of sessions", '"8 to 10 sessions"', "8-10"),
+    ("Type of publication", "null", ""),
+    ("Type of SCED design", "true", "true"),
+)
+
+
+@query(f"""
+    WITH c AS (SELECT (row_number() OVER ()) - 1 AS i, field, want FROM (VALUES {", ".join(f"('{f}', '{w}')" for f, _, w in VALUE_CASES)}) AS v(field, want))
+    SELECT c_custkey, field, want AS value FROM customer JOIN c ON c_custkey % {len(VALUE_CASES)} = i""")
+def value_sets(spark: SparkSession, d: str) -> DataFrame:
+    case = F.element_at(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(j).alias("json")) for f, j, _ in VALUE_CASES)), (F.col("c_custkey") % len(VALUE_CASES) + 1).cast("int"))
+    rows = table(spark, d, "customer").select("c_custkey", case.alias("c")).select("c_custkey", "c.field", F.parse_json("c.json").alias("v"))
+    return rows.select("c_custkey", "field", F.array_join(value_set(F.col("v"), F.col("field")), ";").alias("value"))
+
+
+@query("SELECT c_custkey, ['school refusal', 'school refusal', 'tic', 'enuresis'][c_custkey % 4 + 1] AS label FROM customer")
+def own_labels(spark: SparkSession, d: str) -> DataFrame:
+    """One's own diagnoses as aliases and as labels that others can be taken for."""
+    own = {"Primary diagnosis": {"sr": "school refusal"}}
+    value = F.element_at(F.array(*map(F.lit, ("SR", "School refusals", "Tic", "Enuresis problems"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", atom(value, F.lit("Primary diagnosis"), own).alias("label"))
+
+
+@query("SELECT c_custkey, lower(c_mktsegment) AS author, (1950 + c_custkey % 80)::VARCHAR AS year FROM customer")
+def citation_parts(spark: SparkSession, d: str) -> DataFrame:
+    author, year = text.author_year(F.concat(F.lit("  "), "c_mktsegment", F.lit(" & Co ("), (F.col("c_custkey") % 80 + 1950).cast("string"), F.lit(")")))
+    return table(spark, d, "customer").select("c_custkey", author.alias("author"), year.alias("year"))
+
+
+@query("SELECT c_custkey, '{\"n\": ' || c_custkey || '}' AS answer, 'soft ' || c_name || ' x' AS line FROM customer")
+def answers_and_lines(spark: SparkSession, d: str) -> DataFrame:
+    bare = F.concat(F.lit('{"n": '), F.col("c_custkey").cast("string"), F.lit("}"))
+    fenced = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), bare, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+    return table(spark, d, "customer").select("c_custkey", text.without_fence(fenced).alias("answer"), layout.plain_line(F.concat(F.lit("so­ft \t"), "c_name", F.lit("  x "))).alias("line"))
+
+
+@query("SELECT conv_id::VARCHAR AS file, md5(string_agg(text, chr(10) ORDER BY turn)) AS head FROM conversations WHERE turn // 2 <= 1 GROUP BY conv_id")
+def first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as blocks, two to a page; the text of the first pages."""
+    blocks = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("ord"), F.floor(F.col("turn") / 2).alias("page"), "text")
+    return records.document_text(blocks, last_page=1).select("file", F.md5("text").alias("head"))
+
+
+@query("""
+    WITH e AS (SELECT user_id AS doc, (event_id % 2)::INT AS page, event_id AS ord, (event_id * 37) % 500 AS x0, (event_id * 37) % 500 + (event_id * 53) % 250 + 20 AS x1 FROM events),
+    k AS (SELECT *, CASE WHEN (x0 < 270 AND x1 > 330) OR x1 - x0 >= 270 THEN 0 WHEN x0 < 270 THEN 1 ELSE 2 END AS kind FROM e),
+    n AS (SELECT *, count(*) OVER w >= 6 AND count(*) FILTER (kind = 1) OVER w > 0 AND count(*) FILTER (kind = 2) OVER w > 0 AS two, count(*) FILTER (kind = 0) OVER w = 0 AS plain FROM k WINDOW w AS (PARTITION BY doc, page))
+    SELECT doc, page, ord, (CASE WHEN two THEN kind - plain::INT ELSE 0 END)::INT AS "column" FROM n""")
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    x0 = (e * 37 % 500).cast("double")
+    lines = table(spark, d, "events").select(F.col("user_id").alias("doc"), (e % 2).cast("int").alias("page"), e.alias("ord"), x0.alias("x0"), (x0 + e * 53 % 250 + 20).alias("x1"), F.lit(600.0).alias("page_width"))
+    return layout.columns_of(lines).select("doc", "page", "ord", "column")
+
+
+@query("""
+    WITH l AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT key, 'left' AS side FROM l ANTI JOIN r USING (key) UNION ALL SELECT key, 'right' FROM r ANTI JOIN l USING (key)""")
+def one_side_keys(spark: SparkSession, d: str) -> DataFrame:
+    return eda.missing_and_extra(table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("key")), table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key")), "key")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders")
+def present_values(spark: SparkSession, d: str) -> DataFrame:
+    """The first name that is there counts, even if its value is null."""
+    even = F.col("o_orderkey") % 2 == 0
+    names = F.when(even, F.array(F.lit("priority"), F.lit("status"))).otherwise(F.array(F.lit("priority")))
+    held = lambda c: F.when(F.col("o_orderkey") % 3 != 0, F.col(c))
+    return table(spark, d, "orders").select("o_orderkey", eda.first_present(names, F.array(held("o_orderpriority"), held("o_orderstatus")), ("status", "priority")).alias("value"))
+
+
+@query("""
+    SELECT c_custkey || '.pdf' AS key, 'Number of Cases' AS field, (c_custkey % 4)::VARCHAR AS value FROM customer
+    UNION ALL SELECT c_custkey || '.pdf', 'Setting', '"' || c_mktsegment || '"' FROM customer""")
+def json_lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines and scanned again, by key, their headers as fields."""
+    rows = table(spark, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("pdf"), (F.col("c_custkey") % 4).alias("N cases"), F.col("c_mktsegment").alias("Setting"))
+    path = new_folder(spark)
+    sinks.write_json_lines(rows, path)
+    return records.cells(records.records_by_key(records.json_lines(spark, path))).select("key", "field", F.to_json("value").alias("value"))
+
+
+@query("""SELECT n_name || ', "' || n_regionkey || '"' || chr(10) || 'x' AS name, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_nationkey::VARCHAR END AS number FROM nation""")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with quotes, commas, line ends and absent values written as a sheet and scanned again."""
+    name = F.concat("n_name", F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"\nx'))
+    rows = table(spark, d, "nation").select(name.alias("name"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_nationkey").cast("string")).alias("number"))
+    path = new_folder(spark)
+    sinks.write_csv(rows, path, ["name", "number"])
+    return records.csv_rows(spark, path, ["name", "number"])

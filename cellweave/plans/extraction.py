@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import fields
-from cellweave.functions.text import chunks, without_fence
+from cellweave.functions.text import chunks, plain_answer, without_fence
 
 #: (system prompt, user prompt) to an answer.
 Call = Callable[[str, str], str]
@@ -68,9 +68,8 @@ def parsed(call: Call, system: str, prompt: str, tries: int = 3) -> str:
     last: ValueError | None = None
     for _ in range(tries):
         answer = call(system, prompt)
-        found = re.search(r"```(?:[a-zA-Z]+)?\s*(.*?)```", answer, re.DOTALL)
         try:
-            value = json.loads((found[1] if found else answer).strip())
+            value = json.loads(plain_answer(answer))
             if isinstance(value, dict):
                 return json.dumps(value, ensure_ascii=False)
             last = ValueError("the answer is no JSON object")

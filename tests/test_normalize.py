@@ -77,6 +77,22 @@ def test_general_is_twelve_digits(spark):
     assert [r["g"] for r in rows] == [format(r["x"], ".12g") for r in rows]
 
 
+def test_fences(spark):
+    cases = {
+        '```json\n{"a": 1}\n```': '{"a": 1}',
+        ' \n```\n{"a":\n 1}\n  ``` \n': '{"a":\n 1}',
+        '{"a": "```x```"}': '{"a": "```x```"}',
+        '```json\n{"a": "```x```"}\n```': '{"a": "```x```"}',
+        '```json\n{"a": 1}': '{"a": 1}',
+        'Here:\n```json\n{"a": 1}\n```\nDone.': '{"a": 1}',
+        "```": "",
+        " no fence ": "no fence",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.without_fence(F.col("t")).alias("got")).collect()
+    assert {r.t: r.got for r in rows} == cases == {k: text.plain_answer(k) for k in cases}
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.slug(F.lit("A-b 1é")).alias("slug"),
