@@ -8,8 +8,9 @@ Features are chosen and models fitted on at most ``most_rows`` labelled document
 of their ids over all of them; every document is then scored by its whole text.
 
 Edge cases: a null or empty text has no features and isn't rejected unless the models say so for every empty
-text. Labels that are null, or of documents that aren't there, are left out; of rows that repeat a
-doc_id, the largest label counts. Without any labelled document of a category its probability is zero. Each document row gives one row, repeated or not; an
+text. A category is learned from the documents whose label of it isn't null, whatever their other labels are; labels of documents
+that aren't there are left out; of rows that repeat a doc_id, the largest label counts. A probability of exactly the threshold isn't
+rejected. Without any labelled document of a category its probability is zero. Each document row gives one row, repeated or not; an
 empty table gives an empty one. Extra columns pass ``keep_clean`` untouched.
 """
 
@@ -83,15 +84,16 @@ def log_odds(rows: list[np.ndarray], extra: np.ndarray, w: np.ndarray) -> np.nda
 
 
 def train_chain(rows: list[np.ndarray], labels: np.ndarray, width: int, folds: np.ndarray) -> list[np.ndarray]:
-    """A model for each column of labels; earlier log-odds come out of fold."""
+    """A model for each column of labels, of the rows that have one (not -1); earlier log-odds come out of fold."""
     models, extra = [], np.zeros((len(rows), 0))
     for c in range(labels.shape[1]):
-        y = labels[:, c].astype(float)
-        models.append(logistic(rows, extra, y, width))
+        y, known = labels[:, c].astype(float), labels[:, c] >= 0
+        told = np.flatnonzero(known)
+        models.append(logistic([rows[i] for i in told], extra[told], y[told], width))
         if c + 1 < labels.shape[1]:
             out = np.zeros(len(rows))
             for f in range(FOLDS):
-                inside, outside = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+                inside, outside = np.flatnonzero((folds != f) & known), np.flatnonzero(folds == f)
                 fitted = logistic([rows[i] for i in inside], extra[inside], y[inside], width)
                 out[outside] = log_odds([rows[i] for i in outside], extra[outside], fitted)
             extra = np.column_stack([extra, out])
@@ -135,15 +137,15 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", most_rows: int = MOST_ROWS) -> Chain:
-    """Learn from documents with labels; categories are columns of labels with 0 or 1."""
+    """Learn from documents with labels; categories are columns of labels with 0, 1 or null."""
     spark = docs.sparkSession
     small_batches(spark)
     named = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("__cw_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"__cw_{i}") for i, c in enumerate(categories)))
-    named = named.dropna()
+    named = named.dropna("all", subset=[f"__cw_{i}" for i in range(len(categories))])
     total = named.count()
     if total > most_rows:
         named = named.where(F.pmod(F.xxhash64("__cw_id"), F.lit(1 << 20)) < int(0.9 * most_rows / total * (1 << 20)))
-    taken = named.limit(most_rows).collect()
+    taken = named.orderBy(F.xxhash64("__cw_id"), "__cw_id").limit(most_rows).collect()
     if not taken:
         return Chain(categories, [], [])
     wanted = spark.createDataFrame([(r[0],) for r in taken], f"__cw_id {named.schema['__cw_id'].dataType.simpleString()}")
@@ -153,35 +155,39 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
     sample = cut(docs.select(F.col(doc_id).alias("__cw_id"), F.col(text).alias("text")).join(F.broadcast(wanted), "__cw_id", "left_semi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: list[Counter] = [Counter() for _ in range(k + 1)]
+        # documents with a feature, those of each category, and those without a label of it, which are few or none
+        totals: list[Counter] = [Counter() for _ in range(2 * k + 1)]
 
         def rows() -> pa.RecordBatch:
             names = list(totals[0])
             columns = [pa.array(names, pa.string()), *(pa.array([t[f] for f in names], pa.int64()) for t in totals)]
             for t in totals:
                 t.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["feature", "n", *(f"n_{i}" for i in range(k))])
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "n", *(f"n_{i}" for i in range(2 * k))])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = {f for w in words_of(t.as_py()) for f in features_of(w)}
                 totals[0].update(found)
                 for c, y in enumerate(label_of[i]):
-                    if y:
+                    if y is None:
+                        totals[k + c + 1].update(found)
+                    elif y:
                         totals[c + 1].update(found)
             if len(totals[0]) > 1_000_000:
                 yield rows()
         yield rows()
 
-    counts = sample.mapInArrow(count, "feature string, n long, " + ", ".join(f"n_{i} long" for i in range(k)))
+    counts = sample.mapInArrow(count, "feature string, n long, " + ", ".join(f"n_{i} long" for i in range(2 * k)))
     counts = cut(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in counts.columns[1:])).where(F.col("n") >= LEAST_DOCS))
-    n, chosen = len(taken), set()
+    chosen = set()
     for c in range(k):
-        positive = sum(label_of[i][c] for i in label_of)
+        told = [label_of[i][c] for i in label_of if label_of[i][c] is not None]
+        n, positive = len(told), sum(told)
         if 0 < positive < n:
-            with_it, rate = F.col(f"n_{c}"), positive / n
+            with_it, seen, rate = F.col(f"n_{c}"), F.col("n") - F.col(f"n_{k + c}"), positive / n
             # how far the count is from what the category's share would give, in standard deviations
-            far = (with_it - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+            far = F.try_divide(with_it - seen * rate, F.sqrt(seen * rate * (1 - rate)))
             chosen |= {r[0] for r in counts.select("feature", F.abs(far).alias("far")).where(F.col("far") >= LEAST_FAR).orderBy(F.desc("far"), "feature").limit(FEATURES).collect()}
     chain = Chain(categories, sorted(chosen), [])
     shared = spark.sparkContext.broadcast(chain)
@@ -198,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
         return Chain(categories, [], [])
     ids = [r[0] for r in rows]
     folds = np.arange(len(rows)) % FOLDS
-    models = train_chain([np.frombuffer(r[1], "<i4") for r in rows], np.array([label_of[i] for i in ids]), len(chosen), folds)
+    models = train_chain([np.frombuffer(r[1], "<i4") for r in rows], np.array([[-1 if y is None else y for y in label_of[i]] for i in ids]), len(chosen), folds)
     return Chain(categories, sorted(chosen), models)
 
 

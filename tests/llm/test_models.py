@@ -162,6 +162,47 @@ def test_toxicity_chain_generalizes(spark, docs_of, empty):
     assert not any(r.rejected for r in toxicity.probabilities(docs, nothing).collect())
 
 
+def plain_toxicity(text, chain):
+    """A text's probabilities, one category after the other, by sums over its features."""
+    words = {w.lower() for w in bytes(text or "", "utf-8").lower().translate(toxicity.SPACES).decode().split()}
+    found = {f for w in words for f in (w, *(f"{w[:n]}-" for n in (4, 5, 6, 7) if len(w) >= n))}
+    earlier, out = [], []
+    for w in chain.models:
+        width = len(chain.place)
+        z = w[-1] + sum(w[chain.place[f]] for f in found if f in chain.place) + sum(a * b for a, b in zip(earlier, w[width:-1], strict=True))
+        earlier.append(min(max(z, -20), 20))
+        out.append(1 / (1 + math.exp(-earlier[-1])))
+    return out
+
+
+def test_toxicity_equals_sums_over_features(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    chain = queries.toxicity_chain(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op9_toxicity(spark, data).collect():
+        want = plain_toxicity(texts[r.doc_id], chain)
+        assert np.allclose([r.p_low_quality, r.p_toxic, r.p_toxic_low_quality], want, atol=1e-6) and r.rejected == (want[1] > 0.5)
+
+
+def test_toxicity_of_held_out_documents(spark, data):
+    """Learned from the labels of even ids, it finds the toxic ones among the odd."""
+    docs, labels = (spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/{n}.parquet") for n in ("documents", "labels"))
+    chain = queries.toxicity_chain(docs, labels.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.rejected for r in toxicity.probabilities(docs.where("doc_id % 2 = 1"), chain).collect()}
+    held = [r for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in got and r.toxic is not None]
+    caught = sum(got[r.doc_id] and r.toxic > 0 for r in held)
+    assert sum(got[r.doc_id] == (r.toxic > 0) for r in held) >= 0.97 * len(held)
+    assert caught >= 0.8 * sum(r.toxic > 0 for r in held) and caught >= 0.95 * sum(got[r.doc_id] for r in held)
+
+
+def test_labels_of_one_category_only(spark, docs_of):
+    """A toxic label counts although the other category's is null; very long texts are read to their ends."""
+    texts = ["vile rudeword here", "calm words here"] * 40 + ["calm words " * 300_000 + "vile rudeword"]
+    labels = spark.createDataFrame([(i, None, 1 - i % 2) for i in range(80)], "doc_id long, junk int, toxic int")
+    got = {r.doc_id: r for r in toxicity.probabilities(docs_of(texts), toxicity.fit(docs_of(texts), labels, ["junk", "toxic"])).collect()}
+    assert all(got[i].rejected == (i % 2 == 0) for i in range(80)) and got[80].p_toxic > got[1].p_toxic
+
+
 def brute_base(docs):
     counts = collections.Counter()
     for i, t in docs:
