@@ -1,15 +1,17 @@
-"""Near-duplicate removal: minwise keys find the texts that may have a partner, a prefix filter on shingles pairs these, their shingles decide.
+"""Near-duplicate removal: SimHash balls link the closest texts, a prefix filter on shingles pairs those that no ball reaches, their shingles decide.
 
 Texts are near when their sets of five-word shingles have a similarity (intersection by union) of 0.8 or more.
 
+0. All texts get op8's fingerprint and meet by its half-radius balls, in stars (``simhash``). These links are checked by their sets as all others are. A near
+   text can differ in more bits than a ball of usable size has, so what follows is the exact way for the rest.
 1. Each text has ``BANDS`` keys, each made of ``ROWS`` minima of the set under different hashes. Two sets of similarity s have a given key in
    common with the chance s**ROWS, so two near ones lack all keys with a chance of 1e-10 at most, at any size of the table. Texts whose
-   keys are all their own have no near text; they go no further, and nothing but keys has been shuffled for them.
+   keys are all their own have no near text; they go no further, and nothing but fingerprints and keys has been shuffled for them.
 2. Of two near sets in one order, each has at least four fifths of its shingles in the other, so their first fifths and one shingle more
    have one in common. These prefixes are the keys of the texts that are left: no near pair lacks a common key, however it differs. The order
    puts shingles that more texts have last, as counted over all texts that are left in a table of fixed size. So texts hardly have a key in common by chance or by a passage that
    many share, and one that differs from all others in over a fifth of its shingles has none at all. Any order is exact; where shingles meet in a slot of the table, it is only less sharp.
-3. A key's texts are first compared with one of them, its centre, not in pairs: the one whose keys most texts share, which is the
+3. Texts that a ball links are compared first. So are a key's texts with one of them, its centre, not in pairs: the one whose keys most texts share, which is the
    least changed of a group of copies as a rule; and then with the one that most comparisons confirmed. What is left are keys whose texts are in different groups
    yet: there all pairs across groups are compared, but for those that sizes, places in the order or the number of common keys rule out for sure.
 
@@ -34,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm._common import BITMAP_BITS, among, attach, bits_of, components, count_parts, cut, small_batches, sum_parts, unpacked, with_hit, without
-from cellweave.llm.simhash import shingles, words_of
+from cellweave.llm.simhash import ball_links, fingerprint, shingles, words_of
 
 #: The least similarity is NEAR[0] / NEAR[1].
 SHINGLE, LEAST, NEAR = 5, 0.8, (4, 5)
+#: Bits in which fingerprints that a ball links differ at most, as in op8.
+BITS, RADIUS = 64, 2
 #: Keys of a text and minima in each: near texts lack all keys with a chance of (1 - 0.8 ** ROWS) ** BANDS at most, 1e-10.
 BANDS, ROWS = 32, 3
 #: Shingles whose minima are taken at a time, so that memory doesn't grow with a text.
@@ -91,21 +95,30 @@ def _hash_of(text: str) -> Column:
 
 
 def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, own, rep, keys): a hash of the text, one of its words in order, which names the class of texts with these words, and the minwise keys."""
+    """(doc_id, own, rep, fp, keys): a hash of the text, one of its words in order, which names the class of texts with these words, op8's fingerprint, and the minwise keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, keys = [], []
-            for t in batch.column(2):
+            reps, fps, keys = [], np.empty(batch.num_rows, np.uint64), []
+            for i, t in enumerate(batch.column(2)):
                 words = words_of(t.as_py())
                 held = shingle_set(words)
                 reps.append(class_of(words))
+                fps[i] = fingerprint(t.as_py())
                 keys.append(bands(held).view(np.int64) if len(held) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "own", "rep", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reps, pa.int64()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "own", "rep", "fp", "keys"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), _hash_of(text).alias("own"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, own binary, rep long, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, own binary, rep long, fp long, keys array<bigint>")
+
+
+def _balls(prints: DataFrame, total: int) -> DataFrame:
+    """(a, b): op8's links between texts of other words, whose fingerprints differ in at most RADIUS bits."""
+    rows = prints.select("rep", "fp").distinct()
+    classes = rows.groupBy("fp").agg(F.min("rep").alias("of"), F.count("*").alias("m"))
+    same = attach(rows, classes, ["fp"], "m", total, ["rep"]).where("rep <> of")
+    return cut(ball_links(classes.select(F.col("of").alias("rep"), "fp"), BITS, RADIUS).union(same.select(*_pair("rep", "of"))))
 
 
 def _maybe(prints: DataFrame, total: int) -> DataFrame:
@@ -235,13 +248,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(joined.select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of near texts of other words; as many as connect all that are near."""
+def _links(sets: DataFrame, balls: DataFrame) -> DataFrame:
+    """(a, b): pairs of near texts of other words; as many as connect all that are near. balls: the links of the fingerprints, which come first."""
     rows = cut(_shared(_prefixes(sets)))
     total = rows.count()
     held = cut(rows.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"), (-F.sum("m")).alias("loss")))  # a text's own keys
     typical, rows = rows.drop("m").join(held.select("rep", "loss"), "rep"), rows.drop("m")
-    first = cut(_close(_candidates(typical, total, [F.col("loss")]), held))
+    first = cut(_close(balls.union(_candidates(typical, total, [F.col("loss")])).distinct(), held))
     links = _verified(first, sets)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = rows.join(degree, "rep", "left").withColumn("loss", -F.coalesce("degree", F.lit(0)))
@@ -256,7 +269,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     prints = cut(_prints(docs, doc_id, text))
     total = prints.count()
-    root = components(_links(_sets(docs, doc_id, text, prints, _maybe(prints, total))))
+    balls = _balls(prints, total)
+    root = components(_links(_sets(docs, doc_id, text, prints, _maybe(prints, total)), balls))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "own")
     classes = prints.groupBy("rep").agg(F.count("*").alias("m"), F.min(rank).alias("best"))
     classes = cut(classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))

@@ -229,3 +229,29 @@ def test_near_chance_of_a_missing_key():
         for _ in range(60):
             pool = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
             assert np.isin(near_dedup.bands(np.sort(pool[:n])), near_dedup.bands(np.sort(pool))).any()
+
+
+def test_near_groups_come_from_balls(docs_of, monkeypatch):
+    rng, texts = random.Random(11), []
+    for k in range(6):
+        base = [f"b{k}w{j}" for j in range(2000)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["x"])]
+    for k in range(3):  # fingerprints of few bits' difference, sets that aren't near
+        base = [f"r{k}w{j}" for j in range(5)] * 200
+        texts += [" ".join(base), " ".join(base + [f"a{k}n{j}" for j in range(100)])]
+    texts += [" ".join(f"u{k}x{rng.random()}" for _ in range(50)) for k in range(5)]
+    prints = [brute_print(t) for t in texts]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    sets = shingle_sets(texts)
+    near = [(i, j) for i, j in close if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert 0 < len(near) < len(close)
+    seen, found = [], near_dedup.ball_links
+    monkeypatch.setattr(near_dedup, "ball_links", lambda classes, *a: seen.append(classes) or found(classes, *a))
+    assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == kept_by_brute_force(texts)
+    (classes,) = seen
+    assert {r.fp % (1 << 64) for r in classes.collect()} == set(prints)  # those of all texts
+    # without what pairs texts by their shingles, the balls' links stay, and the exact check of them
+    nothing = lambda rows, *_: rows.selectExpr("rep a", "rep b").limit(0)
+    monkeypatch.setattr(near_dedup, "_candidates", nothing)
+    monkeypatch.setattr(near_dedup, "_across", nothing)
+    assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == set(roots_of(len(texts), near))
