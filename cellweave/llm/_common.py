@@ -7,6 +7,7 @@ columns of an input can have any other name.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -203,6 +204,15 @@ def give_back() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver find what nothing refers to any more: only then do spent shuffles, broadcasts and checkpoints go, on its heap, in its native memory and on disk.
+
+    A step of many small jobs hardly fills the heap, so this would come late or never by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about most_bytes of text each, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import BITMAP_BITS, among, attach, bits_of, components, count_parts, cut, small_batches, sum_parts, unpacked, with_hit, without
+from cellweave.llm._common import BITMAP_BITS, among, attach, bits_of, components, count_parts, cut, small_batches, sum_parts, tidy, unpacked, with_hit, without
 from cellweave.llm.simhash import ball_links, fingerprint, shingles, words_of
 
 #: The least similarity is NEAR[0] / NEAR[1].
@@ -211,6 +211,7 @@ def _across(rows: DataFrame, links: DataFrame, total: int) -> DataFrame:
     """(a, b): each key's pairs of texts that links leave in different groups."""
     root = components(links).select(F.col("node").alias("rep"), "root")
     rooted = cut(rows.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    tidy(rows.sparkSession)
     torn = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "m")
     left = cut(attach(rooted, torn, ["key"], "m", total, ["rep"]).where("m IS NOT NULL"))
     hot = F.col("m") > HOT
@@ -250,18 +251,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, balls: DataFrame) -> DataFrame:
     """(a, b): pairs of near texts of other words; as many as connect all that are near. balls: the links of the fingerprints, which come first."""
+    spark = sets.sparkSession
     rows = cut(_shared(_prefixes(sets)))
     total = rows.count()
+    tidy(spark)
     held = cut(rows.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"), (-F.sum("m")).alias("loss")))  # a text's own keys
     typical, rows = rows.drop("m").join(held.select("rep", "loss"), "rep"), rows.drop("m")
     first = cut(_close(balls.union(_candidates(typical, total, [F.col("loss")])).distinct(), held))
     links = _verified(first, sets)
+    tidy(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = rows.join(degree, "rep", "left").withColumn("loss", -F.coalesce("degree", F.lit(0)))
     second = cut(_close(_candidates(ranked, total, [F.col("loss")]).join(first, ["a", "b"], "left_anti"), held))
     links = cut(links.union(_verified(second, sets)))
+    tidy(spark)
     third = cut(_close(_across(rows, links, total).join(first.union(second), ["a", "b"], "left_anti"), held))
-    return links.union(_verified(third, sets))
+    links = links.union(_verified(third, sets))
+    tidy(spark)
+    return links
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,7 +277,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = cut(_prints(docs, doc_id, text))
     total = prints.count()
     balls = _balls(prints, total)
-    root = components(_links(_sets(docs, doc_id, text, prints, _maybe(prints, total)), balls))
+    tidy(docs.sparkSession)
+    sets = _sets(docs, doc_id, text, prints, _maybe(prints, total))
+    tidy(docs.sparkSession)
+    root = components(_links(sets, balls))
+    del sets, balls
+    tidy(docs.sparkSession)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "own")
     classes = prints.groupBy("rep").agg(F.count("*").alias("m"), F.min(rank).alias("best"))
     classes = cut(classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))

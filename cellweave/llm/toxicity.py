@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import cut, small_batches, text_batches
+from cellweave.llm._common import cut, small_batches, text_batches, tidy
 
 #: Labelled documents that are learned from, at most.
 MOST_ROWS = 16_000
@@ -202,9 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], doc_id: s
     rows = sorted(zip(encoded.column(0).to_pylist(), encoded.column(1).to_pylist(), strict=True))
     if not rows:
         return Chain(categories, [], [])
+    del encoded
+    tidy(spark)  # training takes driver's memory too, and nothing of the steps before is needed
     ids = [r[0] for r in rows]
     folds = np.arange(len(rows)) % FOLDS
     models = train_chain([np.frombuffer(r[1], "<i4") for r in rows], np.array([[-1 if y is None else y for y in label_of[i]] for i in ids]), len(chosen), folds)
+    del rows
+    tidy(spark)
     return Chain(categories, sorted(chosen), models)
 
 

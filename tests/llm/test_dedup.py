@@ -1,6 +1,8 @@
+import gc
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -255,3 +257,26 @@ def test_near_groups_come_from_balls(docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "_candidates", nothing)
     monkeypatch.setattr(near_dedup, "_across", nothing)
     assert {r.doc_id for r in near_dedup.filter_near(docs_of(texts)).collect()} == set(roots_of(len(texts), near))
+
+
+def test_near_groups_free_what_is_spent(spark, docs_of, monkeypatch):
+    rng = random.Random(12)
+    docs = docs_of([t for n in (3, 8) for t in similar_texts(rng, n, 2)] + [f"another text {i}" for i in range(5)])
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    seen, components = [], near_dedup.components
+
+    def least(edges):
+        counts = []
+        for _ in range(12):  # the cleaner runs beside
+            counts.append(tracker.shuffleStatuses().size() - before)
+            time.sleep(0.25)
+        seen.append(min(counts))
+        return components(edges)
+
+    monkeypatch.setattr(near_dedup, "components", least)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(3)
+    before = tracker.shuffleStatuses().size()
+    assert near_dedup.near_groups(docs).count() == 13
+    assert max(seen) < 15, seen
