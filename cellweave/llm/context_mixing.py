@@ -50,10 +50,12 @@ LEVELS, REACH = 33, 12
 PARTS = 2
 #: Counts that each bit has beforehand, and what holds weights to where they begin.
 PRIOR, RIDGE = 0.2, 1.0
-#: Bytes in which equal runs are priced once, when learning and when scoring.
-LEARN_BYTES, PRICE_BYTES = 10 << 20, 6 << 20
-#: Runs whose bits are handled at a time.
-AT_A_TIME = 1 << 13
+#: Bytes in which equal runs are counted once when learning, and that are laid out at a time when scoring.
+LEARN_BYTES, PRICE_BYTES = 10 << 20, 1 << 20
+#: Runs whose prices are kept; beyond that they are worked out anew.
+KNOWN_RUNS = 4_000_000
+#: Runs whose bits are handled at a time, and bytes that are copied or made into keys at a time.
+AT_A_TIME, BYTES_AT_A_TIME = 1 << 13, 1 << 18
 #: Words and bytes of a block, about.
 BLOCK_TOKENS, BLOCK_BYTES = 4_000_000, 24 << 20
 MODULUS, HELD_OUT = 7, 2
@@ -96,39 +98,27 @@ class Runs:
     """The different runs of six bytes in flat that end in an own byte: five bytes of context and the byte itself. number: of each own byte, its run's."""
 
     def __init__(self, flat: np.ndarray, own: np.ndarray, inverse: bool = False, letters: np.ndarray | None = None):
-        letters = np.flatnonzero(np.bincount(flat, minlength=256)) if letters is None else letters
+        letters = letters_of(flat) if letters is None else letters
         self.size, rank = len(letters), np.zeros(256, np.uint32)
         rank[letters] = np.arange(self.size)
-        rank = rank[flat]
-        three = rank[2:] * np.uint32(self.size)
-        three += rank[1:-1]
-        three *= np.uint32(self.size)
-        three += rank[:-2]
-        del rank
-        # the last byte counts most, so that runs with common endings are neighbours
-        key = three[3:].astype(np.uint64)
-        key *= np.uint64(self.size**3)
-        key += three[:-3]
-        del three
-        key = key[own[ORDERS:]]
-        shift = max(1, int(len(key)).bit_length())
-        if not inverse:
-            key.sort()
-            starts = np.flatnonzero(changes(key))
-            self.times = np.diff(np.concatenate([starts, [len(key)]])).astype(np.float64)
-            self.key = key[starts]
-        elif self.size ** (ORDERS + 1) << shift < 1 << 64:
-            key <<= np.uint64(shift)
-            key |= np.arange(len(key), dtype=np.uint64)
-            key.sort()
-            place = (key & np.uint64((1 << shift) - 1)).astype(np.int32)
-            key >>= np.uint64(shift)
-            new = changes(key)
-            self.number = np.empty(len(key), np.int32)
-            self.number[place] = np.cumsum(new, dtype=np.int32) - 1
-            self.key = key[new]
+
+        def keys() -> Iterator[np.ndarray]:
+            for at in range(ORDERS, len(flat), BYTES_AT_A_TIME):
+                near = rank[flat[at - ORDERS : at + BYTES_AT_A_TIME]]
+                three = near[2:] * np.uint32(self.size)
+                three += near[1:-1]
+                three *= np.uint32(self.size)
+                three += near[:-2]
+                # the last byte counts most, so that runs with common endings are neighbours
+                key = three[3:].astype(np.uint64)
+                key *= np.uint64(self.size**3)
+                key += three[:-3]
+                yield key[own[at : at + BYTES_AT_A_TIME]]
+
+        if inverse:
+            self.key, self.number = _numbered(np.concatenate([np.zeros(0, np.uint64), *keys()]), self.size ** (ORDERS + 1))
         else:
-            self.key, self.number = np.unique(key, return_inverse=True)
+            self.key, self.times = _counted(keys())
         #: Bytes of the runs, the last one first.
         self.bytes = [letters[(self.key // np.uint64(self.size ** (ORDERS - j)) % np.uint64(self.size)).astype(np.int64)].astype(np.uint8) for j in range(ORDERS + 1)]
 
@@ -170,6 +160,46 @@ class Runs:
         return out
 
 
+def letters_of(flat: np.ndarray) -> np.ndarray:
+    found = np.zeros(256, bool)
+    for at in range(0, len(flat), BYTES_AT_A_TIME):
+        found |= np.bincount(flat[at : at + BYTES_AT_A_TIME], minlength=256) > 0
+    return np.flatnonzero(found)
+
+
+def _numbered(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and each one's place among them; keys are below most, and are overwritten."""
+    shift = max(1, int(len(key)).bit_length())
+    if most << shift >= 1 << 64:
+        return np.unique(key, return_inverse=True)
+    key <<= np.uint64(shift)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    place = (key & np.uint64((1 << shift) - 1)).astype(np.int32)
+    key >>= np.uint64(shift)
+    new = changes(key)
+    number = np.empty(len(key), np.int32)
+    number[place] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], number
+
+
+def _counted(keys: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each comes. Some are counted at a time, and are fewer when they are put together."""
+    found = []
+    for some in itertools.batched(keys, 8):
+        key = np.concatenate(some)
+        key.sort()
+        starts = np.flatnonzero(changes(key))
+        found.append((key[starts], np.diff(starts, append=len(key)).astype(np.float64)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    key, times = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    starts = np.flatnonzero(changes(key))
+    return key[starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
 def changes(key: np.ndarray) -> np.ndarray:
     """Where sorted keys are others than before."""
     return np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
@@ -217,7 +247,7 @@ class Known:
     """Prices of runs in the order of their keys, which are made of the letters in flat."""
 
     def __init__(self, flat: np.ndarray):
-        self.letters = np.flatnonzero(np.bincount(flat, minlength=256))
+        self.letters = letters_of(flat)
         self.key, self.price = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
 
@@ -264,7 +294,7 @@ class Model:
 
     def prices(self, flat: np.ndarray, own: np.ndarray, known: Known | None = None) -> np.ndarray:
         """Natural logarithms of the own bytes' probabilities. known: prices that are there already, to which new ones are added."""
-        known, out = known or Known(flat), []
+        known, out, end = known or Known(flat), np.empty(np.count_nonzero(own[ORDERS:]), np.float32), 0
         for at in range(ORDERS, len(flat), PRICE_BYTES):
             part = slice(at - ORDERS, at + PRICE_BYTES)
             runs = Runs(flat[part], own[part], inverse=True, letters=known.letters)
@@ -274,9 +304,16 @@ class Model:
             for rows, ones, nodes in runs.pieces(new):
                 p, _, _ = self.predict(*self.inputs(runs, rows, ones, nodes, less=False))
                 price[rows] += np.log(np.where(ones.ravel(), p, 1 - p)).reshape(ones.shape).sum(axis=1)
-            known.key, known.price = np.insert(known.key, place[new], runs.key[new]), np.insert(known.price, place[new], price[new])
-            out.append(known.price[np.searchsorted(known.key, runs.key)][runs.number])
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
+            old = np.ones(len(runs), bool)
+            old[new] = False
+            price[old] = known.price[place[old]]
+            if len(known.key) + len(new) > KNOWN_RUNS:
+                known.key, known.price = runs.key, price
+            else:
+                known.key, known.price = np.insert(known.key, place[new], runs.key[new]), np.insert(known.price, place[new], price[new])
+            out[end : end + len(runs.number)] = price[runs.number]
+            end += len(runs.number)
+        return out
 
     def step(self, runs: Runs) -> np.ndarray:
         """Sums over bits: by gate, the curvature and the slope of the loss in the weights; by gate and level, the ones and all. In one array."""
@@ -318,8 +355,10 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
                 texts.append((data[max(0, at - ORDERS) : at + LEARN_BYTES], min(at, ORDERS)))
                 held += len(texts[-1][0])
                 if held >= LEARN_BYTES:
-                    yield _segments(texts)
+                    runs = _segments(texts)
                     texts, held = [], 0
+                    yield runs
+                    del runs  # else it stays while the next ones are made
     if texts:
         yield _segments(texts)
 
@@ -340,14 +379,20 @@ def count_contexts(texts: DataFrame) -> list[tuple[int, bytes]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in _runs_of(batches):
             for k in range(ORDERS):
-                own, found = runs.shorter(k), []
+                own, end = runs.shorter(k), 0
+                found = np.empty(len(own) * HEAD_BITS + np.count_nonzero(HEAD[own.bytes[0]] >= len(FREQUENT_BYTES)) * TAIL_BITS, np.int64)
                 for rows, ones, nodes in own.pieces():
                     times = np.repeat(own.times[rows].astype(np.int64), ones.shape[1])
-                    found.append((own.slots(rows, nodes, range(k, k + 1))[0] * 2 + ones.ravel()) << 32 | times)
-                found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                    found[end : end + len(times)] = (own.slots(rows, nodes, range(k, k + 1))[0] * 2 + ones.ravel()) << 32 | times
+                    end += len(times)
+                found.sort()
                 slots = found >> 32
                 starts = np.flatnonzero(changes(slots))
-                yield count_parts(slots[starts], np.add.reduceat(found & 0xFFFFFFFF, starts), k) if len(starts) else count_parts(slots, slots, k)
+                slots = slots[starts]
+                found &= 0xFFFFFFFF
+                yield count_parts(slots, np.add.reduceat(found, starts), k) if len(starts) else count_parts(slots, slots, k)
+                del own, found, slots, starts
+            del runs
         give_back()
 
     rows = texts.mapInArrow(count, "chunk long, part binary")
@@ -370,6 +415,7 @@ def learn(texts: DataFrame, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray,
                 model = model or Model(shared.value, now, flat_map())
                 found = model.step(runs)
                 sums = found if sums is None else sums + found
+                del runs
             if sums is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["at", "sums"])
             del model
@@ -448,6 +494,37 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+class Words:
+    """Words of a block, joined by blanks, as they are coded: each with its blank, or the end. A pad follows them as one word more."""
+
+    def __init__(self, joined: bytes):
+        self.data = np.frombuffer(joined + b" " + PAD, np.uint8).copy()
+        ends = np.flatnonzero(self.data == 0x20) + 1
+        self.starts = np.concatenate([[0], ends])
+        self.widths = np.diff(self.starts, append=len(self.data))
+        self.data[self.starts[:-1][self.widths[:-1] == 1]] = 0x0A
+
+    def laid_out(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As laid_out gives them, the texts of so many of these words each."""
+        pad = len(self.widths) - 1
+        words = np.insert(tokens, np.cumsum(sizes) - sizes, pad)
+        widths = self.widths[words]
+        ends, first = np.cumsum(widths), 0
+        flat = np.empty(widths.sum(), np.uint8)
+        while first < len(words):
+            begin = int(ends[first] - widths[first])
+            last = max(first + 1, int(np.searchsorted(ends, begin + BYTES_AT_A_TIME, "right")))
+            if last == first + 1:
+                flat[begin : ends[first]] = self.data[self.starts[words[first]] :][: widths[first]]
+            else:
+                cut = slice(first, last)
+                place = np.repeat(self.starts[words[cut]] - (ends[cut] - widths[cut] - begin), widths[cut])
+                place += np.arange(len(place))
+                flat[begin : ends[last - 1]] = self.data[place]
+            first = last
+        return flat, np.repeat(words != pad, widths)
+
+
 def mixed(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, often: np.ndarray) -> np.ndarray:
     """log10 of each text's probability. tokens: numbers of the words of all texts, one after the other; price: natural logarithm of each as spelled; often: each one's frequency in training."""
     out, ends, first = [], np.cumsum(sizes), 0
@@ -479,6 +556,27 @@ def mixed(tokens: np.ndarray, sizes: np.ndarray, price: np.ndarray, often: np.nd
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def scored(words: pa.Table, texts: pa.Table, model: Model, n_train: int, n_types: int) -> pa.Table:
+    """A block's texts, whose words are as many as the block's size allows; their bytes are laid out by PRICE_BYTES. n_train, n_types: all and different training words."""
+    unpack, column_of = zstandard.ZstdDecompressor(), lambda name: texts.column(name).combine_chunks()
+    c, base = np.empty(words.num_rows, np.int64), math.log10(n_train + n_types + 1)
+    c[words.column("idx").to_numpy()] = words.column("c").to_numpy()
+    words_in, logs, often = Words(unpack.decompress(column_of("words")[0].as_py())), np.log10(c + 1.0) - base, c / max(n_train, 1)
+    flat = np.frombuffer(unpack.decompress(column_of("tokens")[0].as_py()), np.int32)
+    sizes, lengths = (np.asarray(column_of(x).flatten()).astype(np.int64) for x in ("sizes", "bytes"))
+    at, known, sums = np.concatenate([[0], np.cumsum(sizes)[:-1]]), Known(words_in.data), []
+    starts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum(), PRICE_BYTES), "right")
+    for part in np.split(np.arange(len(sizes)), np.unique(starts)[1:]):  # texts of about PRICE_BYTES
+        tokens, begins = flat[at[part[0]] : at[part[-1]] + sizes[part[-1]]], at[part] - at[part[0]]
+        widths = words_in.widths[tokens]
+        price = np.add.reduceat(model.prices(*words_in.laid_out(tokens, sizes[part]), known), np.cumsum(widths) - widths, dtype=np.float64)
+        sums.append((np.add.reduceat((c > 0)[tokens].astype(np.int64), begins), np.add.reduceat(logs[tokens], begins), mixed(tokens, sizes[part], price, often[tokens])))
+    n_known, plain, total = (np.concatenate(x) for x in zip(*sums, strict=True))
+    columns = [column_of("doc_ids").flatten(), column_of("held_out").flatten(), sizes, n_known]
+    columns += [np.full(len(sizes), n_train, np.int64), plain, total, -total * math.log2(10) / lengths]
+    return pa.Table.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each document.
 
@@ -495,30 +593,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n_train, n_types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     known = words.drop("n").join(counted, ["high", "low"]).select("block", "idx", "c")
     kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[5:])
-    base = math.log10(n_train + n_types + 1)
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def add_up(words: pa.Table, texts: pa.Table) -> pa.Table:
-        """A block's texts; its words are as many as the block's size allows."""
-        unpack, column_of = zstandard.ZstdDecompressor(), lambda name: texts.column(name).combine_chunks()
-        spelled, c = Model(*model.value), np.empty(words.num_rows, np.int64)
-        c[words.column("idx").to_numpy()] = words.column("c").to_numpy()
-        data = [w + b" " if w else b"\n" for w in unpack.decompress(column_of("words")[0].as_py()).split(b" ")]
-        widths, logs, often = np.array([len(w) for w in data]), np.log10(c + 1.0) - base, c / max(n_train, 1)
-        flat = np.frombuffer(unpack.decompress(column_of("tokens")[0].as_py()), np.int32)
-        sizes, lengths = (np.asarray(column_of(x).flatten()).astype(np.int64) for x in ("sizes", "bytes"))
-        at, total, known = np.concatenate([[0], np.cumsum(sizes)[:-1]]), [], Known(np.frombuffer(PAD + b"".join(data), np.uint8))
-        starts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum(), PRICE_BYTES), "right")
-        for part in np.split(np.arange(len(sizes)), np.unique(starts)[1:]):  # texts of about PRICE_BYTES
-            tokens = flat[at[part[0]] : at[part[-1]] + sizes[part[-1]]]
-            laid = laid_out([b"".join([data[i] for i in flat[a : a + n].tolist()]) for a, n in zip(at[part], sizes[part], strict=True)])
-            price = np.add.reduceat(spelled.prices(*laid, known), np.cumsum(widths[tokens]) - widths[tokens], dtype=np.float64)
-            total.append(mixed(tokens, sizes[part], price, often[tokens]))
-        total = np.concatenate(total)
-        columns = [column_of("doc_ids").flatten(), column_of("held_out").flatten(), sizes, np.add.reduceat((c > 0)[flat].astype(np.int64), at)]
-        columns += [np.full(len(sizes), n_train, np.int64), np.add.reduceat(logs[flat], at), total, -total * math.log2(10) / lengths]
-        out = pa.Table.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        del spelled, data, laid, flat, known
+        out = scored(words, texts, Model(*model.value), n_train, n_types)
         give_back()
         return out
 

@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -329,6 +330,53 @@ def test_prices_equal_bit_by_bit_ones(spark, monkeypatch, at_a_time):
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
 
+def most_held(f):
+    """Bytes that f allocates at most at a time."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_beside_the_text_is_bounded():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(3000)]
+    laid = context_mixing.laid_out([context_mixing.coded(" ".join(rng.choices(words, k=1000))) for _ in range(1500)])
+    n = len(laid[0])
+    model = context_mixing.Model([], context_mixing.first_weights(), context_mixing.flat_map())
+    # four bytes for each price
+    assert n > 7 << 20 and most_held(lambda: model.prices(*laid)) < 4 * n + (48 << 20)
+    assert most_held(lambda: context_mixing.Runs(*laid)) < 64 << 20
+
+
+def test_prices_that_are_let_go_come_again(spark, monkeypatch):
+    model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
+    laid = context_mixing.laid_out([context_mixing.coded(t) for t in [*TEXTS, "red sky é", *TEXTS]])
+    whole = model.prices(*laid)
+    monkeypatch.setattr(context_mixing, "PRICE_BYTES", 40)
+    monkeypatch.setattr(context_mixing, "KNOWN_RUNS", 50)
+    known = context_mixing.Known(laid[0])
+    assert (model.prices(*laid, known) == whole).all() and len(known.key) <= 50
+
+
+@pytest.mark.parametrize("at_a_time", [7, 64, 1 << 18])
+def test_words_are_laid_out_as_texts_are(monkeypatch, at_a_time):
+    monkeypatch.setattr(context_mixing, "BYTES_AT_A_TIME", at_a_time)
+    texts = [*TEXTS, "q" * 300, None, "é " * 40 + "x" * 80, "red"]
+    place = {}
+    tokens = [[place.setdefault(w, len(place)) for w in [*context_mixing.words_of(t), b""]] for t in texts]
+    words = context_mixing.Words(b" ".join(place))
+    got = words.laid_out(np.array([i for t in tokens for i in t], np.int32), np.array([len(t) for t in tokens]))
+    want = context_mixing.laid_out([context_mixing.coded(t) for t in texts])
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(got, want, strict=True))
+    key = context_mixing.Runs(*got, inverse=True)
+    monkeypatch.undo()
+    other = context_mixing.Runs(*want, inverse=True)
+    assert key.key.tolist() == other.key.tolist() and key.number.tolist() == other.number.tolist()
+
+
 def test_next_bytes_chances_sum_to_one_at_most(spark):
     model = plain_model(context_mixing.count_contexts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
     for before in (context_mixing.PAD, b"red a", b"apple", b" pie ", b"zz\xc3\xa9"):
