@@ -15,7 +15,6 @@ by their ids. An empty table writes no file. Extra columns are ignored. A charac
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -25,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -37,6 +37,10 @@ MAGIC = b"CWWAVE01"
 BLOCK = 1 << 14
 AT_A_TIME = 4 << 20
 CACHE = 1_000_000
+#: Ids whose bits are sorted together, so that what a step needs stays in the processor's cache.
+STEP = 1 << 16
+#: Pieces of words that go to the model together.
+PIECES = 1000
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 24
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -45,11 +49,21 @@ ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """The planes, highest bit first, as packed bits, and the number of zeros in each."""
     planes, zeros = [], []
+    ids = ids.copy()
+    zeros_first, ones = np.empty_like(ids), np.empty_like(ids)
     for b in range(bits - 1, -1, -1):
-        one = (ids >> b) & 1 == 1
-        planes.append(np.packbits(one, bitorder="little"))
-        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
-        zeros.append(len(one) - int(one.sum()))
+        plane, bit, z, o = np.empty(-(-len(ids) // 8), np.uint8), ids.dtype.type(1 << b), 0, 0
+        for i in range(0, len(ids), STEP):
+            part = ids[i : i + STEP]
+            one = part & bit != 0
+            plane[i >> 3 : (i + STEP) >> 3] = np.packbits(one, bitorder="little")
+            of_ones, of_zeros = np.flatnonzero(one), np.flatnonzero(~one)
+            ones[o : o + len(of_ones)], zeros_first[z : z + len(of_zeros)] = part[of_ones], part[of_zeros]
+            z, o = z + len(of_zeros), o + len(of_ones)
+        zeros_first[z:] = ones[:o]
+        ids, zeros_first = zeros_first, ids
+        planes.append(plane)
+        zeros.append(z)
     return planes, zeros
 
 
@@ -172,13 +186,16 @@ class Shard:
         """All ids in order: the sorting of each plane undone, from the last plane to the first."""
         out = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for p in range(self.bits - 1, -1, -1):
-            blocks = range(p * self.per_plane, (p + 1) * self.per_plane)
-            packed = np.concatenate([np.frombuffer(self.unpack.decompress(self.source.read_at(int(self.offsets[k + 1] - self.offsets[k]), self.base + int(self.offsets[k]))), np.uint8) for k in blocks]) if self.n else np.zeros(0, np.uint8)
-            one = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
-            z = int(self.zeros[p])
-            back = np.empty_like(out)
-            back[np.flatnonzero(~one)] = out[:z]
-            back[np.flatnonzero(one)] = out[z:] | np.array(1 << (self.bits - 1 - p), out.dtype)
+            back, bit = np.empty_like(out), out.dtype.type(1 << (self.bits - 1 - p))
+            z, o = 0, int(self.zeros[p])
+            for k in range(self.per_plane):
+                at, place = 8 * k * self.block, p * self.per_plane + k
+                first, end = int(self.offsets[place]), int(self.offsets[place + 1])
+                packed = np.frombuffer(self.unpack.decompress(self.source.read_at(end - first, self.base + first)), np.uint8)
+                one = np.unpackbits(packed, count=min(8 * self.block, self.n - at), bitorder="little").view(bool)
+                of_ones, of_zeros, part = np.flatnonzero(one), np.flatnonzero(~one), back[at : at + len(one)]
+                part[of_ones], part[of_zeros] = out[o : o + len(of_ones)] | bit, out[z : z + len(of_zeros)]
+                z, o = z + len(of_zeros), o + len(of_ones)
             out = back
         return out
 
@@ -187,52 +204,89 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _plain(text: str) -> str:
-    """White space that the tokenizer's splitter takes for such, as blanks; what else it may drop stays."""
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return text
+def _listed(offsets: np.ndarray, values: np.ndarray, at: pa.Array) -> np.ndarray:
+    """The lists of values that begin and end at offsets, in the order of at, one after the other."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+    return lists.take(at).flatten().to_numpy(zero_copy_only=False)
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 class Words(dict):
-    """Ids of words, as bytes, by a tokenizers file that drops white space, so that words encode for themselves.
+    """Ids of words' pieces, as bytes, by a tokenizers file that drops white space, so that words encode for themselves.
 
-    Most words are letters and then signs, which the file's splitter takes apart: these go to its model at
-    once; all others go through the whole tokenizer.
+    Most words are letters and then signs, which the file's splitter takes apart: in lower case these go to its model
+    at once, many together; all others go through the whole tokenizer. Each different word of a batch is looked at once.
     """
 
-    #: Latin letters, which lower case keeps letters (U+0130 becomes two characters), then ASCII signs that neither begin a contraction nor a special token.
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:;=-@\\[-`{-~]*)").fullmatch
+    #: Latin letters, which lower case keeps letters (U+0130 becomes two characters).
+    LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+    #: ASCII signs that neither begin a contraction nor a special token.
+    SIGNS = "[!-&(-/:;=-@\\[-`{-~]"
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
-        self.tokenize = self.tokenizer.model.tokenize
-
-    def __missing__(self, word: str) -> bytes:
-        plain = self.PLAIN(word)
-        if plain is None:
-            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        else:
-            letters, signs = plain.groups()
-            small = letters.lower()
-            if letters and (signs or small != letters):  # its letters may be known
-                found = self[small] + self[signs] if signs else self[small]
-            else:
-                found = array("I", [t.id for t in self.tokenize(small.translate(self.table) if letters and not small.isascii() else small or signs)]).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) < 100:
-            self[word] = found
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a piece
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def _by_model(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are letters alone or signs alone."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):  # the file doesn't mark each piece's end
+            return [self._by_all(p) for p in pieces]
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _by_all(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of different pieces."""
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, names))
+        new = np.array([i for i, f in enumerate(found) if f is None], np.int64)
+        if len(new):
+            simple = pc.match_substring_regex(pieces.take(pa.array(new)), f"^({self.LETTERS}+|{self.SIGNS}+)$").to_numpy(zero_copy_only=False)
+            together = new[simple].tolist()
+            for a in range(0, len(together), PIECES):
+                some = together[a : a + PIECES]
+                for i, f in zip(some, self._by_model([names[i] for i in some]), strict=True):
+                    found[i] = f
+            for i in new[~simple].tolist():
+                found[i] = self._by_all(names[i])
+            if len(self) + len(new) > CACHE:
+                self.clear()
+            self.update((names[i], found[i]) for i in new[:CACHE].tolist() if len(names[i]) < 100)
         return found
 
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and end. A null has none."""
+        # ASCII white space alone: what else the tokenizer may drop stays
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.dictionary_encode(split.flatten())
+        different = words.dictionary
+        apart = pc.replace_substring_regex(pc.utf8_lower(different), f"^({self.LETTERS}+)({self.SIGNS}+)$", "\\1 \\2")
+        plain = pc.match_substring_regex(different, f"^{self.LETTERS}*{self.SIGNS}*$")
+        of_words = pc.split_pattern(pc.if_else(plain, apart, different), " ")
+        pieces = pc.dictionary_encode(of_words.flatten())
+        found = self.pieces(pieces.dictionary)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids = _listed(_ends(sizes), np.frombuffer(b"".join(found), "<u4"), pieces.indices)
+        ends = _ends(sizes[pieces.indices.to_numpy()])[_ends(pc.list_value_length(of_words).to_numpy())]
+        ids = _listed(ends, ids, words.indices)
+        return ids, _ends(np.diff(ends)[words.indices.to_numpy()])[_ends(pc.list_value_length(split).to_numpy())]
+
     def text(self, text: str | None, end: bytes) -> np.ndarray:
-        words = _plain(text).split(" ") if text else []
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<u4")
+        return np.concatenate([self.texts(pa.array([text], pa.string()))[0], np.frombuffer(end, "<u4")])
 
 
 @lru_cache(maxsize=1)
@@ -245,12 +299,14 @@ def encode_ids(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", tex
     """(doc_id, n, packed): the ids of a text and the end id, as compressed little-endian 32-bit numbers, low halves first."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pack, tail = _words(path), zstandard.ZstdCompressor(level=1), array("I", [end]).tobytes()
+        words, pack = _words(path), zstandard.ZstdCompressor(level=1)
+        low_end, high_end = np.array([end & 0xFFFF], "<u2").tobytes(), np.array([end >> 16], "<u2").tobytes()
         for whole in rows:
             for batch in text_batches(whole, "text", AT_A_TIME):
-                found = [words.text(t.as_py(), tail) for t in batch.column(1)]
-                packed = [pack.compress(f.view("<u2").reshape(-1, 2).T.tobytes()) for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+                ids, ends = words.texts(batch.column(1))
+                low, high = ids.astype("<u2"), (ids >> np.uint32(16)).astype("<u2")
+                packed = [pack.compress(low[a:b].tobytes() + low_end + high[a:b].tobytes() + high_end) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) + 1, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, packed binary")
 

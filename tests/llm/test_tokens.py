@@ -79,6 +79,53 @@ def test_words_equal_tokenizer():
         assert words.text(t, b"\2\0\0\0").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+class Counted(wavelet.Words):
+    asked = 0
+
+    def __getitem__(self, word):
+        self.asked += 1
+        return super().__getitem__(word)
+
+    def get(self, word):
+        self.asked += 1
+        return super().get(word)
+
+
+def test_words_are_looked_up_once_a_batch():
+    words, tokenizer, text = Counted(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json")), "Internal, INTERNAL! internal 7th " * 500
+    assert words.text(text, b"\2\0\0\0").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert words.asked <= 10
+
+
+@pytest.mark.parametrize("cache", [1, 1000])
+def test_words_of_a_batch_equal_tokenizer(cache, monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE", cache)
+    monkeypatch.setattr(wavelet, "PIECES", 7)
+    words, tokenizer = wavelet.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    latin = [f"{chr(c)}{s} a{chr(c)}B" for c in range(0x80, 0x2B0) for s in ("", "!", "<", "'s", "9")]
+    texts = ["skipped", None, *ODD, *latin, "a </w> b</w>", "<|endoftext|>!", "x" * 200 + ",,", None, "  "]
+    batch = pa.array(texts, pa.string()).slice(1)
+    for _ in range(2):  # the second time from what is kept
+        ids, ends = words.texts(batch)
+        for t, a, b in zip(texts[1:], ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert ends[-1] == len(ids) and len(words) <= cache
+    words.last[:] = False  # as of a file that doesn't mark the ends of pieces
+    words.clear()
+    assert words.texts(batch)[0].tolist() == ids.tolist()
+
+
+def test_planes_are_built_in_steps(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 1 << 16, 1000).astype(np.uint16)
+    monkeypatch.setattr(wavelet, "STEP", 64)
+    for n in (0, 1, 63, 64, 65, 1000):
+        planes, zeros, order = *wavelet.build(ids[:n], 16), ids[:n]
+        for b, plane, z in zip(range(15, -1, -1), planes, zeros, strict=True):
+            bit = order >> b & 1
+            assert np.unpackbits(plane, count=n, bitorder="little").tolist() == bit.tolist() and z == int((bit == 0).sum())
+            order = np.concatenate([order[bit == 0], order[bit == 1]])
+
+
 def test_shards_of_test_data(spark, data):
     docs = sorted(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
     tokenizer, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
