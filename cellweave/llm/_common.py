@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -204,12 +205,19 @@ def give_back() -> None:
         pass
 
 
-def tidy(spark: SparkSession) -> None:
+#: Py4J tells the driver once a second what Python has let go of.
+TOLD_AFTER = 1.5
+
+
+def tidy(spark: SparkSession, again: float = 0) -> None:
     """Have the driver find what nothing refers to any more: only then do spent shuffles, broadcasts and checkpoints go, on its heap, in its native memory and on disk.
 
-    A step of many small jobs hardly fills the heap, so this would come late or never by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A step of many small jobs hardly fills the heap, so this would come late or never by itself. What Python lets go of just now
+    may stay until the next time; again: do that too, after so many seconds, TOLD_AFTER or more."""
+    for seconds in (0, again)[: 2 if again else 1]:
+        time.sleep(seconds)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     give_back()
 
 

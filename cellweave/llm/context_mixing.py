@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import count_parts, crc_mod, give_back, small_batches, stored, sum_parts
+from cellweave.llm._common import TOLD_AFTER, count_parts, crc_mod, give_back, small_batches, stored, sum_parts, tidy
 
 #: Slots of each predictor's table, as powers of two: one to five bytes back. They take two bytes a slot, 45 MB in all.
 SLOT_BITS = (16, 20, 22, 23, 23)
@@ -586,12 +586,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     trained = docs.where(crc_mod(doc_id, MODULUS) != HELD_OUT).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     parts = count_contexts(trained.select("text"))
+    tidy(spark, TOLD_AFTER)  # else a step's shuffle stays on disk beside the next ones' until the driver happens to collect its garbage
     model = spark.sparkContext.broadcast((parts, *learn(trained, parts)))
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
     words = blocks.where("idx >= 0").select("block", "idx", "high", "low", "n")
     counted = stored(words.groupBy("high", "low").agg(F.sum("n").alias("c")), "words")
+    tidy(spark, TOLD_AFTER)
     n_train, n_types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    known = words.drop("n").join(counted, ["high", "low"]).select("block", "idx", "c")
+    # stored, so that what the join shuffles is gone when the blocks are shuffled
+    known = stored(words.drop("n").join(counted, ["high", "low"]).select("block", "idx", "c"), "known")
+    tidy(spark, TOLD_AFTER)
     kept = blocks.where("idx < 0").select(F.col("block").alias("of"), *blocks.columns[5:])
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 

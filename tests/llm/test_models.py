@@ -2,8 +2,10 @@ import collections
 import itertools
 import math
 import random
+import time
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -475,3 +477,17 @@ def test_scores_of_ids_of_any_type(spark):
 def test_model_beats_the_base_on_held_out_text(spark, data):
     got = [r for r in queries.op10_context_mixing(spark, data.replace("sf0.001", "sf0.01")).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_steps_shuffles_go_before_the_last_step(spark, docs_of):
+    """What the steps of op10 have shuffled doesn't stay on disk beside what its last step shuffles."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    there = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*")}
+    docs, before = docs_of([f"some words {i % 7} of {i}" for i in range(200)]), there()
+    scored = context_mixing.score(docs)
+    for _ in range(40):  # files go a little later than what refers to them
+        if not there() - before:
+            break
+        time.sleep(0.25)
+    assert not there() - before
+    assert scored.count() == 200
