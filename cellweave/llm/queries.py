@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, langid, simhash, toxicity, url_filter, warc, wavelet
+from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, filter_audit, langid, simhash, toxicity, url_filter, warc, wavelet
 from cellweave.llm._common import crc_mod, tables
 
 
@@ -77,6 +77,11 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(tables(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
+    return filter_audit.audit(docs, labels, filter_audit.failures(F.coalesce("text", F.lit(""))), copies="E")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_context_mixing": op10_context_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES = {
@@ -116,4 +122,37 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_filter_audit": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), firsts AS (
+            SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+        ), marks AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+        ), failed AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+                   || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END)
+                   || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+            FROM texts JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+        ), classes AS (
+            SELECT part, fails, good, toxic, count(*) AS n FROM failed GROUP BY ALL
+        ), f AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+            WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+        ), steps AS (
+            SELECT filter_order, k::INT AS step, substr(filter_order, k, 1) AS own, substr(filter_order, 1, k - 1) AS done FROM orders, unnest([1, 2, 3, 4, 5]) AS s(k)
+        ), seen AS (
+            SELECT part, filter_order, step, own, fails, good, toxic, n, contains(fails, own) AS here,
+                   length(translate(fails, done, '')) < length(fails) AS before
+            FROM classes, steps
+        ), summed AS (
+            SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT before), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (here AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (here AND NOT before AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (here AND NOT before AND toxic = 1), 0)::BIGINT AS toxic_lost
+            FROM seen GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed""",
 }
