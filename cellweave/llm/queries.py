@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, filter_audit, langid, simhash, toxicity, url_filter, warc, wavelet
+from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, filter_audit, langid, product_codes, simhash, toxicity, url_filter, warc, wavelet
 from cellweave.llm._common import crc_mod, tables
 
 
@@ -82,6 +82,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, labels, filter_audit.failures(F.coalesce("text", F.lit(""))), copies="E")
 
 
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.quantize(tables(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -94,8 +98,41 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_context_mixing": op10_context_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_product_codes": op12_product_codes,
 }
 
+def _lloyd_sql() -> str:
+    """Two rounds and the last assignment over 16 parts of 64 entries, all distances computed."""
+
+    def assigned(k: int) -> str:  # the least distance, then the least index
+        return f"""a{k} AS (
+            SELECT rid, p, v, (m % 64)::INT AS e, m // 64 AS d FROM (
+                SELECT rid, p, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS m
+                FROM parts JOIN c{k} USING (p) GROUP BY rid, p))"""
+
+    def moved(k: int) -> str:  # sums are divided downwards
+        return f"""c{k + 1} AS (
+            SELECT p, e, coalesce(u.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+                SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (
+                    SELECT p, e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{k}, unnest(generate_series(1, len(v))) AS g(j) GROUP BY p, e, j)
+                GROUP BY p, e) u USING (p, e))"""
+
+    return f"""
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT rid, p::INT AS p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM kept, unnest(generate_series(0, 15)) AS s(p)
+        ), c0 AS (
+            SELECT p, (rid - 1)::INT AS e, v AS c FROM parts WHERE rid <= 64
+        ), {assigned(0)}, {moved(0)}, {assigned(1)}, {moved(1)}, {assigned(2)}, codes AS (
+            SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid
+        ), books AS (
+            SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (rid), books"""
+
+
 ORACLES = {
     "op4_decontaminate": """
         WITH items AS (
@@ -155,4 +192,5 @@ ORACLES = {
             FROM seen GROUP BY part, filter_order, step, own
         )
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed""",
+    "op12_product_codes": _lloyd_sql(),
 }
