@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, filter_audit, langid, product_codes, simhash, toxicity, url_filter, warc, wavelet
+from cellweave.llm import byte_bpe, context_mixing, decontaminate, exact_dedup, filter_audit, forced_bpe, langid, product_codes, simhash, toxicity, url_filter, warc, wavelet
 from cellweave.llm._common import crc_mod, tables
 
 
@@ -86,6 +86,10 @@ def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.quantize(tables(spark, sf_dir, "embeddings"))
 
 
+def op13_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.encode(tables(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), ids=False)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -99,6 +103,7 @@ QUERIES = {
     "op10_context_mixing": op10_context_mixing,
     "op11_filter_audit": op11_filter_audit,
     "op12_product_codes": op12_product_codes,
+    "op13_forced_bpe": op13_forced_bpe,
 }
 
 def _lloyd_sql() -> str:
