@@ -72,13 +72,31 @@ def test_cuts_are_borders_of_tokens(bpe):
     assert cut > 400
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_latin_words(bpe, oracle, together, monkeypatch):
+    assert bpe.vocabulary.together
+    monkeypatch.setattr(bpe.vocabulary, "together", together)
+    texts = [f"{chr(c)}{s} a{chr(c)}B 1{chr(c)}2" for c in (*range(0x21, 0x7F), *range(0x80, 0x2B0)) for s in ("", "!", "<", "'s", "9", "\u0301")]
+    _, decimals, decoded = bpe.texts(pa.array(texts))
+    for t, d, x in zip(texts, decimals.to_pylist(), decoded.to_pylist(), strict=True):
+        ids = oracle.encode(t, add_special_tokens=False).ids
+        assert d == " ".join(map(str, ids)) and x == oracle.decode(ids, skip_special_tokens=False), t
+
+
+def test_long_fragments_merge_alike(bpe):
+    rng, v = random.Random(6), bpe.vocabulary
+    for n in (1, 2, 30, 90):
+        symbols = v.symbols("".join(rng.choices("aenrst", k=n)))
+        assert v._merged_long(symbols) == v.merged(symbols)
+
+
 def test_caches_are_bounded(monkeypatch, oracle):
     monkeypatch.setattr(forced_bpe, "CACHE", 7)
     bpe = forced_bpe.Encoder(PATH)
     for _ in range(2):
         for t in ODD:
             assert bpe.texts(pa.array([t]))[1].to_pylist() == [" ".join(map(str, oracle.encode(t, add_special_tokens=False).ids))]
-    assert len(bpe.known) <= 7 and len(bpe.words) <= 7
+    assert max(map(len, (bpe.known, bpe.words, bpe.pieces))) <= 7
 
 
 def test_other_files_are_refused(tmp_path):
