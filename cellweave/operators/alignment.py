@@ -1,22 +1,26 @@
 """Documents matched with files and names, and what is wrong with the matching.
 
-Theta joins are blocked: a match by name goes by equal slugs, one by author and year by equal years, one by
-containment by shared chunks of characters, so no tier compares all with all.
+No tier compares all with all: a match by name goes by equal slugs, one by author and year by equal years and words, one by
+containment by an automaton of all patterns, one by likeness by sets of rare characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import slug, unicode_slug
+from cellweave.operators import contain, likeness
+from cellweave.sources.shared import cut
 
 YEAR = "((?:19|20)\\d{2})"
 
 
+def years(text: Column) -> Column:
+    """All different years in a text, those within longer numbers, too."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?={YEAR})"), F.lit(1)))
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, "\\.[^.]*$", "")
 
@@ -62,68 +66,62 @@ def author_absent(studies: DataFrame, files: DataFrame, first_pages: DataFrame)
 def by_author_and_year(studies: DataFrame, files: DataFrame) -> DataFrame:
     """(study, file): the file with a study's year and most of its authors' names as whole words, if there is one such. studies: (study); files: (file).
 
+    A file's years are all places of four digits that can be one, over each other or not. Names are ASCII letters, a file's words those of any script.
     Both sides are cut into (year, word) and joined on them."""
-    words = lambda text: F.filter(F.regexp_extract_all(F.lower(F.element_at(F.split(text, YEAR, 2), 1)), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2)
-    left = studies.withColumn("year", F.regexp_extract("study", YEAR, 1)).where("year <> ''").select("study", "year", F.posexplode(words(F.col("study"))).alias("i", "word"))
+    author = F.element_at(F.split("study", YEAR, 2), 1)
+    names = F.transform(F.filter(F.regexp_extract_all(author, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) > 2), F.lower)
+    left = studies.withColumn("year", F.regexp_extract("study", YEAR, 1)).where("year <> ''").select("study", "year", F.posexplode(names).alias("i", "word"))
     name = F.lower(stem(F.col("file")))
-    right = files.select("file", F.explode(F.array_distinct(F.regexp_extract_all(name, F.lit("(?:19|20)\\d{2}"), F.lit(0)))).alias("year"), name.alias("name"))
-    right = right.select("file", "year", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    right = files.select("file", F.explode(years(name)).alias("year"), name.alias("name"))
+    right = right.select("file", "year", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit("(?U)\\w+"), F.lit(0)))).alias("word"))
     counted = left.join(right, ["year", "word"]).groupBy("study", "file").agg(F.count("*").alias("n"))
     best = counted.groupBy("study").agg(F.max("n").alias("n"))
     ties = counted.join(best, ["study", "n"]).groupBy("study").agg(F.count("*").alias("k"), F.min("file").alias("file"))
     return ties.where("k = 1").select("study", "file")
 
 
-def by_containment(studies: DataFrame, files: DataFrame, chunk: int = 4) -> DataFrame:
+def by_containment(studies: DataFrame, files: DataFrame) -> DataFrame:
     """(study, file): the file with the shortest name of those whose slug contains the study's, or the other way; ties by name.
 
-    Candidates share the first chunk of the shorter slug, or all of it if it's shorter than that, with a piece of the longer one."""
-    s = studies.select("study", slug(F.col("study")).alias("a")).where("a <> ''")
-    f = files.select("file", slug(stem(F.col("file"))).alias("b")).where("b <> ''")
-    pieces = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(w)))
-    grams = lambda c: F.array_distinct(F.concat(*(pieces(c, w) for w in range(1, chunk + 1))))
-    inside = s.withColumn("g", F.substring("a", 1, chunk)).join(f.withColumn("g", F.explode(grams(F.col("b")))), "g").where(F.contains("b", F.col("a")))
-    around = s.withColumn("g", F.explode(grams(F.col("a")))).join(f.withColumn("g", F.substring("b", 1, chunk)), "g").where(F.contains("a", F.col("b")))
-    return inside.select("study", "file").union(around.select("study", "file")).groupBy("study").agg(F.min(F.struct(F.length("file").alias("n"), "file"))["file"].alias("file"))
+    Each side's slugs are patterns that are looked for in the other side's, so no side is compared with all of the other."""
+    s = studies.select("study", slug(F.col("study")).alias("a")).where("a <> ''").distinct()
+    f = files.select("file", slug(stem(F.col("file"))).alias("b"), F.length("file").alias("rank")).where("b <> ''")
+    inside = contain.first_holder(f.select(F.col("file").alias("id"), F.col("b").alias("text"), "rank"), s.select(F.col("a").alias("pattern")))
+    best = f.groupBy("b").agg(F.min(F.struct("rank", F.col("file").alias("id"))).alias("m"))
+    around = contain.found_in(s.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("text")), f.select(F.col("b").alias("pattern")))
+    outer = around.join(best, around["pattern"] == best["b"]).select(F.col("id").alias("a"), "m.rank", F.col("m.id").alias("file"))
+    both = inside.select(F.col("pattern").alias("a"), "rank", F.col("id").alias("file")).unionByName(outer)
+    found = both.groupBy("a").agg(F.min(F.struct("rank", "file"))["file"].alias("file"))
+    return s.join(found, "a").select("study", "file")
 
 
 def by_likeness(studies: DataFrame, files: DataFrame, least: float = 0.8) -> DataFrame:
-    """(study, file): the file whose slug is most like the study's by matching blocks (difflib's ratio), if it's alike enough.
-
-    The ratio isn't a built-in, so it runs in Arrow batches, over pairs that share a three-character piece and whose lengths allow it."""
-    import difflib
-
-    s = studies.select("study", unicode_slug(F.col("study")).alias("a")).where("a <> ''")
-    f = files.select("file", unicode_slug(stem(F.col("file"))).alias("b")).where("b <> ''")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    pairs = s.withColumn("g", F.explode(grams(F.col("a")))).join(f.withColumn("g", F.explode(grams(F.col("b")))), "g")
-    pairs = pairs.where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b"))).select("study", "file", "a", "b").distinct()
-
-    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r, pa.float64())], names=["study", "file", "r"])
-
-    rated = pairs.mapInArrow(ratio, "study string, file string, r double").where(F.col("r") >= least)
-    return rated.groupBy("study").agg(F.min(F.struct((-F.col("r")).alias("d"), "file"))["file"].alias("file"))
+    """(study, file): the file whose slug is most like the study's by matching blocks (difflib's ratio), if it's alike enough; ties by file."""
+    s = studies.select("study", unicode_slug(F.col("study")).alias("name")).distinct()
+    f = files.select("file", unicode_slug(stem(F.col("file"))).alias("name"))
+    return s.join(likeness.most_alike(s, f, least), "name").select("study", "file")
 
 
 def match_studies(studies: DataFrame, files: DataFrame, tiers: tuple[str, ...] = ("exact", "slug", "author_year", "likeness")) -> DataFrame:
-    """(study, file, tier): the first tier that finds a file; null if none does. Of equally good files the first by name."""
+    """(study, file, tier): the first tier that finds a file; null if none does. Of equally good files the first by name.
+
+    A tier sees only what those before it have left; what each has found is kept. A study whose slug is empty has no file."""
     first = lambda df: df.groupBy("study").agg(F.min("file").alias("file"))
     ways = {
-        "exact": lambda: first(studies.join(files, F.lower("study") == F.lower(stem(F.col("file")))).select("study", "file")),
-        "slug": lambda: first(studies.join(files, (unicode_slug(F.col("study")) == unicode_slug(stem(F.col("file")))) & (unicode_slug(F.col("study")) != "")).select("study", "file")),
-        "containment": lambda: by_containment(studies, files),
-        "author_year": lambda: by_author_and_year(studies, files),
-        "likeness": lambda: by_likeness(studies, files),
+        "exact": lambda s: first(s.join(files, F.lower("study") == F.lower(stem(F.col("file")))).select("study", "file")),
+        "slug": lambda s: first(s.join(files, unicode_slug(F.col("study")) == unicode_slug(stem(F.col("file")))).select("study", "file")),
+        "containment": lambda s: by_containment(s, files),
+        "author_year": lambda s: by_author_and_year(s, files),
+        "likeness": lambda s: by_likeness(s, files),
     }
-    found = None
-    for i, tier in enumerate(tiers):
-        part = ways[tier]().withColumn("rank", F.lit(i)).withColumn("tier", F.lit(tier))
+    names = studies.select("study").distinct()
+    left, found = cut(names.where(unicode_slug(F.col("study")) != "")), None
+    for tier in tiers:
+        part = cut(ways[tier](left).withColumn("tier", F.lit(tier)))
         found = part if found is None else found.unionByName(part)
-    best = found.groupBy("study").agg(F.min(F.struct("rank", "file", "tier")).alias("m"))
-    return studies.select("study").distinct().join(best, "study", "left").select("study", "m.file", "m.tier")
+        if tier != tiers[-1]:
+            left = cut(left.join(part, "study", "left_anti"))
+    return names.join(found, "study", "left").select("study", "file", "tier")
 
 
 def blocks_for(keys: DataFrame, block_files: DataFrame, prefix: int = 50) -> DataFrame:
@@ -141,12 +139,22 @@ def blocks_for(keys: DataFrame, block_files: DataFrame, prefix: int = 50) -> Dat
     return keys.select("key").join(best, "key", "left")
 
 
+#: A citation begins with its author, up to a comma, and then has a year in parentheses.
+CITATION = "^([^,]+),.*?\\((\\d{4})\\)"
+
+
 def cited(citations: DataFrame, files: DataFrame) -> DataFrame:
-    """(citation, file): the first file whose name has the citation's author and year. citations: (citation); files: (file)."""
-    author = slug(F.regexp_extract(F.trim("citation"), "^([^\\s,(&]+)", 1))
-    left = citations.select("citation", author.alias("author"), F.regexp_extract("citation", YEAR, 1).alias("year"))
-    right = files.select("file", F.explode(F.array_distinct(F.regexp_extract_all("file", F.lit("(?:19|20)\\d{2}"), F.lit(0)))).alias("year"), slug(F.col("file")).alias("name"))
-    hits = left.join(right, "year").where(F.contains("name", F.col("author")) & (F.col("author") != "")).groupBy("citation").agg(F.min("file").alias("file"))
+    """(citation, file): the first file by name whose name holds the citation's author, in any case, and its year. citations: (citation); files: (file).
+
+    The authors are patterns that are looked for in the files' names; an author in a name and the name's runs of four digits meet the citation's."""
+    author = F.lower(F.trim(F.regexp_extract("citation", CITATION, 1)))
+    left = citations.select("citation", author.alias("author"), F.regexp_extract("citation", CITATION, 2).alias("year")).where("author <> ''")
+    held = contain.found_in(files.select(F.col("file").alias("id"), F.lower("file").alias("text")), left.select(F.col("author").alias("pattern")))
+    four = F.array_distinct(F.regexp_extract_all("id", F.lit("(?=(\\d{4}))"), F.lit(1)))
+    dated = held.select(F.col("pattern").alias("author"), F.col("id").alias("file"), F.explode(four).alias("year"))
+    # the first file of an author and year is one row, however many files or citations have them
+    firsts = dated.groupBy("author", "year").agg(F.min("file").alias("file"))
+    hits = left.distinct().join(firsts, ["author", "year"]).select("citation", "file")
     return citations.select("citation").join(hits, "citation", "left")
 
 

@@ -27,8 +27,8 @@ def margin_noise(text: Column, y0: Column, y1: Column, font: Column, height: Col
     return top | bottom | text.rlike("^\\d+$")
 
 
-def shows_figure(drawings: Column, images: Column, text: Column, page_area: Column | None = None) -> Column:
-    """Whether a page has a figure: many drawings, two sizeable images, or words of a figure with either.
+def shows_figure(drawings: Column, images: Column, text: Column) -> Column:
+    """Whether a page has a figure: many drawings, two sizeable images, one of them with some drawings, or words of a figure with either.
 
     images: ARRAY(STRUCT(width, height)); sizeable is over 40000 pixels and less than six times as long as wide. A page that is one scanned image
     without such signs has none."""
@@ -36,7 +36,7 @@ def shows_figure(drawings: Column, images: Column, text: Column, page_area: Colu
     cue = F.exists(F.array(*map(F.lit, ("figure", "fig.", "fig ", "graph", "chart"))), lambda k: F.contains(words, k))
     long, short = (lambda i: F.greatest(i["width"], i["height"])), (lambda i: F.least(i["width"], i["height"]))
     sizeable = F.size(F.filter(images, lambda i: (i["width"].cast("double") * i["height"] > 40000) & (short(i) > 0) & (long(i) / F.greatest(F.lit(1), short(i)) < 6)))
-    return (drawings >= 60) | (sizeable >= 2) | (cue & ((sizeable >= 1) | (drawings >= 15)))
+    return (drawings >= 60) | (sizeable >= 2) | (cue & ((sizeable >= 1) | (drawings >= 15))) | ((sizeable == 1) & (drawings >= 15))
 
 
 def columns_of(lines: DataFrame) -> DataFrame:

@@ -81,11 +81,11 @@ def silver(cells: DataFrame) -> DataFrame:
 
 
 def for_review(cells: DataFrame) -> DataFrame:
-    """Cells for people to decide, with empty columns for their decision."""
+    """Cells for people to decide, with empty columns for their decision. Quote and page are A's, or where A has none B's."""
     kept = cells.where(~F.col("status").isin("silver_auto", "legacy_llm_b_agree", "all_missing"))
     shown = [c for n in SOURCES for c in (F.coalesce(f"{n}.raw", F.lit("null")).alias(f"{n}_value_json"), F.to_json(f"{n}.norm").alias(f"{n}_normalized_json"))]
     blank = [F.lit("").alias(c) for c in ("reviewed_value_json", "decision_status", "reviewer", "decision_reason")]
-    quote, page = (F.coalesce(*(F.col(f"{n}.{c}") for n in SOURCES), F.lit("")).alias(c) for c in ("evidence_quote", "page"))
+    quote, page = (F.coalesce(*(F.nullif(F.col(f"{n}.{c}"), F.lit("")) for n in SOURCES[1:]), F.lit("")).alias(c) for c in ("evidence_quote", "page"))
     return kept.select("key", "study", "field", "status", "priority", *shown, F.col("pattern").alias("agreement_pattern"), *blank, quote, page, F.lit("").alias("notes"))
 
 
@@ -169,11 +169,14 @@ def suggest(review_rows: DataFrame) -> DataFrame:
 
 
 def annotate(suggested: DataFrame, issues: DataFrame) -> DataFrame:
-    """suggested with the alignment issues of each document, which come before everything else; issues: (key, issue_type, related, evidence)."""
+    """suggested with the alignment issues of each document, which come before everything else; issues: (key, issue_type, related, evidence).
+
+    Kinds are in order of name, evidence in that of a column ``line`` of the issues, or without one in its own. Keys are trimmed, blank ones left out."""
     detail = F.when(F.coalesce("related", F.lit("")) != "", F.concat(F.coalesce("evidence", F.lit("")), F.lit(" Related: "), F.col("related"))).otherwise(F.coalesce("evidence", F.lit("")))
-    found = issues.groupBy("key").agg(
+    place = F.col("line") if "line" in issues.columns else F.lit(0)
+    found = issues.withColumn("key", F.trim(F.col("key").cast("string"))).where("key <> ''").groupBy("key").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("issue_type") != "", F.col("issue_type")))), "; ").alias("types"),
-        F.array_join(F.filter(F.array_sort(F.collect_list(detail)), lambda x: x != ""), " | ").alias("told"),
+        F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct(place.alias("at"), detail.alias("told")))), lambda x: x["told"] != ""), lambda x: x["told"]), " | ").alias("told"),
     )
     has, note = F.col("types").isNotNull(), F.concat(F.lit("PDF alignment issue: "), F.col("types"), F.lit("; see the alignment report."))
     change = {

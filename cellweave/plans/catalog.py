@@ -427,7 +427,7 @@ def islands_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT page_id, (page_id % 100 <= 6 AND len(url) <= 80) OR (page_id % 100 >= 94 AND len(url) <= 140) AS noise,
-           page_id % 70 >= 60 OR page_id % 5 >= 2 OR ((contains(lower(url), 'graph') OR contains(lower(url), 'chart') OR contains(lower(url), 'figure') OR contains(lower(url), 'fig.') OR contains(lower(url), 'fig ')) AND (page_id % 5 >= 1 OR page_id % 70 >= 15)) AS figure
+           page_id % 70 >= 60 OR page_id % 5 >= 2 OR (page_id % 5 = 1 AND page_id % 70 >= 15) OR ((contains(lower(url), 'graph') OR contains(lower(url), 'chart') OR contains(lower(url), 'figure') OR contains(lower(url), 'fig.') OR contains(lower(url), 'fig ')) AND (page_id % 5 >= 1 OR page_id % 70 >= 15)) AS figure
     FROM pages""")
 def page_rules(spark: SparkSession, d: str) -> DataFrame:
     y = (F.col("page_id") % 100).cast("double")
@@ -493,12 +493,15 @@ def evaluate_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.coalesce("field", F.lit("ALL")).alias("field"), *(F.round(c, 4).alias(c) for c in out.columns[1:]))
 
 
-@query()
+@query("""
+    SELECT substring(md5(c_custkey::VARCHAR), 1, 8) || 'x' || substring(md5(c_custkey::VARCHAR), 9, 7) || ' y' AS study,
+           CASE WHEN c_custkey % 4 < 3 THEN upper(substring(md5(c_custkey::VARCHAR), 1, 16)) || '.pdf' END AS file, CASE WHEN c_custkey % 4 < 3 THEN 'likeness' END AS tier FROM customer""")
 def likeness_match(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier names with a digit changed, matched by likeness within their nation."""
-    names = table(spark, d, "nation").select(F.col("n_name").alias("study"))
-    files = names.select(F.concat(F.initcap("study"), F.lit("s.pdf")).alias("file"))
-    return alignment.match_studies(names, files, ("exact", "slug", "likeness"))
+    """Customers' digests with a letter more in the middle and another one at the end, matched with files of the digests of three quarters of them: alike by 0.91."""
+    names = table(spark, d, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("m"))
+    studies = names.select(F.concat(F.substring("m", 1, 8), F.lit("x"), F.substring("m", 9, 7), F.lit(" y")).alias("study"))
+    files = names.where("c_custkey % 4 < 3").select(F.concat(F.upper(F.substring("m", 1, 16)), F.lit(".pdf")).alias("file"))
+    return alignment.match_studies(studies, files, ("exact", "slug", "likeness"))
 
 
 SLUG_SQL = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
@@ -531,15 +534,16 @@ def blocks_lookup(spark: SparkSession, d: str) -> DataFrame:
     return alignment.blocks_for(keys, nation.select(F.concat(name, F.lit("_blocks.json")).alias("file")))
 
 
-@query(f"""
-    WITH c AS (SELECT n_name || ' et al. (' || (1990 + n_nationkey) || ')' AS citation FROM nation), f AS (SELECT lower(n_name) || '_' || (1990 + n_nationkey) || '.pdf' AS file FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name || ' 2001.pdf' FROM nation),
-    a AS (SELECT citation, {SLUG_SQL.format("regexp_extract(trim(citation), '^([^\\s,(&]+)', 1)")} AS author, regexp_extract(citation, '((?:19|20)\\d{{2}})', 1) AS year FROM c)
-    SELECT citation, min(file) AS file FROM a LEFT JOIN f ON contains({SLUG_SQL.format("file")}, author) AND list_contains(regexp_extract_all(file, '(?:19|20)\\d{{2}}'), year) GROUP BY citation""")
+@query("""
+    WITH c AS (SELECT c_custkey AS k, c_name || ', A. (' || (1990 + c_custkey % 30) || '). A title, (2001)' AS citation FROM customer), f AS (
+        SELECT lower(c_name) || '_' || (1990 + c_custkey % 30) || '7.pdf' AS file FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_name || ' (2001).pdf' FROM customer)
+    SELECT citation, min(file) AS file FROM c LEFT JOIN f ON contains(lower(file), lower(split_part(citation, ',', 1))) AND contains(file, (1990 + k % 30)::VARCHAR) GROUP BY citation""")
 def cited_files(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation")
-    year = (F.col("n_nationkey") + 1990).cast("string")
-    dated = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lower("n_name"), F.lit("_"), year, F.lit(".pdf")).alias("file"))
-    return alignment.cited(nation.select(F.concat("n_name", F.lit(" et al. ("), year, F.lit(")")).alias("citation")), dated.union(nation.select(F.concat("n_name", F.lit(" 2001.pdf")))))
+    """Customers as authors; half of them have a file with their year within a longer number, all one with the title's year."""
+    customers, year = table(spark, d, "customer"), (F.col("c_custkey") % 30 + 1990).cast("string")
+    dated = customers.where("c_custkey % 2 = 0").select(F.concat(F.lower("c_name"), F.lit("_"), year, F.lit("7.pdf")).alias("file"))
+    citations = customers.select(F.concat("c_name", F.lit(", A. ("), year, F.lit("). A title, (2001)")).alias("citation"))
+    return alignment.cited(citations, dated.union(customers.select(F.concat("c_name", F.lit(" (2001).pdf")))))
 
 
 @query(f"""
@@ -723,3 +727,6 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark)
     sinks.write_csv(rows, path, ["name", "number"])
     return records.csv_rows(spark, path, ["name", "number"])
+
+
+from cellweave.plans import catalog_more  # noqa: E402, F401  registers its queries

@@ -171,12 +171,13 @@ def drop_empty(rows: DataFrame) -> DataFrame:
 
 
 def study_items(texts: DataFrame) -> DataFrame:
-    """(file, ord, study) of JSON documents (file, value): a list, an object with a list ``studies``, or one object. What doesn't parse is left out."""
+    """(file, ord, study) of JSON documents (file, value): the objects of a list, of an object's list ``studies``, or one object itself. What doesn't parse, or is no object, is left out."""
     parsed = texts.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
     kind = F.schema_of_variant("v")
     inner = F.try_variant_get("v", "$.studies", "array<variant>")
     items = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(inner.isNotNull(), inner).when(kind.startswith("OBJECT"), F.array("v"))
-    return parsed.select("file", F.posexplode(items).alias("ord", "study"))
+    objects = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return parsed.select("file", F.posexplode(objects).alias("ord", "study"))
 
 
 def tei_blocks(documents: DataFrame) -> DataFrame:
