@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import fields
 from cellweave.functions.text import constant_map, squeeze
+from cellweave.sources.shared import cut
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, empty: str = "allow") -> DataFrame:
     """(file, line, record): blank lines are skipped; of repeated keys in an object the last one counts; a line that is no object fails the scan.
 
-    Lines are numbered by their place in their file: a file is read whole, as the last of equal keys must win.
-    """
+    A file is read in splits. line is STRUCT(split, nth): where a line's split begins, and a number that rises within it, so lines of a file are in order by it
+    although no task sees the file as a whole. empty: ``error`` fails where there is no record. The session keeps the setting that lets objects repeat keys."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    parsed = whole.where(F.trim("text") != "").withColumn("record", F.try_parse_json("text"))
-    return parsed.select("file", "line", F.when(F.schema_of_variant("record").startswith("OBJECT"), F.col("record")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line") + 1, F.lit(" of "), F.col("file"), F.lit(" is no JSON object")))).alias("record"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth")).alias("line"), F.col("value").alias("text"))
+    parsed = text.where(F.trim("text") != "").withColumn("record", F.try_parse_json("text"))
+    told = F.concat(F.lit("in the split at byte "), F.col("line.split"), F.lit(" of "), F.col("file"), F.lit(" this is no JSON object: "), F.substring("text", 1, 100))
+    out = parsed.select("file", "line", F.when(F.schema_of_variant("record").startswith("OBJECT"), F.col("record")).otherwise(F.raise_error(told)).alias("record"))
+    if empty == "error" and text.where(F.trim("text") != "").isEmpty():
+        raise ValueError(f"no records in {path}")
+    return out
 
 
 def records_by_key(lines: DataFrame, key: str = "pdf", blank: str = "error") -> DataFrame:
@@ -35,7 +40,8 @@ def records_by_key(lines: DataFrame, key: str = "pdf", blank: str = "error") ->
     if blank == "drop":
         named = named.where(~missing)
     else:
-        named = named.withColumn("key", F.when(missing, F.raise_error(F.concat(F.lit(f"no {key} in line "), F.col("line") + 1))).otherwise(F.col("key")))
+        told = F.concat(F.lit(f"no {key} in the split at byte "), F.col("line.split"), F.lit(" of "), F.col("file"), F.lit(": "), F.substring(F.to_json("record"), 1, 100))
+        named = named.withColumn("key", F.when(missing, F.raise_error(told)).otherwise(F.col("key")))
     last = F.max_by("record", F.struct("file", "line")).alias("record")
     return named.groupBy("key").agg(F.count("*").alias("seen"), last, F.max(F.struct("file", "line"))["line"].alias("line"))
 
@@ -49,9 +55,8 @@ def cells(records: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
     """(key, field, value) of records (key, record); of headers that name one field, the last one in order of name counts.
 
     wanted prunes fields before anything is normalized."""
-    spark = records.sparkSession
-    records.createOrReplaceTempView("__cw_records")
-    exploded = spark.sql("SELECT r.key, e.pos AS pos, e.key AS name, e.value AS value FROM __cw_records r, LATERAL variant_explode(r.record) e")
+    each = records.sparkSession.tvf.variant_explode(F.col("record").outer()).toDF("pos", "name", "value")
+    exploded = records.select("key", "record").lateralJoin(each).select("key", "pos", "name", "value")
     out = exploded.withColumn("field", canonical_field(F.col("name"))).groupBy("key", "field").agg(F.max_by("value", "pos").alias("value"))
     return out.where(F.col("field").isin(*wanted)) if wanted is not None else out.where("field <> 'pdf'")
 
@@ -72,6 +77,24 @@ def csv_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return reader.csv(path).na.fill("")
 
 
+def rows_if_there(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """csv_rows with the columns and ``line``, their order; none without a file."""
+    try:
+        rows = csv_rows(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", line long")
+    have = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]
+    return rows.select(*have, F.monotonically_increasing_id().alias("line"))
+
+
+def alignment_issues(spark: SparkSession, path: str) -> DataFrame:
+    """(key, issue_type, related, evidence, line) of a report of alignment issues, as operators.reconcile.annotate takes them; none without a file. Rows without a document are left out."""
+    found = rows_if_there(spark, path, ("pdf", "issue_type", "related_pdf", "evidence"))
+    return found.select(F.trim("pdf").alias("key"), "issue_type", F.col("related_pdf").alias("related"), "evidence", "line").where("key <> ''")
+
+
 def csv_row_count(spark: SparkSession, path: str) -> int:
     """Lines after the header; zero without a file."""
     try:
@@ -98,12 +121,18 @@ def alias_sections(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", name: str | None = None) -> DataFrame:
-    """(file, path, content, sha256), one file or all that match, in order of name. A named file that isn't there fails."""
+    """(file, path, content, sha256), one file or all that match; contents aren't sorted, names are by who needs them in order. A named file that isn't there fails."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", name or pattern).load(folder)
     out = found.select(F.col("_metadata.file_name").alias("file"), "path", "content", F.sha2("content", 256).alias("sha256"))
-    if name is not None and out.isEmpty():
+    if name is not None and out.select("file").isEmpty():
         raise FileNotFoundError(f"{folder}/{name}")
-    return out.orderBy("file")
+    return out
+
+
+def file_names(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """(file, path, length) in order of name, without reading any content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select(F.col("_metadata.file_name").alias("file"), "path", "length").orderBy("file")
 
 
 def blocks(spark: SparkSession, folder: str, pattern: str = "*_blocks.json") -> DataFrame:
@@ -148,20 +177,33 @@ def resolve_files(records: DataFrame, files: DataFrame) -> DataFrame:
 
 def spreadsheet_records(rows: DataFrame, order: str, study: str, values: Sequence[str], empty_run: int = 50) -> DataFrame:
     """(study, ord, values...) of a sheet's rows: blank and NA are absent, a study's name holds for the rows below it, rows before the first study are left out,
-    and the sheet ends where so many empty rows follow each other.
+    and the sheet ends where so many empty rows follow each other. With several sheets in a column ``sheet``, each is one of its own.
 
-    A sheet is one ordered sequence, so its rows are one window; with several sheets in a column ``sheet``, each is one of its own.
+    A sheet is dealt by ranges of its rows over all tasks. A range looks up and down its own rows only; what holds from the ranges before it is a row for each range, their
+    places, last full row and last study, and joined to it.
     """
-    by = ["sheet"] if "sheet" in rows.columns else []
+    spark = rows.sparkSession
     clean = lambda c: F.when(F.trim(c).isin("", "NA"), F.lit(None)).otherwise(F.trim(c))
-    tidy = rows.select(*by, order, *(clean(F.col(f"`{c}`").cast("string")).alias(c) for c in (study, *values)))
-    ordered = Window.partitionBy(*by).orderBy(order)
+    sheet = F.coalesce(F.col("sheet").cast("string"), F.lit("")) if "sheet" in rows.columns else F.lit("")
+    tidy = rows.select(*(["sheet"] if "sheet" in rows.columns else []), sheet.alias("__cw_sheet"), order, *(clean(F.col(f"`{c}`").cast("string")).alias(c) for c in (study, *values)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(tidy.repartitionByRange(parts, "__cw_sheet", order).withColumn("__cw_part", F.spark_partition_id()))
+    within = Window.partitionBy("__cw_sheet", "__cw_part").orderBy(order)
     full = F.coalesce(*(F.col(f"`{c}`") for c in (study, *values))).isNotNull()
-    marked = tidy.withColumn("__cw_full", full).withColumn("__cw_n", F.row_number().over(ordered))
-    marked = marked.withColumn("__cw_last", F.coalesce(F.max(F.when(F.col("__cw_full"), F.col("__cw_n"))).over(ordered), F.lit(0)))
-    marked = marked.withColumn("__cw_over", F.max((F.col("__cw_n") - F.col("__cw_last") >= empty_run).cast("int")).over(ordered))
-    filled = marked.where("__cw_over = 0").withColumn(study, F.last(F.col(f"`{study}`"), ignorenulls=True).over(ordered))
-    return filled.where(F.col("__cw_full") & F.col(f"`{study}`").isNotNull()).drop("__cw_full", "__cw_n", "__cw_last", "__cw_over")
+    placed = dealt.withColumn("__cw_n", F.row_number().over(within)).withColumn("__cw_full", full)
+    last = F.max_by(F.col(f"`{study}`"), F.when(F.col(f"`{study}`").isNotNull(), F.col("__cw_n")))
+    ranges = placed.groupBy("__cw_sheet", "__cw_part").agg(F.count("*").alias("size"), F.max(F.when(F.col("__cw_full"), F.col("__cw_n"))).alias("seen"), last.alias("held"))
+    before = Window.partitionBy("__cw_sheet").orderBy("__cw_part").rowsBetween(Window.unboundedPreceding, -1)
+    started = ranges.withColumn("__cw_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    carried = started.select("__cw_sheet", "__cw_part", "__cw_start", F.max(F.col("__cw_start") + F.col("seen")).over(before).alias("__cw_seen"), F.last("held", ignorenulls=True).over(before).alias("__cw_held"))
+    filled = placed.where("__cw_full").withColumn("__cw_up", F.lag("__cw_n").over(within)).withColumn(study, F.last(F.col(f"`{study}`"), ignorenulls=True).over(within))
+    joined = filled.join(carried, ["__cw_sheet", "__cw_part"])
+    at = F.col("__cw_n") + F.col("__cw_start")
+    gap = at - F.coalesce(F.col("__cw_up") + F.col("__cw_start"), F.col("__cw_seen"), F.lit(0)) - 1
+    told = joined.withColumn("__cw_at", at).withColumn("__cw_gap", gap).withColumn(study, F.coalesce(F.col(f"`{study}`"), "__cw_held"))
+    ends = told.where(F.col("__cw_gap") >= empty_run).groupBy("__cw_sheet").agg(F.min("__cw_at").alias("__cw_end"))
+    kept = told.join(ends, "__cw_sheet", "left").where((F.col("__cw_end").isNull() | (F.col("__cw_at") < F.col("__cw_end"))) & F.col(f"`{study}`").isNotNull())
+    return kept.select(*(c for c in tidy.columns if c != "__cw_sheet"))
 
 
 def drop_empty(rows: DataFrame) -> DataFrame:

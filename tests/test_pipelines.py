@@ -93,7 +93,7 @@ def test_matching_of_names(spark):
     got = {r.study: (r.file, r.tier) for r in alignment.match_studies(studies, names).collect()}
     assert got == {"Smith 2001": ("smith 2001.pdf", "exact"), "Van Berg & Jones, 1999": ("berg jones 1999 paper.pdf", "author_year"), "Nothing": (None, None), "Lee2004 a": ("Lee_2004_a.PDF", "slug")}
     assert {r.study: r.file for r in alignment.by_containment(studies, names).collect()}["Smith 2001"] == "smith 2001.pdf"
-    assert {r.citation: r.file for r in alignment.cited(spark.createDataFrame([("Smith, 2001",)], "citation string"), names).collect()} == {"Smith, 2001": "smith 2001.pdf"}
+    assert {r.citation: r.file for r in alignment.cited(spark.createDataFrame([("Smith, J. (2001)",)], "citation string"), names).collect()} == {"Smith, J. (2001)": "smith 2001.pdf"}
 
 
 def test_duplicates_and_missing_authors(spark):
