@@ -156,10 +156,19 @@ ORACLES = {
             SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM found) GROUP BY doc_id
         ), named AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+        ), pairs AS (  -- whole windows at the same distance, one after the other, make a match
+            SELECT doc_id, item_id, t, i, j, i - row_number() OVER (PARTITION BY doc_id, t, j - i ORDER BY i) AS run
+            FROM (SELECT doc_id, i, gram FROM grams WHERE k = 10) JOIN (
+                SELECT item_id, w AS t, j, array_to_string(w[j:j + 9], ' ') AS gram FROM items, unnest(generate_series(1, len(w) - 9)) AS s(j)) USING (gram)
+        ), matches AS (
+            SELECT doc_id, item_id, i - 1 AS doc_at, j - 1 AS item_at, max(i) OVER (PARTITION BY doc_id, item_id, t, j - i, run) - i + 10 AS n FROM pairs
+        ), longest AS (
+            SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, doc_at, item_id, item_at) = 1
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(n, 0)::BIGINT AS longest, longest.item_id AS longest_item, doc_at::BIGINT AS longest_at, item_at::BIGINT AS longest_item_at
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

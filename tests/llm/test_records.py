@@ -88,6 +88,21 @@ def brute_hits(doc, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def brute_longest(doc, items):
+    """The longest match of ten words or more: words, item, places."""
+    w, best = words(doc), None
+    for name, text in items:
+        t = words(text)
+        for p in range(len(w)):
+            for s in range(len(t)):
+                n = 0
+                while p + n < len(w) and s + n < len(t) and w[p + n] == t[s + n]:
+                    n += 1
+                if n >= 10 and (best is None or (-n, p, str(name), s) < best):
+                    best = (-n, p, str(name), s)
+    return (-best[0], best[2], best[1], best[3]) if best else (0, None, None, None)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination_equals_brute_force(spark, docs_of, empty, block_bytes):
     rng = random.Random(3)
@@ -96,7 +111,8 @@ def test_decontamination_equals_brute_force(spark, docs_of, empty, block_bytes):
     docs = [text(rng.randrange(0, 80)) for _ in range(40)] + [None, "", "say one WORD; lone", "q " * 300, items[1][1] + " " + items[5][1]]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(decontaminate.contamination(docs_of(docs), benchmark, block_bytes=block_bytes).collect())
-    assert [tuple(r)[1:] for r in got] == [brute_hits(d, items) for d in docs]
+    assert [tuple(r)[1:6] for r in got] == [brute_hits(d, items) for d in docs]
+    assert [tuple(r)[6:] for r in got] == [brute_longest(d, items) for d in docs]
     kept = decontaminate.clean(docs_of(docs), benchmark, block_bytes=block_bytes)
     assert kept.columns == docs_of(docs).columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.contaminated}
     assert decontaminate.contamination(empty, benchmark).count() == 0
@@ -110,6 +126,33 @@ def test_longest_matches(spark, docs_of):
     assert [tuple(m) for m in got[0].matches] == [("7", 2, 5, 45)] and got[1].matches == []
 
 
+def test_passages_that_items_and_documents_share():
+    """Thousands of items and documents share windows: what is held grows with their number, not with its square."""
+    import tracemalloc
+
+    shared = " ".join(f"s{i}" for i in range(14))
+    block = decontaminate.Block([(f"{i:05}", f"a{i} {shared} b{i}") for i in range(6000)])
+    texts = [f"x {shared} y{i % 7}" for i in range(6000)]
+    tracemalloc.start()
+    found = decontaminate.Found(texts, longest=True)
+    found.add(block)
+    sizes, hits, items, digests, bad = found.columns()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(hits) == {14} and set(items) == {6000} and len(set(digests)) == 1 and all(bad) and set(found.longest) == {(14, "00000", 1, 1)}
+    assert most < 200e6, most
+
+
+def test_long_and_repeated_items():
+    """A match of thousands of words, in copies of one item, and one that goes round in itself."""
+    long = " ".join(f"w{i * i % 9973}" for i in range(5000))
+    block = decontaminate.Block([("b", long), ("a", long), ("c", "q " * 700)])
+    found = decontaminate.Found([f"x {long} y", "z " + "q " * 900, long[:-3]], matches=True)
+    found.add(block)
+    assert found.longest[0] == (5000, "a", 1, 0) and found.longest[1] == (700, "c", 1, 0) and found.longest[2][:3] == (4999, "a", 0)
+    assert [(m["doc_at"], m["n_words"]) for m in found.matches[0]] == [(1, 5000)]
+
+
 URLS = ["http://Example.COM/en/7x?q", "https://a.example.com/en/71", "http://com/en/", "http://xcom/en/1", "http://a.net/de/1", "http://example.net/de/8", "http://a.org/es/?x", "http://a.org/ES/", "no scheme/en/", None, "http://", "x://h", "http://h?/en/", "http://a.com#/en/", "ftp://u:p@B.com:80/en/a b"]
 
 
