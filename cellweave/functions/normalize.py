@@ -47,14 +47,13 @@ def alias(text: Column, field: Column, aliases: Aliases | None = None) -> Column
     aliases = aliases or {}
 
     def per_field(tables: Mapping[str, Mapping[str, str]], key: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, table in tables.items():
-            if name != "global" and table:
-                out = F.when(field == name, _look_up(table, key)).otherwise(out)
-        return out
+        # one table for all fields, by field and value
+        joined = {f"{name}\x1f{a}": b for name, table in tables.items() if name != "global" for a, b in table.items()}
+        return _look_up(joined, F.concat(field, F.lit("\x1f"), key))
 
     def built_in(key: Column) -> Column:
-        return F.coalesce(per_field(fields.FIELD_VALUES, key), _look_up(fields.COUNTRIES | fields.VALUES, key), _look_up(aliases.get("global", {}), key))
+        more = [_look_up(aliases["global"], key)] if aliases.get("global") else []
+        return F.coalesce(per_field(fields.FIELD_VALUES, key), _look_up(fields.COUNTRIES | fields.VALUES, key), *more)
 
     def chain(both: Column) -> Column:
         text, bare = both["text"], both["bare"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from cellweave.functions import fields
 from cellweave.functions.normalize import Aliases, value_set
 from cellweave.functions.similarity import likeness
 from cellweave.functions.text import let
+from cellweave.sources.shared import cut
 
 
 def exact_counts(predicted: Column, gold: Column) -> Column:
@@ -72,6 +73,14 @@ def compare_keys(predicted: DataFrame, gold: DataFrame, key: str = "key") -> Dat
     return p.join(g, key, "full_outer").select(key, side.alias("side"))
 
 
+def value_sets(texts: DataFrame, aliases: Aliases | None = None, parse: Callable[[Column], Column] = F.parse_json) -> DataFrame:
+    """(field, text, values): the set of each different JSON text of a field (field, text), null for no text.
+
+    It is kept, so a value is made a set once, and the large expression is no part of the plans that use it."""
+    told = texts.where("text IS NOT NULL").select("field", "text").distinct()
+    return cut(told.select("field", "text", value_set(parse(F.col("text")), F.col("field"), aliases).alias("values")))
+
+
 def score_cells(predicted: DataFrame, gold: DataFrame, wanted: Sequence[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:
     """(key, field, predicted, gold, score) for documents on both sides, by cells (key, field, value).
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import fields
 from cellweave.functions.normalize import Aliases, value_set
-from cellweave.operators.matching import exact_counts, with_metrics
+from cellweave.operators.matching import exact_counts, value_sets, with_metrics
+from cellweave.sources.shared import cut
 
 SOURCES = ("legacy", "llm_a", "llm_b")
 
@@ -94,6 +95,30 @@ def status_counts(cells: DataFrame) -> DataFrame:
     return cells.groupingSets([("field", "status"), ("status",)], "field", "status").agg(F.count("*").alias("n"))
 
 
+def coverage(sources: dict[str, DataFrame]) -> DataFrame:
+    """(key, legacy, llm_a, llm_b): every document, and whether a source has it; of sources (key, ...), dealt by key once."""
+    stacked = None
+    for name in SOURCES:
+        part = sources[name].select("key", F.lit(name).alias("source"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked.groupBy("key").agg(*(F.bool_or(F.col("source") == n).alias(n) for n in SOURCES))
+
+
+def review_summary(cells: DataFrame, covered: DataFrame) -> DataFrame:
+    """One row, the summary of a review: records by source and in all, fields, rows of either kind, counts by status, by field and status, and documents that a source lacks by number.
+    Which ones these are is ``coverage``'s, a row for each."""
+    files = covered.agg(*(F.count_if(n).alias(f"{n}_records") for n in SOURCES), F.count("*").alias("matched_or_union"), F.struct(*(F.count_if(~F.col(n)).alias(f"missing_from_{n}") for n in SOURCES)).alias("input_coverage"))
+    counts = status_counts(cells)
+    by_field = counts.where("field IS NOT NULL").groupBy("field").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("m"))
+    by_field = by_field.agg(F.count("*").alias("fields_per_document"), F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("field_status_counts"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))
+    settled = F.col("status").isin("silver_auto", "legacy_llm_b_agree")
+    total = counts.where("field IS NULL").agg(
+        F.coalesce(F.sum(F.when(settled, F.col("n"))), F.lit(0)).alias("silver_rows"), F.coalesce(F.sum(F.when(~settled & (F.col("status") != "all_missing"), F.col("n"))), F.lit(0)).alias("review_rows"), entries.alias("status_counts")
+    )
+    return files.crossJoin(F.broadcast(by_field)).crossJoin(F.broadcast(total))
+
+
 def assert_unique(rows: DataFrame, *keys: str) -> DataFrame:
     """rows; computing them fails if a key repeats. The check is one aggregate, joined by its only row."""
     twice = rows.groupBy(*keys).count().where("count > 1").agg(F.max(F.to_json(F.struct(*keys))).alias("__cw_twice"))
@@ -222,7 +247,13 @@ def disagreement_scores(review_rows: DataFrame, reference: str = "reviewed", ali
     rows = review_rows.where(F.trim(F.coalesce(column, F.lit(""))) != "") if reference == "reviewed" else review_rows
     sources = [n for n in SOURCES if not (reference == "legacy" and n == "legacy")]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("source"), F.col(f"{n}_value_json").alias("cell")) for n in sources)))
-    sets = rows.select("field", F.col(column).alias("ref"), each.alias("s")).select("field", F.col("s.source").alias("source"), value_set(from_json_cell(F.col("s.cell")), F.col("field"), aliases).alias("x"), value_set(from_json_cell(F.col("ref")), F.col("field"), aliases).alias("y"))
-    counted = sets.select("source", "field", (F.col("x") == F.col("y")).alias("exact"), exact_counts(F.col("x"), F.col("y")).alias("c")).select("source", "field", "exact", "c.*")
-    sums = [F.count("*").alias("rows"), F.count_if("exact").alias("exact"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))]
+    # equal comparisons are counted together, and each different cell of a field is made a set once
+    pairs = rows.select("field", F.coalesce(column, F.lit("")).alias("ref"), each.alias("s")).groupBy("field", "s.source", F.coalesce("s.cell", F.lit("")).alias("cell"), "ref").agg(F.count("*").alias("n"))
+    pairs = cut(pairs)
+    known = value_sets(pairs.select("field", F.explode(F.array("cell", "ref")).alias("text")), aliases, from_json_cell)
+    sets = pairs
+    for name, to in (("cell", "x"), ("ref", "y")):
+        sets = sets.join(known.withColumnsRenamed({"text": name, "values": to}), ["field", name])
+    counted = sets.select("source", "field", "n", (F.col("x") == F.col("y")).alias("exact"), exact_counts(F.col("x"), F.col("y")).alias("c")).select("source", "field", "n", "exact", "c.*")
+    sums = [F.sum("n").alias("rows"), F.sum(F.when(F.col("exact"), F.col("n")).otherwise(0)).alias("exact"), *(F.sum(F.col(c) * F.col("n")).alias(c) for c in ("tp", "fp", "fn"))]
     return with_metrics(counted.groupingSets([("source", "field"), ("source",)], "source", "field").agg(*sums))

@@ -26,6 +26,13 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("key").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in fields.VERDICTS), F.count_if(~F.col("quote_matched")).alias("quote_unmatched"))
 
 
+def coverage(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row (covered, gold_suspect, both_suspect): scored documents that have any verdict, and how many suspects there are."""
+    covered = scored.select("key").distinct().join(verdicts.select("key").distinct(), "key", "left_semi").agg(F.count("*").alias("covered"))
+    counts = suspects(scored, verdicts).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("gold_suspect", "both_suspect")))
+    return covered.crossJoin(F.broadcast(counts))
+
+
 def crosstab(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(verdict, agree, disagree): all four verdicts, whether or not they occur. scored: (key, field, score)."""
     good = (F.col("score.fp") == 0) & (F.col("score.fn") == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import alignment, eda, reconcile
-from cellweave.plans.catalog import query, table
+from cellweave.plans.catalog import EVALUATED, SOURCES_SQL, _evaluated, _sources, query, table
 from cellweave.sources import records
 
 
@@ -62,3 +62,26 @@ def patterns_in_texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold the beginning of a benchmark text."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return alignment.contain.found_in(texts, table(spark, d, "benchmark").select(F.substring("text", 1, 12).alias("pattern")))
+
+
+@query(EVALUATED + """, d AS (SELECT key, bool_or(odd = 1) AS p, bool_or(odd = 0) AS g FROM side GROUP BY key), x AS (SELECT key, sum(wrong) = 0 AS exact FROM scored GROUP BY key)
+    SELECT (count(*) FILTER (p))::BIGINT AS predictions, (count(*) FILTER (g))::BIGINT AS gold, (count(*) FILTER (p AND g))::BIGINT AS matched, (count(*) FILTER (g AND NOT p))::BIGINT AS missing, (count(*) FILTER (p AND NOT g))::BIGINT AS extra,
+           22 AS fields, 'figure-dependent' AS why, round((SELECT avg(exact::INT) FROM x), 6) AS rate, (SELECT sum(tp) FROM scored)::BIGINT AS tp, (SELECT sum(tp) FROM scored WHERE field = 'Age')::BIGINT AS age FROM d""")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The document of results: files, fields left out and why, metrics over all and of a field."""
+    s = _evaluated(spark, d)["summary"]
+    return s.select(
+        F.col("predictions_file_count").alias("predictions"), F.col("gold_file_count").alias("gold"), F.col("matched_file_count").alias("matched"), F.col("missing_prediction_count").alias("missing"), F.col("extra_prediction_count").alias("extra"),
+        F.col("scored_field_count").alias("fields"), F.col("excluded_fields")["Total Number of Observations"].alias("why"), F.round("overall.exact_match_rate", 6).alias("rate"), F.col("overall.tp").alias("tp"), F.col("per_field")["Age"]["tp"].alias("age"),
+    )
+
+
+@query(SOURCES_SQL + """ SELECT (SELECT count(*) FROM orders)::BIGINT AS legacy_records, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0)::BIGINT AS llm_b_records, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 1)::BIGINT AS missing_from_llm_b,
+        2 AS fields_per_document, (count(*) FILTER (status IN ('silver_auto', 'legacy_llm_b_agree')))::BIGINT AS silver_rows, (count(*) FILTER (status NOT IN ('silver_auto', 'legacy_llm_b_agree')))::BIGINT AS review_rows,
+        (count(*) FILTER (status = 'legacy_llm_a_agree'))::BIGINT AS a_agrees, (count(*) FILTER (status = 'one_source_only' AND field = 'Number of Cases'))::BIGINT AS only_cases FROM three""")
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A review's counts, of which B knows every second document."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    covered = reconcile.coverage({"legacy": keys, "llm_a": keys, "llm_b": keys.where("key % 2 = 0")})
+    s = reconcile.review_summary(_sources(spark, d), covered)
+    return s.select("legacy_records", "llm_b_records", "input_coverage.missing_from_llm_b", F.col("fields_per_document").cast("int").alias("fields_per_document"), "silver_rows", "review_rows", F.col("status_counts")["legacy_llm_a_agree"].alias("a_agrees"), F.col("field_status_counts")["Number of Cases"]["one_source_only"].alias("only_cases"))

@@ -9,33 +9,114 @@ from cellweave.functions import fields
 from cellweave.functions.normalize import Aliases
 from cellweave.operators import matching, reconcile, verify
 from cellweave.sources import records
+from cellweave.sources.shared import cut
+
+
+SCORE = "tp long, fp long, fn long, soft_tp double, soft_fp double, soft_fn double, matches array<struct<predicted:string,gold:string,similarity:double>>"
+
+
+def documents(predicted: DataFrame, gold: DataFrame, wanted: list[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:
+    """(key, predicted, gold, exact, fields) of records (key, record): a row for each document of either side. predicted and gold say whether a side has it; fields maps
+    each wanted field to STRUCT(predicted, gold, score), null for documents of one side only.
+
+    Both sides are stacked, a record's marker row beside its cells, and dealt by key once: the sets of a document and field come together, and then a document's fields. Each
+    different value of a field is made a set once."""
+    stacked = None
+    for name, side in (("p", predicted), ("g", gold)):
+        cells = records.cells(side, wanted).select("key", "field", F.to_json("value").alias("text"))
+        part = cells.unionByName(side.select("key", F.lit("").alias("field"), F.lit(None).cast("string").alias("text"))).withColumn("side", F.lit(name))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    stacked = cut(stacked)
+    valued = stacked.join(matching.value_sets(stacked, aliases), ["field", "text"], "left").repartition("key")
+    pick = lambda name: F.max(F.when(F.col("side") == name, F.col("values"))).alias(name)
+    sets = valued.groupBy("key", "field").agg(pick("p"), pick("g"), F.bool_or(F.col("side") == "p").alias("in_p"), F.bool_or(F.col("side") == "g").alias("in_g"))
+    empty = F.array().cast("array<string>")
+    cell = F.struct("field", F.struct(F.coalesce("p", empty).alias("predicted"), F.coalesce("g", empty).alias("gold")).alias("sets"))
+    held = sets.groupBy("key").agg(F.bool_or("in_p").alias("predicted"), F.bool_or("in_g").alias("gold"), F.map_from_entries(F.collect_list(F.when(F.col("field") != "", cell))).alias("sets"))
+    both = F.col("predicted") & F.col("gold")
+
+    def scored(field):
+        none = F.struct(empty.alias("predicted"), empty.alias("gold"))
+        s = F.coalesce(F.try_element_at("sets", field), none)
+        # most fields of a document are empty on both sides
+        nothing = F.from_json(F.lit('{"tp":0,"fp":0,"fn":0,"soft_tp":0,"soft_fp":0,"soft_fn":0,"matches":[]}'), SCORE)
+        score = F.when(F.size(s["predicted"]) + F.size(s["gold"]) == 0, nothing).otherwise(matching.score(s["predicted"], s["gold"], field, least))
+        return F.struct(field.alias("field"), F.struct(s["predicted"].alias("predicted"), s["gold"].alias("gold"), score.alias("score")).alias("told"))
+
+    told = held.select("key", "predicted", "gold", F.when(both, F.transform(F.array(*map(F.lit, wanted)), scored)).alias("all"))
+    exact = F.forall("all", lambda x: (x["told"]["score"]["fp"] == 0) & (x["told"]["score"]["fn"] == 0))
+    return told.select("key", "predicted", "gold", exact.alias("exact"), F.map_from_entries("all").alias("fields"))
 
 
 def evaluate(predicted: DataFrame, gold: DataFrame, aliases: Aliases | None = None, include_excluded: bool = False, least: float = fields.SIMILAR_VALUE) -> dict[str, DataFrame]:
-    """scored cells, metrics by field and over all, exact documents and keys of one side, of records (key, record)."""
+    """Of records (key, record): documents, kept, and from them scored cells, metrics by field and over all, exact documents, keys by side, and the document of results."""
     wanted = matching.scored_fields(include_excluded)
-    scored = matching.score_cells(records.cells(predicted, wanted), records.cells(gold, wanted), wanted, aliases, least)
-    keys = matching.compare_keys(predicted, gold)
-    return {"scored": scored, "metrics": matching.field_metrics(scored), "documents": matching.document_exactness(scored, keys), "keys": keys}
+    kept = cut(documents(predicted, gold, wanted, aliases, least))
+    scored = kept.where("fields IS NOT NULL").select("key", F.explode("fields").alias("field", "x")).select("key", "field", "x.predicted", "x.gold", "x.score")
+    side = F.when(F.col("predicted") & F.col("gold"), "both").when(F.col("gold"), "missing").otherwise("extra")
+    metrics = matching.field_metrics(scored)
+    exactness = kept.where("fields IS NOT NULL").agg(F.count("*").alias("documents"), F.count_if("exact").alias("exact"), F.coalesce(F.avg(F.col("exact").cast("double")), F.lit(0.0)).alias("rate"))
+    out = {"by_document": kept, "scored": scored, "metrics": metrics, "documents": exactness, "keys": kept.select("key", side.alias("side"))}
+    return out | {"summary": summary(kept, metrics, wanted, least)}
+
+
+#: A field's metrics in a document of results.
+METRICS = ("tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def summary(kept: DataFrame, metrics: DataFrame, wanted: list[str], least: float = fields.SIMILAR_VALUE) -> DataFrame:
+    """One row, the document of results: counts of files, fields left out and why, metrics over all and by field. Lists of documents are ``missing_and_extra``'s and ``by_document``'s,
+    which are as long as the corpus."""
+    counts = kept.agg(
+        F.count_if("predicted").alias("predictions_file_count"), F.count_if("gold").alias("gold_file_count"), F.count_if(F.col("predicted") & F.col("gold")).alias("matched_file_count"),
+        F.count_if(F.col("gold") & ~F.col("predicted")).alias("missing_prediction_count"), F.count_if(F.col("predicted") & ~F.col("gold")).alias("extra_prediction_count"),
+        F.coalesce(F.avg(F.when(F.col("fields").isNotNull(), F.col("exact").cast("double"))), F.lit(0.0)).alias("exact_match_rate"),
+    )
+    one = F.struct(*METRICS, F.struct(*(F.col(f"soft_{c}").alias(c) for c in METRICS)).alias("partial"))
+    row = metrics.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", one.alias("m")))))).alias("per_field"),
+        F.max(F.when(F.col("field").isNull(), one)).alias("overall"),
+    )
+    excluded = [f for f in fields.FIELDS if f not in wanted]
+    reasons = F.map_from_arrays(F.array(*map(F.lit, excluded)), F.array(*(F.lit(fields.WHY_NOT_SCORED.get(f, "excluded")) for f in excluded))) if excluded else F.create_map().cast("map<string,string>")
+    return counts.crossJoin(F.broadcast(row)).select(
+        *counts.columns[:-1], F.lit(len(wanted)).alias("scored_field_count"), reasons.alias("excluded_fields"), F.lit(least).alias("partial_similarity_threshold"),
+        F.col("overall").withField("exact_match_rate", F.col("exact_match_rate")).alias("overall"), "per_field",
+    )
+
+
+def listed(out: dict[str, DataFrame]) -> DataFrame:
+    """The summary with the lists of documents of one side and with every document's fields, in order of their keys: one record, for evaluations that one file is to hold."""
+    both, empty = F.col("fields").isNotNull(), F.array().cast("array<string>")
+    names = lambda c: F.coalesce(F.array_sort(F.collect_list(F.when(c, F.col("key")))), empty)
+    each = F.when(both, F.struct("key", F.col("exact").alias("exact_match"), "fields"))
+    lists = out["by_document"].agg(names(F.col("gold") & ~F.col("predicted")).alias("missing_predictions"), names(F.col("predicted") & ~F.col("gold")).alias("extra_predictions"), F.collect_list(each).alias("d"))
+    # maps have no order, so documents are sorted by their keys alone
+    ordered = F.array_sort("d", lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return out["summary"].crossJoin(F.broadcast(lists.select("missing_predictions", "extra_predictions", ordered.alias("per_document"))))
 
 
 def evaluate_files(spark: SparkSession, predictions: str, gold: str, verification: str | None = None, aliases: str | None = None, **options) -> dict[str, DataFrame]:
-    """evaluate of two files of JSON lines; with a verification file also the crosstab and the suspects."""
+    """evaluate of two files of JSON lines; with a verification file also the crosstab, its coverage and the suspects."""
     load = lambda path: records.records_by_key(records.json_lines(spark, path))
     out = evaluate(load(predictions), load(gold), records.alias_sections(spark, aliases) if aliases else None, **options)
     if verification:
         told = records.verdicts(records.json_lines(spark, verification))
-        out |= {"crosstab": verify.crosstab(out["scored"], told), "suspects": verify.suspects(out["scored"], told)}
+        out |= {"crosstab": verify.crosstab(out["scored"], told), "suspects": verify.suspects(out["scored"], told), "coverage": verify.coverage(out["scored"], told)}
     return out
 
 
 def review(legacy: DataFrame, llm_a: DataFrame, llm_b: DataFrame, issues: DataFrame | None = None, aliases: Aliases | None = None) -> dict[str, DataFrame]:
-    """silver, rows for review with suggestions, their worklist and counts by status, of records (key, record) of three sources."""
-    cells = reconcile.three_way({n: records.cells(r) for n, r in zip(reconcile.SOURCES, (legacy, llm_a, llm_b), strict=True)}, aliases=aliases)
+    """silver, rows for review with suggestions, their worklist, counts by status and the summary, of records (key, record) of three sources."""
+    sources = dict(zip(reconcile.SOURCES, (legacy, llm_a, llm_b), strict=True))
+    cells = reconcile.three_way({n: records.cells(r) for n, r in sources.items()}, aliases=aliases)
     suggested = reconcile.suggest(reconcile.for_review(cells))
     if issues is not None:
         suggested = reconcile.annotate(suggested, issues)
     suggested = reconcile.auto_confirm(suggested)
     keys = [F.col(c) for c in ("alignment_issue", "status", "suggestion_confidence")]
     ordered = suggested.orderBy(*reconcile.priority(*keys), "field", "key")
-    return {"silver": reconcile.silver(cells), "review": ordered, "worklist": reconcile.worklist(suggested), "counts": reconcile.status_counts(cells)}
+    return {
+        "silver": reconcile.silver(cells), "review": ordered, "worklist": reconcile.worklist(suggested), "counts": reconcile.status_counts(cells),
+        "coverage": reconcile.coverage(sources), "summary": reconcile.review_summary(cells, reconcile.coverage(sources)),
+    }

@@ -23,16 +23,22 @@ Call = Callable[[str, str], str]
 TOO_LONG = re.compile(r"context[ _]length|context window|maximum context|too many tokens|token limit|too large", re.IGNORECASE)
 
 
-def schema_prompt(hints: Mapping[str, str] = fields.FIELDS) -> str:
-    return "{\n" + ",\n".join(f'  "{name}": "<{hint}>"' for name, hint in hints.items()) + "\n}"
+def field_hint(kind: str, codes: Mapping[str, str] | None = None) -> str:
+    """What a field's value is to be, with its codes."""
+    told = fields.KINDS[kind]
+    return told + "; codes: " + ", ".join(f"{code} = {meaning}" for code, meaning in codes.items()) if codes else told
+
+
+def schema_prompt(kinds: Mapping[str, str] = fields.FIELDS, codes: Mapping[str, Mapping[str, str]] = fields.CODES) -> str:
+    return "{\n" + ",\n".join(f'  "{name}": "<{field_hint(kind, codes.get(name))}>"' for name, kind in kinds.items()) + "\n}"
 
 
 def guidance_prompt(guidance: Mapping[str, str]) -> str:
     return "\n".join(f"- {name}: {text}" for name, text in guidance.items() if text)
 
 
-def system_prompt(hints: Mapping[str, str] = fields.FIELDS, guidance: Mapping[str, str] | None = None, examples: Sequence[Mapping] = ()) -> str:
-    parts = ["Read the paper and answer with one JSON object of these fields, null where the paper says nothing:", schema_prompt(hints)]
+def system_prompt(kinds: Mapping[str, str] = fields.FIELDS, guidance: Mapping[str, str] | None = None, examples: Sequence[Mapping] = ()) -> str:
+    parts = ["Read the paper and answer with one JSON object of these fields, null where the paper says nothing:", schema_prompt(kinds)]
     if guidance:
         parts.append(guidance_prompt(guidance))
     parts += ["Example:\n" + json.dumps(dict(e), ensure_ascii=False) for e in examples]
@@ -107,10 +113,10 @@ def with_fallback(first: DataFrame, prompts: DataFrame, again: Callable[[DataFra
     return first.join(failed, "id", "left_anti").unionByName(again(prompts.join(failed, "id", "left_semi")))
 
 
-def records(answered: DataFrame, hints: Mapping[str, str] = fields.FIELDS) -> DataFrame:
+def records(answered: DataFrame, wanted: Sequence[str] = tuple(fields.FIELDS)) -> DataFrame:
     """(id, record): answers as variants with all fields, absent ones null."""
     record = F.try_parse_json(without_fence(F.col("answer")))
-    get = [F.try_variant_get(record, f"$['{name}']", "variant").alias(name) for name in hints if "'" not in name]
+    get = [F.try_variant_get(record, f"$['{name}']", "variant").alias(name) for name in wanted if "'" not in name]
     return answered.select("id", F.to_json(F.struct(*get), {"ignoreNullFields": "false"}).alias("record"))
 
 
