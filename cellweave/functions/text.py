@@ -4,46 +4,85 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Mapping
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of these ranges lose their accents; a longer decomposition is a replacement of its own.
-ACCENT_RANGES = ((0xA0, 0x24F), (0x370, 0x3FF), (0x400, 0x45F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
-COMBINING = "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20F0\\uFE20-\\uFE2F]"
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _accent_tables() -> tuple[str, str, dict[str, str]]:
-    one_from, one_to, more = [], [], {}
-    for low, high in ACCENT_RANGES:
-        for c in map(chr, range(low, high + 1)):
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            if plain != c:
-                if len(plain) == 1:
-                    one_from.append(c)
-                    one_to.append(plain)
-                else:
-                    more[c] = plain
-    return "".join(one_from), "".join(one_to), more
+#: Hangul syllables are made of these letters by arithmetic: the first ones, the vowels, and the last ones, of which none is one.
+HANGUL = "[\\uAC00-\\uD7A3]"
+LEADS, VOWELS, TAILS = (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3))
+
+
+@cache
+def _plain_letters() -> tuple[str, str, dict[str, str], str]:
+    """Of all code points but Hangul syllables: those that one other stands for without accents, and these; those that several or none stand for; the combining ones."""
+    one_from, one_to, more, marks = [], [], {}, []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "\uac00" <= c <= "\ud7a3" or "\ud800" <= c <= "\udfff":
+            continue
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            one_from.append(c)
+            one_to.append(plain)
+        elif plain != c:
+            more[c] = plain
+    return "".join(one_from), "".join(one_to), more, "".join(marks)
 
 
-_FROM, _TO, _MORE = _accent_tables()
+def _class_of(letters: str) -> str:
+    """A character class of letters in order, as ranges."""
+    points, spans = sorted(map(ord, letters)), []
+    for p in points:
+        if spans and p == spans[-1][1] + 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+NOT_ASCII = "[^\\x00-\\x7F]"
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility decomposition without combining marks, for the scripts of ACCENT_RANGES."""
-    out = F.translate(text, _FROM, _TO)
-    rare = "[" + "".join(_MORE) + "]"
-    # the spelled-out ones are rare, so most texts skip the chain
-    out = let(out, lambda t: F.when(t.rlike(rare), _spell(t)).otherwise(t))
-    return F.regexp_replace(out, COMBINING, "")
+    """Compatibility decomposition (NFKD) of all code points without combining marks. ASCII texts are themselves."""
+    return let(text, lambda t: F.when(t.rlike(NOT_ASCII), _decomposed(t)).otherwise(t))
+
+
+def _decomposed(text: Column) -> Column:
+    one_from, one_to, more, marks = _plain_letters()
+    rare = _class_of("".join(more))
+
+    def spell(t: Column) -> Column:
+        # a map is searched from end to end, so only what is in it is looked up
+        known = F.lit("".join(more))
+        return F.array_join(F.transform(F.split(t, ""), lambda c: F.when((c != "") & F.contains(known, c), F.try_element_at(constant_map(more), c)).otherwise(c)), "")
+
+    def compose(c: Column) -> Column:
+        s, letters = F.ascii(c) - 0xAC00, ["".join(map(chr, r)) for r in (LEADS, VOWELS, TAILS)]
+        place = (F.floor(s / 588), F.floor(s % 588 / 28), s % 28 - 1)
+        return F.concat(*(F.when(p >= 0, F.substring(F.lit(x), (p + 1).cast("int"), F.lit(1))).otherwise("") for x, p in zip(letters, place, strict=True)))
+
+    def hangul(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(HANGUL), compose(c)).otherwise(c)), "")
+
+    def letters(t: Column) -> Column:
+        out = F.translate(t, one_from + marks, one_to)  # what has no partner goes
+        out = let(out, lambda x: F.when(x.rlike(rare), spell(x)).otherwise(x))
+        return let(out, lambda x: F.when(x.rlike(HANGUL), hangul(x)).otherwise(x))
+
+    return letters(text)
 
 
 def constant_map(table: Mapping[str, str]) -> Column:
@@ -51,23 +90,28 @@ def constant_map(table: Mapping[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(dict(sorted(table.items())))), "map<string,string>")
 
 
-def _spell(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(constant_map(_MORE), c), c)), "")
+#: White space in the Unicode sense, written out, as regular expressions' own class of it is slow; and that other than the blank.
+ODD_SPACE = "[\\x09-\\x0D\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+SPACE = ODD_SPACE.replace("x1F", "x20", 1)
 
 
 def squeeze(text: Column) -> Column:
-    """White space, in the Unicode sense, as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, "(?U)[\\s\\x1C-\\x1F]+", " "))
+    """White space, in the Unicode sense, as single blanks, none at the ends. Most runs are single blanks already, which stay as they are."""
+    return F.trim(F.regexp_replace(text, f"{ODD_SPACE}{SPACE}*| {SPACE}+", " "))
 
 
 def basic(text: Column) -> Column:
     """Lower case, no accents, plain dashes, American spelling of behavior, single blanks."""
-    plain = F.translate(strip_accents(F.lower(squeeze(text))), "–—‐", "---")
-    return squeeze(F.replace(plain, F.lit("behaviour"), F.lit("behavior")))
+    def plain(t: Column) -> Column:
+        # what isn't ASCII may lose accents, and become white space
+        dashes = F.translate(_decomposed(t), "–—‐", "---")
+        return F.when(t.rlike(NOT_ASCII), squeeze(dashes)).otherwise(t)
+
+    return F.replace(let(F.lower(squeeze(text)), plain), F.lit("behaviour"), F.lit("behavior"))
 
 
 def without_parentheses(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "(?U)\\s*\\([^)]*\\)", ""))
+    return F.trim(F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, f"{SPACE}*+\\([^)]*\\)", "")).otherwise(text))
 
 
 def slug(text: Column) -> Column:
