@@ -26,7 +26,7 @@ fate, rows with the same or no doc_id and other texts do not. doc_id may be of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ AT_A_TIME = 512
 TABLE_BITS = 24
 #: Rows of a key with more than HOT rows are dealt over SALTS.
 HOT, SALTS = 500, 16
+#: Texts that a hub's values are shipped to at a time.
+HUB = 500
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _JOIN = np.random.default_rng(8).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -227,26 +229,49 @@ def _across(rows: DataFrame, links: DataFrame, total: int) -> DataFrame:
     return ours.join(theirs, ["key", "other"]).where(_may(*map(F.col, ("n", "at", "n_of", "at_of")))).select(*_pair("rep", "of")).distinct()
 
 
+def _compared(pairs: DataFrame, values: DataFrame, near: Callable[[int, np.ndarray, int, np.ndarray], bool]) -> DataFrame:
+    """(a, b) of pairs, which are kept, for whose texts' values (rep, n, value) near holds.
+
+    Of a pair, the text that is in more of them is a hub. A hub's value isn't joined to each of its pairs: it travels once for HUB texts that meet it, which come one after the other
+    behind it. So what a task gets is bounded, and what is shuffled is a value for each pair and not two."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("m"))
+    told = pairs
+    for c in ("a", "b"):
+        told = told.join(degree.select(F.col("rep").alias(c), F.col("m").alias(f"m_{c}")), c)
+    more = F.col("m_a") >= F.col("m_b")
+    met = told.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("rep"), F.greatest("m_a", "m_b").alias("m"))
+    met = cut(met.select("hub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / HUB)).cast("int").alias("salt"), "rep"))
+    texts = met.join(values, "rep").select("hub", "salt", F.lit(1).alias("kind"), "rep", "n", "value")
+    hubs = met.select("hub", "salt").distinct().join(values.withColumnRenamed("rep", "hub"), "hub").select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("rep"), "n", "value")
+    dealt = hubs.unionByName(texts).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_hub, own = 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for hub, kind, rep, n, value in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                held = np.frombuffer(value.as_buffer(), np.uint64)
+                if kind == 0:
+                    n_hub, own = n, held.copy()  # else it keeps the whole batch
+                elif near(n_hub, own, n, held):
+                    found.append((max(hub, rep), min(hub, rep)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return cut(dealt.select("hub", "kind", "rep", "n", "value").mapInArrow(run, "a long, b long"))
+
+
 def _close(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs that can be near: of what two sets share, all but their common keys is behind the prefix of one of them."""
     x, y = (held.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")) for c in ("a", "b"))
     # what is behind the prefix of the larger set: the least number it must share, less one
     behind = F.ceil(F.greatest("n_a", "n_b") * NEAR[0] / NEAR[1]) - 1
     both = F.size(F.array_intersect("keys_a", "keys_b")) + behind
-    return pairs.join(x, "a").join(y, "b").where(both * (NEAR[0] + NEAR[1]) >= (F.col("n_a") + F.col("n_b")) * NEAR[0]).select("a", "b")
+    return cut(pairs.join(x, "a").join(y, "b").where(both * (NEAR[0] + NEAR[1]) >= (F.col("n_a") + F.col("n_b")) * NEAR[0]).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of pairs whose sets are near."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3))
-            good = [similarity(x, y) >= LEAST for x, y in zip(*arrays, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("held").alias("y")), "b")
-    return cut(joined.select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
+    return _compared(pairs, sets.select("rep", "n", F.col("held").alias("value")), lambda n, held, n_of, held_of: similarity(held, held_of) >= LEAST)
 
 
 def _links(sets: DataFrame, balls: DataFrame) -> DataFrame:
@@ -257,15 +282,15 @@ def _links(sets: DataFrame, balls: DataFrame) -> DataFrame:
     tidy(spark)
     held = cut(rows.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"), (-F.sum("m")).alias("loss")))  # a text's own keys
     typical, rows = rows.drop("m").join(held.select("rep", "loss"), "rep"), rows.drop("m")
-    first = cut(_close(balls.union(_candidates(typical, total, [F.col("loss")])).distinct(), held))
+    first = _close(balls.union(_candidates(typical, total, [F.col("loss")])).distinct(), held)
     links = _verified(first, sets)
     tidy(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = rows.join(degree, "rep", "left").withColumn("loss", -F.coalesce("degree", F.lit(0)))
-    second = cut(_close(_candidates(ranked, total, [F.col("loss")]).join(first, ["a", "b"], "left_anti"), held))
+    second = _close(_candidates(ranked, total, [F.col("loss")]).join(first, ["a", "b"], "left_anti"), held)
     links = cut(links.union(_verified(second, sets)))
     tidy(spark)
-    third = cut(_close(_across(rows, links, total).join(first.union(second), ["a", "b"], "left_anti"), held))
+    third = _close(_across(rows, links, total).join(first.union(second), ["a", "b"], "left_anti"), held)
     links = links.union(_verified(third, sets))
     tidy(spark)
     return links
