@@ -13,7 +13,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Mapping
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,16 @@ def _look_up(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(constant_map(table), key)
 
 
+def _plain(text: object) -> str:
+    """What text.basic makes of a text, here in Python."""
+    text = "".join(c for c in unicodedata.normalize("NFKD", str(text).lower().strip()) if not unicodedata.combining(c))
+    return re.sub(r"\s+", " ", re.sub("[–—‐]", "-", text).replace("behaviour", "behavior")).strip()
+
+
 def plain_keys(aliases: Aliases | None) -> dict[str, dict[str, str]]:
     """An alias file's sections with both sides made plain; its metadata is left out."""
 
-    def plain(text: object) -> str:
-        text = "".join(c for c in unicodedata.normalize("NFKD", str(text).lower().strip()) if not unicodedata.combining(c))
-        return re.sub(r"\s+", " ", re.sub("[–—‐]", "-", text).replace("behaviour", "behavior")).strip()
-
-    return {k: {plain(a): plain(b) for a, b in v.items()} for k, v in (aliases or {}).items() if k != "metadata" and isinstance(v, Mapping)}
+    return {k: {_plain(a): _plain(b) for a, b in v.items()} for k, v in (aliases or {}).items() if k != "metadata" and isinstance(v, Mapping)}
 
 
 def alias(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
@@ -63,6 +67,29 @@ def alias(text: Column, field: Column, aliases: Aliases | None = None) -> Column
     return let(F.struct(text.alias("text"), without_parentheses(text).alias("bare")), chain)
 
 
+@cache
+def iso_countries() -> dict[str, str]:
+    """The plain ISO 3166 name of a country by its codes of two and three letters, its name, and for some its common name; from the JVM's table, none without one.
+
+    Numbers and official long names aren't in that table."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return {}
+    locale, out = context._jvm.java.util.Locale, {}
+    for code in locale.getISOCountries():
+        country = locale("", code)
+        common = country.getDisplayCountry(locale.ENGLISH).replace("&", "and").replace("St. ", "Saint ")
+        name = _plain(fields.ISO_NAMES.get(code, common))
+        found = [code.lower(), country.getISO3Country().lower(), name, *([_plain(common)] if code in fields.ISO_COMMON else [])]
+        out.update(dict.fromkeys(found, name))
+    return out
+
+
+def country(text: Column, aliases: Aliases | None = None) -> Column:
+    """A country's canonical name: of its alias, or else of the text, the ISO 3166 name, if there is one."""
+    return let(alias(text, F.lit("Country"), aliases), lambda t: F.coalesce(_look_up(iso_countries(), t), t))
+
+
 def gender_counts(text: Column) -> Column:
     """female:n|male:m of a text that counts girls and boys, else the text. Counts after the word win over those before it."""
     plain = F.lower(squeeze(text))
@@ -162,7 +189,7 @@ def atom(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
         gender_counts,
         age,
         lambda t: with_units(t, field),
-        lambda t: F.when(field == "Country", alias(t, field, aliases)).otherwise(t),
+        lambda t: F.when(field == "Country", country(t, aliases)).otherwise(t),
         lambda t: F.when(diagnosis, let(alias(t, field, aliases), lambda a: F.when(a != t, a).otherwise(without_parentheses(t)))).otherwise(t),
         lambda t: F.when(field == "Ethnicity / Race", F.trim(F.regexp_replace(t, "\\s+\\d+$", ""))).otherwise(t),
         lambda t: alias(t, field, aliases),

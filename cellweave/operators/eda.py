@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.text import constant_map, split_labels
+from cellweave.functions.text import constant_map, split_labels, told
 from cellweave.operators.sampling import numbered
 
 
@@ -103,13 +103,6 @@ def missing_and_extra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).union(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def _told(value: Column) -> Column:
-    """A variant as a label's text: None for null, True and False, strings as they are, other things as their JSON; trimmed."""
-    kind = F.schema_of_variant(value)
-    text = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.to_json(value))).when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
-    return F.regexp_replace(text, "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")
-
-
 def _items(value: Column) -> Column:
     """A variant's items if it is a list, else itself alone."""
     return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
@@ -118,7 +111,7 @@ def _items(value: Column) -> Column:
 def label_list(value: Column) -> Column:
     """The texts of a variant: of a list's items, or of the value; blank ones are left out, null has none."""
     there = value.isNotNull() & (F.schema_of_variant(value) != "VOID")
-    return F.when(there, F.filter(F.transform(_items(value), _told), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(there, F.filter(F.transform(_items(value), told), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
 
 
 def split_list(value: Column, depth: int = 3) -> Column:
@@ -128,7 +121,7 @@ def split_list(value: Column, depth: int = 3) -> Column:
     for _ in range(depth - 1):
         there = F.flatten(F.transform(there, _items))
     kept = F.filter(there, lambda v: F.schema_of_variant(v) != "VOID")
-    return F.when(value.isNotNull(), F.flatten(F.transform(kept, lambda v: split_labels(_told(v))))).otherwise(F.array().cast("array<string>"))
+    return F.when(value.isNotNull(), F.flatten(F.transform(kept, lambda v: split_labels(told(v))))).otherwise(F.array().cast("array<string>"))
 
 
 def flattened(value: Column) -> Column:
@@ -137,5 +130,5 @@ def flattened(value: Column) -> Column:
     An object's names come in order, as a variant keeps them."""
     entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
     # a null in an object is a value of its own
-    each = lambda e: F.transform(F.filter(F.transform(_items(F.coalesce(e["value"], F.parse_json(F.lit("null")))), _told), lambda t: t != ""), lambda t: F.concat(e["key"], F.lit(":"), t))
+    each = lambda e: F.transform(F.filter(F.transform(_items(F.coalesce(e["value"], F.parse_json(F.lit("null")))), told), lambda t: t != ""), lambda t: F.concat(e["key"], F.lit(":"), t))
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.flatten(F.transform(entries, each))).otherwise(label_list(value))

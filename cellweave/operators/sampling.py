@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.text import squeeze, told
 from cellweave.sources.shared import cut
 
 
@@ -54,6 +55,15 @@ def split_like_shuffle(rows: DataFrame, ratio: float, order: str, seed: int) ->
     return numbered(rows, [order]).join(named, "__cw_n").drop("__cw_n")
 
 
+def stratum(value: Column) -> Column:
+    """A record's stratum by a variant: its text in lower case with single blanks, a list's items joined by commas, ``unknown`` for nothing, blank, zero or false."""
+    kind = F.schema_of_variant(value)
+    listed = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), told), ", ")
+    nothing = value.isNull() | (kind == "VOID") | F.to_json(value).isin("false", "0", "0.0", "{}")
+    text = F.when(nothing, "").when(kind.startswith("ARRAY"), listed).otherwise(told(value))
+    return F.coalesce(F.nullif(squeeze(F.lower(text)), F.lit("")), F.lit("unknown"))
+
+
 def round_robin(rows: DataFrame, stratum: Column, n: int, order: Column) -> DataFrame:
     """n rows, one of each stratum before any second one, the largest strata first; within a stratum, and between equally large ones, by order.
 

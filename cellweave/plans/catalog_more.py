@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import alignment, eda, reconcile
+from cellweave.functions.normalize import country
+from cellweave.operators import alignment, eda, reconcile, sampling
+from cellweave.plans import extraction
 from cellweave.plans.catalog import EVALUATED, SOURCES_SQL, _evaluated, _sources, query, table
 from cellweave.sources import records
 
@@ -85,3 +87,61 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
     covered = reconcile.coverage({"legacy": keys, "llm_a": keys, "llm_b": keys.where("key % 2 = 0")})
     s = reconcile.review_summary(_sources(spark, d), covered)
     return s.select("legacy_records", "llm_b_records", "input_coverage.missing_from_llm_b", F.col("fields_per_document").cast("int").alias("fields_per_document"), "silver_rows", "review_rows", F.col("status_counts")["legacy_llm_a_agree"].alias("a_agrees"), F.col("field_status_counts")["Number of Cases"]["one_source_only"].alias("only_cases"))
+
+
+@query("SELECT doc_id AS key, (len(regexp_replace(text, '[^0-9]', '', 'g')))::INT AS digits FROM documents WHERE trim(text) <> ''")
+def chunk_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of any length in chunks of 2,000 characters, each told how many digits it has by a function that plays the model, put together level by level."""
+
+    def make():
+        import json
+
+        def call(system: str, prompt: str) -> str:
+            part = prompt.split("TEXT:\n", 1)
+            found = sum(c in "0123456789" for c in part[1]) if len(part) == 2 else sum(json.loads(x)["n"] for x in json.loads(prompt.split("ANSWERS:\n", 1)[1]))
+            return json.dumps({"n": found})
+
+        return call
+
+    told = extraction.synthesised(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), make, "digits", "played", size=2000, most_characters=40)
+    return told.select("key", F.get_json_object("answer", "$.n").cast("int").alias("digits"))
+
+
+@query("""
+    SELECT page_id AS key, CASE WHEN n = 0 THEN 'no_pages' WHEN n % 11 = 3 THEN 'failed' WHEN n <= 75 OR least(n, 40) * 2 <= 150 THEN 'verified' ELSE 'too_long' END AS state,
+           CASE WHEN n = 0 OR n % 11 = 3 OR n * 2 <= 50 THEN 0 WHEN n * 2 <= 100 THEN 1 WHEN n * 2 <= 104 THEN 2 ELSE 3 END AS rung FROM (SELECT page_id, page_id % 90 AS n FROM pages)""")
+def verification_states(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as documents of up to 89 images, checked by a function that plays the model and takes so many characters: at smaller resolutions, and then by fewer pages."""
+
+    def make():
+        def call(system: str, instruction: str, images) -> str:
+            if int(instruction.rsplit("\n", 1)[1]) % 11 == 3:
+                raise RuntimeError("no network")
+            if sum(map(len, images)) > 7500:
+                raise RuntimeError("maximum context length")
+            return '{"Age": {"verdict": "supported", "quote": "q"}}'
+
+        return call
+
+    n = F.col("page_id") % 90
+    docs = table(spark, d, "pages").select(F.col("page_id").alias("key"), n.cast("string").alias("record"), n.alias("n"))
+    render = lambda df, dpi, most: df.select("key", F.array_repeat(F.repeat(F.lit("x"), dpi * 2), (F.least("n", F.lit(most)) if most else F.col("n")).cast("int")).alias("images"))
+    return extraction.verified(docs, render, make).select("key", "state", "rung")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN doc_id % 5 = 1 THEN lang || ', ' || source WHEN doc_id % 5 = 2 THEN lang ELSE lang || ' x' END AS stratum FROM documents")
+def strata_of_values(spark: SparkSession, d: str) -> DataFrame:
+    """Strata of lists, texts in any case with blanks, and blank ones."""
+    k, lang = F.col("doc_id") % 5, F.col("lang")
+    told = F.when(k == 0, F.to_json(F.array(F.lit(" ")))).when(k == 1, F.to_json(F.array(F.upper(lang), F.col("source")))).when(k == 2, F.to_json(F.array(lang))).otherwise(F.concat(F.lit('" '), lang, F.lit('  X "')))
+    return table(spark, d, "documents").select("doc_id", sampling.stratum(F.parse_json(told)).alias("stratum"))
+
+
+@query("""
+    SELECT s_suppkey, CASE n_name WHEN 'IRAN' THEN 'iran, islamic republic of' WHEN 'VIETNAM' THEN 'viet nam' ELSE lower(n_name) END AS country,
+           ['united kingdom', 'germany', 'korea, republic of', 'nowhere'][(s_suppkey % 4 + 1)::INT] AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def country_names(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' nations and codes of countries as ISO 3166 names."""
+    code = F.element_at(F.array(*map(F.lit, ("gb", "deu", "south korea", "nowhere"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.select("s_suppkey", country(F.lower("n_name")).alias("country"), country(code).alias("code"))
