@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._common import cut
+from cellweave.llm._common import cut, text_batches
 
 #: Bytes of context, at most.
 ORDER = 5
 TABLE_BITS = 20
 #: How much the shorter context's estimate weighs, in counts.
 WEIGHT = 2.0
+#: Bytes of URLs whose contexts are held at a time, about; a longer URL comes in segments.
+AT_A_TIME = 1 << 18
 #: One of so many folds calibrates.
 FOLDS = 5
 #: Cuts that are tried: so many steps to either side of zero, each of so much.
@@ -59,9 +61,24 @@ def matched(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For the bytes of all URLs, each with an end: the URL of each; for each order the slots of (context, byte) and of context alone; sizes."""
-    data = [b"\x00" * ORDER + (u or "").encode("utf-8", "replace") + b"\x03" for u in urls]
+def _segments(urls: list[str | None], most: int = AT_A_TIME) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The bytes of URLs, each with an end, in segments that have ORDER bytes of context before them, about so many bytes at a time; and the URL of each segment."""
+    of, parts, held = [], [], 0
+    for i, u in enumerate(urls):
+        data = b"\x00" * ORDER + (u or "").encode("utf-8", "replace") + b"\x03"
+        for at in range(0, len(data) - ORDER, most):
+            of.append(i)
+            parts.append(data[at : at + ORDER + most])
+            held += len(parts[-1])
+            if held >= most:
+                yield np.array(of), parts
+                of, parts, held = [], [], 0
+    if parts:
+        yield np.array(of), parts
+
+
+def _contexts(data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For the bytes of segments: the segment of each; for each order the slots of (context, byte) and of context alone. Some 150 bytes a byte."""
     sizes = np.array([len(d) - ORDER for d in data], np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     begins = np.cumsum([0] + [len(d) for d in data])[:-1]
@@ -76,24 +93,25 @@ def _contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], lis
         whole = (seed + flat[at] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
         pairs.append((whole >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
         alone.append((seed * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
-    return owner, pairs, alone, sizes
+    return owner, pairs, alone
 
 
-def _scores(urls: list[str | None], tables: np.ndarray) -> np.ndarray:
+def _scores(urls: list[str | None], tables: np.ndarray, most: int = AT_A_TIME) -> np.ndarray:
     """Log-likelihood of accepted less that of rejected, by byte. tables: class, pairs or contexts, slot."""
-    if not urls:
-        return np.zeros(0)
-    owner, pairs, alone, sizes = _contexts(urls)
-    logs = []
-    for c in (0, 1):
-        p = np.full(len(owner), 1 / 256)
-        for pair, context in zip(pairs, alone, strict=True):
-            # collisions can make a pair's count larger than its context's
-            n = np.maximum(tables[c, 1][context], tables[c, 0][pair])
-            p = (tables[c, 0][pair] + WEIGHT * p) / (n + WEIGHT)
-        logs.append(np.log(p))
-    sums = np.bincount(owner, logs[0] - logs[1], minlength=len(urls))
-    return np.where([u is None for u in urls], 0.0, sums / sizes)
+    sums, sizes = np.zeros(len(urls)), np.zeros(len(urls))
+    for of, data in _segments(urls, most):
+        owner, pairs, alone = _contexts(data)
+        logs = []
+        for c in (0, 1):
+            p = np.full(len(owner), 1 / 256)
+            for pair, context in zip(pairs, alone, strict=True):
+                # collisions can make a pair's count larger than its context's
+                n = np.maximum(tables[c, 1][context], tables[c, 0][pair])
+                p = (tables[c, 0][pair] + WEIGHT * p) / (n + WEIGHT)
+            logs.append(np.log(p))
+        sums += np.bincount(of[owner], logs[0] - logs[1], minlength=len(urls))
+        sizes += np.bincount(of[owner], minlength=len(urls))
+    return np.where([u is None for u in urls], 0.0, sums / np.maximum(sizes, 1))
 
 
 def fit(labelled: DataFrame, url: str = "url", accepted: str = "accepted", key: str = "page_id") -> tuple[np.ndarray, float] | None:
@@ -106,12 +124,12 @@ def fit(labelled: DataFrame, url: str = "url", accepted: str = "accepted", key:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 2, size), np.int64)
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_batches(whole, "url", AT_A_TIME)):
             urls, labels = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 own = [u for u, x in zip(urls, labels, strict=True) if x == 1 - c]
-                if own:
-                    _, pairs, alone, _ = _contexts(own)
+                for _, data in _segments(own):
+                    _, pairs, alone = _contexts(data)
                     for p, a in zip(pairs, alone, strict=True):
                         held[c, 0] += np.bincount(p, minlength=size)
                         held[c, 1] += np.bincount(a, minlength=size)
@@ -129,7 +147,7 @@ def fit(labelled: DataFrame, url: str = "url", accepted: str = "accepted", key:
     model = rows.sparkSession.sparkContext.broadcast(tables.astype(np.float32))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_batches(whole, "url", AT_A_TIME)):
             score = _scores(batch.column(0).to_pylist(), model.value)
             step = np.clip(np.floor(score / STEP), -STEPS, STEPS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(step)], names=["label", "step"])
@@ -161,8 +179,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for part in text_batches(batch, "url", AT_A_TIME):
                 urls = part.column(1).to_pylist()
                 score = np.zeros(len(urls)) if shared.value is None else _scores(urls, shared.value)
                 ruled = part.column(5).to_pylist()

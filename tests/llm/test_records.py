@@ -2,10 +2,13 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, queries, url_filter, warc
 from oracle import connect, same_rows
@@ -170,6 +173,46 @@ def test_url_rules(pages_of):
     assert [r.verdict for r in url_filter.judge(pages_of([(1, "x", None), (2, None, None)]), queries.RULES).collect()] == ["allow", "allow"]
 
 
+@pytest.mark.parametrize("most", [7, 1 << 18])
+def test_url_scores_equal_plain_models(spark, most):
+    """Counts by context and byte in dicts, and the blend from the shortest context to the longest."""
+    urls = [("http://a.example/x", 1), ("http://b.example/yy", 1), ("http://bad.net/win", 0), ("é://q", 0), ("", 1)] * 3
+    counts = {}
+    rows = spark.createDataFrame([(i, u, bool(x)) for i, (u, x) in enumerate(urls)], "page_id long, url string, accepted boolean")
+    seen = rows.where(F.pmod(F.crc32(F.concat_ws("|", F.col("page_id").cast("string"), "url")), F.lit(url_filter.FOLDS)) > 0).collect()
+    for r in seen:
+        data = b"\0" * url_filter.ORDER + r.url.encode() + b"\3"
+        for i in range(url_filter.ORDER, len(data)):
+            for k in range(url_filter.ORDER + 1):
+                for key in ((int(r.accepted), k, data[i - k : i], data[i]), (int(r.accepted), k, data[i - k : i])):
+                    counts[key] = counts.get(key, 0) + 1
+    tables, _ = url_filter.fit(rows)
+    asked = ["http://a.example/win", "new", "", "é" * 40, None]
+    got = url_filter._scores(asked, tables, most)
+    for url, score in zip(asked, got, strict=True):
+        data, want = b"\0" * url_filter.ORDER + (url or "").encode() + b"\3", 0.0
+        for i in range(url_filter.ORDER, len(data)):
+            p = {1: 1 / 256, 0: 1 / 256}
+            for k in range(url_filter.ORDER + 1):
+                for c in p:
+                    p[c] = (counts.get((c, k, data[i - k : i], data[i]), 0) + url_filter.WEIGHT * p[c]) / (counts.get((c, k, data[i - k : i]), 0) + url_filter.WEIGHT)
+            want += math.log(p[1] / p[0])
+        assert score == pytest.approx(0 if url is None else want / (len(data) - url_filter.ORDER), abs=1e-3)
+
+
+def test_very_long_url(pages_of):
+    import tracemalloc
+
+    tables = np.ones((2, 2, 1 << url_filter.TABLE_BITS), np.float32)
+    tracemalloc.start()
+    assert np.isfinite(url_filter._scores(["http://a/" + "x" * 5_000_000], tables)).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6, most
+    got = url_filter.judge(pages_of([(1, "http://com/en/" + "y" * 300_000, None), (2, "http://a.org/es/1", None)]), queries.RULES).collect()
+    assert [r.verdict for r in sorted(got)] == ["block", "block"]
+
+
 def test_url_models_learn(spark, pages_of):
     rng = random.Random(8)
     good = lambda: f"http://news{rng.randrange(99)}.example/{rng.choice(['world', 'sport', 'science'])}/{rng.randrange(9999)}"
