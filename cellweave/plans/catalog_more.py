@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.normalize import country
 from cellweave.operators import alignment, eda, reconcile, sampling
 from cellweave.plans import extraction
 from cellweave.plans.catalog import EVALUATED, SOURCES_SQL, _evaluated, _sources, query, table
-from cellweave.sources import records
+from cellweave.sources import records, workbook
+from cellweave.sources.shared import new_folder
 
 
 @query("""
@@ -145,3 +146,16 @@ def country_names(spark: SparkSession, d: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, ("gb", "deu", "south korea", "nowhere"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.select("s_suppkey", country(F.lower("n_name")).alias("country"), country(code).alias("code"))
+
+
+@query("""
+    SELECT r_regionkey || '.xlsx' AS file, n_name AS sheet, (2 * row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey))::INT AS row, s_name || '|' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_suppkey || '|' END || '<&' || s_suppkey || '>' AS cells
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def workbook_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in every second row of a sheet for their nation, a workbook for each region, written and read again; some cells are left out."""
+    nations = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    place = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("s_suppkey")) * 2
+    cells = F.array("s_name", F.lit(None).cast("string"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey").cast("string")), F.concat(F.lit("<&"), "s_suppkey", F.lit(">")))
+    rows = nations.select(F.concat(F.col("n_regionkey"), F.lit(".xlsx")).alias("file"), F.col("n_name").alias("sheet"), place.alias("row"), cells.alias("cells"))
+    read = workbook.workbook_rows(spark, workbook.write_workbooks(rows, new_folder(spark)))
+    return read.where(F.size("cells") > 0).select("file", "sheet", "row", F.array_join("cells", "|").alias("cells"))
