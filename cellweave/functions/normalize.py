@@ -185,18 +185,21 @@ def atom(text: Column, field: Column, aliases: Aliases | None = None) -> Column:
     own = (aliases or {}).get("Primary diagnosis", {}).values()
     labels = tuple(sorted({*fields.DIAGNOSIS_LABELS, *(x for x in own if x)}))
     diagnosis, treatment, design = field.isin(*fields.DIAGNOSES), field == "Type of treatments", field == "Type of SCED design"
-    steps: list[Callable[[Column], Column]] = [
-        gender_counts,
-        age,
-        lambda t: with_units(t, field),
-        lambda t: F.when(field == "Country", country(t, aliases)).otherwise(t),
-        lambda t: F.when(diagnosis, let(alias(t, field, aliases), lambda a: F.when(a != t, a).otherwise(without_parentheses(t)))).otherwise(t),
-        lambda t: F.when(field == "Ethnicity / Race", F.trim(F.regexp_replace(t, "\\s+\\d+$", ""))).otherwise(t),
-        lambda t: alias(t, field, aliases),
-        lambda t: F.when(treatment, alias(F.trim(F.regexp_replace(t, "\\s+(?:treatment|intervention|medication)$", "")), field, aliases)).otherwise(t),
-        lambda t: F.when(design, alias(F.replace(t, F.lit("multiple-baseline"), F.lit("multiple baseline")), field, aliases)).otherwise(t),
-        lambda t: F.when(diagnosis, nearest_label(t, labels)).otherwise(t),
-    ]
+
+    def before(t: Column) -> Column:
+        """What a field alone does before the general aliases; fields that have such a step have one."""
+        known = let(alias(t, field, aliases), lambda a: F.when(a != t, a).otherwise(without_parentheses(t)))
+        out = F.when(field.isin(*fields.UNITS), with_units(t, field)).when(field == "Country", country(t, aliases)).when(diagnosis, known)
+        return out.when(field == "Ethnicity / Race", F.trim(F.regexp_replace(t, "\\s+\\d+$", ""))).otherwise(t)
+
+    def after(t: Column) -> Column:
+        """And what it does after them."""
+        bare = F.trim(F.regexp_replace(t, "\\s+(?:treatment|intervention|medication)$", ""))
+        out = F.when(treatment, alias(bare, field, aliases)).when(design, alias(F.replace(t, F.lit("multiple-baseline"), F.lit("multiple baseline")), field, aliases))
+        return out.when(diagnosis, nearest_label(t, labels)).otherwise(t)
+
+    # each step is a level of the expression, and these are bounded
+    steps: list[Callable[[Column], Column]] = [gender_counts, age, before, lambda t: alias(t, field, aliases), after]
 
     def run(t: Column) -> Column:
         out = basic(t)

@@ -62,27 +62,21 @@ def strip_accents(text: Column) -> Column:
 
 def _decomposed(text: Column) -> Column:
     one_from, one_to, more, marks = _plain_letters()
-    rare = _class_of("".join(more))
-
-    def spell(t: Column) -> Column:
-        # a map is searched from end to end, so only what is in it is looked up
-        known = F.lit("".join(more))
-        return F.array_join(F.transform(F.split(t, ""), lambda c: F.when((c != "") & F.contains(known, c), F.try_element_at(constant_map(more), c)).otherwise(c)), "")
+    odd = _class_of("".join(more))[:-1] + HANGUL[1:]
+    # a map is searched from end to end, so only what is in it is looked up
+    known = F.lit("".join(more))
 
     def compose(c: Column) -> Column:
         s, letters = F.ascii(c) - 0xAC00, ["".join(map(chr, r)) for r in (LEADS, VOWELS, TAILS)]
         place = (F.floor(s / 588), F.floor(s % 588 / 28), s % 28 - 1)
         return F.concat(*(F.when(p >= 0, F.substring(F.lit(x), (p + 1).cast("int"), F.lit(1))).otherwise("") for x, p in zip(letters, place, strict=True)))
 
-    def hangul(t: Column) -> Column:
-        return F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(HANGUL), compose(c)).otherwise(c)), "")
-
-    def letters(t: Column) -> Column:
-        out = F.translate(t, one_from + marks, one_to)  # what has no partner goes
-        out = let(out, lambda x: F.when(x.rlike(rare), spell(x)).otherwise(x))
-        return let(out, lambda x: F.when(x.rlike(HANGUL), hangul(x)).otherwise(x))
+    def spell(c: Column) -> Column:
+        return F.when(c == "", c).when(F.contains(known, c), F.try_element_at(constant_map(more), c)).when(c.rlike(HANGUL), compose(c)).otherwise(c)
 
-    return letters(text)
+    # few texts have letters that stand for several; the others' letters, and what has no partner, are a matter of one table
+    spelled = F.when(text.rlike(odd), F.array_join(F.transform(F.split(text, ""), spell), "")).otherwise(text)
+    return F.translate(spelled, one_from + marks, one_to)
 
 
 def constant_map(table: Mapping[str, str]) -> Column:

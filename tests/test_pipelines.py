@@ -175,3 +175,16 @@ def test_short_names_match_like_all_with_all(spark):
         found = [(0 if a == b else 1, f) for f in blocks for b in [slug(f.removesuffix("_blocks.json"))] if a == b or b.startswith(a[:50]) or a.startswith(b[:50])]
         want[k] = min(found)[1] if found else None
     assert got == want and want["Wu.pdf"] is not None and want["Li.pdf"] is None
+
+
+def test_document_of_results(spark, tmp_path):
+    predicted = [{"pdf": "a", "Country": "USA", "Setting": "S", "Quality rating RoBiNT scale": "1"}, {"pdf": "b", "Country": "UK"}, {"pdf": "only p"}]
+    gold = [{"pdf": "a", "Country": "United States", "Setting": "UC"}, {"pdf": "b", "Country": ["UK", "Spain"]}, {"pdf": "only g", "Age": "5"}]
+    out = evaluation.evaluate_files(spark, write(tmp_path / "p.jsonl", predicted), write(tmp_path / "g.jsonl", gold), write(tmp_path / "v.jsonl", [{"pdf": "a", "verdicts": {"Setting": {"verdict": "supported", "quote": "q"}}}, {"pdf": "zz", "verdicts": {}}]))
+    one = evaluation.listed(out).first()
+    assert (one.predictions_file_count, one.gold_file_count, one.matched_file_count, one.scored_field_count) == (3, 3, 2, 22)
+    assert one.missing_predictions == ["only g"] and one.extra_predictions == ["only p"] and one.excluded_fields["Quality rating RoBiNT scale"] == "reviewer-assigned"
+    assert (one.overall.tp, one.overall.fp, one.overall.fn, one.overall.exact_match_rate) == (2, 1, 2, 0.0) and one.overall.partial.tp == 2.0
+    assert (one.per_field["Country"].tp, one.per_field["Country"].fn, one.per_field["Setting"].fp, one.per_field["Age"].f1) == (2, 1, 1, 0.0)
+    assert [d.key for d in one.per_document] == ["a", "b"] and one.per_document[0].fields["Country"].predicted == ["united states"] and len(one.per_document[1].fields) == 22
+    assert tuple(out["coverage"].first()) == (1, 1, 0) and {r.key: r.side for r in out["keys"].collect()} == {"a": "both", "b": "both", "only p": "extra", "only g": "missing"}
