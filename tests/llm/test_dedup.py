@@ -280,3 +280,15 @@ def test_near_groups_free_what_is_spent(spark, docs_of, monkeypatch):
     before = tracker.shuffleStatuses().size()
     assert near_dedup.near_groups(docs).count() == 13
     assert max(seen) < 15, seen
+
+
+def test_a_hub_meets_all_its_texts(spark):
+    """One text in thousands of pairs, some in a few: the near ones are those of a comparison one by one."""
+    rng = np.random.default_rng(4)
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[: 400 - k % 120], 1000 + rng.integers(0, 10**9, k % 3).astype(np.uint64)])) for k in range(3000)]
+    rows = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "rep long, n int, held binary").repartition(4)
+    pairs = [(i, 0) for i in range(1, 3000)] + [(i, i - 1) for i in range(2, 200)]
+    got = near_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), rows).collect()
+    want = {p for p in pairs if near_dedup.similarity(sets[p[0]], sets[p[1]]) >= near_dedup.LEAST}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(pairs)
