@@ -104,3 +104,15 @@ def test_citations_of_one_year(spark):
         told = re.search(r"^([^,]+),.*?\((\d{4})\)", c)
         author, year = (told[1].strip().lower(), told[2]) if told else ("", "")
         assert got[c] == min((f for f in files if author and year in f and author in f.lower()), default=None), c
+
+
+def test_short_names_meet_on_what_is_left(spark):
+    """Random digests have many letters in common, and few in order: they don't meet, those that are alike do."""
+    rng = random.Random(11)
+    right = sorted({"".join(rng.choices("01234567", k=16)) for _ in range(400)})
+    left = sorted(f[:8] + "x" + f[8:15] + "y" for f in right[:100]) + sorted(changed(rng, f, "01234567") for f in right[100:200])
+    assert likeness.lengths({17}, {16}, 0.8) == ({(17, 16): 14}, False) and likeness.lengths({40}, {40}, 0.8) == ({}, True)
+    a, b = names(spark, left, "name"), names(spark, right, "name")
+    near = {(r.a, r.b) for r in likeness.candidates(a, b, 0.8).collect()}
+    assert {(x, y) for x in left for y in right if difflib.SequenceMatcher(None, x, y).ratio() >= 0.8} <= near
+    assert len(near) < likeness.pairs(a, b, 0.8).count() / 4
