@@ -126,7 +126,7 @@ def verification_states(spark: SparkSession, d: str) -> DataFrame:
 
     n = F.col("page_id") % 90
     docs = table(spark, d, "pages").select(F.col("page_id").alias("key"), n.cast("string").alias("record"), n.alias("n"))
-    render = lambda df, dpi, most: df.select("key", F.array_repeat(F.repeat(F.lit("x"), dpi * 2), (F.least("n", F.lit(most)) if most else F.col("n")).cast("int")).alias("images"))
+    render = lambda df, dpi, most: df.select("key", "record", F.array_repeat(F.repeat(F.lit("x"), dpi * 2), (F.least("n", F.lit(most)) if most else F.col("n")).cast("int")).alias("images"))
     return extraction.verified(docs, render, make).select("key", "state", "rung")
 
 

@@ -191,7 +191,8 @@ def verdicts_of(answer: str, wanted: Sequence[str] = tuple(fields.FIELDS)) -> di
 def verified(documents: DataFrame, render: Callable[[DataFrame, int, int | None], DataFrame], make_call: Callable[[], ImageCall], dpi: int = 150, most_pages: int | None = None, tries: int = 3, wanted: Sequence[str] = tuple(fields.FIELDS)) -> DataFrame:
     """(key, state, rung, verdicts, error) of documents (key, record as JSON, ...): records checked against their pages' images.
 
-    render gives (key, images) of documents at a resolution, for at most so many pages. Each rung of ``rungs`` gets the documents that were too long on the one before, and is kept.
+    render gives (key, images) of documents at a resolution, for at most so many pages. If it gives the documents' record, too, images stay where they are made; else they are dealt
+    by key, as they are far larger than what they are told by, and never broadcast. Each rung of ``rungs`` gets the documents that were too long on the one before, and is kept.
     state: verified, no_pages, failed (with another error, which isn't tried again) or too_long (on the last rung, too). verdicts is JSON by field; rung counts from 0."""
     system, steps = verifier_prompt(), rungs(dpi, most_pages)
     todo, done = documents, None
@@ -222,12 +223,23 @@ def verified(documents: DataFrame, render: Callable[[DataFrame, int, int | None]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "state", "verdicts", "error"])
 
     kind = documents.schema["key"].dataType.simpleString()
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for rung, (at, pages) in enumerate(steps):
-        shown = todo.select("key", "record").join(render(todo, at, pages).select("key", "images"), "key", "left")
+        shown = render(todo, at, pages)
+        whole = "record" in shown.columns
+        if whole:
+            shown = shown.select("key", "record", "images")
+        else:
+            # so many partitions whatever their size, as images may be small when compressed
+            shown = todo.select("key", "record").repartition(tasks, "key").join(shown.select("key", "images").repartition(tasks, "key").hint("merge"), "key", "left")
         told = cut(shown.mapInArrow(check, f"key {kind}, state string, verdicts string, error string").select("key", "state", F.lit(rung).alias("rung"), "verdicts", "error"))
         settled = told if rung + 1 == len(steps) else told.where("state <> 'too_long'")
+        if whole:
+            # documents that the render has left out have no pages
+            none = [F.lit(x).cast(t).alias(c) for c, x, t in (("state", "no_pages", "string"), ("rung", rung, "int"), ("verdicts", None, "string"), ("error", None, "string"))]
+            settled = settled.unionByName(todo.select("key").join(told.select("key"), "key", "left_anti").select("key", *none))
         done = settled if done is None else done.unionByName(settled)
-        todo = todo.join(told.where("state = 'too_long'").select("key"), "key", "left_semi")
+        todo = todo.join(told.where("state = 'too_long'").select("key"), "key", "left_semi").repartition(tasks, "key")
     return done
 
 

@@ -81,6 +81,22 @@ def test_pages_are_checked_rung_by_rung(spark):
     assert extraction.rungs(72, 10) == [(72, 10), (72, 10)] and extraction.rungs(300, 99) == [(300, 99), (150, 99), (72, 99), (72, 40)]
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_images_are_never_broadcast(spark, monkeypatch, whole):
+    """Images may be small when compressed, or taken to be small; documents that a render leaves out have no pages."""
+    plans, kept = [], extraction.cut
+    monkeypatch.setattr(extraction, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    docs = spark.createDataFrame([(k, json.dumps({"k": k}), n) for k, n in (("small", 1), ("low", 20), ("none", 0))], "key string, record string, n int")
+
+    def render(df, dpi, most):
+        images = F.array_repeat(F.repeat(F.lit("x"), dpi // 15), F.col("n")).alias("images")
+        return df.where("n > 0").select("key", *(["record"] if whole else []), images)
+
+    got = {r.key: (r.state, r.rung) for r in extraction.verified(docs, render, seeing()).collect()}
+    assert got == {"small": ("verified", 0), "low": ("verified", 1), "none": ("no_pages", 0)}
+    assert len(plans) == 4 and "Broadcast" not in plans[0] and ("Join" in plans[0]) != whole
+
+
 def test_a_second_run_does_no_work(spark, tmp_path):
     pages = spark.createDataFrame([("s1", "<p>a</p><p>b</p>"), ("s2", "no paragraph"), ("s1", "<p>a</p><p>b</p>")], "sha256 string, html string")
     blocks = lambda df: records.html_blocks(df, "sha256")
