@@ -14,6 +14,10 @@ from cellweave.functions.text import let
 from cellweave.sources.shared import cut
 
 
+#: Characters of different values, and their sets, that every executor may hold.
+SMALL = 4 << 20
+
+
 def exact_counts(predicted: Column, gold: Column) -> Column:
     """STRUCT(tp, fp, fn) of two sets."""
     n = lambda x: F.size(x).cast("long")
@@ -76,9 +80,13 @@ def compare_keys(predicted: DataFrame, gold: DataFrame, key: str = "key") -> Dat
 def value_sets(texts: DataFrame, aliases: Aliases | None = None, parse: Callable[[Column], Column] = F.parse_json) -> DataFrame:
     """(field, text, values): the set of each different JSON text of a field (field, text), null for no text.
 
-    It is kept, so a value is made a set once, and the large expression is no part of the plans that use it."""
+    It is kept, so a value is made a set once, and the large expression is no part of the plans that use it. If it is small, cells are not dealt out to be joined with it."""
     told = texts.where("text IS NOT NULL").select("field", "text").distinct()
-    return cut(told.select("field", "text", value_set(parse(F.col("text")), F.col("field"), aliases).alias("values")))
+    # so many partitions, as values are short and sets are much work
+    told = told.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field", "text")
+    known = cut(told.select("field", "text", value_set(parse(F.col("text")), F.col("field"), aliases).alias("values")))
+    size = known.agg(F.sum(F.length("text") + F.length(F.array_join("values", "")) + 64)).first()[0] or 0
+    return known.hint("broadcast") if size <= SMALL else known
 
 
 def score_cells(predicted: DataFrame, gold: DataFrame, wanted: Sequence[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import fields
-from cellweave.functions.normalize import Aliases, value_set
+from cellweave.functions.normalize import Aliases
 from cellweave.operators.matching import exact_counts, value_sets, with_metrics
 from cellweave.sources.shared import cut
 
@@ -51,24 +51,29 @@ def from_json_cell(cell: Column) -> Column:
 def three_way(sources: dict[str, DataFrame], wanted: list[str] | None = None, aliases: Aliases | None = None) -> DataFrame:
     """(key, study, field, legacy, llm_a, llm_b, status, priority, pattern): every document with every field, by cells (key, field, value).
 
-    Each source is a STRUCT(raw, evidence_quote, page, norm). The sources are stacked and grouped once; the fields, a constant list, are the only broadcast.
+    Each source is a STRUCT(raw, evidence_quote, page, norm). Each different value of a field is made a set once; the sources are stacked and dealt by key once, where the cells of
+    a document and field come together, and then a document's fields.
     """
     wanted = wanted or [f for f in fields.FIELDS if f not in fields.NOT_REVIEWED]
-    spark = next(iter(sources.values())).sparkSession
     stacked = None
     for name in SOURCES:
         part = sources[name].select("key", "field", F.lit(name).alias("source"), unwrapped(F.col("value")).alias("u"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    stacked = stacked.select("key", "field", "source", F.struct(F.to_json("u.raw").alias("raw"), F.col("u.evidence_quote").alias("evidence_quote"), F.col("u.page").alias("page"), value_set(F.col("u.raw"), F.col("field"), aliases).alias("norm")).alias("s"))
-    pick = [F.max(F.when(F.col("source") == n, F.col("s"))).alias(n) for n in SOURCES]
-    held = stacked.groupBy("key", "field").agg(*pick)
+    stacked = stacked.select("key", "field", "source", F.to_json("u.raw").alias("text"), F.col("u.evidence_quote").alias("evidence_quote"), F.col("u.page").alias("page"))
+    known = value_sets(stacked.where(F.col("field").isin(*wanted)), aliases)
+    none = F.array().cast("array<string>")
+    valued = stacked.join(known, ["field", "text"], "left").repartition("key")
+    s = F.struct(F.col("text").alias("raw"), "evidence_quote", "page", F.coalesce("values", none).alias("norm"))
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    name = F.trim(F.get_json_object(F.concat(F.lit('{"v":'), F.col("s.raw"), F.lit("}")), "$.v"))
-    studies = stacked.groupBy("key").agg(F.min_by(name, F.when((F.col("field") == "Study") & (name != ""), rank)).alias("study"), F.bool_or((F.col("field") == "Study") & (name != "")).alias("named"))
-    keys = studies.select("key", F.when(F.col("named"), F.col("study")).otherwise("").alias("study"))
-    grid = keys.crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in wanted], "field string")))
-    empty = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("evidence_quote"), F.lit(None).cast("string").alias("page"), F.array().cast("array<string>").alias("norm"))
-    full = grid.join(held, ["key", "field"], "left").select("key", "study", "field", *(F.coalesce(n, empty).alias(n) for n in SOURCES))
+    name = F.when(F.col("field") == "Study", F.trim(F.get_json_object(F.concat(F.lit('{"v":'), F.col("text"), F.lit("}")), "$.v")))
+    study = F.min(F.when(name != "", F.struct(rank.alias("rank"), name.alias("name")))).alias("study")
+    held = valued.groupBy("key", "field").agg(*(F.max(F.when(F.col("source") == n, s)).alias(n) for n in SOURCES), study)
+    cell = F.when(F.col("field").isin(*wanted), F.struct("field", F.struct(*SOURCES).alias("of")))
+    documents = held.groupBy("key").agg(F.max("study.name").alias("study"), F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    each = documents.select("key", F.coalesce("study", F.lit("")).alias("study"), F.explode(F.array(*map(F.lit, wanted))).alias("field"), "cells")
+    of = each.select("key", "study", "field", F.try_element_at("cells", F.col("field")).alias("of"))
+    empty = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("evidence_quote"), F.lit(None).cast("string").alias("page"), none.alias("norm"))
+    full = of.select("key", "study", "field", *(F.coalesce(f"of.{n}", empty).alias(n) for n in SOURCES))
     return full.withColumn("a", agreement(*(F.col(f"{n}.norm") for n in SOURCES))).select("*", "a.*").drop("a")
 
 

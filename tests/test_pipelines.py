@@ -188,3 +188,23 @@ def test_document_of_results(spark, tmp_path):
     assert (one.per_field["Country"].tp, one.per_field["Country"].fn, one.per_field["Setting"].fp, one.per_field["Age"].f1) == (2, 1, 1, 0.0)
     assert [d.key for d in one.per_document] == ["a", "b"] and one.per_document[0].fields["Country"].predicted == ["united states"] and len(one.per_document[1].fields) == 22
     assert tuple(out["coverage"].first()) == (1, 1, 0) and {r.key: r.side for r in out["keys"].collect()} == {"a": "both", "b": "both", "only p": "extra", "only g": "missing"}
+
+
+def test_three_ways_deal_cells_once(spark, monkeypatch):
+    """Each different value is made a set once, however many cells have it, and cells are dealt by key once; repeated cells, null keys and documents without a wanted field count."""
+    asked, kept = [], reconcile.value_sets
+    monkeypatch.setattr(reconcile, "value_sets", lambda texts, *a: asked.append(out := kept(texts, *a)) or out)
+    rows = lambda values: spark.createDataFrame(values, "key string, field string, j string").select("key", "field", F.parse_json("j").alias("value"))
+    many = [(f"k{i}", "Setting", '"UC"') for i in range(50)]
+    legacy = rows([*many, ("k1", "Study", '" S 1 "'), ("k2", "Study", '" "'), ("only", "Country", '"NL"'), (None, "Setting", '"S"')])
+    a = rows([*many, ("k1", "Setting", '"OTH"'), ("k2", "Study", '{"value": "S 2", "page": 3}')])
+    b = rows([("k0", "Setting", '{"value": "UC", "evidence_quote": "q"}'), ("k3", "Setting", "null")])
+    cells = reconcile.three_way({"legacy": legacy, "llm_a": a, "llm_b": b}, ["Setting", "Number of Cases"])
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert sorted((r.field, r.text) for r in asked[0].collect()) == [("Setting", '"OTH"'), ("Setting", '"S"'), ("Setting", '"UC"'), ("Setting", "null")]
+    got = {(r.key, r.field): r for r in cells.collect()}
+    assert len(got) == 2 * 52 and got["k0", "Setting"].status == "silver_auto" and got["k0", "Setting"].llm_b.evidence_quote == "q"
+    assert got["k1", "Setting"].study == "S 1" and got["k2", "Setting"].study == "S 2" and got["k3", "Setting"].study == ""
+    assert got["k1", "Setting"].llm_a.norm == ["university clinic"] and got["k3", "Setting"].llm_b.norm == [] and got["k3", "Setting"].llm_b.raw == "null"
+    assert got["only", "Setting"].status == got["k0", "Number of Cases"].status == "all_missing" and got[None, "Setting"].legacy.norm == ["school"]
