@@ -146,7 +146,9 @@ def general(number: Column) -> Column:
         out = F.when((power >= -4) & (power < 12), plain).otherwise(F.concat(mantissa, F.lit("e"), power_text))
         return F.concat(sign, out)
 
-    return F.when(number == 0, "0").otherwise(let(F.format_string("%.11e", number), spell))
+    # most numbers are whole ones of few digits, which need no format
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e11)
+    return F.when(number == 0, "0").when(whole, number.cast("long").cast("string")).otherwise(let(F.format_string("%.11e", number), spell))
 
 
 def chunks(text: Column, size: int) -> Column:

@@ -77,6 +77,13 @@ def test_general_is_twelve_digits(spark):
     assert [r["g"] for r in rows] == [format(r["x"], ".12g") for r in rows]
 
 
+def test_general_of_whole_numbers(spark):
+    """Whole numbers of few digits are spelled without a format, as with one."""
+    numbers = [-0.0, 7.0, -7.0, 99999999999.0, -99999999999.0, 1e11, 1e11 + 1, 999999999999.0, 1e12 + 1, 2.0**53, 99999999999.5, 1e300, None]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", text.general(F.col("x")).alias("g")).collect()
+    assert [r["g"] for r in rows[:-1]] == [format(r["x"] + 0.0, ".12g") for r in rows[:-1]]
+
+
 def test_fences(spark):
     cases = {
         '```json\n{"a": 1}\n```': '{"a": 1}',
