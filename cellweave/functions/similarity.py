@@ -54,19 +54,20 @@ def interval(text: Column) -> Column:
     return let(F.struct(low.alias("a"), high.alias("b")), ends)
 
 
+def _shared_part(left: Column, right: Column) -> Column:
+    l0, l1, r0, r1 = left["low"], left["high"], right["low"], right["high"]
+    whole = (l0 == F.floor(l0)) & (l1 == F.floor(l1)) & (r0 == F.floor(r0)) & (r1 == F.floor(r1))
+    reach = F.greatest(l1, r1) - F.least(l0, r0)
+    shared = F.least(l1, r1) - F.greatest(l0, r0)
+    counted = F.greatest(shared + 1, F.lit(0.0))
+    by_count = counted / ((l1 - l0 + 1) + (r1 - r0 + 1) - counted)
+    by_length = F.when(reach == 0, F.when(l0 == r0, 1.0).otherwise(0.0)).otherwise(F.greatest(shared, F.lit(0.0)) / reach)
+    return F.when(left.isNotNull() & right.isNotNull(), F.when(whole & (reach <= 1000), by_count).otherwise(by_length))
+
+
 def interval_overlap(left: Column, right: Column) -> Column:
     """Shared by covered whole numbers, or by length if a bound isn't whole or the span is over 1000; null unless both are intervals."""
-    def shared_part(x: Column) -> Column:
-        l0, l1, r0, r1 = x["l"]["low"], x["l"]["high"], x["r"]["low"], x["r"]["high"]
-        whole = (l0 == F.floor(l0)) & (l1 == F.floor(l1)) & (r0 == F.floor(r0)) & (r1 == F.floor(r1))
-        reach = F.greatest(l1, r1) - F.least(l0, r0)
-        shared = F.least(l1, r1) - F.greatest(l0, r0)
-        counted = F.greatest(shared + 1, F.lit(0.0))
-        by_count = counted / ((l1 - l0 + 1) + (r1 - r0 + 1) - counted)
-        by_length = F.when(reach == 0, F.when(l0 == r0, 1.0).otherwise(0.0)).otherwise(F.greatest(shared, F.lit(0.0)) / reach)
-        return F.when(x["l"].isNotNull() & x["r"].isNotNull(), F.when(whole & (reach <= 1000), by_count).otherwise(by_length))
-
-    return let(F.struct(left.alias("l"), right.alias("r")), shared_part)
+    return let(F.struct(left.alias("l"), right.alias("r")), lambda x: _shared_part(x["l"], x["r"]))
 
 
 def likeness(left: Column, right: Column, field: Column) -> Column:
@@ -74,3 +75,15 @@ def likeness(left: Column, right: Column, field: Column) -> Column:
     by_tokens = let(F.struct(value_tokens(left).alias("l"), value_tokens(right).alias("r")), lambda x: cosine(x["l"], x["r"]))
     by_numbers = interval_overlap(interval(left), interval(right))
     return F.when(left == right, F.lit(1.0)).otherwise(F.coalesce(F.when(field.isin(*fields.INTERVALS), by_numbers), by_tokens))
+
+
+def read_value(value: Column, field: Column) -> Column:
+    """STRUCT(value, tokens, span): all that likeness needs of a value of a field, for values that are compared often."""
+    return F.struct(value.alias("value"), value_tokens(value).alias("tokens"), F.when(field.isin(*fields.INTERVALS), interval(value)).alias("span"))
+
+
+def read_likeness(left: Column, right: Column) -> Column:
+    """likeness of two values as read_value gives them."""
+    # tokens that share nothing need no counting
+    by_tokens = F.when(~F.arrays_overlap(left["tokens"], right["tokens"]), 0.0).otherwise(cosine(left["tokens"], right["tokens"]))
+    return F.when(left["value"] == right["value"], F.lit(1.0)).otherwise(F.coalesce(_shared_part(left["span"], right["span"]), by_tokens))

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import fields
 from cellweave.functions.normalize import Aliases, value_set
-from cellweave.functions.similarity import likeness
+from cellweave.functions.similarity import likeness, read_likeness, read_value
 from cellweave.functions.text import let
 from cellweave.sources.shared import cut
 
 
 #: Characters of different values, and their sets, that every executor may hold.
-SMALL = 4 << 20
+SMALL = 32 << 20
+
+MATCHES = "array<struct<predicted:string,gold:string,similarity:double>>"
 
 
 def exact_counts(predicted: Column, gold: Column) -> Column:
@@ -26,24 +28,29 @@ def exact_counts(predicted: Column, gold: Column) -> Column:
 
 def greedy_match(predicted: Column, gold: Column, field: Column, least: float = fields.SIMILAR_VALUE) -> Column:
     """ARRAY(STRUCT(predicted, gold, similarity)): the most similar pair first, each value once; ties by the values."""
-    pairs = F.flatten(F.transform(predicted, lambda p: F.transform(gold, lambda g: F.struct((-likeness(p, g, field)).alias("cost"), p.alias("predicted"), g.alias("gold")))))
+    return _greedy(predicted, gold, lambda p, g: likeness(p, g, field), lambda x: x, least)
+
+
+def _greedy(predicted: Column, gold: Column, alike: Callable[[Column, Column], Column], value: Callable[[Column], Column], least: float) -> Column:
+    pairs = F.flatten(F.transform(predicted, lambda p: F.transform(gold, lambda g: F.struct((-alike(p, g)).alias("cost"), value(p).alias("predicted"), value(g).alias("gold")))))
     ranked = F.array_sort(F.filter(pairs, lambda x: -x["cost"] >= least))
-    start = F.lit(None).cast("array<struct<predicted:string,gold:string,similarity:double>>")
-    chosen = F.aggregate(
+    return F.aggregate(
         ranked,
-        F.coalesce(start, F.array().cast("array<struct<predicted:string,gold:string,similarity:double>>")),
+        F.coalesce(F.lit(None).cast(MATCHES), F.array().cast(MATCHES)),
         lambda held, x: F.when(F.exists(held, lambda h: (h["predicted"] == x["predicted"]) | (h["gold"] == x["gold"])), held).otherwise(
             F.concat(held, F.array(F.struct(x["predicted"].alias("predicted"), x["gold"].alias("gold"), (-x["cost"]).alias("similarity"))))
         ),
     )
-    return chosen
 
 
 def score(predicted: Column, gold: Column, field: Column, least: float = fields.SIMILAR_VALUE) -> Column:
     """STRUCT(tp, fp, fn, soft_tp, soft_fp, soft_fn, matches): exact counts, and soft ones in which a pair counts by its similarity.
 
     Soft counts are rounded to six places, half to even, before they are added up. matches are the pairs that differ."""
+    return _scored(predicted, gold, greedy_match(predicted, gold, field, least))
 
+
+def _scored(predicted: Column, gold: Column, matched: Column) -> Column:
     def tell(found: Column) -> Column:
         soft = F.aggregate(found["m"], F.lit(0.0), lambda s, x: s + x["similarity"])
         part = lambda x: F.bround(x, 6)
@@ -51,7 +58,32 @@ def score(predicted: Column, gold: Column, field: Column, least: float = fields.
         c = found["c"]
         return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), part(soft).alias("soft_tp"), part(F.size(found["p"]) - soft).alias("soft_fp"), part(F.size(found["g"]) - soft).alias("soft_fn"), differ.alias("matches"))
 
-    return let(F.struct(predicted.alias("p"), gold.alias("g"), exact_counts(predicted, gold).alias("c"), greedy_match(predicted, gold, field, least).alias("m")), tell)
+    return let(F.struct(predicted.alias("p"), gold.alias("g"), exact_counts(predicted, gold).alias("c"), matched.alias("m")), tell)
+
+
+def read_sets(values: Column, field: Column) -> Column:
+    """A set whose values are read once for with_scores."""
+    return F.transform(values, lambda v: read_value(v, field))
+
+
+def with_scores(cells: DataFrame, least: float = fields.SIMILAR_VALUE) -> DataFrame:
+    """(key, field, predicted, gold, score) of cells with sets as read_sets gives them: what score gives. Most sets have one value or none, and need no choice of pairs."""
+    n_p, n_g = F.size("predicted"), F.size("gold")
+    first = lambda c: F.element_at(c, 1)
+    alike = F.when((n_p == 1) & (n_g == 1), read_likeness(first("predicted"), first("gold")))
+    # columns of their own, so that what is used twice is computed once, without an array around it
+    told = cells.withColumn("alike", alike)
+    soft = F.when(F.col("alike") >= least, F.col("alike")).otherwise(0.0)
+    p, g = first("predicted")["value"], first("gold")["value"]
+    pair = F.array(F.struct(p.alias("predicted"), g.alias("gold"), F.bround("alike", 4).alias("similarity")))
+    matches = F.when((F.col("alike") >= least) & (F.col("alike") < 1), pair).otherwise(F.array().cast(MATCHES))
+    names = ("tp", "fp", "fn", "soft_tp", "soft_fp", "soft_fn", "matches")
+    struct = lambda *parts: F.struct(*(x.alias(n) for x, n in zip(parts, names, strict=True)))
+    one = struct((p == g).cast("long"), (p != g).cast("long"), (p != g).cast("long"), F.bround(soft, 6), F.bround(1 - soft, 6), F.bround(1 - soft, 6), matches)
+    none = struct(F.lit(0).cast("long"), n_p.cast("long"), n_g.cast("long"), F.lit(0.0), n_p.cast("double"), n_g.cast("double"), F.array().cast(MATCHES))
+    many = _scored(F.col("predicted")["value"], F.col("gold")["value"], _greedy(F.col("predicted"), F.col("gold"), read_likeness, lambda x: x["value"], least))
+    scored = F.when((n_p == 0) | (n_g == 0), none).when(F.col("alike").isNotNull(), one).otherwise(many)
+    return told.withColumn("score", scored).select("key", "field", F.col("predicted")["value"].alias("predicted"), F.col("gold")["value"].alias("gold"), "score")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -77,16 +109,26 @@ def compare_keys(predicted: DataFrame, gold: DataFrame, key: str = "key") -> Dat
     return p.join(g, key, "full_outer").select(key, side.alias("side"))
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows by columns in all of the session's partitions, for work that is much for few bytes: those of other shuffles are put together by their bytes, and may be fewer than there are cores."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def value_sets(texts: DataFrame, aliases: Aliases | None = None, parse: Callable[[Column], Column] = F.parse_json) -> DataFrame:
     """(field, text, values): the set of each different JSON text of a field (field, text), null for no text.
 
     It is kept, so a value is made a set once, and the large expression is no part of the plans that use it. If it is small, cells are not dealt out to be joined with it."""
-    told = texts.where("text IS NOT NULL").select("field", "text").distinct()
+    known, small = known_sets(texts, aliases, parse)
+    return known.hint("broadcast") if small else known
+
+
+def known_sets(texts: DataFrame, aliases: Aliases | None = None, parse: Callable[[Column], Column] = F.parse_json) -> tuple[DataFrame, bool]:
+    """value_sets without the hint, and whether they are few enough for every executor."""
     # so many partitions, as values are short and sets are much work
-    told = told.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field", "text")
+    told = dealt(texts.where("text IS NOT NULL").select("field", "text").distinct(), "field", "text")
     known = cut(told.select("field", "text", value_set(parse(F.col("text")), F.col("field"), aliases).alias("values")))
     size = known.agg(F.sum(F.length("text") + F.length(F.array_join("values", "")) + 64)).first()[0] or 0
-    return known.hint("broadcast") if size <= SMALL else known
+    return known, size <= SMALL
 
 
 def score_cells(predicted: DataFrame, gold: DataFrame, wanted: Sequence[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:

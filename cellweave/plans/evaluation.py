@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import fields
@@ -12,66 +12,100 @@ from cellweave.sources import records
 from cellweave.sources.shared import cut
 
 
-SCORE = "tp long, fp long, fn long, soft_tp double, soft_fp double, soft_fn double, matches array<struct<predicted:string,gold:string,similarity:double>>"
+SCORE = f"tp long, fp long, fn long, soft_tp double, soft_fp double, soft_fn double, matches {matching.MATCHES}"
 
 
-def documents(predicted: DataFrame, gold: DataFrame, wanted: list[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:
-    """(key, predicted, gold, exact, fields) of records (key, record): a row for each document of either side. predicted and gold say whether a side has it; fields maps
-    each wanted field to STRUCT(predicted, gold, score), null for documents of one side only.
-
-    Both sides are stacked, a record's marker row beside its cells, and dealt by key once: the sets of a document and field come together, and then a document's fields. Each
-    different value of a field is made a set once."""
-    stacked = None
-    for name, side in (("p", predicted), ("g", gold)):
-        cells = records.cells(side, wanted).select("key", "field", F.to_json("value").alias("text"))
-        part = cells.unionByName(side.select("key", F.lit("").alias("field"), F.lit(None).cast("string").alias("text"))).withColumn("side", F.lit(name))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    stacked = cut(stacked)
-    valued = stacked.join(matching.value_sets(stacked, aliases), ["field", "text"], "left").repartition("key")
-    pick = lambda name: F.max(F.when(F.col("side") == name, F.col("values"))).alias(name)
-    sets = valued.groupBy("key", "field").agg(pick("p"), pick("g"), F.bool_or(F.col("side") == "p").alias("in_p"), F.bool_or(F.col("side") == "g").alias("in_g"))
+def _nothing() -> Column:
+    """The score of a field that is empty on both sides, as most of a document's fields are."""
+    return F.from_json(F.lit('{"tp":0,"fp":0,"fn":0,"soft_tp":0,"soft_fp":0,"soft_fn":0,"matches":[]}'), SCORE)
+
+
+def paired(predicted: DataFrame, gold: DataFrame, wanted: list[str]) -> DataFrame:
+    """(key, predicted, gold, cells) of records (key, record), kept: a row for each document of either side; cells maps a field that either has to STRUCT(p, g), its JSON texts, for documents of both.
+
+    Records are dealt by document once, as one row each."""
+    side = lambda df, name: df.select("key", F.lit(name).alias("side"), records.texts_by_field(F.col("record"), wanted).alias("texts"))
+    stacked = matching.dealt(side(predicted, "p").unionByName(side(gold, "g")), "key")
+    empty = F.create_map().cast("map<string,string>")
+
+    def merged(parts: Column) -> Column:
+        # a key is for one record as a rule; further ones add their fields
+        more = F.aggregate(parts, empty, lambda held, x: F.map_concat(F.map_filter(held, lambda k, _: ~F.map_contains_key(x, k)), x))
+        return F.when(F.size(parts) == 1, F.element_at(parts, 1)).otherwise(more)
+
+    held = stacked.groupBy("key").agg(*(F.collect_list(F.when(F.col("side") == n, F.col("texts"))).alias(n) for n in ("p", "g")))
+    both = (F.size("p") > 0) & (F.size("g") > 0)
+    cells = F.when(both, F.map_zip_with(merged(F.col("p")), merged(F.col("g")), lambda _, p, g: F.struct(p.alias("p"), g.alias("g"))))
+    return cut(held.select("key", (F.size("p") > 0).alias("predicted"), (F.size("g") > 0).alias("gold"), cells.alias("cells")))
+
+
+def scored_cells(pairs: DataFrame, aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:
+    """(key, field, predicted, gold, score), kept, of paired's documents of both sides: a row for each field that either has. Each different value of a field is made a set once."""
+    cells = pairs.select("key", F.explode("cells").alias("field", "x")).select("key", "field", "x.p", "x.g")
+    known, small = matching.known_sets(cells.select("field", F.explode(F.array("p", "g")).alias("text")), aliases)
+    read = known.select("field", "text", matching.read_sets(F.col("values"), F.col("field")).alias("read"))
+    for side, name in (("p", "predicted"), ("g", "gold")):
+        sets = read.select("field", F.col("text").alias(side), F.col("read").alias(name))
+        cells = cells.join(sets.hint("broadcast") if small else sets, ["field", side], "left").drop(side)
+    empty = F.from_json(F.lit("[]"), read.schema["read"].dataType)
+    told = cells.select("key", "field", F.coalesce("predicted", empty).alias("predicted"), F.coalesce("gold", empty).alias("gold"))
+    return cut(matching.with_scores(told if small else matching.dealt(told, "key"), least))
+
+
+def by_document(pairs: DataFrame, scored: DataFrame, wanted: list[str]) -> DataFrame:
+    """(key, predicted, gold, exact, fields) of paired and scored_cells."""
+    told = F.struct("predicted", "gold", "score")
+    held = scored.groupBy(F.col("key").alias("of")).agg(F.bool_and((F.col("score.fp") == 0) & (F.col("score.fn") == 0)).alias("right"), F.map_from_entries(F.collect_list(F.struct("field", told))).alias("told"))
     empty = F.array().cast("array<string>")
-    cell = F.struct("field", F.struct(F.coalesce("p", empty).alias("predicted"), F.coalesce("g", empty).alias("gold")).alias("sets"))
-    held = sets.groupBy("key").agg(F.bool_or("in_p").alias("predicted"), F.bool_or("in_g").alias("gold"), F.map_from_entries(F.collect_list(F.when(F.col("field") != "", cell))).alias("sets"))
+    nothing = F.struct(empty.alias("predicted"), empty.alias("gold"), _nothing().alias("score"))
+    each = F.transform(F.array(*map(F.lit, wanted)), lambda f: F.struct(f, F.coalesce(F.try_element_at("told", f), nothing)))
     both = F.col("predicted") & F.col("gold")
+    return pairs.drop("cells").join(held, F.col("key").eqNullSafe(F.col("of")), "left").select("key", "predicted", "gold", F.when(both, F.coalesce("right", F.lit(True))).alias("exact"), F.when(both, F.map_from_entries(each)).alias("fields"))
 
-    def scored(field):
-        none = F.struct(empty.alias("predicted"), empty.alias("gold"))
-        s = F.coalesce(F.try_element_at("sets", field), none)
-        # most fields of a document are empty on both sides
-        nothing = F.from_json(F.lit('{"tp":0,"fp":0,"fn":0,"soft_tp":0,"soft_fp":0,"soft_fn":0,"matches":[]}'), SCORE)
-        score = F.when(F.size(s["predicted"]) + F.size(s["gold"]) == 0, nothing).otherwise(matching.score(s["predicted"], s["gold"], field, least))
-        return F.struct(field.alias("field"), F.struct(s["predicted"].alias("predicted"), s["gold"].alias("gold"), score.alias("score")).alias("told"))
 
-    told = held.select("key", "predicted", "gold", F.when(both, F.transform(F.array(*map(F.lit, wanted)), scored)).alias("all"))
-    exact = F.forall("all", lambda x: (x["told"]["score"]["fp"] == 0) & (x["told"]["score"]["fn"] == 0))
-    return told.select("key", "predicted", "gold", exact.alias("exact"), F.map_from_entries("all").alias("fields"))
+def documents(predicted: DataFrame, gold: DataFrame, wanted: list[str], aliases: Aliases | None = None, least: float = fields.SIMILAR_VALUE) -> DataFrame:
+    """(key, predicted, gold, exact, fields) of records (key, record): a row for each document of either side. predicted and gold say whether a side has it; fields maps
+    each wanted field to STRUCT(predicted, gold, score), null for documents of one side only."""
+    pairs = paired(predicted, gold, wanted)
+    return by_document(pairs, scored_cells(pairs, aliases, least), wanted)
 
 
 def evaluate(predicted: DataFrame, gold: DataFrame, aliases: Aliases | None = None, include_excluded: bool = False, least: float = fields.SIMILAR_VALUE) -> dict[str, DataFrame]:
-    """Of records (key, record): documents, kept, and from them scored cells, metrics by field and over all, exact documents, keys by side, and the document of results."""
+    """Of records (key, record): documents, scored cells, metrics by field and over all, exact documents, keys by side, and the document of results.
+
+    Kept are the documents' pairs of records and the scores of fields that either side has; all else follows from these when it is asked for. Metrics are a wanted field's even if no document has it."""
     wanted = matching.scored_fields(include_excluded)
-    kept = cut(documents(predicted, gold, wanted, aliases, least))
-    scored = kept.where("fields IS NOT NULL").select("key", F.explode("fields").alias("field", "x")).select("key", "field", "x.predicted", "x.gold", "x.score")
+    pairs = paired(predicted, gold, wanted)
+    cells = scored_cells(pairs, aliases, least)
+    each = by_document(pairs, cells, wanted)
+    scored = each.where("fields IS NOT NULL").select("key", F.explode("fields").alias("field", "x")).select("key", "field", "x.predicted", "x.gold", "x.score")
     side = F.when(F.col("predicted") & F.col("gold"), "both").when(F.col("gold"), "missing").otherwise("extra")
-    metrics = matching.field_metrics(scored)
-    exactness = kept.where("fields IS NOT NULL").agg(F.count("*").alias("documents"), F.count_if("exact").alias("exact"), F.coalesce(F.avg(F.col("exact").cast("double")), F.lit(0.0)).alias("rate"))
-    out = {"by_document": kept, "scored": scored, "metrics": metrics, "documents": exactness, "keys": kept.select("key", side.alias("side"))}
-    return out | {"summary": summary(kept, metrics, wanted, least)}
+    grid = pairs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("field"), _nothing().alias("score"))
+    metrics = matching.field_metrics(cells.select("field", "score").unionByName(grid))
+    counts = _counts(pairs, cells)
+    exactness = counts.select(F.col("matched_file_count").alias("documents"), "exact", F.col("exact_match_rate").alias("rate"))
+    out = {"by_document": each, "scored": scored, "metrics": metrics, "documents": exactness, "keys": pairs.select("key", side.alias("side"))}
+    return out | {"summary": summary(counts.drop("exact"), metrics, wanted, least)}
+
+
+def _counts(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row: documents by side, and how many of both are exact, which are all but those with a wrong or missing value."""
+    files = pairs.agg(
+        F.count_if("predicted").alias("predictions_file_count"), F.count_if("gold").alias("gold_file_count"), F.count_if(F.col("predicted") & F.col("gold")).alias("matched_file_count"),
+        F.count_if(F.col("gold") & ~F.col("predicted")).alias("missing_prediction_count"), F.count_if(F.col("predicted") & ~F.col("gold")).alias("extra_prediction_count"),
+    )
+    wrong = cells.where("score.fp > 0 OR score.fn > 0").select("key").distinct().agg(F.count("*").alias("wrong"))
+    exact = F.col("matched_file_count") - F.col("wrong")
+    return files.crossJoin(F.broadcast(wrong)).select(*files.columns, exact.alias("exact"), matching.ratio(exact, F.col("matched_file_count")).alias("exact_match_rate"))
 
 
 #: A field's metrics in a document of results.
 METRICS = ("tp", "fp", "fn", "precision", "recall", "f1")
 
 
-def summary(kept: DataFrame, metrics: DataFrame, wanted: list[str], least: float = fields.SIMILAR_VALUE) -> DataFrame:
+def summary(counts: DataFrame, metrics: DataFrame, wanted: list[str], least: float = fields.SIMILAR_VALUE) -> DataFrame:
     """One row, the document of results: counts of files, fields left out and why, metrics over all and by field. Lists of documents are ``missing_and_extra``'s and ``by_document``'s,
     which are as long as the corpus."""
-    counts = kept.agg(
-        F.count_if("predicted").alias("predictions_file_count"), F.count_if("gold").alias("gold_file_count"), F.count_if(F.col("predicted") & F.col("gold")).alias("matched_file_count"),
-        F.count_if(F.col("gold") & ~F.col("predicted")).alias("missing_prediction_count"), F.count_if(F.col("predicted") & ~F.col("gold")).alias("extra_prediction_count"),
-        F.coalesce(F.avg(F.when(F.col("fields").isNotNull(), F.col("exact").cast("double"))), F.lit(0.0)).alias("exact_match_rate"),
-    )
     one = F.struct(*METRICS, F.struct(*(F.col(f"soft_{c}").alias(c) for c in METRICS)).alias("partial"))
     row = metrics.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", one.alias("m")))))).alias("per_field"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import fields
-from cellweave.functions.text import constant_map, squeeze
+from cellweave.functions.text import constant_map, let, squeeze
 from cellweave.sources.shared import cut
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
@@ -61,6 +61,27 @@ def cells(records: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
     return out.where(F.col("field").isin(*wanted)) if wanted is not None else out.where("field <> 'pdf'")
 
 
+def texts_by_field(record: Column, wanted: Sequence[str]) -> Column:
+    """MAP(field, JSON text) of a record's wanted fields, without a row for each; of headers that name one field, the last one in order of name counts. No object has none."""
+    none = F.create_map().cast("map<string,variant>")
+
+    def renamed(values: Column) -> Column:
+        # a variant's names are in order
+        named = F.filter(F.transform(F.map_entries(values), lambda e: F.struct(canonical_field(e["key"]).alias("field"), e["value"].alias("value"))), lambda x: x["field"].isin(*wanted))
+
+        def last(x: Column) -> Column:
+            return F.filter(x["named"], lambda e, i: F.array_position(x["backwards"], e["field"]) == F.size(x["named"]) - i)
+
+        return F.map_from_entries(let(let(named, lambda n: F.struct(n.alias("named"), F.reverse(F.transform(n, lambda e: e["field"])).alias("backwards"))), last))
+
+    def read(values: Column) -> Column:
+        # most records have fields' own names only
+        kept = F.when(F.exists(F.map_keys(values), lambda k: k.isin(*fields.HEADERS)), renamed(values)).otherwise(F.map_filter(values, lambda k, _: k.isin(*wanted)))
+        return F.transform_values(kept, lambda _, v: F.to_json(v))
+
+    return let(F.coalesce(F.try_variant_get(record, "$", "map<string,variant>"), none), read)
+
+
 def verdicts(lines: DataFrame) -> DataFrame:
     """(key, field, verdict, quote): the last verification of each document."""
     found = records_by_key(lines)

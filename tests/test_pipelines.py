@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import alignment, eda, layout, reconcile, verify
+from cellweave.operators import alignment, eda, layout, matching, reconcile, verify
 from cellweave.plans import evaluation, extraction
 from cellweave.sources import records, sinks
 
@@ -208,3 +208,61 @@ def test_three_ways_deal_cells_once(spark, monkeypatch):
     assert got["k1", "Setting"].study == "S 1" and got["k2", "Setting"].study == "S 2" and got["k3", "Setting"].study == ""
     assert got["k1", "Setting"].llm_a.norm == ["university clinic"] and got["k3", "Setting"].llm_b.norm == [] and got["k3", "Setting"].llm_b.raw == "null"
     assert got["only", "Setting"].status == got["k0", "Number of Cases"].status == "all_missing" and got[None, "Setting"].legacy.norm == ["school"]
+
+
+def _records(spark, rows):
+    """(key, record), a record of a null key, too."""
+    return spark.createDataFrame([(k, json.dumps(r)) for k, r in rows], "key string, text string").select("key", F.parse_json("text").alias("record"))
+
+
+def test_evaluation_keeps_what_is_there_in_all_partitions(spark, monkeypatch):
+    """Kept are scores of fields that a side has, not of each document's 22, and in all partitions however few bytes they are."""
+    kept, cut = [], evaluation.cut
+    monkeypatch.setattr(evaluation, "cut", lambda df: kept.append(out := cut(df)) or out)
+    side = lambda n: _records(spark, [(f"k{i}", {"Age": f"{i % 5}-{i % 7 + n}", "Setting": "S"}) for i in range(40)])
+    out = evaluation.evaluate(side(5), side(6))
+    metrics = {r.field: r for r in out["metrics"].collect()}
+    assert metrics["Setting"].tp == 40 and metrics["Age"].tp + metrics["Age"].fp == 40 and metrics["Study"].tp == 0 and len(metrics) == 23
+    assert kept[-1].count() == 80 and out["scored"].count() == 40 * 22
+    assert {df.rdd.getNumPartitions() for df in kept} == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
+
+
+def test_evaluation_of_sides_that_share_no_document(spark):
+    """A field's metrics are there, and zero, even if no document is on both sides."""
+    out = evaluation.evaluate(_records(spark, [("a", {"Age": "3"})]), _records(spark, [("b", {"Age": "3"})]))
+    assert out["metrics"].count() == 23 and out["documents"].first() == (0, 0, 0.0)
+    one = out["summary"].first()
+    assert (one.missing_prediction_count, one.extra_prediction_count, one.overall.tp, one.overall.exact_match_rate, one.per_field["Age"].f1) == (1, 1, 0, 0.0, 0.0)
+
+
+def test_evaluation_without_broadcast_is_the_same(spark, monkeypatch):
+    p = _records(spark, [("a", {"Age": ["3", "5-6"], "Country": "usa, uk"}), ("b", {"Age": None}), ("c", {}), ("d", {"Setting": "S"}), (None, {"Age": 7})])
+    g = _records(spark, [("a", {"Age": "3-6", "Country": ["united kingdom", "spain"]}), ("b", {"Age": "4"}), ("c", {}), ("e", {"Setting": "S"}), (None, {"Age": 7})])
+    told = lambda: sorted(map(repr, evaluation.evaluate(p, g)["by_document"].collect()))
+    few = told()
+    monkeypatch.setattr(matching, "SMALL", 0)
+    assert told() == few and len(few) == 6 and "predicted=['7'], gold=['7']" in few[-1]
+
+
+def test_texts_by_field_are_those_of_cells(spark):
+    """Without a row for each: headers that name one field, nulls, and what is no object; records of one key add up."""
+    rows = _records(spark, [("a", {"N cases": 1, "Number of Cases": 2, "Drop-outs": 3, "Drop-outs ": [4, None], "other": 5}), ("b", {"Age": None, "pdf": "b"}), ("c", [1, 2]), ("d", "x"), ("e", {})])
+    wanted = matching.scored_fields()
+    want = {(r.key, r.field, r.text) for r in records.cells(rows, wanted).select("key", "field", F.to_json("value").alias("text")).collect()}
+    got = {(r.key, r.field, r.text) for r in rows.select("key", F.explode(records.texts_by_field(F.col("record"), wanted)).alias("field", "text")).collect()}
+    assert got == want == {("a", "Number of Cases", "2"), ("a", "Drop-outs", "[4,null]"), ("b", "Age", "null")}
+    twice = _records(spark, [("a", {"Age": "3"}), ("a", {"Setting": "S"})])
+    pairs = evaluation.paired(twice, _records(spark, [("a", {"Age": "3"})]), wanted).collect()
+    assert len(pairs) == 1 and {f: (x.p, x.g) for f, x in pairs[0].cells.items()} == {"Age": ('"3"', '"3"'), "Setting": ('"S"', None)}
+
+
+def test_scores_of_values_read_once_are_those_of_values(spark):
+    import itertools
+
+    values = ["a b c", "c b a", "b", "3-6", "4", "4.5-5", "0", "(x)", "the b"]
+    sets = [[], *([v] for v in values), ["a b c", "c b a"], ["3", "3-4", "b"], ["b", "the b"]]
+    rows = [(f"{i}", f, p, g) for i, (f, p, g) in enumerate(itertools.product(("Age", "Setting"), sets, sets))]
+    cells = spark.createDataFrame(rows, "key string, field string, predicted array<string>, gold array<string>")
+    want = cells.withColumn("score", matching.score(F.col("predicted"), F.col("gold"), F.col("field"))).orderBy("key").collect()
+    read = cells.select("key", "field", *(matching.read_sets(F.col(c), F.col("field")).alias(c) for c in ("predicted", "gold")))
+    assert matching.with_scores(read).orderBy("key").collect() == want
